@@ -329,11 +329,9 @@ def infer_mode(url: Column, explicit: Column | None = None) -> Column:
 
 def ipv4_number(host: Column) -> Column:
     """Dotted quad as an integer, NULL for anything else."""
-    quad = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
-    octet = lambda g: F.try_to_number(F.nullif(F.regexp_extract(host, quad, g), F.lit("")), F.lit("999")).cast("long")
-    octets = [octet(g) for g in (1, 2, 3, 4)]
-    value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    return F.when(F.greatest(*octets) <= 255, value)
+    octets = F.transform(F.split(host, r"\."), lambda o: o.try_cast("long"))
+    value = F.aggregate(octets, F.lit(0).cast("long"), lambda total, o: total * 256 + o)
+    return F.when(F.rlike(host, F.lit(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?!$)|$)){4}$")), value)
 
 
 def _in_blocks(number: Column, blocks) -> Column:
@@ -357,22 +355,24 @@ PRIVATE_BLOCKS = (
 )
 
 
-def block_reason(url: Column) -> Column:
-    """Why a URL must not be fetched (no name lookup); NULL when it may be."""
-    cleaned = clean_reference(url)
-    scheme = F.lower(F.regexp_extract(cleaned, _URL, 1))
-    host = host_of(url)
-    number = ipv4_number(host)
-    return (
-        F.when(scheme == "", F.lit("INVALID_URL"))
-        .when(~scheme.isin("http", "https"), F.lit("SCHEME_NOT_ALLOWED"))
-        .when(host == "", F.lit("INVALID_URL"))
-        .when(_in_blocks(number, METADATA_BLOCKS), F.lit("METADATA_IP"))
-        .when(_in_blocks(number, LOOPBACK_BLOCKS) | (host == "[::1]"), F.lit("LOOPBACK"))
-        .when(_in_blocks(number, LINK_LOCAL_BLOCKS) | F.rlike(host, F.lit(r"^\[fe[89ab]")), F.lit("LINK_LOCAL"))
-        .when(_in_blocks(number, MULTICAST_BLOCKS) | F.startswith(host, F.lit("[ff")), F.lit("MULTICAST"))
-        .when(_in_blocks(number, PRIVATE_BLOCKS) | F.rlike(host, F.lit(r"^\[f[cd]")), F.lit("PRIVATE_ADDRESS"))
+def with_block_reason(df: DataFrame, url: str, out: str) -> DataFrame:
+    """Add why a URL must not be fetched (no name lookup); NULL when it may be."""
+    cleaned = clean_reference(F.col(url))
+    df = df.withColumns(
+        {"__scheme": F.lower(F.regexp_extract(cleaned, _URL, 1)), "__host": host_of(F.col(url))}
+    ).withColumn("__number", ipv4_number(F.col("__host")))
+    scheme, host, number = F.col("__scheme"), F.col("__host"), F.col("__number")
+    reason = (
+        F.when(scheme == "", "INVALID_URL")
+        .when(~scheme.isin("http", "https"), "SCHEME_NOT_ALLOWED")
+        .when(host == "", "INVALID_URL")
+        .when(_in_blocks(number, METADATA_BLOCKS), "METADATA_IP")
+        .when(_in_blocks(number, LOOPBACK_BLOCKS) | (host == "[::1]"), "LOOPBACK")
+        .when(_in_blocks(number, LINK_LOCAL_BLOCKS) | F.rlike(host, F.lit(r"^\[fe[89ab]")), "LINK_LOCAL")
+        .when(_in_blocks(number, MULTICAST_BLOCKS) | F.startswith(host, F.lit("[ff")), "MULTICAST")
+        .when(_in_blocks(number, PRIVATE_BLOCKS) | F.rlike(host, F.lit(r"^\[f[cd]")), "PRIVATE_ADDRESS")
     )
+    return df.withColumn(out, reason).drop("__scheme", "__host", "__number")
 
 
 def variant_url(url: Column, params: Column) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import decode_entities, strip_ends, without_code
+from pagesieve.session import partitions_for
 
 _TOKEN = r"</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[^>]*+>|[^<]++|<"
 _TAG_LIKE = r"^<[a-zA-Z/!?]"
@@ -56,8 +57,12 @@ _OPEN_ENDED = ("html", "body", "div", "ul", "ol", "dl", "table", "section", "art
 
 
 def place_pages(pages: DataFrame) -> DataFrame:
-    """Hash pages by id: the only exchange of the markup operators."""
-    return pages.repartition("page_id")
+    """Hash pages by id: the only exchange of the markup operators.
+
+    Tokens weigh several times the stored page, so the partition count follows
+    the estimated input size and is not left to byte-based coalescing.
+    """
+    return pages.repartition(partitions_for(pages), "page_id")
 
 
 def _raw_tokens(html: Column) -> Column:
@@ -68,8 +73,11 @@ def _is_text(token: Column) -> Column:
     return ~F.rlike(token, F.lit(_TAG_LIKE)) & F.rlike(token, F.lit(r"(?U)\S"))
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """page_id, pos, kind (open, close, void, text), tag, token in page order."""
+def tokens(pages: DataFrame, blanks: bool = False) -> DataFrame:
+    """page_id, pos, kind (open, close, void, text), tag, token in page order.
+
+    ``blanks`` keeps whitespace between tags as text.
+    """
     token = F.col("token")
     name = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
     return (
@@ -77,7 +85,7 @@ def tokens(pages: DataFrame) -> DataFrame:
         .withColumn("tag", name)
         .withColumn(
             "kind",
-            F.when(_is_text(token), "text")
+            F.when(~F.rlike(token, F.lit(_TAG_LIKE)) if blanks else _is_text(token), "text")
             .when(F.col("tag") == "", None)
             .when(F.startswith(token, F.lit("</")), "close")
             .when(F.col("tag").isin(*VOID_TAGS) | F.endswith(token, F.lit("/>")), "void")

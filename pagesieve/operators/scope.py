@@ -267,7 +267,7 @@ def classify(links: DataFrame, scope: CrawlScope | None = None, depth: Column |
             "reason": reason,
             "role": role,
             "depth": F.when(F.col("kind") == "link", child).otherwise(F.lit(0)),
-            "normalized_url": F.coalesce(url, F.col("href")),
+            "normalized_url": F.when(F.col("kind") == "link", url).otherwise(F.col("href")),
         }
     ).drop(*facts, *(SCOPE_COLUMNS if scope is None else ()))
 
@@ -308,7 +308,9 @@ def normalize_scopes(scopes: DataFrame) -> DataFrame:
         {
             "mode": F.when(missing, "FULL_SITE").otherwise(F.coalesce(F.col("mode"), F.lit("CURRENT_PAGE"))),
             "status": F.coalesce(F.col("status"), F.lit("SYSTEM_DEFAULTED")),
-            "max_pages": F.coalesce(clamp(F.col("page_limit")), F.col("max_pages"), F.lit(500)),
+            "max_pages": F.coalesce(
+                F.when(F.col("page_limit").isNotNull(), clamp(F.col("page_limit"))), F.col("max_pages"), F.lit(500)
+            ),
             "include_patterns": filled,
             "max_depth": F.when(
                 (F.col("mode") == "COLLECTION") & (F.coalesce(F.col("max_depth"), F.lit(0)) < 1), F.lit(1)

@@ -198,33 +198,31 @@ def relative(selector: str, container: str | None) -> str:
     return selector
 
 
-def assign_containers(hits: DataFrame, containers: DataFrame) -> DataFrame:
-    """Give each hit the ``container_pos`` of every container around it.
+def assign_containers(marked: DataFrame, is_container: Column, is_hit: Column) -> DataFrame:
+    """Give each hit the ``container_pos`` of every container strictly around it.
 
-    ``containers`` is (page_id, open_pos, close_pos).  Containers may nest, so
-    marks are laid out per nesting level; at one level containers do not
-    overlap and the last start before a hit is the one around it.
+    Containers and hits come from one DataFrame, so the element table is
+    evaluated once.  Containers may nest: marks are laid out per nesting level,
+    and at one level containers do not overlap, so the last start before a hit
+    is the one around it.
     """
-    opens = containers.select("page_id", F.col("open_pos").alias("at"), F.lit(1).alias("step"), "close_pos")
-    closes = containers.select("page_id", F.col("close_pos").alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("int"))
-    payload = F.struct(*hits.columns)
-    empty = F.lit(None).cast(hits.select(payload.alias("h")).schema["h"].dataType)
-    marks = opens.unionByName(closes.withColumnRenamed(closes.columns[3], "close_pos")).withColumn("h", empty)
-    rows = marks.unionByName(
-        hits.select("page_id", F.col("open_pos").alias("at"), F.lit(0).alias("step"), F.lit(None).cast("int").alias("close_pos"), payload.alias("h"))
+    row = F.struct(*marked.columns)
+    event = lambda at, step, hit: F.struct(at.alias("at"), F.lit(step).alias("step"), hit.alias("hit"))
+    nothing = F.when(F.lit(False), row)
+    events = F.array_compact(
+        F.array(
+            F.when(is_container, event(F.col("open_pos"), 1, nothing)),
+            F.when(is_container, event(F.col("close_pos"), -1, nothing)),
+            F.when(is_hit, event(F.col("open_pos"), 0, row)),
+        )
     )
+    rows = marked.select("page_id", F.inline(events))
     order = Window.partitionBy("page_id").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
-    covered = F.sum("step").over(order)
-    rows = rows.withColumn("covered", covered)
-    levels = (
-        F.when(F.col("step") == 1, F.array(F.col("covered")))
-        .when(F.col("step") == 0, F.when(F.col("covered") > 0, F.sequence(F.lit(1).cast("long"), F.col("covered"))))
+    rows = rows.withColumn("covered", F.sum("step").over(order)).filter(F.col("step") >= 0)
+    levels = F.when(F.col("step") == 1, F.array("covered")).when(
+        F.col("covered") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("covered"))
     )
-    laid = rows.filter(F.col("step") >= 0).withColumn("level", F.explode(levels))
+    laid = rows.withColumn("level", F.explode(levels))
     before = Window.partitionBy("page_id", "level").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
     held = F.last(F.when(F.col("step") == 1, F.col("at")), ignorenulls=True).over(before)
-    return (
-        laid.withColumn("container_pos", held)
-        .filter((F.col("step") == 0))
-        .select("h.*", "container_pos")
-    )
+    return laid.withColumn("container_pos", held).filter(F.col("step") == 0).select("hit.*", "container_pos")

@@ -28,6 +28,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .appName("pagesieve")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.extraJavaOptions", "-Xss16m")
     )
@@ -50,3 +51,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+PARTITION_BYTES = 32 * 1024 * 1024
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Shuffle partitions for a CPU-heavy exchange: the configured count, more for big inputs."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # no JVM handle (Spark Connect): the configured count stands
+        return configured
+    estimated = size // PARTITION_BYTES if size < 2**60 else 0  # unknown sizes report a huge number
+    return max(configured, min(estimated, 1_000_000))
