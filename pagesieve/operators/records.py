@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import coerced, is_present, strip_ends
-from pagesieve.functions.urls import with_joined
+from pagesieve.functions.urls import is_navigation, origin_of, with_joined, with_normalized_reference, with_parts
 from pagesieve.operators.nodes import attr, with_texts
 from pagesieve.operators.select import (
     SelectorError,
@@ -461,29 +461,23 @@ def selector_counts(nodes: DataFrame, selector: str) -> DataFrame:
     )
 
 
-def selector_links(nodes: DataFrame, links: DataFrame, selector: str) -> DataFrame:
-    """Same-origin links whose anchor is matched by, or lies inside, the selection.
+def selector_links(pages: DataFrame, nodes: DataFrame, selector: str) -> DataFrame:
+    """Same-origin links of anchors the selection matches or contains.
 
-    Anchors are counted in page order on both sides, so the n-th anchor of the
-    element table is link ``pos`` n.
+    page_id, page_url, pos (first position), normalized_url.
     """
-    from pagesieve.operators.links import same_origin_links
-
     flagged = mark_inside(mark_selected(nodes, selector, "__sel"), F.col("__sel") & (F.col("tag") != "a"), "__under")
-    order = Window.partitionBy("page_id").orderBy("open_pos")
-    anchors = (
-        flagged.filter((F.col("tag") == "a") & attr("href").isNotNull())
-        .withColumn("nth", F.row_number().over(order))
-        .filter(F.col("__sel") | F.col("__under"))
-        .select("page_id", "nth", attr("href").alias("anchor_href"))
+    anchors = flagged.filter(
+        (F.col("tag") == "a") & (F.col("__sel") | F.col("__under")) & attr("href").isNotNull()
+    ).select("page_id", F.col("open_pos").alias("pos"), strip_ends(attr("href")).alias("href"))
+    base = with_parts(pages.select("page_id", F.col("url").alias("page_url")), "page_url", "b_")
+    links = with_normalized_reference(
+        anchors.filter(~is_navigation(F.col("href"))).join(base, "page_id"), "href", "b_", "normalized_url"
     )
     return (
-        same_origin_links(links)
-        .join(
-            anchors.groupBy("page_id", strip_ends(F.col("anchor_href")).alias("href")).agg(F.lit(True).alias("hit")),
-            ["page_id", "href"],
-            "left_semi",
-        )
+        links.filter(origin_of(F.col("normalized_url")) == origin_of(F.col("page_url")))
+        .groupBy("page_id", "page_url", "normalized_url")
+        .agg(F.min("pos").alias("pos"))
     )
 
 

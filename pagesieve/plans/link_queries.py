@@ -8,6 +8,7 @@ from pagesieve.functions.urls import with_normalized
 from pagesieve.operators import frontier, patterns
 from pagesieve.operators.links import discover_same_site, page_links, resolve_links, same_origin_links
 from pagesieve.operators.nodes import elements, place_pages
+from pagesieve.operators.records import selector_links
 from pagesieve.operators.scope import (
     CrawlScope,
     classify,
@@ -461,20 +462,13 @@ def pattern_path_template_mixed(spark, folder):
     return patterns.path_template(rows)
 
 
-def _detail_links(pages, nodes, links, selector):
-    """Same-origin links matched by a selector, or nested inside what it matches."""
-    from pagesieve.operators.records import selector_links
-
-    return selector_links(nodes, links, selector)
-
-
 @query(
     "pattern_selector_links",
     f"WITH {CATALOG_LINKS} SELECT page_id, norm AS normalized_url FROM cat WHERE pos >= 7",
 )
 def pattern_selector_links(spark, folder):
     pages = place_pages(rendered(spark, folder))
-    return _detail_links(pages, elements(pages), page_links(pages), "li.part-card").select("page_id", "normalized_url")
+    return selector_links(pages, elements(pages), "li.part-card").select("page_id", "normalized_url")
 
 
 @query(
@@ -487,7 +481,7 @@ def pattern_selector_links(spark, folder):
 def pattern_derived_includes(spark, folder):
     pages = place_pages(rendered(spark, folder))
     links = page_links(pages)
-    details = _detail_links(pages, elements(pages), links, "li.part-card a.name")
+    details = selector_links(pages, elements(pages), "li.part-card a.name")
     scopes = pages.select(
         "page_id",
         F.when(F.col("page_id") % 2 == 0, "COLLECTION").otherwise("DATASET").alias("mode"),
