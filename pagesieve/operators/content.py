@@ -84,25 +84,29 @@ def content_pieces(pages: DataFrame, nodes: DataFrame, primary: str | None = Non
             (F.max("chars") - F.min("chars") - 1).alias("size"),
         )
     )
-    body, first = len(MAIN_SELECTORS), len(MAIN_SELECTORS) + 1
-    bounds = F.struct("open_pos", "close_pos")
+    body = len(MAIN_SELECTORS)
+    dense = (F.col("rank") < body) & (F.col("size") > 0)
+    wanted = F.when(dense, 1).when(F.col("rank") == body, 0)
     if primary:
         # The first match of the primary selector counts, and only with enough text.
-        hit = mark_selected(nodes, primary, "__p").filter("__p").groupBy("page_id").agg(F.min("open_pos").alias("lead"))
-        sizes = sizes.join(hit, "page_id", "left")
-        by_primary = F.max(
-            F.when((F.col("open_pos") == F.col("lead")) & (F.col("size") >= MIN_CONTENT_CHARS), bounds)
-        )
-    else:
-        by_primary = F.max(F.when(F.lit(False), bounds))
-    dense = F.max(
-        F.when(
-            (F.col("rank") < body) & (F.col("size") > 0),
-            F.struct("size", (-F.col("rank")).alias("r"), (-F.col("open_pos")).alias("o"), bounds.alias("b")),
-        )
+        lead = mark_selected(nodes, primary, "__p").filter("__p").groupBy("page_id").agg(F.min("open_pos").alias("lead"))
+        sizes = sizes.join(lead, "page_id", "left")
+        enough = (F.col("open_pos") == F.col("lead")) & (F.col("size") >= MIN_CONTENT_CHARS)
+        wanted = F.when(F.coalesce(enough, F.lit(False)), 2).otherwise(wanted)
+    choice = F.struct(
+        F.col("wanted"),
+        F.when(F.col("wanted") == 1, F.col("size")).otherwise(0).alias("size"),
+        (-F.col("rank")).alias("by_rank"),
+        (-F.col("open_pos")).alias("by_pos"),
+        "open_pos",
+        "close_pos",
+    )
+    place = (
+        sizes.withColumn("wanted", wanted)
+        .filter(F.col("wanted").isNotNull())
+        .groupBy("page_id")
+        .agg(F.max(choice).alias("place"))
     )
-    whole = F.min(F.when(F.col("rank") == body, F.struct("open_pos", "close_pos")))
-    place = sizes.groupBy("page_id").agg(F.coalesce(by_primary, dense["b"], whole).alias("place"))
     return (
         stream.join(place, "page_id", "left")
         .filter(

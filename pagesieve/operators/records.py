@@ -204,11 +204,11 @@ def header_score(field: Column, header: Column) -> Column:
     )
 
 
-def assign_columns(keys: list[str], headers: Column, n_cols: Column) -> Column:
-    """array<int>: table column of each field, best header first, leftovers by position.
+def with_assigned_columns(df: DataFrame, keys: list[str], headers: str, n_cols: str, out: str) -> DataFrame:
+    """Add array<int>: table column of each field, best header first, leftovers by position.
 
-    Works on one table's header array; candidates number fields x headers of
-    that table, a handful.
+    One row is one table; candidates number fields x headers of that table, a
+    handful.  Every stage is its own column so nothing is evaluated twice.
     """
     names = F.array(*[F.lit(k) for k in keys])
     scored = F.flatten(
@@ -220,87 +220,84 @@ def assign_columns(keys: list[str], headers: Column, n_cols: Column) -> Column:
             ),
         )
     )
-    ranked = F.array_sort(F.filter(scored, lambda c: (c["s"] < 0) & (c["h"] < n_cols)))
-    none = F.array().cast("array<struct<f:int,h:int>>")
+    df = df.withColumn("__scored", scored)
+    df = df.withColumn(
+        "__ranked", F.array_sort(F.filter("__scored", lambda c: (c["s"] < 0) & (c["h"] < F.col(n_cols))))
+    )
     matched = F.aggregate(
-        ranked,
-        none,
+        "__ranked",
+        F.array().cast("array<struct<f:int,h:int>>"),
         lambda taken, c: F.when(
             F.exists(taken, lambda t: (t["f"] == c["f"]) | (t["h"] == c["h"])), taken
         ).otherwise(F.concat(taken, F.array(F.struct(c["f"].alias("f"), c["h"].alias("h"))))),
     )
-    used = F.transform(matched, lambda t: t["h"])
-    free = F.array_except(F.sequence(F.lit(0), n_cols - 1), used)
+    df = df.withColumn("__matched", matched)
     indices = F.sequence(F.lit(0), F.lit(len(keys) - 1))
-    open_fields = F.array_except(indices, F.transform(matched, lambda t: t["f"]))
-    return F.transform(
+    df = df.withColumns(
+        {
+            "__free": F.array_except(
+                F.sequence(F.lit(0), F.col(n_cols) - 1), F.transform("__matched", lambda t: t["h"])
+            ),
+            "__open": F.array_except(indices, F.transform("__matched", lambda t: t["f"])),
+        }
+    )
+    column = F.transform(
         indices,
         lambda i: F.coalesce(
-            F.get(F.filter(matched, lambda t: t["f"] == i), F.lit(0))["h"],
-            F.get(free, (F.array_position(open_fields, i) - 1).cast("int")),
+            F.get(F.filter("__matched", lambda t: t["f"] == i), F.lit(0))["h"],
+            F.get(F.col("__free"), (F.array_position(F.col("__open"), i) - 1).cast("int")),
         ),
     )
+    return df.withColumn(out, column).drop("__scored", "__ranked", "__matched", "__free", "__open")
 
 
-def _cells(nodes: DataFrame) -> DataFrame:
-    """Cells with the row and table around them (every one, when tables nest)."""
-    is_cell = F.col("tag").isin("td", "th")
+def best_tables(nodes: DataFrame) -> DataFrame:
+    """Cells of each page's largest table (rows x widest row; first wins ties).
+
+    Node columns of td/th elements plus table_pos, row_pos, in_head, n_rows and
+    n_cols.  Rows and cells of nested tables count for every table around them.
+    """
     parts = nodes.filter(F.col("tag").isin("table", "thead", "tr", "td", "th"))
     parts = mark_inside(parts, F.col("tag") == "thead", "in_head")
-    in_rows = assign_containers(parts, F.col("tag") == "tr", is_cell)
-    rows = assign_containers(parts, F.col("tag") == "table", F.col("tag") == "tr").select(
-        "page_id", F.col("open_pos").alias("row_pos"), F.col("container_pos").alias("table_pos"), "in_head"
+    in_tables = assign_containers(parts, F.col("tag") == "table", F.col("tag").isin("tr", "td", "th"))
+    table = ("page_id", "container_pos")
+    counted = in_tables.withColumn(
+        "n_rows", F.count_if(F.col("tag") == "tr").over(Window.partitionBy(*table))
+    ).withColumnRenamed("container_pos", "table_pos")
+    cells = assign_containers(
+        counted, F.col("tag") == "tr", F.col("tag") != "tr", ("page_id", "table_pos")
+    ).withColumnRenamed("container_pos", "row_pos")
+    width = F.count("*").over(Window.partitionBy("page_id", "table_pos", "row_pos"))
+    sized = cells.withColumn("__w", width).withColumn(
+        "n_cols", F.max("__w").over(Window.partitionBy("page_id", "table_pos"))
     )
-    cells = in_rows.select(
-        "page_id", "open_pos", "close_pos", "text_from", "text_to", "tag", "token", F.col("container_pos").alias("row_pos")
-    )
-    return rows.join(cells, ["page_id", "row_pos"], "left")
+    sized = sized.filter((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2))
+    score = F.struct((F.col("n_rows") * F.col("n_cols")).alias("score"), (-F.col("table_pos")).alias("first"))
+    best = F.max(score).over(Window.partitionBy("page_id"))
+    return sized.withColumn("__best", best).filter(F.col("table_pos") == -F.col("__best.first")).drop("__w", "__best")
 
 
-def best_tables(nodes: DataFrame) -> DataFrame:
-    """Cells of each page's largest table (rows x widest row; first wins ties).
+def page_tables(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The best table of each page on one row.
 
-    page_id, table_pos, n_rows, n_cols, row_pos, in_head, and cell columns.
+    page_id, url, n_rows, n_cols, headers, rows(row_pos, in_head, cells(open_pos,
+    text, tag)).  Headers are the first head row, else the first row when it
+    has a heading cell.
     """
-    cells = _cells(nodes)
-    per_row = cells.groupBy("page_id", "table_pos", "row_pos").agg(F.count("open_pos").alias("width"))
-    per_table = per_row.groupBy("page_id", "table_pos").agg(F.count("*").alias("n_rows"), F.max("width").alias("n_cols"))
-    best = (
-        per_table.filter((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2))
-        .groupBy("page_id")
-        .agg(F.max(F.struct((F.col("n_rows") * F.col("n_cols")).alias("score"), (-F.col("table_pos")).alias("first"), "n_rows", "n_cols")).alias("b"))
-        .select("page_id", (-F.col("b.first")).alias("table_pos"), "b.n_rows", "b.n_cols")
+    texts = with_texts(best_tables(nodes), pages)
+    rows = texts.groupBy("page_id", "url", "n_rows", "n_cols", "row_pos", "in_head").agg(
+        F.array_sort(F.collect_list(F.struct("open_pos", "text", "tag"))).alias("cells")
     )
-    return cells.join(best, ["page_id", "table_pos"])
-
-
-def table_rows(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of the best table as arrays: page_id, url, row_pos, n_rows, n_cols, in_head, cells(pos, text, tag)."""
-    cells = best_tables(nodes)
-    texts = with_texts(cells.filter(F.col("open_pos").isNotNull()), pages)
-    return texts.groupBy("page_id", "table_pos", "row_pos").agg(
-        F.first("url").alias("url"),
-        F.first("n_rows").alias("n_rows"),
-        F.first("n_cols").alias("n_cols"),
-        F.first("in_head").alias("in_head"),
-        F.array_sort(F.collect_list(F.struct("open_pos", "text", "tag"))).alias("cells"),
+    tables = rows.groupBy("page_id", "url", "n_rows", "n_cols").agg(
+        F.array_sort(F.collect_list(F.struct("row_pos", "in_head", "cells"))).alias("rows")
     )
-
-
-def with_headers(rows: DataFrame) -> DataFrame:
-    """Add ``headers``: the first head row, else the first row when it has a heading cell."""
-    first_head = F.min(F.when(F.col("in_head"), F.struct("row_pos", "cells")))
-    first_row = F.min(F.struct("row_pos", "cells"))
-    page = Window.partitionBy("page_id")
-    rows = rows.withColumns({"__head": first_head.over(page), "__first": first_row.over(page)})
-    heading = F.exists("__first.cells", lambda c: c["tag"] == "th")
-    texts = lambda source: F.transform(f"{source}.cells", lambda c: F.coalesce(c["text"], F.lit("")))
-    return rows.withColumn(
-        "headers",
-        F.when(F.col("__head").isNotNull(), texts("__head"))
-        .when(heading, texts("__first"))
-        .otherwise(F.array().cast("array<string>")),
-    ).drop("__head", "__first")
+    head = F.get(F.filter("rows", lambda r: r["in_head"]), F.lit(0))["cells"]
+    first = F.get("rows", F.lit(0))["cells"]
+    headed = F.coalesce(head, F.when(F.exists(first, lambda c: c["tag"] == "th"), first))
+    none = F.array().cast("array<string>")
+    return tables.withColumn("__h", headed).withColumn(
+        "headers", F.coalesce(F.transform("__h", lambda c: F.coalesce(c["text"], F.lit(""))), none)
+    ).drop("__h")
 
 
 def from_tables(
@@ -308,15 +305,13 @@ def from_tables(
 ) -> DataFrame:
     """Read the largest table by column; required flags are not applied here."""
     fields = chosen(fields)
-    rows = with_headers(table_rows(pages, nodes)).filter(F.exists("cells", lambda c: c["tag"] == "td"))
-    page = Window.partitionBy("page_id")
-    rows = rows.withColumns(
-        {
-            "__cols": F.max(F.size("cells")).over(page),
-            "__n": F.row_number().over(page.orderBy("row_pos")),
-        }
-    ).filter((F.col("__n") <= max_records) & (F.size("cells") >= 2))
-    rows = rows.withColumn("__at", assign_columns([f.key for f in fields], F.col("headers"), F.col("__cols")))
+    data = F.filter("rows", lambda r: F.exists(r["cells"], lambda c: c["tag"] == "td"))
+    tables = page_tables(pages, nodes).withColumn("rows", data).filter(F.size("rows") > 0)
+    tables = tables.withColumn("__cols", F.array_max(F.transform("rows", lambda r: F.size(r["cells"]))))
+    tables = with_assigned_columns(tables, [f.key for f in fields], "headers", "__cols", "__at")
+    rows = tables.select("page_id", "url", "__at", F.inline(F.slice("rows", 1, max_records))).filter(
+        F.size("cells") >= 2
+    )
     wide = rows.withColumns(
         {f"f{i}": F.get("cells", F.get("__at", F.lit(i)))["text"] for i in range(len(fields))}
     )

@@ -198,31 +198,29 @@ def relative(selector: str, container: str | None) -> str:
     return selector
 
 
-def assign_containers(marked: DataFrame, is_container: Column, is_hit: Column) -> DataFrame:
+def assign_containers(
+    marked: DataFrame, is_container: Column, is_hit: Column, keys: tuple[str, ...] = ("page_id",)
+) -> DataFrame:
     """Give each hit the ``container_pos`` of every container strictly around it.
 
     Containers and hits come from one DataFrame, so the element table is
     evaluated once.  Containers may nest: marks are laid out per nesting level,
     and at one level containers do not overlap, so the last start before a hit
-    is the one around it.
+    is the one around it.  ``keys`` narrows the scope further than the page.
     """
-    row = F.struct(*marked.columns)
-    event = lambda at, step, hit: F.struct(at.alias("at"), F.lit(step).alias("step"), hit.alias("hit"))
-    nothing = F.when(F.lit(False), row)
+    event = lambda when, at, step: F.when(when, F.struct(F.col(at).alias("at"), F.lit(step).alias("step")))
     events = F.array_compact(
         F.array(
-            F.when(is_container, event(F.col("open_pos"), 1, nothing)),
-            F.when(is_container, event(F.col("close_pos"), -1, nothing)),
-            F.when(is_hit, event(F.col("open_pos"), 0, row)),
+            event(is_container, "open_pos", 1), event(is_container, "close_pos", -1), event(is_hit, "open_pos", 0)
         )
     )
-    rows = marked.select("page_id", F.inline(events))
-    order = Window.partitionBy("page_id").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marked.select("*", F.inline(events))
+    order = Window.partitionBy(*keys).orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("covered", F.sum("step").over(order)).filter(F.col("step") >= 0)
     levels = F.when(F.col("step") == 1, F.array("covered")).when(
         F.col("covered") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("covered"))
     )
     laid = rows.withColumn("level", F.explode(levels))
-    before = Window.partitionBy("page_id", "level").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys, "level").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
     held = F.last(F.when(F.col("step") == 1, F.col("at")), ignorenulls=True).over(before)
-    return laid.withColumn("container_pos", held).filter(F.col("step") == 0).select("hit.*", "container_pos")
+    return laid.withColumn("container_pos", held).filter(F.col("step") == 0).select(*marked.columns, "container_pos")

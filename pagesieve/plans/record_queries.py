@@ -189,7 +189,7 @@ def record_field_index(spark, folder):
 
 
 TABLE_FIELDS = [
-    FieldSpec("x1", ".none", label="Part Name"),
+    FieldSpec("x1", ".none", label="Item Name"),
     FieldSpec("x2", ".none", "number", label="price"),
     FieldSpec("x3", ".none", "number", label="ID"),
     FieldSpec("x4", ".none", label="Maker", required=True),
@@ -201,13 +201,13 @@ TABLE_FIELDS = [
 @query(
     "record_table",
     f"""WITH {LISTED} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) - 1 AS record_ordinal,
-          p_name AS "Part Name", p_retailprice AS price, p_partkey::DOUBLE AS "ID", p_brand AS "Maker", p_size::VARCHAR AS "Size",
+          p_name AS "Item Name", p_retailprice AS price, p_partkey::DOUBLE AS "ID", p_brand AS "Maker", p_size::VARCHAR AS "Size",
           NULL::VARCHAR AS "Beyond" FROM listed""",
 )
 def record_table(spark, folder):
     pages = place_pages(rendered(spark, folder))
     found = records.typed(records.from_tables(pages, elements(pages), TABLE_FIELDS), TABLE_FIELDS)
-    return found.select("page_id", "record_ordinal", "Part Name", "price", "ID", "Maker", "Size", "Beyond")
+    return found.select("page_id", "record_ordinal", "Item Name", "price", "ID", "Maker", "Size", "Beyond")
 
 
 @query(
@@ -216,10 +216,8 @@ def record_table(spark, folder):
 )
 def record_best_table(spark, folder):
     pages = place_pages(rendered(spark, folder))
-    rows = records.with_headers(records.table_rows(pages, elements(pages)))
-    return rows.groupBy("page_id").agg(
-        F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), F.max(F.array_join("headers", ",")).alias("headers")
-    )
+    tables = records.page_tables(pages, elements(pages))
+    return tables.select("page_id", "n_rows", F.col("n_cols"), F.array_join("headers", ",").alias("headers"))
 
 
 @query(
@@ -474,7 +472,7 @@ def profile_sample_links(spark, folder):
 
 @query(
     "profile_snippet",
-    f"""WITH {CLEAN} SELECT page_id, left(trim(regexp_replace({_UNESCAPE.format("regexp_replace(regexp_extract(body, '(?s)<body>(.*)', 1), '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')), 600) AS snippet FROM clean""",
+    f"""WITH {CLEAN} SELECT page_id, left(trim(regexp_replace({_UNESCAPE.format("replace(replace(regexp_replace(regexp_extract(body, '(?s)<body>(.*)', 1), '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·')")}, '\\s+', ' ', 'g')), 600) AS snippet FROM clean""",
 )
 def profile_snippet(spark, folder):
     pages = place_pages(stored(spark, folder))

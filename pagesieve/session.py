@@ -28,6 +28,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .appName("pagesieve")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        # static: call-site capture slows building of wide plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.extraJavaOptions", "-Xss16m")
