@@ -36,7 +36,7 @@ def is_furniture() -> Column:
     return F.col("tag").isin(*CHROME_TAGS) | hidden | (F.contains(F.lower("token"), F.lit("hidden")) & has_attr("hidden"))
 
 
-def _stream(pages: DataFrame, nodes: DataFrame, selectors: list[str]) -> DataFrame:
+def _stream(pages: DataFrame, nodes: DataFrame, selectors: list[str], primary: str | None) -> DataFrame:
     """Element starts, ends and text pieces in page order, with flags.
 
     step is 1 (start), -1 (end) or 0 (text); ``rank`` is the best matching
@@ -46,8 +46,9 @@ def _stream(pages: DataFrame, nodes: DataFrame, selectors: list[str]) -> DataFra
         nodes = mark_selected(nodes, selector, f"__s{i}")
     rank = F.coalesce(*[F.when(F.col(f"__s{i}"), F.lit(i)) for i in range(len(selectors))])
     nodes = nodes.withColumns({"rank": rank, "gone": is_furniture()})
+    nodes = mark_selected(nodes, primary, "preferred") if primary else nodes.withColumn("preferred", F.lit(False))
     nodes = with_parent_value(nodes, F.col("tag"), "parent_tag")
-    keep = [F.col(c) for c in ("open_pos", "close_pos", "tag", "token", "rank", "gone", "parent_tag", "type_idx")]
+    keep = [F.col(c) for c in ("open_pos", "close_pos", "tag", "token", "rank", "preferred", "gone", "parent_tag", "type_idx")]
     marks = nodes.select(
         "page_id",
         F.inline(
@@ -65,55 +66,45 @@ def _stream(pages: DataFrame, nodes: DataFrame, selectors: list[str]) -> DataFra
 
 def content_pieces(pages: DataFrame, nodes: DataFrame, primary: str | None = None) -> DataFrame:
     """The stream inside each page's content container, furniture removed."""
-    selectors = list(MAIN_SELECTORS) + ["body"] + ([primary] if primary else [])
-    stream = _stream(pages, nodes, selectors)
-    order = Window.partitionBy("page_id").orderBy("at", F.desc("step"), F.desc("open_pos"))
+    stream = _stream(pages, nodes, list(MAIN_SELECTORS) + ["body"], primary)
+    page = Window.partitionBy("page_id")
+    order = page.orderBy("at", F.desc("step"), F.desc("open_pos"))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     reach = F.max(F.when((F.col("step") == 1) & F.col("gone"), F.col("close_pos"))).over(so_far)
     stream = stream.withColumn("__out", F.coalesce(F.col("at") <= reach, F.lit(False))).filter(~F.col("__out"))
     piece = strip_ends(F.col("token"))
     length = F.when((F.col("step") == 0) & (piece != ""), F.length(piece) + 1).otherwise(0)
     stream = stream.withColumn("chars", F.sum(length).over(so_far))
-    # Text length of a candidate: characters counted at its end minus at its start.
-    sizes = (
-        stream.filter(F.col("rank").isNotNull())
-        .groupBy("page_id", "open_pos")
-        .agg(
-            F.max("close_pos").alias("close_pos"),
-            F.min("rank").alias("rank"),
-            (F.max("chars") - F.min("chars") - 1).alias("size"),
-        )
+    # Text length of an element: characters counted at its end minus at its start.
+    element = Window.partitionBy("page_id", "open_pos")
+    stream = stream.withColumn(
+        "size", F.when(F.col("step") != 0, F.max("chars").over(element) - F.min("chars").over(element) - 1)
     )
-    body = len(MAIN_SELECTORS)
-    dense = (F.col("rank") < body) & (F.col("size") > 0)
-    wanted = F.when(dense, 1).when(F.col("rank") == body, 0)
-    if primary:
-        # The first match of the primary selector counts, and only with enough text.
-        lead = mark_selected(nodes, primary, "__p").filter("__p").groupBy("page_id").agg(F.min("open_pos").alias("lead"))
-        sizes = sizes.join(lead, "page_id", "left")
-        enough = (F.col("open_pos") == F.col("lead")) & (F.col("size") >= MIN_CONTENT_CHARS)
-        wanted = F.when(F.coalesce(enough, F.lit(False)), 2).otherwise(wanted)
+    lead = F.min(F.when(F.col("preferred"), F.col("open_pos"))).over(page)
+    body = F.lit(len(MAIN_SELECTORS))
+    # A primary match with enough text, else the densest likely container, else the body.
+    wanted = (
+        F.when((F.col("open_pos") == F.col("__lead")) & (F.col("size") >= MIN_CONTENT_CHARS), 2)
+        .when((F.col("rank") < body) & (F.col("size") > 0), 1)
+        .when(F.col("rank") == body, 0)
+    )
+    stream = stream.withColumn("__lead", lead).withColumn("wanted", wanted)
     choice = F.struct(
         F.col("wanted"),
         F.when(F.col("wanted") == 1, F.col("size")).otherwise(0).alias("size"),
-        (-F.col("rank")).alias("by_rank"),
+        (-F.coalesce("rank", F.lit(0))).alias("by_rank"),
         (-F.col("open_pos")).alias("by_pos"),
         "open_pos",
         "close_pos",
     )
-    place = (
-        sizes.withColumn("wanted", wanted)
-        .filter(F.col("wanted").isNotNull())
-        .groupBy("page_id")
-        .agg(F.max(choice).alias("place"))
-    )
+    best = F.max(F.when(F.col("wanted").isNotNull(), choice)).over(page)
     return (
-        stream.join(place, "page_id", "left")
+        stream.withColumn("place", best)
         .filter(
             F.col("place").isNull()
             | ((F.col("at") > F.col("place.open_pos")) & (F.col("at") < F.col("place.close_pos")))
         )
-        .drop("place", "chars", "__out")
+        .drop("place", "chars", "size", "wanted", "__out", "__lead")
     )
 
 
