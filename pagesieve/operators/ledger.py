@@ -324,10 +324,10 @@ def newest_events(events: DataFrame, key: str, limit: int = 100) -> DataFrame:
 def records_page(records: DataFrame, order: list[str], skip: int, limit: int) -> DataFrame:
     """One page of rows with total, next_skip and has_more on every row."""
     limit = max(1, min(limit, 500))
-    total = records.agg(F.count("*").alias("total"))
-    page = records.orderBy(*order).offset(skip).limit(limit)
+    total = records.agg(F.count("*")).scalar()
+    page = records.orderBy(*order).offset(skip).limit(limit).withColumn("total", total)
     more = F.lit(skip + limit) < F.col("total")
-    return page.join(total).withColumns(
+    return page.withColumns(
         {"has_more": more, "next_skip": F.when(more, F.lit(skip + limit))}
     )
 

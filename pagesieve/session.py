@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the cluster's shared checkpoint area; local only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return f"{shared}/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"run-{name}-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's spark.checkpoint.dir; fall back to a scratch folder only if unset."""
     if spark.sparkContext.getCheckpointDir() is not None:

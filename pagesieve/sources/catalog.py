@@ -22,8 +22,7 @@ def _cat(*parts) -> Column:
 
 def listed_parts(part: DataFrame, supplier: DataFrame) -> DataFrame:
     """part rows with the page_id (supplier) that lists them."""
-    n = supplier.agg(F.count("*").alias("n_supp"))
-    return part.join(n).withColumn("page_id", F.col("p_partkey") % F.col("n_supp"))
+    return part.withColumn("page_id", F.col("p_partkey") % supplier.agg(F.count("*")).scalar())
 
 
 def catalog_pages(part: DataFrame, supplier: DataFrame) -> DataFrame:

@@ -21,9 +21,8 @@ def scan_pages(pages: DataFrame, max_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
     pages it touched.  A cut that would split a character drops that character.
     """
     size = F.octet_length("html")
-    head = F.regexp_replace(
-        F.decode(F.substring(F.encode("html", "UTF-8"), 1, max_bytes), "UTF-8"), "�$", ""
-    )
+    cut = F.substring(F.col("html").cast("binary"), 1, max_bytes).cast("string")
+    head = F.regexp_replace(F.make_valid_utf8(cut), "\ufffd$", "")
     body = F.when(size > max_bytes, head).otherwise(F.col("html"))
     out = pages.withColumns({"original_bytes": size.cast("bigint"), "truncated": size > max_bytes, "html": body})
     return out.withColumns(
