@@ -105,7 +105,9 @@ def with_values(hits: DataFrame, pages: DataFrame, types: dict[int, str]) -> Dat
     return rows.withColumn("value", F.nullif(value, F.lit(""))).drop("__ref", "__link")
 
 
-def _finish(rows: DataFrame, fields: list[FieldSpec], minimum: int, strategy: str, order: str) -> DataFrame:
+def _finish(
+    rows: DataFrame, fields: list[FieldSpec], minimum: int, strategy: str, order: str, extra: list[str] = []
+) -> DataFrame:
     """Keep rows with enough values and every required one; number them per page."""
     names = [f"f{i}" for i in range(len(fields))]
     count = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
@@ -123,6 +125,7 @@ def _finish(rows: DataFrame, fields: list[FieldSpec], minimum: int, strategy: st
         F.lit(strategy).alias("strategy"),
         *[F.col(n).alias(f.key) for n, f in zip(names, fields)],
         warnings.alias("warnings"),
+        *extra,
     )
 
 
@@ -171,6 +174,49 @@ def by_field_index(
     return _finish(wide, fields, 1 if len(fields) <= 2 else 2, "field_index", "idx")
 
 
+def from_containers_by_variant(
+    pages: DataFrame,
+    nodes: DataFrame,
+    fields: list[FieldSpec],
+    container: str,
+    combos: list[dict],
+    max_records: int = MAX_RECORDS,
+) -> DataFrame:
+    """Row per variant: every combination reads its own selectors, in one pass.
+
+    ``combos`` (at most twelve, resolved with the spec) are dicts with label,
+    metadata and selectors.  Fields no combination overrides are read once.
+    """
+    fields = chosen(fields)
+    reads: list[FieldSpec] = []
+    column: dict[tuple[int, int], str] = {}
+    for i, f in enumerate(fields):
+        for c, combo in enumerate(combos):
+            names = [n for n in (f.user_label, f.label, f.name) if n is not None]
+            selector = next((combo["selectors"][n] for n in names if n in combo["selectors"]), f.selector)
+            name = f"{i}|{selector}"
+            if name not in [r.name for r in reads]:
+                reads.append(FieldSpec(name, selector, f.type))
+            column[i, c] = name
+    wide = from_containers(pages, nodes, reads, container, max_records)
+    per_combo = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("combo_idx"),
+                F.lit(combo["label"]).alias("variant"),
+                *[F.lit(v).alias(k) for k, v in combo["metadata"].items()],
+                *[F.col(f"`{column[i, c]}`").alias(f"f{i}") for i in range(len(fields))],
+            )
+            for c, combo in enumerate(combos)
+        ]
+    )
+    rows = wide.select("page_id", F.col("record_ordinal").alias("__o"), F.col("source_url").alias("url"), F.inline(per_combo))
+    rows = rows.withColumn("__order", F.struct("combo_idx", "__o"))
+    tags = ["combo_idx", "variant", *combos[0]["metadata"]]
+    kept = _finish(rows.withColumn("__tags", F.struct(*tags)), fields, 1, "containers", "__order", ["__tags"])
+    return kept.select("*", "__tags.*").drop("__tags")
+
+
 # --- data tables ------------------------------------------------------------------------
 
 # Unit abbreviations that name the same column.

@@ -47,13 +47,15 @@ def combinations(options: DataFrame) -> DataFrame:
         F.when(mode == "url_param", F.coalesce("query", empty)).otherwise(empty).alias("query"),
         (mode.isin("interactive", "mixed") & F.coalesce("has_recipe", F.lit(False))).alias("browser"),
     )
+    # Maps have no order of their own, so sort by the index alone.
+    by_index = lambda rows, i: F.array_sort(rows, lambda a, b: a[i] - b[i])
     groups = (
         options.filter(F.coalesce("selected", F.lit(True)))
         .groupBy("spec_id", "group_idx")
-        .agg(F.array_sort(F.collect_list(option)).alias("options"), F.max("max_combinations").alias("cap"))
+        .agg(by_index(F.collect_list(option), "option_idx").alias("options"), F.max("max_combinations").alias("cap"))
     )
     specs = groups.groupBy("spec_id").agg(
-        F.array_sort(F.collect_list(F.struct("group_idx", "options"))).alias("groups"),
+        by_index(F.collect_list(F.struct("group_idx", "options")), "group_idx").alias("groups"),
         F.greatest(F.lit(1), F.least(F.coalesce(F.max("cap"), F.lit(MAX_COMBINATIONS)), F.lit(MAX_COMBINATIONS))).alias("cap"),
     )
     total = F.aggregate("groups", F.lit(1).cast("bigint"), lambda n, g: n * F.size(g["options"]))

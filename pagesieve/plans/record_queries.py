@@ -296,6 +296,23 @@ def record_selector_check(spark, folder):
     )
 
 
+@query(
+    "record_by_variant",
+    f"""WITH {LISTED}, v AS (SELECT * FROM (VALUES (0, 'Brand view', 'brand'), (1, 'Price view', 'price')) t(combo_idx, variant, axis))
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY combo_idx, p_partkey) - 1 AS record_ordinal, variant, axis, p_name AS name,
+               CASE combo_idx WHEN 0 THEN p_brand ELSE printf('$%.2f', p_retailprice) END AS value FROM listed, v""",
+)
+def record_by_variant(spark, folder):
+    pages = place_pages(rendered(spark, folder))
+    fields = [FieldSpec("name", "a.name", required=True), FieldSpec("value", ".brand")]
+    combos = [
+        {"label": "Brand view", "metadata": {"axis": "brand"}, "selectors": {}},
+        {"label": "Price view", "metadata": {"axis": "price"}, "selectors": {"value": "b.price"}},
+    ]
+    found = records.from_containers_by_variant(pages, elements(pages), fields, "li.part-card", combos)
+    return found.select("page_id", "record_ordinal", "variant", "axis", "name", "value")
+
+
 @query(
     "record_coerce_number",
     """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 2 THEN 4.75 * 0 + cast('4.75' || (o_orderkey % 1000) AS DOUBLE)
