@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import decode_entities, strip_ends
-from pagesieve.operators.nodes import attr, classes, has_attr, tokens, with_parent_value
+from pagesieve.operators.nodes import attr, classes, has_attr, tokens
 from pagesieve.operators.select import mark_selected
 
 MIN_CONTENT_CHARS = 200
@@ -47,7 +47,6 @@ def _stream(pages: DataFrame, nodes: DataFrame, selectors: list[str], primary: s
     rank = F.coalesce(*[F.when(F.col(f"__s{i}"), F.lit(i)) for i in range(len(selectors))])
     nodes = nodes.withColumns({"rank": rank, "gone": is_furniture()})
     nodes = mark_selected(nodes, primary, "preferred") if primary else nodes.withColumn("preferred", F.lit(False))
-    nodes = with_parent_value(nodes, F.col("tag"), "parent_tag")
     keep = [F.col(c) for c in ("open_pos", "close_pos", "tag", "token", "rank", "preferred", "gone", "parent_tag", "type_idx")]
     marks = nodes.select(
         "page_id",

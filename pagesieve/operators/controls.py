@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.text import collapse, metadata_key
 from pagesieve.functions.words import SECTION_WORDS, UNSAFE_LABEL
-from pagesieve.operators.nodes import attr, classes, has_attr, with_parent_value, with_texts
+from pagesieve.operators.nodes import attr, classes, has_attr, with_texts
 from pagesieve.operators.select import assign_containers, mark_inside
 
 MAX_GROUPS, MIN_OPTIONS, MAX_OPTIONS, MAX_LABEL, MAX_SEGMENT_LABEL = 4, 2, 6, 40, 24
@@ -76,10 +76,9 @@ def control_groups(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     nodes = nodes.join(forms, ["page_id", "open_pos"], "left")
     nodes = mark_inside(nodes, F.coalesce("__login", F.lit(False)), "__in_login")
     free = nodes.filter(~F.col("__nav") & ~F.col("__in_nav") & ~F.col("__in_login")).drop("__nav", "__in_nav", "__login", "__in_login")
-    free = with_parent_value(free, F.struct("tag", "token", F.col("open_pos").alias("pos")), "parent")
     text = F.coalesce("text", F.lit(""))
 
-    menus = free.filter(F.col("tag").isin("select", "option")).drop("parent")
+    menus = free.filter(F.col("tag").isin("select", "option"))
     named = F.coalesce(attr("name"), attr("id")).isNotNull()
     heads = menus.filter((F.col("tag") == "select") & named).select(
         "page_id", F.col("open_pos").alias("group_pos"), F.coalesce(F.nullif(_control_label(), F.lit("")), F.lit("Option")).alias("head")
@@ -109,18 +108,18 @@ def control_groups(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     groups_of_radios = _grouped(radio_rows, 1, F.initcap(F.replace("name", F.lit("_"), F.lit(" "))))
 
-    parts = with_texts(free.filter(F.col("tag").isin("button", "a") & F.col("parent.tag").isin(*SEGMENT_TAGS)), pages).filter(F.col("text").isNotNull())
+    parts = with_texts(free.filter(F.col("tag").isin("button", "a") & F.col("parent_tag").isin(*SEGMENT_TAGS)), pages).filter(F.col("text").isNotNull())
     active = (
         F.coalesce((attr("aria-pressed") == "true") | (attr("aria-selected") == "true"), F.lit(False))
         | F.rlike(F.lower(F.array_join(classes(), " ")), F.lit("active|selected|current"))
     )
     away = F.coalesce(F.rlike(attr("href"), F.lit("^(http|//)")), F.lit(False))
     parent_label = F.coalesce(
-        F.nullif(collapse(F.coalesce(*[attr(a, F.col("parent.token")) for a in ("aria-label", "data-label", "title")])), F.lit("")), F.lit("Option")
+        F.nullif(collapse(F.coalesce(*[attr(a, F.col("parent_token")) for a in ("aria-label", "data-label", "title")])), F.lit("")), F.lit("Option")
     )
     segment_rows = parts.withColumns(
         {
-            "group_pos": F.col("parent.pos"), "pos": F.col("open_pos"), "default": active, "head": parent_label,
+            "group_pos": F.col("parent_pos"), "pos": F.col("open_pos"), "default": active, "head": parent_label,
             "reject": is_unsafe(F.col("text")) | (F.length("text") > MAX_SEGMENT_LABEL) | away,
         }
     )

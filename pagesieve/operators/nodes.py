@@ -190,9 +190,10 @@ def _ending(rows: DataFrame) -> DataFrame:
 def elements(pages: DataFrame) -> DataFrame:
     """One row per element.
 
-    page_id, open_pos, close_pos, depth, parent_pos, tag, token (the open tag,
-    read with :func:`attr`), text_from/text_to (slice of :func:`page_texts`),
-    sibling_idx and type_idx (1-based).  ``pages`` should come from
+    page_id, open_pos, close_pos, depth, tag, token (the open tag, read with
+    :func:`attr`), class_attr, id_attr, parent_pos, parent_tag, parent_token,
+    text_from/text_to (slice of :func:`page_texts`), sibling_idx and type_idx
+    (1-based).  Columns a query does not use are pruned.  ``pages`` should come from
     :func:`place_pages`.
     """
     spans = _ending(tokens(pages))
@@ -223,9 +224,17 @@ def elements(pages: DataFrame) -> DataFrame:
         .withColumnRenamed("at_pos", "open_pos")
         .drop("step", "sum")
     )
-    nodes = with_parent_value(nodes, F.col("open_pos"), "parent_pos").withColumn(
-        "parent_pos", F.coalesce(F.col("parent_pos"), F.lit(-1))
-    )
+    parent = F.struct(F.col("open_pos").alias("pos"), F.col("tag").alias("tag"), F.col("token").alias("token"))
+    nodes = with_parent_value(nodes, parent, "__up")
+    nodes = nodes.withColumns(
+        {
+            "parent_pos": F.coalesce(F.col("__up.pos"), F.lit(-1)),
+            "parent_tag": F.col("__up.tag"),
+            "parent_token": F.col("__up.token"),
+            "class_attr": attr("class"),
+            "id_attr": attr("id"),
+        }
+    ).drop("__up")
     siblings = Window.partitionBy("page_id", "parent_pos").orderBy("open_pos")
     typed = Window.partitionBy("page_id", "parent_pos", "tag").orderBy("open_pos")
     return nodes.withColumns(
@@ -245,26 +254,36 @@ def with_texts(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.nullif(F.trim(whole), F.lit("")))
 
 
+def _attr_regex(name: str, tail: str) -> str:
+    """Open-tag regex that walks attributes in order up to ``name``."""
+    value = r"(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++))?+"
+    other = r"(?:\s+(?!" + name + r"[\s=/>])[^\s=>\"'/]++" + value + r"|\s*/)*+"
+    return r"(?i)^<[a-z][^\s/>]*+" + other + r"\s+" + name + tail
+
+
 def attr(name: str, token: Column | None = None) -> Column:
     """Value of an attribute of the open tag; NULL when absent or empty.
 
     Attributes are walked in order, so a name inside another value is not seen.
+    Most tags fail the cheap substring test and never reach the regex; entity
+    decoding is planned only for tags that hold an ampersand.
     """
     token = F.col("token") if token is None else token
-    value = r"(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++))?+"
-    other = r"(?:\s+(?!" + name + r"[\s=/>])[^\s=>\"'/]++" + value + r"|\s*/)*+"
-    found = r"(?i)^<[a-z][^\s/>]*+" + other + r"\s+" + name + r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    text = F.concat(*[F.regexp_extract(token, found, g) for g in (1, 2, 3)])
-    return F.nullif(decode_entities(text), F.lit(""))
+    raw = F.regexp_extract(token, _attr_regex(name, r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"), 1)
+    bare = F.regexp_replace(raw, r"^([\"'])([\s\S]*)\1$", "$2")
+    value = F.when(F.contains(token, F.lit("&")), decode_entities(bare)).otherwise(bare)
+    return F.nullif(F.when(F.contains(F.lower(token), F.lit(name)), value), F.lit(""))
 
 
-def has_attr(name: str) -> Column:
+def has_attr(name: str, token: Column | None = None) -> Column:
     """Whether the open tag names an attribute at all."""
-    value = r"(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++))?+"
-    other = r"(?:\s+(?!" + name + r"[\s=/>])[^\s=>\"'/]++" + value + r"|\s*/)*+"
-    return F.rlike(F.col("token"), F.lit(r"(?i)^<[a-z][^\s/>]*+" + other + r"\s+" + name + r"[\s=/>]"))
+    token = F.col("token") if token is None else token
+    named = F.rlike(token, F.lit(_attr_regex(name, r"[\s=/>]")))
+    return F.when(F.contains(F.lower(token), F.lit(name)), named).otherwise(F.lit(False))
 
 
-def classes() -> Column:
+def classes(token: Column | None = None) -> Column:
     """Class names of the element in order; empty array when it has none."""
-    return F.filter(F.split(F.coalesce(attr("class"), F.lit("")), r"\s+"), lambda c: c != "")
+    found = attr("class", token)
+    none = F.array().cast("array<string>")
+    return F.when(found.isNull(), none).otherwise(F.filter(F.split(found, r"\s+"), lambda c: c != ""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import collapse, decode_entities
-from pagesieve.operators.nodes import attr, classes, with_parent_value, with_texts
+from pagesieve.operators.nodes import attr, classes, with_texts
 from pagesieve.operators.select import assign_containers, mark_inside
 
 MAX_HEADINGS, MAX_LINKS, MAX_CLASSES, MAX_TABLES, MAX_DATA_ATTRS, MAX_CANDIDATES = 8, 12, 15, 3, 20, 4
@@ -77,15 +77,11 @@ def class_samples(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     top = repeated_classes(nodes).filter(F.col("rank") <= 5)
     uses = nodes.select("page_id", "open_pos", "tag", "token", F.explode(classes()).alias("class"))
     first = uses.groupBy("page_id", "class").agg(F.min(F.struct("open_pos", "tag", "token")).alias("e"))
-    names = F.slice(classes_of(F.col("e.token")), 1, 2)
+    names = F.slice(classes(F.col("e.token")), 1, 2)
     hint = F.concat(F.col("e.tag"), F.lit("."), F.array_join(names, "."))
     return top.join(first, ["page_id", "class"]).select("page_id", "rank", "class", hint.alias("selector_hint"))
 
 
-def classes_of(token: Column) -> Column:
-    return F.filter(F.split(F.coalesce(attr("class", token), F.lit("")), r"\s+"), lambda c: c != "")
-
-
 def table_samples(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """First rows of the first tables: page_id, table_idx, row_idx, line."""
     parts = nodes.filter(F.col("tag").isin("table", "tr", "td", "th"))

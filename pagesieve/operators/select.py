@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesieve.operators.nodes import attr, classes, has_attr, with_parent_value
+from pagesieve.operators.nodes import attr, has_attr, with_parent_value
 
 # Bare wrappers whose absence leaves the text in the parent.
 RELAXABLE = ("p", "span", "div", "b", "strong", "em", "i", "small", "label", "font", "mark", "u")
@@ -29,34 +29,54 @@ class SelectorError(ValueError):
     """The selector uses something the element table cannot answer."""
 
 
+@dataclass(frozen=True)
+class View:
+    """Where the facts of an element are read from: its own row or its parent's columns."""
+
+    tag: Column
+    token: Column
+    class_attr: Column
+    id_attr: Column
+
+
+def own_view() -> View:
+    return View(F.col("tag"), F.col("token"), F.col("class_attr"), F.col("id_attr"))
+
+
+def parent_view() -> View:
+    token = F.col("parent_token")
+    return View(F.col("parent_tag"), token, attr("class", token), attr("id", token))
+
+
 @dataclass
 class Compound:
     conditions: list = field(default_factory=list)
     child: bool = False  # '>' in front of it
+    positional: bool = False  # reads sibling indexes, which only the own row has
 
-    def matches(self) -> Column:
-        out = F.lit(True)
+    def matches(self, view: View | None = None) -> Column:
+        view, out = view or own_view(), F.lit(True)
         for build in self.conditions:
-            out = out & build()
-        return out
+            out = out & build(view)
+        return F.coalesce(out, F.lit(False))
 
 
 def _condition(m: re.Match):
     if m["tag"]:
         tag = m["tag"].lower()
-        return (lambda: F.lit(True)) if tag == "*" else (lambda: F.col("tag") == tag)
+        return (lambda v: F.lit(True)) if tag == "*" else (lambda v: v.tag == tag)
     if m["cls"]:
-        return lambda: F.array_contains(classes(), m["cls"])
+        return lambda v: F.rlike(v.class_attr, F.lit(r"(^|\s)" + re.escape(m["cls"]) + r"(\s|$)"))
     if m["id"]:
-        return lambda: attr("id") == m["id"]
+        return lambda v: v.id_attr == m["id"]
     if m["nth"]:
         column = "sibling_idx" if m["nth"] == "nth-child" else "type_idx"
-        return lambda: F.col(column) == int(m["n"])
+        return lambda v: F.col(column) == int(m["n"])
     if m["first"]:
-        return lambda: F.col("sibling_idx") == 1
+        return lambda v: F.col("sibling_idx") == 1
     name, op = m["attr"], m["op"]
     if op is None:
-        return lambda: has_attr(name)
+        return lambda v: has_attr(name, v.token)
     wanted = next((m[g] for g in ("dq", "sq", "bare") if m[g] is not None), "")
     value = F.lit(wanted)
     tests = {
@@ -67,7 +87,7 @@ def _condition(m: re.Match):
         "~=": lambda a: F.array_contains(F.split(a, r"\s+"), wanted),
         "|=": lambda a: (a == value) | F.startswith(a, F.lit(wanted + "-")),
     }
-    return lambda: F.coalesce(tests[op](attr(name)), F.lit(False))
+    return lambda v: F.coalesce(tests[op](attr(name, v.token)), F.lit(False))
 
 
 def _split_outside(text: str, separators: str) -> list[str]:
@@ -103,14 +123,15 @@ def compile_selector(selector: str) -> list[list[Compound]]:
                     raise SelectorError(selector)
                 child = True
                 continue
-            conditions, at = [], 0
+            conditions, at, positional = [], 0, False
             while at < len(piece):
                 m = _SIMPLE.match(piece, at) if at else _SIMPLE.match(piece)
                 if m is None or (m["tag"] and at):
                     raise SelectorError(selector)
                 conditions.append(_condition(m))
+                positional = positional or bool(m["nth"] or m["first"])
                 at = m.end()
-            chain.append(Compound(conditions, child))
+            chain.append(Compound(conditions, child, positional))
             child = False
         if not chain or child:
             raise SelectorError(selector)
@@ -133,11 +154,21 @@ def mark_inside(nodes: DataFrame, outer: Column, out: str) -> DataFrame:
 
 
 def mark_selected(nodes: DataFrame, selector: str, out: str) -> DataFrame:
-    """Add boolean ``out``: whether the selector picks the element."""
+    """Add boolean ``out``: whether the selector picks the element.
+
+    ``A > B`` at the head of a chain reads the parent columns of the row; a
+    descendant step is a running maximum in page order, which all steps of all
+    selectors share; only deeper child steps lay the nodes out again.
+    """
     scratch, flags = [], []
     for a, chain in enumerate(compile_selector(selector)):
-        flag = chain[0].matches()
-        for s, compound in enumerate(chain[1:]):
+        rest, flag = chain[1:], None
+        if rest and rest[0].child and not chain[0].positional:
+            flag = rest[0].matches() & chain[0].matches(parent_view())
+            rest = rest[1:]
+        else:
+            flag = chain[0].matches()
+        for s, compound in enumerate(rest):
             held, reach = f"__{out}_{a}_{s}", f"__{out}_{a}_{s}_in"
             nodes = nodes.withColumn(held, flag)
             scratch += [held, reach]
