@@ -25,20 +25,26 @@ def field_rates(cells: DataFrame, keys: list[str]) -> DataFrame:
     return rates.withColumn("missing_rate", 1 - F.col("success_rate"))
 
 
-def field_rates_from_first_seen(cells: DataFrame, keys: list[str]) -> DataFrame:
+def field_rates_from_first_seen(cells: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
     """Rates where a field counts as missing only from the record that first names it.
 
-    ``cells`` holds only named fields, with ``row_idx`` (0-based record order
-    of the group) and ``n_records`` of the group.
+    ``cells`` holds only named fields with ``ordinal`` and ``present``;
+    ``records`` is (keys, ordinal), one row per record.  Record positions are
+    never numbered: the records at or after each field's first one are counted.
     """
-    agg = cells.groupBy(*keys, "field").agg(
-        F.max("n_records").alias("n"), F.count_if(F.col("present")).alias("hits"), F.min("row_idx").alias("first")
+    first = cells.groupBy(*keys, "field").agg(
+        F.count_if(F.col("present")).alias("hits"), F.min("ordinal").alias("first")
     )
-    return agg.select(
+    counted = records.join(first, keys).groupBy(*keys, "field").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("ordinal") >= F.col("first")).alias("since"),
+        F.first("hits").alias("hits"),
+    )
+    return counted.select(
         *keys,
         "field",
         (F.col("hits") / F.col("n")).alias("success_rate"),
-        ((F.col("n") - F.col("first") - F.col("hits")) / F.col("n")).alias("missing_rate"),
+        ((F.col("since") - F.col("hits")) / F.col("n")).alias("missing_rate"),
     )
 
 

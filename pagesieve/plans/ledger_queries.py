@@ -151,17 +151,13 @@ def ledger_product_status(spark, folder):
     )
 
 
-@query("ledger_illegal_transitions", L("""SELECT project_id, a AS old_state, b AS new_state FROM (
-       SELECT project_id, state AS a, lead(state) OVER (PARTITION BY user_id ORDER BY project_id) AS b FROM projects) WHERE b IS NOT NULL AND NOT (
-         """ + " OR ".join(f"(a = '{o}' AND b IN ({', '.join(repr(n) for n in ns)}))" for o, ns in ledger.TRANSITIONS.items() if ns) + ")"))
+@query("ledger_illegal_transitions", """SELECT o_orderkey, a AS old_state, b AS new_state FROM (
+       SELECT o_orderkey, """ + _PS + """[o_custkey % 13 + 1] AS a, """ + _PS + """[o_orderkey % 13 + 1] AS b FROM orders) WHERE NOT (
+         """ + " OR ".join(f"(a = '{o}' AND b IN ({', '.join(repr(n) for n in ns)}))" for o, ns in ledger.TRANSITIONS.items() if ns) + ")")
 def ledger_illegal_transitions(spark, folder):
-    """State changes read as neighbouring projects of one user."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy("project_id")
-    changes = source.projects(spark, folder).select(
-        "project_id", F.col("state").alias("old_state"), F.lead("state").over(order).alias("new_state")
-    ).filter(F.col("new_state").isNotNull())
+    states = F.array(*[F.lit(s) for s in source.PROJECT_STATES])
+    pick = lambda c: F.get(states, (F.col(c) % 13).cast("int"))
+    changes = load(spark, folder, "orders").select("o_orderkey", pick("o_custkey").alias("old_state"), pick("o_orderkey").alias("new_state"))
     return ledger.illegal_transitions(changes)
 
 

@@ -107,14 +107,10 @@ def quality_field_rates(spark, folder):
        SELECT run_id, round(count(*) FILTER (o_orderkey % 4 = 1) / max(n), 6) AS success_rate, round((max(n) - min(i) - count(*) FILTER (o_orderkey % 4 = 1)) / max(n), 6) AS missing_rate FROM r WHERE o_orderkey % 4 <= 1 GROUP BY run_id""")
 def quality_missing_from_first_seen(spark, folder):
     """Field named by two records in four, filled on one; record order per customer."""
-    from pyspark.sql import Window
-
-    per = Window.partitionBy("o_custkey")
-    rows = load(spark, folder, "orders").select(
-        F.col("o_custkey").alias("run_id"), F.lit("f").alias("field"), (F.col("o_orderkey") % 4 == 1).alias("present"), (F.col("o_orderkey") % 4 <= 1).alias("named"),
-        (F.row_number().over(per.orderBy("o_orderkey")) - 1).alias("row_idx"), F.count("*").over(per).alias("n_records"),
-    )
-    out = quality.field_rates_from_first_seen(rows.filter("named"), ["run_id"])
+    key = F.col("o_orderkey")
+    records = load(spark, folder, "orders").select(F.col("o_custkey").alias("run_id"), key.alias("ordinal"))
+    cells = records.filter(F.col("ordinal") % 4 <= 1).select("run_id", "ordinal", F.lit("f").alias("field"), (F.col("ordinal") % 4 == 1).alias("present"))
+    out = quality.field_rates_from_first_seen(cells, records, ["run_id"])
     return out.select("run_id", F.round("success_rate", 6).alias("success_rate"), F.round("missing_rate", 6).alias("missing_rate"))
 
 
@@ -154,27 +150,26 @@ def quality_hit_rate(spark, folder):
 # --- previews -------------------------------------------------------------------------
 
 
-@query("preview_selector_sample", """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
-       SELECT o_custkey AS page_id, least(count(*), 5) AS sample_count, CASE WHEN bool_or(i < 5 AND o_orderkey % 5 = 0) THEN '' ELSE 'rare' END AS missing,
+@query("preview_selector_sample", """WITH r AS (SELECT o_orderkey // 8 AS page_id, o_orderkey, o_orderkey % 8 AS i FROM orders)
+       SELECT page_id, count(*) FILTER (i < 5) AS sample_count, CASE WHEN bool_or(i < 5 AND o_orderkey % 5 = 0) THEN '' ELSE 'rare' END AS missing,
               CASE WHEN bool_or(o_orderkey % 2 = 0) AND bool_or(o_orderkey % 2 = 1) THEN 2 ELSE 1 END AS n_warnings FROM r GROUP BY 1""")
 def preview_selector_sample(spark, folder):
-    from pyspark.sql import Window
-
+    """Eight orders make one page of records."""
     key = F.col("o_orderkey")
     rows = load(spark, folder, "orders").select(
-        F.col("o_custkey").alias("page_id"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("record_ordinal"),
-        F.col("o_orderstatus").alias("status"), F.when(key % 5 == 0, "x").alias("rare"), F.array(F.concat(F.lit("w"), (key % 2).cast("string"))).alias("warnings"),
+        F.floor(key / 8).cast("bigint").alias("page_id"), (key % 8).alias("record_ordinal"), F.col("o_orderstatus").alias("status"),
+        F.when(key % 5 == 0, "x").alias("rare"), F.array(F.concat(F.lit("w"), (key % 2).cast("string"))).alias("warnings"),
     )
     out = preview.selector_preview(rows, ["status", "rare"])
     return out.select("page_id", "sample_count", F.array_join("missing_fields", ",").alias("missing"), F.size("warnings").alias("n_warnings"))
 
 
-@query("preview_analysis_samples", """WITH f AS (SELECT c_nationkey AS spec_id, c_custkey::VARCHAR AS field, c_custkey % 8 AS n FROM customer), m AS (SELECT spec_id, greatest(1, least(5, max(n))) AS rows FROM f GROUP BY 1)
+@query("preview_analysis_samples", """WITH f AS (SELECT c_custkey // 6 AS spec_id, c_custkey::VARCHAR AS field, c_custkey % 8 AS n FROM customer), m AS (SELECT spec_id, greatest(1, least(5, max(n))) AS rows FROM f GROUP BY 1)
        SELECT spec_id, i::INT AS row_idx, field, CASE WHEN i < n THEN field || ':' || i END AS value FROM f JOIN m USING (spec_id), range(5) t(i) WHERE i < rows""")
 def preview_analysis_samples(spark, folder):
     key = F.col("c_custkey")
     values = F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: i < key % 8), lambda i: F.concat(key.cast("string"), F.lit(":"), i.cast("string")))
-    fields = load(spark, folder, "customer").select(F.col("c_nationkey").alias("spec_id"), key.cast("string").alias("field"), values.alias("sample_values"))
+    fields = load(spark, folder, "customer").select(F.floor(key / 6).cast("bigint").alias("spec_id"), key.cast("string").alias("field"), values.alias("sample_values"))
     return preview.analysis_samples(fields)
 
 

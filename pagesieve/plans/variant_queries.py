@@ -90,19 +90,19 @@ def variant_row_tags(spark, folder):
 
 
 def _variant_rows(spark, folder):
-    """Orders of a customer under two variants; some repeat their key, some miss a variant."""
-    key, page = F.col("o_orderkey"), F.col("o_custkey")
+    """Eight orders make a page under two variants; some pages repeat a key, some miss a variant."""
+    key, page = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 8).cast("bigint")
     rows = load(spark, folder, "orders").select(
         page.alias("page_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("combo_idx"), key.alias("row_ord"), (page % 7 != 0).alias("mergeable"),
         F.when(page % 10 == 0, F.lit("same")).otherwise(key.cast("string")).alias("name"), F.col("o_totalprice"), key,
     )
-    rows = rows.filter((F.col("combo_idx") == 0) | (F.col("o_orderkey") % 4 != 0))
+    rows = rows.filter((F.col("combo_idx") == 0) | ((F.col("o_orderkey") % 4 != 0) & (F.col("page_id") % 9 != 0)))
     price = F.when(F.col("combo_idx") == 0, F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
     return rows.withColumns({"label": F.when(F.col("combo_idx") == 0, "A").otherwise("B"), "price": price}).drop("o_totalprice", "o_orderkey")
 
 
-_VROWS = """v AS (SELECT o_custkey AS page_id, c AS combo_idx, o_orderkey AS row_ord, o_custkey % 7 <> 0 AS mergeable, CASE WHEN o_custkey % 10 = 0 THEN 'same' ELSE o_orderkey::VARCHAR END AS name,
-   CASE c WHEN 0 THEN o_totalprice ELSE -o_totalprice END AS price FROM orders, (VALUES (0), (1)) t(c) WHERE c = 0 OR o_orderkey % 4 <> 0),
+_VROWS = """v AS (SELECT o_orderkey // 8 AS page_id, c AS combo_idx, o_orderkey AS row_ord, o_orderkey // 8 % 7 <> 0 AS mergeable, CASE WHEN o_orderkey // 8 % 10 = 0 THEN 'same' ELSE o_orderkey::VARCHAR END AS name,
+   CASE c WHEN 0 THEN o_totalprice ELSE -o_totalprice END AS price FROM orders, (VALUES (0), (1)) t(c) WHERE c = 0 OR (o_orderkey % 4 <> 0 AND o_orderkey // 8 % 9 <> 0)),
  bad AS (SELECT DISTINCT page_id FROM (SELECT page_id, combo_idx, name, count(*) AS n, bool_and(mergeable) AS ok FROM v GROUP BY 1, 2, 3) WHERE n > 1 OR NOT ok)"""
 
 
@@ -120,7 +120,7 @@ def variant_unmerged_pages(spark, folder):
 @query("variant_zero_warnings", f"""WITH {_VROWS} SELECT page_id, 'No records for variant(s): B.' AS warning FROM v GROUP BY page_id HAVING count(*) FILTER (combo_idx = 1) = 0""")
 def variant_zero_warnings(spark, folder):
     rows = _variant_rows(spark, folder)
-    combos = load(spark, folder, "orders").select(F.col("o_custkey").alias("spec_id")).distinct().select(
+    combos = rows.select(F.col("page_id").alias("spec_id")).distinct().select(
         "spec_id", F.inline(F.array(*[F.struct(F.lit(i).alias("combo_idx"), F.lit(l).alias("label")) for i, l in ((0, "A"), (1, "B"))]))
     )
     pages = rows.select("page_id").distinct().withColumn("spec_id", F.col("page_id"))
