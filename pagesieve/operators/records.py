@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.text import coerced, is_present, strip_ends
 from pagesieve.functions.urls import is_navigation, origin_of, with_joined, with_normalized_reference, with_parts
-from pagesieve.operators.nodes import attr, with_texts
+from pagesieve.operators.nodes import attr, elements, place_pages, with_texts
 from pagesieve.operators.select import (
     SelectorError,
     assign_containers,
@@ -25,6 +25,7 @@ from pagesieve.operators.select import (
     relaxed,
     select_many,
 )
+from pagesieve.session import cut_lineage
 
 MAX_RECORDS = 1000
 # Attributes read before text, and image sources, in order.
@@ -370,21 +371,22 @@ def extract_structured(
 ) -> DataFrame:
     """Strategy ladder per page: containers, else aligned fields, else a data table.
 
-    Later strategies see only the pages earlier ones left empty.  ``nodes`` is
-    read once per strategy; keep it as a table partitioned by page for large
-    corpora.
+    Later strategies parse only the pages earlier ones left empty.  The records
+    of a strategy are checkpointed before the next one starts: they are far
+    smaller than the pages, and knowing which pages are done must not parse
+    those pages again.
     """
-    out = None
-    left_pages, left_nodes = pages, nodes
-    steps = [lambda p, n: by_field_index(p, n, fields, max_records), lambda p, n: from_tables(p, n, fields, max_records)]
+    steps = [by_field_index, from_tables]
     if container:
-        steps.insert(0, lambda p, n: from_containers(p, n, fields, container, max_records))
-    for step in steps:
-        found = step(left_pages, left_nodes)
+        steps.insert(0, lambda p, n, f, m: from_containers(p, n, f, container, m))
+    out, left = None, pages
+    for i, step in enumerate(steps):
+        found = step(left, nodes, fields, max_records)
+        if i < len(steps) - 1:
+            found = cut_lineage(found)
+            left = left.join(found.select("page_id").distinct(), "page_id", "left_anti")
+            nodes = elements(place_pages(left))
         out = found if out is None else out.unionByName(found)
-        done = out.select("page_id").distinct()
-        left_pages = pages.join(done, "page_id", "left_anti")
-        left_nodes = nodes.join(done, "page_id", "left_anti")
     return out
 
 
