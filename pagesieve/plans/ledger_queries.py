@@ -274,13 +274,13 @@ def ledger_latest_run(spark, folder):
 
 
 @query("ledger_projects_with_latest", L("""SELECT p.project_id, r.run_id FROM projects p LEFT JOIN (SELECT project_id, max_by(run_id, (created_at, run_id)) AS run_id FROM runs GROUP BY 1) r USING (project_id)
-       WHERE p.user_id = 7 ORDER BY p.project_id DESC LIMIT 20 OFFSET 5"""))
+       WHERE p.user_id = 7 ORDER BY p.project_id DESC LIMIT 20 OFFSET 2"""))
 def ledger_projects_with_latest(spark, folder):
     """One user's newest-first list page, each project with its latest run."""
     rows = source.runs(spark, folder).select("project_id", "run_id", "created_at")
     latest = ranked.latest_per_key(rows, ["project_id"], ["created_at", "run_id"]).select("project_id", "run_id")
     mine = source.projects(spark, folder).filter(F.col("user_id") == 7).select("project_id")
-    page = mine.orderBy(F.desc("project_id")).offset(5).limit(20)
+    page = mine.orderBy(F.desc("project_id")).offset(2).limit(20)
     return page.join(latest, "project_id", "left")
 
 
