@@ -7,28 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import decontaminate, shard
+from pagesieve.llm import chat, decontaminate, hostquality, secrets, shard, urlrules
 from pagesieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
 
+    return keep
 
-@query
+
+@query(chat.ORACLE)
+def op1_snapshot_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
+@query(urlrules.ORACLE)
+def op3_glob_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    judged = urlrules.judge(table(spark, folder, "pages"), urlrules.DOMAIN_RULES + urlrules.HOUSE_RULES)
+    # house rules decide the verdict only; the rule column names domain rules
+    return judged.select("page_id", "host", "path", F.when(F.col("tier") == 1, F.col("rule")).alias("rule"), "verdict")
+
+
+@query(hostquality.ORACLE)
+def op4_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = hostquality.judge(table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query(decontaminate.ORACLE)
 def op5_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return decontaminate.digest(found)
 
 
-@query
+@query()
 def op6_two_pass_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     slim = table(spark, folder, "documents").select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32")
     )
     dealt = shard.shard(slim, 24, text_col="text_crc32")
     return dealt.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op7_confirmed_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))

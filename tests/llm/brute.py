@@ -34,3 +34,53 @@ def contamination(docs, items, span=10):
                     found |= own
         out[doc, text] = (len(w), len(hit), len(found), sha(sorted(map(str, found))), bool(hit))
     return out
+
+
+def quality(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"""
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    places = {}
+    for i in range(len(w) - 2):
+        places.setdefault(tuple(w[i : i + 3]), []).append(i)
+    repeated = {p + j for own in places.values() if len(own) > 1 for p in own for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated), failed)
+
+
+def fits(rule_host, rule_path, host, path):
+    return (host == rule_host or host.endswith("." + rule_host)) and path.startswith(rule_path)
+
+
+def url_parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    return low(host), re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+
+
+def maximal_chats(log):
+    """{conv: [(role, text)]} of conversations that are no prefix of another; log: (conv, turn, role, text)."""
+    convs = {}
+    for conv, turn, role, text in log:
+        convs.setdefault(conv, []).append((turn is not None, turn, role or "", text or ""))
+    lists = {c: [(r, t) for _, _, r, t in sorted(v, key=lambda x: (x[0], x[1] or 0))] for c, v in convs.items()}
+    rank = lambda c: (c is None, c or 0)
+    return {
+        c: own for c, own in lists.items()
+        if not any((len(other) > len(own) and other[: len(own)] == own) or (other == own and rank(d) < rank(c)) for d, other in lists.items())
+    }
+
+
+def base_secrets(text):
+    text, out = text or "", []
+    patterns = (
+        ("assign", r"""(?a:(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)))""", lambda m: len(m[2]) >= 8),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    )
+    for i, (kind, pattern, good) in enumerate(patterns):
+        out += [(m.start(), i, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if good(m)]
+    out.sort()
+    return (*(sum(x[1] == i for x in out) for i in range(3)), sha([x[2] for x in out]))
