@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import chat, decontaminate, hostquality, secrets, shard, urlrules
+from pagesieve.llm import chat, decontaminate, hostquality, secrets, shard, triejoin, urlrules
 from pagesieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op1_snapshot_collapse(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(table(spark, folder, "conversations"))
 
 
+@query()
+def op2_trie_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return triejoin.near_duplicates(table(spark, folder, "documents"))
+
+
 @query(urlrules.ORACLE)
 def op3_glob_automaton(spark: SparkSession, folder: str) -> DataFrame:
     judged = urlrules.judge(table(spark, folder, "pages"), urlrules.DOMAIN_RULES + urlrules.HOUSE_RULES)

@@ -84,3 +84,35 @@ def base_secrets(text):
         out += [(m.start(), i, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if good(m)]
     out.sort()
     return (*(sum(x[1] == i for x in out) for i in range(3)), sha([x[2] for x in out]))
+
+
+def shingles(text, width=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def similar_components(docs, width=4, percent=85):
+    """[(doc_id, n, component)] in the order of ``docs``; all pairs with a shared shingle are tested."""
+    sets = [shingles(t, width) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    by_shingle = {}
+    for i, s in enumerate(sets):
+        partners = {}
+        for g in s:
+            for j in by_shingle.setdefault(g, []):
+                partners[j] = partners.get(j, 0) + 1
+            by_shingle[g].append(i)
+        for j, both in partners.items():
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                root[top(i)] = top(j)
+    smallest = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            smallest[top(i)] = min(d, smallest.get(top(i), d))
+    return [(d, len(sets[i]), smallest.get(top(i)) if sets[i] else d) for i, (d, _) in enumerate(docs)]
