@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import chat, decontaminate, hostquality, secrets, shard, triejoin, urlrules
+from pagesieve.llm import chat, decontaminate, hostquality, langid, secrets, shard, triejoin, urlrules
 from pagesieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,11 @@ def op6_two_pass_shuffle(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_confirmed_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
+
+
+@query()
+def op8_viterbi_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    aside = langid.held_out()
+    model = langid.learn(docs.where(~aside))
+    return langid.predict(docs, model).select("doc_id", aside.alias("held_out"), "lang_pred", "score")
