@@ -54,23 +54,27 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _leveled(tokens: np.ndarray, levels: list[BitSet]) -> np.ndarray:
+    """Keys of tokens; whatever a later bit set marks, an earlier one marks too."""
+    keys, marked = tokens.copy(), np.arange(len(tokens))
+    for level in levels:
+        marked = marked[level.has(tokens[marked])]
+        keys[marked] += np.uint64(1 << TOKEN_BITS)
+    return keys
+
+
 def _sets(column: pa.Array, width: int, levels: list[BitSet]):
     """(row, ordered distinct keys) of every row with words; a key is level and token."""
     for found in words(column, NOT_BLANK):
-        grams, whole = found.grams(width)
-        tokens = grams >> np.uint64(64 - TOKEN_BITS)
-        level = np.zeros(len(tokens), np.uint64)
-        for marked in levels:
-            level += marked.has(tokens)
-        keys = tokens | (level << np.uint64(TOKEN_BITS))
+        grams, _ = found.grams(width)
+        keys = _leveled(grams >> np.uint64(64 - TOKEN_BITS), levels)
         counts = found.counts
         for row in np.flatnonzero(counts):
             start, n = found.offsets[row], counts[row]
             if n >= width:
                 yield found.first + int(row), np.unique(keys[start : start + n - width + 1])
             else:
-                token = np.array([found.whole(int(row))]) >> np.uint64(64 - TOKEN_BITS)
-                yield found.first + int(row), token | (sum((m.has(token).astype(np.uint64) for m in levels), np.zeros(1, np.uint64)) << np.uint64(TOKEN_BITS))
+                yield found.first + int(row), _leveled(np.array([found.whole(int(row))]) >> np.uint64(64 - TOKEN_BITS), levels)
 
 
 def _class_of(keys: np.ndarray) -> bytes:
@@ -84,26 +88,55 @@ def _mark(row_hash: int, cls: bytes) -> np.ndarray:
     return mix(np.array([row_hash], np.int64).view(np.uint64) ^ np.frombuffer(cls[:8], np.uint64))
 
 
-def _prefix_tokens(width: int, percent: int, levels: list[BitSet]):
+def _region(n: int, percent: int) -> int:
+    """How many n-grams, by hash, the first count looks at: half more than a prefix."""
+    return min(n, prefix_size(n, percent) * 3 // 2)
+
+
+def _flat(parts: list[np.ndarray]):
+    return pa.record_batch([pa.array(signed(np.concatenate(parts) if parts else np.zeros(0, np.uint64)))], ["token"])
+
+
+def _region_tokens(width: int, percent: int):
+    def run(batches):
+        for batch in batches:
+            yield _flat([keys[: _region(len(keys), percent)] for _, keys in _sets(batch.column(0), width, [])])
+
+    return run
+
+
+def _late_tokens(width: int, percent: int, levels: list[BitSet]):
+    """N-grams of the prefixes that the first count has not looked at in their document."""
+
     def run(batches):
         for batch in batches:
-            parts = [keys[: prefix_size(len(keys), percent)] for _, keys in _sets(batch.column(0), width, levels)]
-            flat = np.concatenate(parts) & TOKEN_MASK if parts else np.zeros(0, np.uint64)
-            yield pa.record_batch([pa.array(signed(flat))], ["token"])
+            late = []
+            for _, keys in _sets(batch.column(0), width, levels):
+                if keys[-1] >> np.uint64(TOKEN_BITS):  # else the order is the one of the first count
+                    tokens = keys & TOKEN_MASK
+                    prefix = tokens[: prefix_size(len(keys), percent)]
+                    at = _region(len(keys), percent) - 1
+                    late.append(prefix[prefix > np.partition(tokens, at)[at]])
+            yield _flat(late)
 
     return run
 
 
-def _class_rows(width: int, percent: int, levels: list[BitSet]):
+def _class_rows(width: int, percent: int, levels: list[BitSet], shared: list[BitSet]):
+    """One row a document: set size, class, mark, and those n-grams of the prefix that others may share."""
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())]))
+
     def run(batches):
         for batch in batches:
-            n, cls, marks, prefixes = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+            n, cls, marks, prefixes = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
             hashes = batch.column(1).to_pylist()
             for row, keys in _sets(batch.column(2), width, levels):
                 n[row], cls[row] = len(keys), _class_of(keys)
                 marks[row] = int(signed(_mark(hashes[row], cls[row]))[0])
-                prefixes[row] = signed(keys[: prefix_size(len(keys), percent)])
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), pa.array(marks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "cls", "mark", "prefix"])
+                prefix = keys[: prefix_size(len(keys), percent)]
+                at = np.flatnonzero(np.logical_or.reduce([s.has(prefix & TOKEN_MASK) for s in shared]))
+                prefixes[row] = [{"key": k, "pos": p} for k, p in zip(signed(prefix[at]).tolist(), at.tolist(), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), pa.array(marks, pa.int64()), pa.array(prefixes, kind)], ["id", "n", "cls", "mark", "prefix"])
 
     return run
 
@@ -121,7 +154,7 @@ def _full_sets(width: int, levels: list[BitSet], wanted: BitSet, repeated: BitSe
                     counts = np.bincount((keys & TOKEN_MASK) % np.uint64(HISTOGRAM), minlength=HISTOGRAM)
                     out.append((cls, bool(repeated.has(mark)[0]), signed(keys), counts.astype("<i4").tobytes()))
             columns = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["cls", "again", "keys", "histogram"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["digest", "again", "keys", "histogram"])
 
     return run
 
@@ -168,7 +201,7 @@ def _trie_test(percent: int):
         root = probe.index(True)
         members = [i for i, p in enumerate(probe) if not p]
         found = walk(get(root), [get(i) for i in members], percent)
-        return pa.table({"a": pa.array([cls[members[i]] for i in found], pa.binary()), "b": pa.array([cls[root]] * len(found), pa.binary())})
+        return pa.table({"a": pa.array([cls[members[i]] for i in found], pa.int64()), "b": pa.array([cls[root]] * len(found), pa.int64())})
 
     return run
 
@@ -187,28 +220,25 @@ def _possible(percent: int):
     return run
 
 
-def _common(tokens: DataFrame, at_least: int) -> DataFrame:
-    return tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+def _orders(texts: DataFrame, width: int, percent: int, bits: int) -> tuple[list[BitSet], list[BitSet]]:
+    """Bit sets that define the order, and bit sets that mark every n-gram two prefixes share.
 
-
-def _levels(texts: DataFrame, width: int, percent: int, bits: int, rounds: int) -> list[BitSet]:
-    """Bit sets of the n-grams found in more than so many prefixes.
-
-    The order decides which n-grams the prefixes show, so counting is repeated.
-    A threshold is doubled until the n-grams above it fit the bit set (one in
+    All documents are counted, each by a region of its n-grams that is wider
+    than its prefix, so that the prefix stays inside when common n-grams move
+    back; what still enters from outside is marked by one more pass.  A
+    threshold is doubled until the n-grams above it fit the bit set (one in
     sixteen bits): a histogram by powers of two is all the driver sees.
     """
-    levels = [BitSet(bits) for _ in LEVELS]
-    for _ in range(rounds):
-        tokens = texts.select("text").mapInArrow(_prefix_tokens(width, percent, levels), "token long")
-        counted = durable(_common(tokens, LEVELS[0] + 1))
-        sizes = {r[0]: r[1] for r in counted.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*")).collect()}
-        for i, least in enumerate(LEVELS):
-            while sum(v for k, v in sizes.items() if 2**k >= least) > bits // 16:
-                least *= 2
-            found = BitSet.of(counted.where(F.col("n") > least).select("token"), bits)
-            levels[i] = BitSet(bits, levels[i].words | found.words)
-    return levels
+    counted = texts.select("text").mapInArrow(_region_tokens(width, percent), "token long").groupBy("token").agg(F.count("*").alias("n"))
+    counted = durable(counted.where("n > 1"))
+    sizes = {r[0]: r[1] for r in counted.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*")).collect()}  # 64 rows at most
+    levels = []
+    for least in LEVELS:
+        while sum(v for k, v in sizes.items() if 2**k >= least) > bits // 16:
+            least *= 2
+        levels.append(BitSet.of(counted.where(F.col("n") > least).select("token"), bits))
+    late = texts.select("text").mapInArrow(_late_tokens(width, percent, levels), "token long").distinct()
+    return levels, [BitSet.of(counted.select("token"), bits * 2), BitSet.of(late, bits)]
 
 
 def _test(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +249,7 @@ def _test(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.hash("a"), F.col("salts")))
     members = salted.join(sets.select(F.col("cls").alias("a"), "keys"), "a").select("b", "salt", F.col("a").alias("cls"), "keys", F.lit(False).alias("probe"))
     probes = salted.select("b", "salt").distinct().join(sets.select(F.col("cls").alias("b"), "keys"), "b").select("b", "salt", F.col("b").alias("cls"), "keys", F.lit(True).alias("probe"))
-    return members.union(probes).groupBy("b", "salt").applyInArrow(_trie_test(percent), "a binary, b binary")
+    return members.union(probes).groupBy("b", "salt").applyInArrow(_trie_test(percent), "a long, b long")
 
 
 def _fits(n, m, left, percent: int):
@@ -237,13 +267,13 @@ def _pivot_pairs(index: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("cls").alias("a"), F.col("p.pivot").alias("b"))
 
 
-def _open_keys(index: DataFrame, percent: int) -> DataFrame:
+def _open_keys(index: DataFrame, percent: int, passes: int = 1) -> DataFrame:
     """The index without classes that can link with none of their n-gram's, and without n-grams of one component.
 
     What is joined back by a possibly hot key is written first: then both sides
     of the join are shuffled plainly and adaptive execution may split the key.
     """
-    for _ in range(2):
+    for _ in range(passes):
         stats = index.groupBy("key").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("most_left"), F.min("root").alias("r0"), F.max("root").alias("r1"))
         stats = durable(stats.where("r0 <> r1"))
         n, left = F.col("n"), F.col("n") - F.col("pos")
@@ -260,56 +290,45 @@ def _cross_pairs(index: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, bits: int = 1 << 24, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, bits: int = 1 << 24) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` and ``class_size`` (rows with the same set; 1 for empty sets).
 
     ``bits`` sizes each bit set (2 MB by default, whatever the data); a fuller
     one lets more candidates through to the joins, which decide.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("row_hash"), F.col(text_col).cast("string").alias("text"))
-    kind = dict(texts.dtypes)["id"]
-    levels = _levels(texts, width, percent, bits, rounds)
-    rows = durable(texts.mapInArrow(_class_rows(width, percent, levels), f"id {kind}, n long, cls binary, mark long, prefix array<long>"))
-    classes = durable(rows.where("cls IS NOT NULL").groupBy("cls").agg(
+    levels, shared = _orders(texts, width, percent, bits)
+    prefix = "prefix array<struct<key:long,pos:int>>"
+    rows = durable(texts.mapInArrow(_class_rows(width, percent, levels, shared), f"id {dict(texts.dtypes)['id']}, n int, digest binary, mark long, {prefix}"))
+    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("id").alias("id"), F.count("*").alias("class_size"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-    ))
-    keys = _common(classes.select(F.explode("prefix").alias("token")), 2).select("token")
-    repeated = BitSet.of(keys, bits * 2)
-
-    def shared_keys(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            where = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            pos = np.arange(len(flat)) - np.concatenate(([0], np.cumsum(np.bincount(where, minlength=batch.num_rows))))[where]
-            keep = repeated.has(flat.view(np.uint64))
-            where, shared = where[keep], np.bincount(where[keep], minlength=batch.num_rows)
-            yield pa.record_batch([batch.column(0).take(pa.array(where)), batch.column(1).take(pa.array(where)), pa.array(flat[keep]), pa.array(pos[keep]), pa.array(shared[where])], ["cls", "n", "key", "pos", "shared"])
-
-    index = classes.select("cls", "n", "prefix").mapInArrow(shared_keys, "cls binary, n long, key long, pos long, shared long")
-    index = durable(_open_keys(index.withColumn("root", F.col("cls")), percent))
-    involved = index.select("cls").distinct().join(classes.select("cls", "mark"), "cls")
+    )
+    classes = durable(classes.withColumn("cls", F.monotonically_increasing_id()))  # written, so the numbers stay
+    index = classes.select("cls", "n", F.size("prefix").alias("shared"), F.inline("prefix"), F.col("cls").alias("root"))
+    index = durable(_open_keys(index, percent))
+    involved = durable(index.select("cls").distinct().join(classes.select("cls", "mark", "digest"), "cls"))
     wanted = BitSet.of(involved.select("mark"), bits)
     # rows equal in id and text have one mark: those (and a few false hits of the bit set) need a pass to keep one
-    again = BitSet.of(rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1 AND mark IS NOT NULL").select("mark"), bits)
-    sets = durable(texts.select("row_hash", "text").mapInArrow(_full_sets(width, levels, wanted, again), "cls binary, again boolean, keys array<long>, histogram binary"))
+    again = BitSet.of(rows.where("mark IS NOT NULL").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), bits)
+    sets = texts.select("row_hash", "text").mapInArrow(_full_sets(width, levels, wanted, again), "digest binary, again boolean, keys array<long>, histogram binary")
+    sets = durable(sets.join(involved.select("digest", "cls"), "digest").drop("digest"))
     sets = sets.where("NOT again").union(sets.where("again").dropDuplicates(["cls"])).drop("again")
 
     links = durable(_test(durable(_pivot_pairs(index, percent)), sets, percent))
     roots = durable(components(links))
-    left = durable(_open_keys(_rooted(index, roots), percent))
+    left = durable(_open_keys(_rooted(index, roots), percent, 2))
     pairs = _cross_pairs(left, percent)
     shape = lambda side, name: sets.select(F.col("cls").alias(side), F.col("histogram").alias(name))
     pairs = pairs.join(shape("a", "x"), "a").join(shape("b", "y"), "b").select("a", "b", "x", "y")
-    pairs = durable(pairs.mapInArrow(_possible(percent), "a binary, b binary"))
+    pairs = durable(pairs.mapInArrow(_possible(percent), "a long, b long"))
     roots = durable(components(links.union(_test(pairs, sets, percent))))
 
-    rooted = _rooted(classes.select("cls", "id", "class_size"), roots)
+    rooted = _rooted(classes.select("digest", "cls", "id", "class_size"), roots)
     names = durable(rooted.groupBy("root").agg(F.min("id").alias("component")))
-    named = rooted.join(names, "root").select("cls", "class_size", "component")
-    out = rows.select("id", "n", "cls").join(named, "cls", "left")
-    own = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    named = rooted.join(names, "root").select("digest", "class_size", "component")
+    out = rows.select("id", "n", "digest").join(named, "digest", "left")
+    own = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
