@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import chat, decontaminate, hostquality, langid, secrets, shard, triejoin, urlrules
+from pagesieve.llm import chat, decontaminate, hostquality, langid, pii, secrets, shard, triejoin, urlrules
 from pagesieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op8_viterbi_language(spark: SparkSession, folder: str) -> DataFrame:
     aside = langid.held_out()
     model = langid.learn(docs.where(~aside))
     return langid.predict(docs, model).select("doc_id", aside.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op9_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, folder, "documents")))
