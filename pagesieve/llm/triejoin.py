@@ -39,7 +39,10 @@ from pagesieve.llm.tokens import NOT_BLANK, mix, signed, words
 TOKEN_BITS = 60
 TOKEN_MASK = np.uint64((1 << TOKEN_BITS) - 1)
 LEVELS = (4, 64, 1024)
-HISTOGRAM = 128
+HISTOGRAM = 256  # buckets; counts are capped at FULL, which then bounds nothing
+FULL = 65535
+#: An n-gram of so few classes pairs them all at once; others first go through a pivot.
+FEW = 8
 BLOCK_TOKENS = 1 << 20
 BLOCK_MEMBERS = 64
 _WALK = 64
@@ -128,7 +131,8 @@ def _class_rows(width: int, percent: int, levels: list[BitSet], shared: list[Bit
 
     def run(batches):
         for batch in batches:
-            n, cls, marks, prefixes = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+            n = np.zeros(batch.num_rows, np.int32)
+            cls, marks, prefixes, shapes = ([None] * batch.num_rows for _ in range(4))
             hashes = batch.column(1).to_pylist()
             for row, keys in _sets(batch.column(2), width, levels):
                 n[row], cls[row] = len(keys), _class_of(keys)
@@ -136,13 +140,16 @@ def _class_rows(width: int, percent: int, levels: list[BitSet], shared: list[Bit
                 prefix = keys[: prefix_size(len(keys), percent)]
                 at = np.flatnonzero(np.logical_or.reduce([s.has(prefix & TOKEN_MASK) for s in shared]))
                 prefixes[row] = [{"key": k, "pos": p} for k, p in zip(signed(prefix[at]).tolist(), at.tolist(), strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), pa.array(marks, pa.int64()), pa.array(prefixes, kind)], ["id", "n", "cls", "mark", "prefix"])
+                if len(at):
+                    counts = np.bincount((keys & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
+                    shapes[row] = np.minimum(counts, FULL).astype("<u2").tobytes()
+            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), pa.array(marks, pa.int64()), pa.array(prefixes, kind), pa.array(shapes, pa.binary())], ["id", "n", "digest", "mark", "prefix", "shape"])
 
     return run
 
 
 def _full_sets(width: int, levels: list[BitSet], wanted: BitSet, repeated: BitSet):
-    """Sets and histograms of the rows whose mark is wanted, and whether other rows may have the mark."""
+    """Sets of the rows whose mark is wanted, and whether other rows may have the mark."""
 
     def run(batches):
         for batch in batches:
@@ -151,10 +158,9 @@ def _full_sets(width: int, levels: list[BitSet], wanted: BitSet, repeated: BitSe
             for row, keys in _sets(batch.column(1), width, levels):
                 cls = _class_of(keys)
                 if wanted.has(mark := _mark(hashes[row], cls))[0]:
-                    counts = np.bincount((keys & TOKEN_MASK) % np.uint64(HISTOGRAM), minlength=HISTOGRAM)
-                    out.append((cls, bool(repeated.has(mark)[0]), signed(keys), counts.astype("<i4").tobytes()))
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["digest", "again", "keys", "histogram"])
+                    out.append((cls, bool(repeated.has(mark)[0]), signed(keys)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.bool_(), pa.list_(pa.int64())), strict=True)], ["digest", "again", "keys"])
 
     return run
 
@@ -211,11 +217,11 @@ def _possible(percent: int):
 
     def run(batches):
         for batch in batches:
-            of = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), "<i4").reshape(-1, HISTOGRAM)
-            x, y = of("x"), of("y")
-            need = needed(x.sum(1), y.sum(1), percent)
-            keep = pa.array(np.minimum(x, y).sum(1) >= need)
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
+            of = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), "<u2").reshape(-1, HISTOGRAM).astype(np.int64)
+            least = np.minimum(of("x"), of("y"))
+            bound = np.where((least == FULL).any(1), np.iinfo(np.int64).max, least.sum(1))
+            sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("an", "bn")]
+            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(bound >= needed(*sizes, percent)))
 
     return run
 
@@ -274,11 +280,11 @@ def _open_keys(index: DataFrame, percent: int, passes: int = 1) -> DataFrame:
     of the join are shuffled plainly and adaptive execution may split the key.
     """
     for _ in range(passes):
-        stats = index.groupBy("key").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("most_left"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        stats = index.groupBy("key").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("most_left"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("among"))
         stats = durable(stats.where("r0 <> r1"))
         n, left = F.col("n"), F.col("n") - F.col("pos")
         m = F.greatest(F.col("least"), F.ceil(n * percent / 100))
-        index = index.join(stats, "key").where(_fits(n, m, F.least(left, F.col("most_left")), percent)).drop("least", "most_left", "r0", "r1")
+        index = index.drop("among").join(stats, "key").where(_fits(n, m, F.least(left, F.col("most_left")), percent)).drop("least", "most_left", "r0", "r1")
     return index
 
 
@@ -299,29 +305,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("row_hash"), F.col(text_col).cast("string").alias("text"))
     levels, shared = _orders(texts, width, percent, bits)
     prefix = "prefix array<struct<key:long,pos:int>>"
-    rows = durable(texts.mapInArrow(_class_rows(width, percent, levels, shared), f"id {dict(texts.dtypes)['id']}, n int, digest binary, mark long, {prefix}"))
+    schema = f"id {dict(texts.dtypes)['id']}, n int, digest binary, mark long, prefix array<struct<key:long,pos:int>>, shape binary"
+    rows = durable(texts.mapInArrow(_class_rows(width, percent, levels, shared), schema))
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("id").alias("id"), F.count("*").alias("class_size"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min("id").alias("id"), F.count("*").alias("class_size"), F.min("mark").alias("mark"),
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shape").alias("shape"),
     )
     classes = durable(classes.withColumn("cls", F.monotonically_increasing_id()))  # written, so the numbers stay
-    index = classes.select("cls", "n", F.size("prefix").alias("shared"), F.inline("prefix"), F.col("cls").alias("root"))
-    index = durable(_open_keys(index, percent))
-    involved = durable(index.select("cls").distinct().join(classes.select("cls", "mark", "digest"), "cls"))
-    wanted = BitSet.of(involved.select("mark"), bits)
     # rows equal in id and text have one mark: those (and a few false hits of the bit set) need a pass to keep one
     again = BitSet.of(rows.where("mark IS NOT NULL").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), bits)
-    sets = texts.select("row_hash", "text").mapInArrow(_full_sets(width, levels, wanted, again), "digest binary, again boolean, keys array<long>, histogram binary")
-    sets = durable(sets.join(involved.select("digest", "cls"), "digest").drop("digest"))
-    sets = sets.where("NOT again").union(sets.where("again").dropDuplicates(["cls"])).drop("again")
 
-    links = durable(_test(durable(_pivot_pairs(index, percent)), sets, percent))
+    def tested(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar; full sets are read again for those alone that histograms leave over."""
+        shape = lambda side: classes.select(F.col("cls").alias(side), F.col("n").alias(f"{side}n"), F.col("shape").alias({"a": "x", "b": "y"}[side]))
+        pairs = durable(pairs.join(shape("a"), "a").join(shape("b"), "b").mapInArrow(_possible(percent), "a long, b long"))
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        involved = durable(involved.join(classes.select("cls", "mark", "digest"), "cls"))
+        wanted = BitSet.of(involved.select("mark"), bits)
+        if not wanted.words.any():
+            return pairs
+        sets = texts.select("row_hash", "text").mapInArrow(_full_sets(width, levels, wanted, again), "digest binary, again boolean, keys array<long>")
+        sets = durable(sets.join(involved.select("digest", "cls"), "digest").drop("digest"))
+        sets = sets.where("NOT again").union(sets.where("again").dropDuplicates(["cls"])).drop("again")
+        return durable(_test(pairs, sets, percent))
+
+    index = classes.select("cls", "n", F.size("prefix").alias("shared"), F.inline("prefix"), F.col("cls").alias("root"))
+    index = durable(_open_keys(index, percent))
+    few, many = index.where(F.col("among") <= FEW), index.where(F.col("among") > FEW)
+    links = tested(_cross_pairs(few, percent).union(_pivot_pairs(many, percent)).distinct())
+    roots = durable(components(links))
+    left = durable(_open_keys(_rooted(many, roots), percent, 2))
+    links = links.union(tested(_cross_pairs(left, percent)))
     roots = durable(components(links))
-    left = durable(_open_keys(_rooted(index, roots), percent, 2))
-    pairs = _cross_pairs(left, percent)
-    shape = lambda side, name: sets.select(F.col("cls").alias(side), F.col("histogram").alias(name))
-    pairs = pairs.join(shape("a", "x"), "a").join(shape("b", "y"), "b").select("a", "b", "x", "y")
-    pairs = durable(pairs.mapInArrow(_possible(percent), "a long, b long"))
-    roots = durable(components(links.union(_test(pairs, sets, percent))))
 
     rooted = _rooted(classes.select("digest", "cls", "id", "class_size"), roots)
     names = durable(rooted.groupBy("root").agg(F.min("id").alias("component")))
