@@ -1,8 +1,86 @@
-"""From raw documents to shuffled training shards: stages over the operators of ``pagesieve.llm``."""
+"""From raw documents to shuffled training shards: stages over the operators of ``pagesieve.llm``.
 
-STAGES = []
+Each stage reads what its predecessor wrote and returns all its columns.  Rows
+leave by one decision a stage: no language, a near copy that is not its group's
+first, benchmark passages, not drawn for the mix.  Null or empty texts have no
+language and leave first.  Repeated rows (equal in all but extra columns) are
+near copies of one another: one stays.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagesieve.llm import decontaminate, langid, mixing, shard, triejoin
+from pagesieve.llm.common import durable, shared_folder, table, without
+
+MIN_LANGUAGE_SCORE = 0.3
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+SHARDS = 24
+
+
+def _row_hash():
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with some certainty."""
+    model = langid.learn(docs)
+    found = langid.predict(docs, model, passed=tuple(c for c in docs.columns if c != "doc_id"))
+    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*(F.col("id")[c].alias(c) for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every group of similar ones."""
+    found = durable(triejoin.near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT))
+    first = without(docs, found.where("NOT keeper").select("doc_id", "row_hash"), "doc_id", _row_hash())
+    repeated = found.where("keeper").groupBy("doc_id", "row_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "row_hash")
+    if repeated.isEmpty():
+        return first
+    others = without(first, repeated, "doc_id", _row_hash())
+    again = first.withColumn("row_hash", _row_hash())
+    again = again.join(repeated.select(F.col("doc_id").alias("r_id"), F.col("row_hash").alias("r_hash")), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("row_hash") == F.col("r_hash")), "left_semi")
+    return others.union(again.dropDuplicates(["doc_id", "row_hash"]).select(*docs.columns))
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of the benchmark."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where(F.size("runs") > 0).select("doc_id", "row_hash"), "doc_id", _row_hash())
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens meet the targets by source, language and topic."""
+    measured = mixing.measured(docs, mixing.PRODUCTION)
+    mixed = mixing.mix(measured, mixing.calibrate(measured, mixing.PRODUCTION, mixing.BUDGET))
+    return mixed.where("sampled").select("row.*")
+
+
+def write_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their shard and slot."""
+    dealt = shard.shard(docs, SHARDS)
+    return dealt.select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("shard").alias("shard_no"), "slot")
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_passages),
+    ("mixing", mix_sources),
+    ("sharding", write_order),
+]
+#: The model, the n-gram groups and the seeded draws are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise ImportError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

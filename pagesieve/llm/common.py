@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +83,21 @@ class BitSet:
         rows = marked.toArrow()
         out.words[rows["at"].to_numpy()] = rows["word"].to_numpy().view(np.uint64)
         return out
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, row_hash, bits: int = 1 << 24) -> DataFrame:
+    """``docs`` without the rows whose id and hash are in ``dropped`` (id, row_hash), all columns as they were.
+
+    A fixed-size bit set of the dropped hashes lets the other rows pass unshuffled;
+    the rest is decided by an exact anti-join.
+    """
+    dropped = durable(dropped.select(F.col(dropped.columns[0]).alias("gone_id"), F.col(dropped.columns[1]).alias("gone_hash")).distinct())
+    marked = BitSet.of(dropped.select("gone_hash"), bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(marked.has(keys.to_numpy().view(np.uint64)))
+
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), row_hash.alias("own_hash")).withColumn("maybe", maybe("own_hash"))
+    rest = rows.where("maybe").join(dropped, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti")
+    return rows.where("NOT maybe").select("row").union(rest.select("row")).select("row.*")

@@ -119,7 +119,9 @@ def _document_rows(k: int, span: int, short: tuple[int, ...], seen: BitSet):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, bits: int = 1 << 23) -> DataFrame:
-    """Per document row: id, n_words, hit word runs (``runs``: start, size) and the ``items`` found.
+    """Per document row: id, n_words, hit word runs (``runs``: start, size), the ``items`` found and ``row_hash``.
+
+    ``row_hash`` is ``xxhash64(id, text)``, to find the row again.
 
     ``bits`` sizes the bit set that thins out fingerprints in the scan: 1 MB by
     default, whatever the sizes of the tables; raise it with the test table.
@@ -130,7 +132,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     tests = durable(tests.mapInArrow(_item_rows(k, span), f"item {dict(tests.dtypes)['item']}, {_HIT}").distinct())
     short = tuple(sorted(r[0] for r in tests.where("size > 0").select("size").distinct().collect()))  # below span
     seen = BitSet.of(tests.select("fp"), bits)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("mark"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {dict(texts.dtypes)['id']}, mark long, n_words long, hits array<struct<fp:long,size:int,ctx:array<long>,at:array<int>>>"
     scanned = durable(texts.mapInArrow(_document_rows(k, span, short, seen), schema))
     # equal texts under one id have equal hits: work on them once
@@ -149,7 +151,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     per_doc = found.groupBy("id", "mark").agg(F.sort_array(F.collect_set("run")).alias("runs"), F.collect_set("item").alias("items"))
     here = per_doc.withColumnsRenamed({"id": "their_id", "mark": "their_mark"})
     both = scanned.select("id", "mark", "n_words").join(here, F.col("id").eqNullSafe(F.col("their_id")) & (F.col("mark") == F.col("their_mark")), "left")
-    return both.select(F.col("id").alias(id_col), "n_words", F.coalesce("runs", F.array().cast("array<struct<start:int,size:int>>")).alias("runs"), F.coalesce("items", F.array().cast(f"array<{dict(tests.dtypes)['item']}>")).alias("items"))
+    return both.select(F.col("id").alias(id_col), "n_words", F.coalesce("runs", F.array().cast("array<struct<start:int,size:int>>")).alias("runs"), F.coalesce("items", F.array().cast(f"array<{dict(tests.dtypes)['item']}>")).alias("items"), F.col("mark").alias("row_hash"))
 
 
 def covered(runs):

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import chat, decontaminate, hostquality, langid, pii, secrets, shard, triejoin, urlrules
-from pagesieve.llm.common import table
+from pagesieve.llm import chat, decontaminate, hostquality, langid, mixing, pii, secrets, shard, triejoin, urlrules
+from pagesieve.llm.common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +31,7 @@ def op1_snapshot_collapse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op2_trie_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return triejoin.near_duplicates(table(spark, folder, "documents"))
+    return triejoin.near_duplicates(table(spark, folder, "documents")).drop("row_hash")
 
 
 @query(urlrules.ORACLE)
@@ -78,3 +78,10 @@ def op8_viterbi_language(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, folder, "documents")))
+
+
+@query()
+def op10_raked_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = durable(mixing.measured(table(spark, folder, "documents"), mixing.PRODUCTION, keep=["doc_id"]))
+    mixed = mixing.mix(docs, mixing.calibrate(docs, mixing.PRODUCTION, mixing.BUDGET))
+    return mixed.select("row.doc_id", F.col("tokens").alias("n_tokens"), "source", "lang", "topic", "weight", "probability", "sampled")

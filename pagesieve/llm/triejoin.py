@@ -143,7 +143,7 @@ def _class_rows(width: int, percent: int, levels: list[BitSet], shared: list[Bit
                 if len(at):
                     counts = np.bincount((keys & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
                     shapes[row] = np.minimum(counts, FULL).astype("<u2").tobytes()
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), pa.array(marks, pa.int64()), pa.array(prefixes, kind), pa.array(shapes, pa.binary())], ["id", "n", "digest", "mark", "prefix", "shape"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), pa.array(cls, pa.binary()), pa.array(marks, pa.int64()), pa.array(prefixes, kind), pa.array(shapes, pa.binary())], ["id", "row_hash", "n", "digest", "mark", "prefix", "shape"])
 
     return run
 
@@ -297,15 +297,18 @@ def _cross_pairs(index: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, bits: int = 1 << 24) -> DataFrame:
-    """Per row: id, ``n_shingles``, ``component_id`` and ``class_size`` (rows with the same set; 1 for empty sets).
+    """Per row: id, ``n_shingles``, ``component_id``, ``class_size`` (rows with the same set; 1 for empty sets).
+
+    ``keeper`` marks the document a component is named after (all its copies, if
+    the row is repeated); ``row_hash`` is ``xxhash64(id, text)``, to find the row again.
 
     ``bits`` sizes each bit set (2 MB by default, whatever the data); a fuller
     one lets more candidates through to the joins, which decide.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("row_hash"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("row_hash"), F.col(text_col).cast("string").alias("text"))
     levels, shared = _orders(texts, width, percent, bits)
     prefix = "prefix array<struct<key:long,pos:int>>"
-    schema = f"id {dict(texts.dtypes)['id']}, n int, digest binary, mark long, prefix array<struct<key:long,pos:int>>, shape binary"
+    schema = f"id {dict(texts.dtypes)['id']}, row_hash long, n int, digest binary, mark long, prefix array<struct<key:long,pos:int>>, shape binary"
     rows = durable(texts.mapInArrow(_class_rows(width, percent, levels, shared), schema))
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("id").alias("id"), F.count("*").alias("class_size"), F.min("mark").alias("mark"),
@@ -339,11 +342,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = durable(components(links))
 
     rooted = _rooted(classes.select("digest", "cls", "id", "class_size"), roots)
-    names = durable(rooted.groupBy("root").agg(F.min("id").alias("component")))
-    named = rooted.join(names, "root").select("digest", "class_size", "component")
-    out = rows.select("id", "n", "digest").join(named, "digest", "left")
-    own = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("first")
+    names = durable(rooted.groupBy("root").agg(first).select("root", F.col("first.id").alias("component"), F.col("first.digest").alias("first_digest")))
+    named = rooted.join(names, "root").select("digest", "class_size", "component", "first_digest")
+    out = rows.select("id", "row_hash", "n", "digest").join(named, "digest", "left")
+    alone = F.col("digest").isNull()
+    keeper = alone | (F.col("id").eqNullSafe(F.col("component")) & (F.col("digest") == F.col("first_digest")))
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"),
+        F.coalesce("class_size", F.lit(1)).alias("class_size"), keeper.alias("keeper"), "row_hash",
+    )
 
 
 def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
