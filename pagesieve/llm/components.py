@@ -1,35 +1,29 @@
-"""Connected components of an undirected edge table, by alternating star contraction."""
+"""Connected components of an undirected edge table, by smallest labels and pointer jumping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import durable, sums
+from pagesieve.llm.common import durable
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); the root is the smallest node of the component.
 
-    Every round hangs all neighbours of a node under the smallest one, first the
-    larger ones, then the smaller ones; the edges become stars in a number of
-    rounds that grows with the logarithm of the component sizes.  Neighbourhoods
-    are never gathered: a round is a minimum per node, joined back.
+    Every round a node takes the smallest label among its own, its neighbours'
+    and that of the node its label names, so labels travel in doubling steps.
+    Neighbourhoods are never gathered: a round is a minimum per node, joined
+    back to one row a node.
     """
-    down = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(down)
+    both = durable(edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct())
+    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
     while True:
-        both = down.union(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = durable(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        small = durable(large.groupBy("a").agg(F.min("b").alias("m")))
-        moved = large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        down = durable(moved.where("a <> b").distinct())
-        before, state = state, _state(down)
-        if state == before:
-            roots = down.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return roots.union(down.select("b", "b").distinct())
-
-
-def _state(down: DataFrame) -> tuple:
-    return sums(down, F.count("*"), F.bit_xor(F.xxhash64("a", "b")))
+        theirs = labels.select(F.col("node").alias("b"), F.col("root").alias("their_root"))
+        least = both.join(theirs, "b").groupBy(F.col("a").alias("node")).agg(F.min("their_root").alias("least"))
+        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("jump"))
+        after = labels.join(least, "node").join(jump, "root").select("node", F.least("root", "least", "jump").alias("root"), (F.least("least", "jump") < F.col("root")).alias("moved"))
+        after = durable(after)
+        labels = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return labels

@@ -27,6 +27,9 @@ whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,44 +69,85 @@ def _leveled(tokens: np.ndarray, levels: list[BitSet]) -> np.ndarray:
     return keys
 
 
-def _sets(column: pa.Array, width: int, levels: list[BitSet]):
-    """(row, ordered distinct keys) of every row with words; a key is level and token."""
-    for found in words(column, NOT_BLANK):
-        grams, _ = found.grams(width)
-        keys = _leveled(grams >> np.uint64(64 - TOKEN_BITS), levels)
-        counts = found.counts
-        for row in np.flatnonzero(counts):
-            start, n = found.offsets[row], counts[row]
-            if n >= width:
-                yield found.first + int(row), np.unique(keys[start : start + n - width + 1])
-            else:
-                yield found.first + int(row), _leveled(np.array([found.whole(int(row))]) >> np.uint64(64 - TOKEN_BITS), levels)
+@dataclass
+class Sets:
+    """Ordered distinct keys of some rows that have words; those of ``rows[i]`` are ``keys[offsets[i]:offsets[i + 1]]``."""
 
+    rows: np.ndarray
+    keys: np.ndarray
+    offsets: np.ndarray
 
-def _class_of(keys: np.ndarray) -> bytes:
-    """128-bit digest of a set, whatever the levels of its n-grams."""
-    tokens = keys & TOKEN_MASK
-    with np.errstate(over="ignore"):
-        return (mix(tokens + np.uint64(1)).sum(dtype=np.uint64)).tobytes() + (np.bitwise_xor.reduce(mix(~tokens)) + np.uint64(len(tokens))).tobytes()
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.offsets)
 
+    @property
+    def tokens(self) -> np.ndarray:
+        return self.keys & TOKEN_MASK
 
-def _mark(row_hash: int, cls: bytes) -> np.ndarray:
-    return mix(np.array([row_hash], np.int64).view(np.uint64) ^ np.frombuffer(cls[:8], np.uint64))
+    def places(self) -> np.ndarray:
+        return np.arange(len(self.keys)) - np.repeat(self.offsets[:-1], self.sizes)
 
+    def heads(self, sizes: np.ndarray) -> np.ndarray:
+        """Mask of the first so many keys of each row."""
+        return self.places() < np.repeat(sizes, self.sizes)
 
-def _region(n: int, percent: int) -> int:
-    """How many n-grams, by hash, the first count looks at: half more than a prefix."""
-    return min(n, prefix_size(n, percent) * 3 // 2)
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each set, whatever the levels of its n-grams."""
+        with np.errstate(over="ignore"):
+            total = np.add.reduceat(mix(self.tokens + np.uint64(1)), self.offsets[:-1])
+            return total, np.bitwise_xor.reduceat(mix(~self.tokens), self.offsets[:-1]) + self.sizes.astype(np.uint64)
+
+
+def _sets(column: pa.Array, width: int, levels: list[BitSet]) -> Iterator[Sets]:
+    """The sets of all rows with words, some rows at a time; a key is level and token."""
+    for found in words(column, NOT_BLANK):
+        counts = found.counts
+        rows = np.flatnonzero(counts)
+        if not len(rows):
+            continue
+        grams, whole = found.grams(width)
+        sizes = np.maximum(counts[rows] - width + 1, 1)
+        short = np.flatnonzero(counts[rows] < width)
+        firsts = found.offsets[rows]
+        whole[firsts[short]] = True  # a short row is one n-gram
+        grams[firsts[short]] = [found.whole(int(r)) for r in rows[short]]
+        keys = _leveled(grams[whole] >> np.uint64(64 - TOKEN_BITS), levels)
+        ends = np.cumsum(sizes)
+        for start, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            keys[start:end].sort()
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        fresh[ends - sizes] = True
+        offsets = np.concatenate(([0], np.cumsum(fresh)))[np.concatenate(([0], ends))]
+        yield Sets(rows + found.first, keys[fresh], offsets)
+
+
+def _marks(row_hash: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    return mix(row_hash.view(np.uint64) ^ digest)
+
+
+def _binary(values: list[np.ndarray]) -> pa.Array:
+    """Rows of equal-size little-endian values as binary."""
+    flat = np.ascontiguousarray(np.stack(values, 1) if isinstance(values, list) else values)
+    size = flat.itemsize * (flat.shape[1] if flat.ndim > 1 else 1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(flat), [None, pa.py_buffer(flat)]).cast(pa.binary())
 
 
 def _flat(parts: list[np.ndarray]):
     return pa.record_batch([pa.array(signed(np.concatenate(parts) if parts else np.zeros(0, np.uint64)))], ["token"])
 
 
+def _region(n, percent: int):
+    """How many n-grams, by hash, the first count looks at: half more than a prefix."""
+    return np.minimum(n, prefix_size(n, percent) * 3 // 2)
+
+
 def _region_tokens(width: int, percent: int):
     def run(batches):
         for batch in batches:
-            yield _flat([keys[: _region(len(keys), percent)] for _, keys in _sets(batch.column(0), width, [])])
+            for sets in _sets(batch.column(0), width, []):
+                yield _flat([sets.keys[sets.heads(_region(sets.sizes, percent))]])
 
     return run
 
@@ -114,11 +158,11 @@ def _late_tokens(width: int, percent: int, levels: list[BitSet]):
     def run(batches):
         for batch in batches:
             late = []
-            for _, keys in _sets(batch.column(0), width, levels):
-                if keys[-1] >> np.uint64(TOKEN_BITS):  # else the order is the one of the first count
-                    tokens = keys & TOKEN_MASK
-                    prefix = tokens[: prefix_size(len(keys), percent)]
-                    at = _region(len(keys), percent) - 1
+            for sets in _sets(batch.column(0), width, levels):
+                # without common n-grams the order is the one of the first count
+                for i in np.flatnonzero(sets.keys[sets.offsets[1:] - 1] >> np.uint64(TOKEN_BITS)):
+                    tokens = sets.keys[sets.offsets[i] : sets.offsets[i + 1]] & TOKEN_MASK
+                    prefix, at = tokens[: prefix_size(len(tokens), percent)], _region(len(tokens), percent) - 1
                     late.append(prefix[prefix > np.partition(tokens, at)[at]])
             yield _flat(late)
 
@@ -126,24 +170,41 @@ def _late_tokens(width: int, percent: int, levels: list[BitSet]):
 
 
 def _class_rows(width: int, percent: int, levels: list[BitSet], shared: list[BitSet]):
-    """One row a document: set size, class, mark, and those n-grams of the prefix that others may share."""
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())]))
+    """One row a document: set size, digest, mark, and of the n-grams of the prefix those that others may share."""
+    kind = [pa.field("key", pa.int64()), pa.field("pos", pa.int32())]
 
     def run(batches):
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int32)
-            cls, marks, prefixes, shapes = ([None] * batch.num_rows for _ in range(4))
-            hashes = batch.column(1).to_pylist()
-            for row, keys in _sets(batch.column(2), width, levels):
-                n[row], cls[row] = len(keys), _class_of(keys)
-                marks[row] = int(signed(_mark(hashes[row], cls[row]))[0])
-                prefix = keys[: prefix_size(len(keys), percent)]
-                at = np.flatnonzero(np.logical_or.reduce([s.has(prefix & TOKEN_MASK) for s in shared]))
-                prefixes[row] = [{"key": k, "pos": p} for k, p in zip(signed(prefix[at]).tolist(), at.tolist(), strict=True)]
-                if len(at):
-                    counts = np.bincount((keys & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
-                    shapes[row] = np.minimum(counts, FULL).astype("<u2").tobytes()
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), pa.array(cls, pa.binary()), pa.array(marks, pa.int64()), pa.array(prefixes, kind), pa.array(shapes, pa.binary())], ["id", "row_hash", "n", "digest", "mark", "prefix", "shape"])
+            hashes = batch.column(1).to_numpy(zero_copy_only=False)
+            rows, digests, marks, keys, places, of, shapes = ([] for _ in range(7))
+            for sets in _sets(batch.column(2), width, levels):
+                n[sets.rows] = sets.sizes
+                rows.append(sets.rows)
+                digests.append(np.stack(sets.digests(), 1))
+                marks.append(_marks(hashes[sets.rows], digests[-1][:, 0]))
+                at = np.flatnonzero(sets.heads(prefix_size(sets.sizes, percent)))
+                tokens = sets.keys[at] & TOKEN_MASK
+                at = at[np.logical_or.reduce([s.has(tokens) for s in shared])]
+                row = np.searchsorted(sets.offsets, at, "right") - 1
+                keys.append(sets.keys[at])
+                places.append(at - sets.offsets[row])
+                of.append(sets.rows[row])
+                shape = np.bincount(np.repeat(np.arange(len(sets.rows)), sets.sizes) * HISTOGRAM + (sets.keys & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=len(sets.rows) * HISTOGRAM)
+                shapes.append(np.minimum(shape, FULL).astype("<u2").reshape(-1, HISTOGRAM))
+            join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+            place = np.full(batch.num_rows, -1)
+            place[join(rows, np.int64)] = np.arange(len(join(rows, np.int64)))
+            index = pa.array(np.maximum(place, 0), mask=place < 0)
+            of = join(of, np.int64)
+            alone = np.bincount(of, minlength=batch.num_rows) == 0
+            shape_index = pa.array(np.maximum(place, 0), mask=(place < 0) | alone)
+            prefix = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(signed(join(keys, np.uint64))), pa.array(join(places, np.int64).astype(np.int32))], fields=kind))
+            if not rows:
+                digests, shapes = [np.zeros((0, 2), np.uint64)], [np.zeros((0, HISTOGRAM), "<u2")]
+            yield pa.record_batch([
+                batch.column(0), batch.column(1), pa.array(n), _binary(np.concatenate(digests)).take(index), pa.array(signed(join(marks, np.uint64))).take(index), prefix, _binary(np.concatenate(shapes)).take(shape_index),
+            ], ["id", "row_hash", "n", "digest", "mark", "prefix", "shape"])
 
     return run
 
@@ -153,14 +214,13 @@ def _full_sets(width: int, levels: list[BitSet], wanted: BitSet, repeated: BitSe
 
     def run(batches):
         for batch in batches:
-            out = []
-            hashes = batch.column(0).to_pylist()
-            for row, keys in _sets(batch.column(1), width, levels):
-                cls = _class_of(keys)
-                if wanted.has(mark := _mark(hashes[row], cls))[0]:
-                    out.append((cls, bool(repeated.has(mark)[0]), signed(keys)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.bool_(), pa.list_(pa.int64())), strict=True)], ["digest", "again", "keys"])
+            hashes = batch.column(0).to_numpy(zero_copy_only=False)
+            for sets in _sets(batch.column(1), width, levels):
+                digests = np.stack(sets.digests(), 1)
+                marks = _marks(hashes[sets.rows], digests[:, 0])
+                at = np.flatnonzero(wanted.has(marks))
+                lists = pa.LargeListArray.from_arrays(pa.array(sets.offsets.astype(np.int64)), pa.array(signed(sets.keys))).take(pa.array(at)).cast(pa.list_(pa.int64()))
+                yield pa.record_batch([_binary(digests[at]), pa.array(repeated.has(marks[at])), lists], ["digest", "again", "keys"])
 
     return run
 
@@ -296,13 +356,13 @@ def _cross_pairs(index: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, bits: int = 1 << 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, bits: int = 1 << 23) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id``, ``class_size`` (rows with the same set; 1 for empty sets).
 
     ``keeper`` marks the document a component is named after (all its copies, if
     the row is repeated); ``row_hash`` is ``xxhash64(id, text)``, to find the row again.
 
-    ``bits`` sizes each bit set (2 MB by default, whatever the data); a fuller
+    ``bits`` sizes each bit set (1 MB by default, the largest twice that, whatever the data); a fuller
     one lets more candidates through to the joins, which decide.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("row_hash"), F.col(text_col).cast("string").alias("text"))
