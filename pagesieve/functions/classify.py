@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from pagesieve.functions.text import visible_text
 from pagesieve.functions.urls import any_of
 
-QUALITY_SAMPLE_CHARS = 20_000
 BINARY_RATIO = 0.05
-CHALLENGE_SAMPLE_CHARS = 100_000
 SPARSE_CHARS = 500
 
 # Statuses that mean the site refused the request.
@@ -36,10 +34,9 @@ def _has(text: Column, *marks: str) -> Column:
 def html_quality(html: Column) -> Column:
     """struct(label, replacement_ratio, tag_count, text_length)."""
     body = F.coalesce(html, F.lit(""))
-    sample = F.substring(body, 1, QUALITY_SAMPLE_CHARS)
-    bad = F.length(F.regexp_replace(sample, "[^�\\x00-\\x08\\x0b\\x0e-\\x1f]", ""))
-    ratio = bad / F.greatest(F.length(sample), F.lit(1))
-    tags = F.regexp_count(sample, F.lit("<[a-zA-Z!/][^>]*>"))
+    bad = F.length(F.regexp_replace(body, "[^�\\x00-\\x08\\x0b\\x0e-\\x1f]", ""))
+    ratio = bad / F.greatest(F.length(body), F.lit(1))
+    tags = F.regexp_count(body, F.lit("<[a-zA-Z!/][^>]*>"))
     chars = F.length(visible_text(body))
     empty, binary = F.rlike(body, F.lit(r"^(?U)\s*$")), ratio > BINARY_RATIO
     counted = ~empty & ~binary
@@ -57,7 +54,7 @@ def html_quality(html: Column) -> Column:
 
 def challenge_reason(html: Column, final_url: Column) -> Column:
     """Anti-bot challenge family, interactive widget first; NULL for real pages."""
-    hay = F.lower(F.substring(html, 1, CHALLENGE_SAMPLE_CHARS))
+    hay = F.lower(html)
     url = F.lower(F.coalesce(final_url, F.lit("")))
     return (
         F.when(_has(hay, *TURNSTILE_MARKS), "cloudflare_turnstile")

@@ -85,7 +85,7 @@ def visible_text(html: Column) -> Column:
 
 def is_present(value: Column) -> Column:
     """Not NULL and not blank."""
-    return value.isNotNull() & (F.trim(value) != "")
+    return value.isNotNull() & (strip_ends(value) != "")
 
 
 # --- coercion ---------------------------------------------------------------------------

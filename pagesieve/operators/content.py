@@ -184,10 +184,7 @@ def content_records(pages: DataFrame, nodes: DataFrame, primary: str | None = No
     )
 
 
-LEGACY_TEXT_LIMIT = 50_000
-
-
-def legacy_text(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+def legacy_text(pages: DataFrame, nodes: DataFrame, max_chars: int | None = None) -> DataFrame:
     """page_id, content: title line and the text nodes outside page furniture, one per line."""
     from pagesieve.operators.nodes import with_texts
     from pagesieve.operators.select import mark_inside
@@ -205,7 +202,8 @@ def legacy_text(pages: DataFrame, nodes: DataFrame) -> DataFrame:
         lambda t, i: (t != "")
         & ~F.exists(F.coalesce("holes", F.array().cast("array<struct<text_from:bigint,text_to:bigint>>")), lambda h: (i >= h["text_from"]) & (i < h["text_to"])),
     )
-    text = F.substring(F.array_join(cut, "\n"), 1, LEGACY_TEXT_LIMIT)
+    text = F.array_join(cut, "\n")
+    text = text if max_chars is None else F.substring(text, 1, max_chars)
     return joined.withColumn("body", text).join(titles, "page_id", "left").select(
         "page_id",
         F.when(F.col("t.text").isNotNull(), F.concat(F.lit("Title: "), F.col("t.text"), F.lit("\n\n"), F.col("body")))

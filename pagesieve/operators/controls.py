@@ -10,7 +10,7 @@ from pagesieve.functions.words import SECTION_WORDS, UNSAFE_LABEL
 from pagesieve.operators.nodes import attr, classes, has_attr, with_texts
 from pagesieve.operators.select import assign_containers, mark_inside
 
-MAX_GROUPS, MIN_OPTIONS, MAX_OPTIONS, MAX_LABEL, MAX_SEGMENT_LABEL = 4, 2, 6, 40, 24
+MIN_OPTIONS, MAX_OPTIONS, MAX_LABEL, MAX_SEGMENT_LABEL = 2, 6, 40, 24
 # Site navigation by tag, role and class or id words.
 NAV_TAGS = ("nav", "header", "footer")
 NAV_ROLES = ("navigation", "menubar", "menu", "banner", "contentinfo")
@@ -61,8 +61,8 @@ def _grouped(rows: DataFrame, kind: int, label: Column) -> DataFrame:
     ).withColumn("kind", F.lit(kind))
 
 
-def control_groups(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """First groups of a page: page_id, group_idx, label, metadata_key, labels, default_idx.
+def control_groups(pages: DataFrame, nodes: DataFrame, max_groups: int | None = None) -> DataFrame:
+    """Groups of a page, the first ``max_groups`` if given: page_id, group_idx, label, metadata_key, labels, default_idx.
 
     Selects come first, then radio groups, then segmented toggles; groups in
     site navigation or sign-in forms are skipped and metadata keys are unique.
@@ -133,6 +133,8 @@ def control_groups(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     kept = fit.withColumn("__n", once).filter(F.col("__n") == 1)
     order = F.row_number().over(Window.partitionBy("page_id").orderBy("kind", "group_pos")) - 1
     default = F.greatest(F.array_position(F.transform("options", lambda o: o["default"]), True) - 1, F.lit(0))
-    return kept.withColumn("group_idx", order).filter(F.col("group_idx") < MAX_GROUPS).select(
+    ordered = kept.withColumn("group_idx", order)
+    ordered = ordered if max_groups is None else ordered.filter(F.col("group_idx") < max_groups)
+    return ordered.select(
         "page_id", "group_idx", "label", "metadata_key", "labels", default.cast("int").alias("default_idx")
     )

@@ -10,10 +10,9 @@ from pagesieve.operators.patterns import MIN_DETAIL_LINKS, parent_prefix, prefix
 from pagesieve.operators.ranked import top_per_group
 from pagesieve.session import cut_lineage
 
-PREVIEW_LIMIT = 100
 MANY_EXCLUSIONS = 10
+NO_CAP = 2**62
 HIGH_EXCLUSION_RATE = 0.8
-HARD_PAGE_CAP = 5000
 
 
 def expand(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
@@ -21,7 +20,7 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
 
     ``seeds`` is (run_id, url, page_cap) with one seed per run; ``edges`` is
     (src, dst, pos).  Levels are ordered by (parent ordinal, pos), URLs are
-    unique per run and a run stops at its page cap.  Already known URLs do not
+    unique per run and a run stops at its page cap (NULL: none).  Already known URLs do not
     use up slots.
 
     Only the loop counter lives on the driver.  Each level is checkpointed, so
@@ -29,7 +28,8 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     broadcast by size and ``edges`` is then scanned in place; a large one joins
     by shuffle, where hub pages are split by the adaptive skew join.
     """
-    caps = seeds.groupBy("run_id").agg(F.least(F.max("page_cap"), F.lit(HARD_PAGE_CAP)).alias("page_cap"))
+    caps = seeds.groupBy("run_id").agg(F.coalesce(F.max("page_cap"), F.lit(NO_CAP)).alias("page_cap"))
+    most = caps.agg(F.max("page_cap")).first()[0] or 0
     level = cut_lineage(
         seeds.select("run_id", "url", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("ordinal"))
     )
@@ -49,7 +49,7 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
             .select("run_id", "used", (F.col("page_cap") - F.col("used")).alias("room"))
         )
         ranked = top_per_group(
-            found, ["run_id"], [F.col("first"), F.col("url")], HARD_PAGE_CAP, "rank", ["url"]
+            found, ["run_id"], [F.col("first"), F.col("url")], most, "rank", ["url"]
         )
         level = cut_lineage(
             ranked.join(room, "run_id")
@@ -89,13 +89,14 @@ def links_to_enqueue(decisions: DataFrame, same_site: DataFrame, mode: Column, r
     return both.withColumn("rank", rank).filter(F.col("rank") <= F.col("room"))
 
 
-def preview_rows(decisions: DataFrame, pages: DataFrame) -> DataFrame:
-    """Sampled decisions per seed page; the seed leads the included list.
+def preview_rows(decisions: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Decisions per seed page, the first ``limit`` a side if given; the seed leads the included list.
 
     ``pages`` has page_id, page_norm.  Rank 0 is the seed row.
     """
     side = Window.partitionBy("page_id", "decision").orderBy("pos")
-    ranked = decisions.withColumn("rank", F.row_number().over(side)).filter(F.col("rank") <= PREVIEW_LIMIT)
+    ranked = decisions.withColumn("rank", F.row_number().over(side))
+    ranked = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
     ranked = ranked.select("page_id", "rank", "decision", "normalized_url", "reason_code", "role", "depth")
     lead = ranked.filter((F.col("decision") == "included") & (F.col("rank") == 1)).select(
         "page_id", F.col("normalized_url").alias("lead_url")
@@ -116,9 +117,12 @@ def preview_rows(decisions: DataFrame, pages: DataFrame) -> DataFrame:
     return seeds.unionByName(ranked)
 
 
-def preview_summary(decisions: DataFrame, pages: DataFrame, detail_hits: DataFrame) -> DataFrame:
+def preview_summary(decisions: DataFrame, pages: DataFrame, detail_hits: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per seed: counts, estimated pages and warning columns.
 
+    Counts and rates are of all decisions; with ``limit``, of the rows a preview
+    cut at that many a side would show.
+
     ``pages`` has page_id, page_norm, max_pages; ``detail_hits`` has page_id,
     detail_hits (elements matched by the analysed detail selector).
     """
@@ -146,8 +150,9 @@ def preview_summary(decisions: DataFrame, pages: DataFrame, detail_hits: DataFra
         .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_in", "n_out", "unrelated", "sib_n", "detail_hits")})
     )
     seeded = F.col("lead").isNull() | (F.col("lead.normalized_url") != F.col("page_norm"))
-    shown_in = F.least(F.col("n_in"), F.lit(PREVIEW_LIMIT)) + F.when(seeded, 1).otherwise(0)
-    shown_out = F.least(F.col("n_out"), F.lit(PREVIEW_LIMIT))
+    shown = lambda n: F.col(n) if limit is None else F.least(F.col(n), F.lit(limit))
+    shown_in = shown("n_in") + F.when(seeded, 1).otherwise(0)
+    shown_out = shown("n_out")
     siblings = (F.col("sib_n") > 0) & F.col("prefix").isNotNull()
     glob = F.when(siblings, F.concat(F.col("prefix"), F.lit("/*"))).otherwise(F.col("pre_glob"))
     narrow = (F.col("n_in") == 0) & (F.col("unrelated") >= MANY_EXCLUSIONS) & glob.isNotNull()

@@ -224,17 +224,12 @@ def orphaned_active_runs(projects: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.filter(F.col("state").isin(*ACTIVE_RUNS)).join(failed, "project_id", "left_semi")
 
 
-def reclaimable_runs(projects: DataFrame, runs: DataFrame, now: Column, batch: int = 50) -> DataFrame:
-    """Oldest finished runs past retention that no project shows."""
+def reclaimable_runs(projects: DataFrame, runs: DataFrame, now: Column, batch: int | None = None) -> DataFrame:
+    """Finished runs past retention that no project shows; the first ``batch`` if given."""
     shown = projects.filter(F.col("current_run_id").isNotNull()).select(F.col("current_run_id").alias("run_id"))
     old = F.coalesce("finished_at", "created_at") < minutes_before(now, RETENTION_DAYS * 24 * 60)
-    return (
-        runs.filter(F.col("state").isin(*FINISHED_RUNS) & old)
-        .join(shown, "run_id", "left_anti")
-        .select("run_id")
-        .orderBy("run_id")
-        .limit(batch)
-    )
+    gone = runs.filter(F.col("state").isin(*FINISHED_RUNS) & old).join(shown, "run_id", "left_anti").select("run_id")
+    return gone if batch is None else gone.orderBy("run_id").limit(batch)
 
 
 def expired_cache(cache: DataFrame, now: Column) -> DataFrame:
@@ -317,13 +312,13 @@ def scalar_metadata(metadata: Column) -> Column:
 def newest_events(events: DataFrame, key: str, limit: int = 100) -> DataFrame:
     """Newest events per project or user; salted so a noisy owner is split."""
     return top_per_group(
-        events, [key], [F.desc("created_at"), F.desc("event_id")], min(limit, 500), "rank", ["event_id"]
+        events, [key], [F.desc("created_at"), F.desc("event_id")], limit, "rank", ["event_id"]
     )
 
 
 def records_page(records: DataFrame, order: list[str], skip: int, limit: int) -> DataFrame:
     """One page of rows with total, next_skip and has_more on every row."""
-    limit = max(1, min(limit, 500))
+    limit = max(1, limit)
     total = records.agg(F.count("*")).scalar()
     page = records.orderBy(*order).offset(skip).limit(limit).withColumn("total", total)
     more = F.lit(skip + limit) < F.col("total")

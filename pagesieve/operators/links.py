@@ -86,8 +86,8 @@ def same_origin_links(links: DataFrame) -> DataFrame:
     )
 
 
-def discover_same_site(links: DataFrame, include=(), exclude=(), limit: int = 200) -> DataFrame:
-    """Same-origin links passing whole-URL globs, first ``limit`` per page, ranked."""
+def discover_same_site(links: DataFrame, include=(), exclude=(), limit: int | None = None) -> DataFrame:
+    """Same-origin links passing whole-URL globs, ranked per page; the first ``limit`` if given."""
     url = F.col("normalized_url")
     whole = lambda patterns: [literal_rule(p, PLAIN)._replace(on_path=False) for p in patterns]
     kept = same_origin_links(links)
@@ -96,4 +96,5 @@ def discover_same_site(links: DataFrame, include=(), exclude=(), limit: int = 20
     if include:
         kept = kept.filter(first_match(url, whole(include)).isNotNull())
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
-    return kept.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    ranked = kept.withColumn("rank", rank)
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)

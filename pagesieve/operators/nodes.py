@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import decode_entities, strip_ends, without_code
-from pagesieve.session import partitions_for
 
 _TOKEN = r"</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[^>]*+>|[^<]++|<"
 _TAG_LIKE = r"^<[a-zA-Z/!?]"
@@ -57,12 +56,12 @@ _OPEN_ENDED = ("html", "body", "div", "ul", "ol", "dl", "table", "section", "art
 
 
 def place_pages(pages: DataFrame) -> DataFrame:
-    """Hash pages by id: the only exchange of the markup operators.
+    """Hash pages by id; the windows that follow are already in place.
 
-    Tokens weigh several times the stored page, so the partition count follows
-    the estimated input size and is not left to byte-based coalescing.
+    No count is given: adaptive execution merges the partitions by their real
+    sizes, starting from ``spark.sql.adaptive.coalescePartitions.initialPartitionNum``.
     """
-    return pages.repartition(partitions_for(pages), "page_id")
+    return pages.repartition("page_id")
 
 
 def _raw_tokens(html: Column) -> Column:

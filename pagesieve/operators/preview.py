@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesieve.functions.text import is_present
+
 SAMPLE_ROWS = 5
 VARIANT_SAMPLE_ROWS = 10
 SELECT_CONFIDENCE = 0.7
@@ -18,7 +20,7 @@ def selector_preview(records: DataFrame, keys: list[str], with_variants: bool =
     """
     shown = F.col("record_ordinal") < (VARIANT_SAMPLE_ROWS if with_variants else SAMPLE_ROWS)
     found = [
-        F.bool_or(shown & F.coalesce(F.col(f"`{k}`").isNotNull() & (F.col(f"`{k}`") != ""), F.lit(False))).alias(f"k{i}")
+        F.bool_or(shown & F.coalesce(is_present(F.col(f"`{k}`")), F.lit(False))).alias(f"k{i}")
         for i, k in enumerate(keys)
     ]
     folded = records.groupBy("page_id").agg(

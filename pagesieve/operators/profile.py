@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,21 +11,49 @@ from pagesieve.functions.text import collapse, decode_entities
 from pagesieve.operators.nodes import attr, classes, with_texts
 from pagesieve.operators.select import assign_containers, mark_inside
 
-MAX_HEADINGS, MAX_LINKS, MAX_CLASSES, MAX_TABLES, MAX_DATA_ATTRS, MAX_CANDIDATES = 8, 12, 15, 3, 20, 4
-TEXT_CHARS, ATTR_CHARS, HREF_CHARS, SNIPPET_CHARS, SUMMARY_CHARS = 200, 120, 80, 600, 10_000
+
+@dataclass(frozen=True)
+class Limits:
+    """How much of a page a profile shows; None is all of it."""
+
+    json_ld: int | None = None
+    headings: int | None = None
+    links: int | None = None
+    classes: int | None = None
+    class_samples: int | None = None
+    tables: int | None = None
+    table_rows: int | None = None
+    data_attributes: int | None = None
+    candidates: int | None = None
+    text_chars: int | None = None
+    attribute_chars: int | None = None
+    href_chars: int | None = None
+    snippet_chars: int | None = None
+    summary_chars: int | None = None
+
+
+ALL = Limits()
+# The extent of a short profile, as a prompt uses it.
+BRIEF = Limits(3, 8, 12, 15, 5, 3, 3, 20, 4, 200, 120, 80, 600, 10_000)
+
+
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 # Words of paging controls.
 PAGING_WORDS = "(?i)(next|prev|page|more|load|→|»)"
 
 _JSON_LD = r"(?i)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>([\s\S]*?)</script\s*>"
 
 
-def _joined(pieces: str = "text_pieces") -> Column:
+def _joined(limits: Limits, pieces: str = "text_pieces") -> Column:
     """Text pieces space-joined without collapsing, cut for display."""
-    return F.substring(F.array_join(F.filter(pieces, lambda t: t != ""), " "), 1, TEXT_CHARS)
+    return _cut(F.array_join(F.filter(pieces, lambda t: t != ""), " "), limits.text_chars)
 
 
-def head_facts(pages: DataFrame) -> DataFrame:
-    """page_id, title, meta_description, json_ld (first three objects), read in the row.
+def head_facts(pages: DataFrame, limits: Limits = ALL) -> DataFrame:
+    """page_id, title, meta_description, json_ld objects, read in the row.
 
     Taken from the page as fetched, so script and head content is still there.
     """
@@ -38,29 +68,34 @@ def head_facts(pages: DataFrame) -> DataFrame:
             F.rlike(b, F.lit(r"^\s*\{")).alias("is_object"),
         ),
     )
-    kept = F.slice(F.filter(blocks, lambda b: b["is_object"]), 1, 3)
+    kept = F.filter(blocks, lambda b: b["is_object"])
+    kept = kept if limits.json_ld is None else F.slice(kept, 1, limits.json_ld)
     return pages.select(
         "page_id",
-        F.nullif(F.substring(collapse(decode_entities(title)), 1, TEXT_CHARS), F.lit("")).alias("title"),
-        F.substring(attr("content", meta_tag), 1, TEXT_CHARS).alias("meta_description"),
+        F.nullif(_cut(collapse(decode_entities(title)), limits.text_chars), F.lit("")).alias("title"),
+        _cut(attr("content", meta_tag), limits.text_chars).alias("meta_description"),
         F.transform(
             kept, lambda b: F.struct(b["type"].alias("type"), b["name"].alias("name"), b["description"].alias("description"))
         ).alias("json_ld"),
     )
 
 
-def _first(rows: DataFrame, limit: int, order: str = "open_pos") -> DataFrame:
+def _top(ranked: DataFrame, limit: int | None, rank: str = "rank") -> DataFrame:
+    return ranked if limit is None else ranked.filter(F.col(rank) <= limit)
+
+
+def _first(rows: DataFrame, limit: int | None, order: str = "open_pos") -> DataFrame:
     n = F.row_number().over(Window.partitionBy("page_id").orderBy(order))
-    return rows.withColumn("rank", n).filter(F.col("rank") <= limit)
+    return _top(rows.withColumn("rank", n), limit)
 
 
-def headings(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """First h1-h3 elements: page_id, rank, tag, text."""
-    rows = _first(nodes.filter(F.col("tag").isin("h1", "h2", "h3")), MAX_HEADINGS)
-    return with_texts(rows, pages).select("page_id", "rank", "tag", _joined().alias("text"))
+def headings(pages: DataFrame, nodes: DataFrame, limits: Limits = ALL) -> DataFrame:
+    """h1-h3 elements: page_id, rank, tag, text."""
+    rows = _first(nodes.filter(F.col("tag").isin("h1", "h2", "h3")), limits.headings)
+    return with_texts(rows, pages).select("page_id", "rank", "tag", _joined(limits).alias("text"))
 
 
-def repeated_classes(nodes: DataFrame) -> DataFrame:
+def repeated_classes(nodes: DataFrame, limits: Limits = ALL) -> DataFrame:
     """Classes used three times or more: page_id, rank, class, n; ties by first use."""
     counts = (
         nodes.select("page_id", "open_pos", F.posexplode(classes()).alias("i", "class"))
@@ -69,12 +104,12 @@ def repeated_classes(nodes: DataFrame) -> DataFrame:
         .filter(F.col("n") >= 3)
     )
     n = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "first"))
-    return counts.withColumn("rank", n).filter(F.col("rank") <= MAX_CLASSES).select("page_id", "rank", "class", "n")
+    return _top(counts.withColumn("rank", n), limits.classes).select("page_id", "rank", "class", "n")
 
 
-def class_samples(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Selector hint of the first element of the five commonest classes."""
-    top = repeated_classes(nodes).filter(F.col("rank") <= 5)
+def class_samples(pages: DataFrame, nodes: DataFrame, limits: Limits = ALL) -> DataFrame:
+    """Selector hint of the first element of each repeated class, commonest first."""
+    top = _top(repeated_classes(nodes, limits), limits.class_samples)
     uses = nodes.select("page_id", "open_pos", "tag", "token", F.explode(classes()).alias("class"))
     first = uses.groupBy("page_id", "class").agg(F.min(F.struct("open_pos", "tag", "token")).alias("e"))
     names = F.slice(classes(F.col("e.token")), 1, 2)
@@ -82,28 +117,28 @@ def class_samples(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     return top.join(first, ["page_id", "class"]).select("page_id", "rank", "class", hint.alias("selector_hint"))
 
 
-def table_samples(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """First rows of the first tables: page_id, table_idx, row_idx, line."""
+def table_samples(pages: DataFrame, nodes: DataFrame, limits: Limits = ALL) -> DataFrame:
+    """Rows of the tables: page_id, table_idx, row_idx, line."""
     parts = nodes.filter(F.col("tag").isin("table", "tr", "td", "th"))
-    tables = _first(parts.filter(F.col("tag") == "table"), MAX_TABLES).select(
+    tables = _first(parts.filter(F.col("tag") == "table"), limits.tables).select(
         "page_id", F.col("open_pos").alias("table_pos"), F.col("rank").alias("table_idx")
     )
     rows = assign_containers(parts, F.col("tag") == "table", F.col("tag") == "tr").withColumnRenamed("container_pos", "table_pos")
     order = Window.partitionBy("page_id", "table_pos").orderBy("open_pos")
-    rows = rows.withColumn("row_idx", F.row_number().over(order)).filter(F.col("row_idx") <= 3)
+    rows = _top(rows.withColumn("row_idx", F.row_number().over(order)), limits.table_rows, "row_idx")
     cells = assign_containers(parts, F.col("tag") == "tr", F.col("tag").isin("td", "th"))
     kept = (
         cells.withColumnRenamed("container_pos", "row_pos")
         .join(rows.select("page_id", "table_pos", F.col("open_pos").alias("row_pos"), "row_idx"), ["page_id", "row_pos"])
         .join(tables, ["page_id", "table_pos"])
     )
-    text = with_texts(kept, pages).withColumn("cell", _joined()).filter(F.col("cell") != "")
+    text = with_texts(kept, pages).withColumn("cell", _joined(limits)).filter(F.col("cell") != "")
     return text.groupBy("page_id", "table_idx", "row_idx").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("open_pos", "cell"))), lambda c: c["cell"]), " | ").alias("line")
     )
 
 
-def data_attributes(nodes: DataFrame) -> DataFrame:
+def data_attributes(nodes: DataFrame, limits: Limits = ALL) -> DataFrame:
     """First value of each data-* attribute: page_id, rank, name, value."""
     pairs = F.regexp_extract_all("token", F.lit(r"(?i)\sdata-[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)"), F.lit(0))
     rows = nodes.filter(F.contains(F.lower("token"), F.lit("data-"))).select(
@@ -112,41 +147,41 @@ def data_attributes(nodes: DataFrame) -> DataFrame:
     name = F.lower(F.regexp_extract("pair", r"(?i)(data-[\w-]+)", 1))
     value = F.regexp_replace(F.regexp_replace("pair", r"^[^=]*=\s*", ""), "^[\"']|[\"']$", "")
     first = rows.groupBy("page_id", name.alias("name")).agg(
-        F.min(F.struct("open_pos", "i", F.substring(decode_entities(value), 1, ATTR_CHARS).alias("value"))).alias("f")
+        F.min(F.struct("open_pos", "i", _cut(decode_entities(value), limits.attribute_chars).alias("value"))).alias("f")
     )
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("f.open_pos", "f.i"))
-    return first.withColumn("rank", n).filter(F.col("rank") <= MAX_DATA_ATTRS).select(
+    return _top(first.withColumn("rank", n), limits.data_attributes).select(
         "page_id", "rank", "name", F.col("f.value").alias("value")
     )
 
 
-def paging_candidates(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+def paging_candidates(pages: DataFrame, nodes: DataFrame, limits: Limits = ALL) -> DataFrame:
     """Distinct selectors of links and buttons that look like paging: page_id, rank, selector."""
     rows = with_texts(nodes.filter(F.col("tag").isin("a", "button")), pages)
     names = classes()
     looks = lambda text: F.rlike(F.coalesce(text, F.lit("")), F.lit(PAGING_WORDS))
-    kept = rows.filter(looks(_joined()) | looks(attr("href")) | looks(F.array_join(names, " ")))
+    kept = rows.filter(looks(_joined(limits)) | looks(attr("href")) | looks(F.array_join(names, " ")))
     selector = F.concat(
         F.col("tag"), F.when(F.size(names) > 0, F.concat(F.lit("."), F.get(names, F.lit(0)))).otherwise(F.lit(""))
     )
     first = kept.groupBy("page_id", selector.alias("selector")).agg(F.min("open_pos").alias("open_pos"))
-    return _first(first, MAX_CANDIDATES).select("page_id", "rank", "selector")
+    return _first(first, limits.candidates).select("page_id", "rank", "selector")
 
 
-def sample_links(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """First anchors with a target, those with text shown: page_id, rank, text, href."""
-    rows = _first(nodes.filter((F.col("tag") == "a") & attr("href").isNotNull()), MAX_LINKS)
+def sample_links(pages: DataFrame, nodes: DataFrame, limits: Limits = ALL) -> DataFrame:
+    """Anchors with a target, those with text shown: page_id, rank, text, href."""
+    rows = _first(nodes.filter((F.col("tag") == "a") & attr("href").isNotNull()), limits.links)
     return (
         with_texts(rows, pages)
-        .withColumn("label", _joined())
+        .withColumn("label", _joined(limits))
         .filter(F.col("label") != "")
-        .select("page_id", "rank", F.col("label").alias("text"), F.substring(attr("href"), 1, HREF_CHARS).alias("href"))
+        .select("page_id", "rank", F.col("label").alias("text"), _cut(attr("href"), limits.href_chars).alias("href"))
     )
 
 
-def body_snippet(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+def body_snippet(pages: DataFrame, nodes: DataFrame, limits: Limits = ALL) -> DataFrame:
     rows = with_texts(nodes.filter(F.col("tag") == "body"), pages)
-    return rows.select("page_id", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
+    return rows.select("page_id", _cut(F.col("text"), limits.snippet_chars).alias("snippet"))
 
 
 def _lines(rows: DataFrame, line: Column, title: str, out: str, separator: str = "\n") -> DataFrame:
@@ -156,25 +191,25 @@ def _lines(rows: DataFrame, line: Column, title: str, out: str, separator: str =
     return rows.groupBy("page_id").agg(F.concat(F.lit(title), text).alias(out))
 
 
-def summary(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """page_id, summary: the profile as one text, cut at the summary limit."""
+def summary(pages: DataFrame, nodes: DataFrame, limits: Limits = ALL) -> DataFrame:
+    """page_id, summary: the profile as one text."""
     q = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
     sections = [
-        _lines(headings(pages, nodes), F.concat(F.lit("  ["), F.col("tag"), F.lit("] "), F.col("text")), "Headings:\n", "p_headings"),
-        _lines(repeated_classes(nodes), F.concat(F.lit("."), F.col("class")), "Repeated element classes (likely list/grid items): ", "p_classes", ", "),
-        _lines(class_samples(pages, nodes), F.concat(F.lit("Selector hint: "), F.col("selector_hint")), "Repeated container samples:\n", "p_samples"),
+        _lines(headings(pages, nodes, limits), F.concat(F.lit("  ["), F.col("tag"), F.lit("] "), F.col("text")), "Headings:\n", "p_headings"),
+        _lines(repeated_classes(nodes, limits), F.concat(F.lit("."), F.col("class")), "Repeated element classes (likely list/grid items): ", "p_classes", ", "),
+        _lines(class_samples(pages, nodes, limits), F.concat(F.lit("Selector hint: "), F.col("selector_hint")), "Repeated container samples:\n", "p_samples"),
         _lines(
-            table_samples(pages, nodes).withColumn("rank", F.struct("table_idx", "row_idx")),
+            table_samples(pages, nodes, limits).withColumn("rank", F.struct("table_idx", "row_idx")),
             F.concat(F.lit("  "), F.col("line")), "Table samples:\n", "p_tables",
         ),
-        _lines(data_attributes(nodes), F.concat(F.col("name"), F.lit("="), q("value")), "Data attributes found:\n  ", "p_data", "\n  "),
-        _lines(sample_links(pages, nodes), F.concat(F.lit("  "), q("text"), F.lit(" -> "), F.col("href")), "Sample links:\n", "p_links"),
-        _lines(paging_candidates(pages, nodes), F.col("selector"), "Pagination candidates: ", "p_paging", ", "),
+        _lines(data_attributes(nodes, limits), F.concat(F.col("name"), F.lit("="), q("value")), "Data attributes found:\n  ", "p_data", "\n  "),
+        _lines(sample_links(pages, nodes, limits), F.concat(F.lit("  "), q("text"), F.lit(" -> "), F.col("href")), "Sample links:\n", "p_links"),
+        _lines(paging_candidates(pages, nodes, limits), F.col("selector"), "Pagination candidates: ", "p_paging", ", "),
     ]
-    out = pages.select("page_id", "url").join(head_facts(pages), "page_id", "left")
+    out = pages.select("page_id", "url").join(head_facts(pages, limits), "page_id", "left")
     for section in sections:
         out = out.join(section, "page_id", "left")
-    out = out.join(body_snippet(pages, nodes), "page_id", "left")
+    out = out.join(body_snippet(pages, nodes, limits), "page_id", "left")
     text = F.concat_ws(
         "\n\n",
         F.concat(F.lit("URL: "), F.col("url")),
@@ -185,7 +220,7 @@ def summary(pages: DataFrame, nodes: DataFrame) -> DataFrame:
         "p_classes", "p_samples", "p_tables", "p_data", "p_links", "p_paging",
         F.concat(F.lit("Body text snippet: "), F.col("snippet")),
     )
-    return out.select("page_id", F.substring(text, 1, SUMMARY_CHARS).alias("summary"))
+    return out.select("page_id", _cut(text, limits.summary_chars).alias("summary"))
 
 
 def alternate_mode(pages: DataFrame, nodes: DataFrame, current: Column) -> DataFrame:

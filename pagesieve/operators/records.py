@@ -27,7 +27,6 @@ from pagesieve.operators.select import (
 )
 from pagesieve.session import cut_lineage
 
-MAX_RECORDS = 1000
 # Attributes read before text, and image sources, in order.
 VALUE_ATTRS = ("content", "value", "title", "alt", "aria-label")
 IMAGE_ATTRS = ("src", "data-src", "data-original", "srcset")
@@ -131,9 +130,9 @@ def _finish(
 
 
 def from_containers(
-    pages: DataFrame, nodes: DataFrame, fields: list[FieldSpec], container: str, max_records: int = MAX_RECORDS
+    pages: DataFrame, nodes: DataFrame, fields: list[FieldSpec], container: str, max_records: int | None = None
 ) -> DataFrame:
-    """One record per container element, read with container-relative selectors.
+    """One record per container element, read with container-relative selectors; all of them unless ``max_records`` is given.
 
     Per container and field the first selector variant with a hit decides; its
     first non-empty value is taken.
@@ -142,9 +141,10 @@ def from_containers(
     hits = select_many(nodes, {"c|0": container, **_variants(fields, container)})
     is_container = F.col("key") == "c|0"
     seen = Window.partitionBy("page_id").orderBy("open_pos", "key").rowsBetween(Window.unboundedPreceding, 0)
-    nth = F.sum(F.when(is_container, 1).otherwise(0)).over(seen)
-    capped = hits.withColumn("__n", nth).filter(~is_container | (F.col("__n") <= max_records)).drop("__n")
-    inside = assign_containers(capped, is_container, ~is_container)
+    if max_records is not None:
+        nth = F.sum(F.when(is_container, 1).otherwise(0)).over(seen)
+        hits = hits.withColumn("__n", nth).filter(~is_container | (F.col("__n") <= max_records)).drop("__n")
+    inside = assign_containers(hits, is_container, ~is_container)
     rows = with_values(inside, pages, {i: f.type for i, f in enumerate(fields)})
     aggs = []
     for i in range(len(fields)):
@@ -160,14 +160,15 @@ def from_containers(
 
 
 def by_field_index(
-    pages: DataFrame, nodes: DataFrame, fields: list[FieldSpec], max_records: int = MAX_RECORDS
+    pages: DataFrame, nodes: DataFrame, fields: list[FieldSpec], max_records: int | None = None
 ) -> DataFrame:
     """The i-th match of every field across a page forms record i."""
     fields = chosen(fields)
     rows = with_values(select_many(nodes, _variants(fields, None)), pages, {i: f.type for i, f in enumerate(fields)})
     per_field = Window.partitionBy("page_id", "field")
     rows = rows.withColumn("__r", F.min("variant").over(per_field)).filter(F.col("variant") == F.col("__r"))
-    rows = rows.withColumn("idx", F.row_number().over(per_field.orderBy("open_pos"))).filter(F.col("idx") <= max_records)
+    rows = rows.withColumn("idx", F.row_number().over(per_field.orderBy("open_pos")))
+    rows = rows if max_records is None else rows.filter(F.col("idx") <= max_records)
     wide = rows.groupBy("page_id", "idx").agg(
         F.first("url").alias("url"),
         *[F.max(F.when(F.col("field") == i, F.col("value"))).alias(f"f{i}") for i in range(len(fields))],
@@ -181,7 +182,7 @@ def from_containers_by_variant(
     fields: list[FieldSpec],
     container: str,
     combos: list[dict],
-    max_records: int = MAX_RECORDS,
+    max_records: int | None = None,
 ) -> DataFrame:
     """Row per variant: every combination reads its own selectors, in one pass.
 
@@ -348,7 +349,7 @@ def page_tables(pages: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def from_tables(
-    pages: DataFrame, nodes: DataFrame, fields: list[FieldSpec], max_records: int = MAX_RECORDS
+    pages: DataFrame, nodes: DataFrame, fields: list[FieldSpec], max_records: int | None = None
 ) -> DataFrame:
     """Read the largest table by column; required flags are not applied here."""
     fields = chosen(fields)
@@ -356,7 +357,7 @@ def from_tables(
     tables = page_tables(pages, nodes).withColumn("rows", data).filter(F.size("rows") > 0)
     tables = tables.withColumn("__cols", F.array_max(F.transform("rows", lambda r: F.size(r["cells"]))))
     tables = with_assigned_columns(tables, [f.key for f in fields], "headers", "__cols", "__at")
-    rows = tables.select("page_id", "url", "__at", F.inline(F.slice("rows", 1, max_records))).filter(
+    rows = tables.select("page_id", "url", "__at", F.inline("rows" if max_records is None else F.slice("rows", 1, max_records))).filter(
         F.size("cells") >= 2
     )
     wide = rows.withColumns(
@@ -367,7 +368,7 @@ def from_tables(
 
 
 def extract_structured(
-    pages: DataFrame, nodes: DataFrame, fields: list[FieldSpec], container: str | None, max_records: int = MAX_RECORDS
+    pages: DataFrame, nodes: DataFrame, fields: list[FieldSpec], container: str | None, max_records: int | None = None
 ) -> DataFrame:
     """Strategy ladder per page: containers, else aligned fields, else a data table.
 
@@ -410,7 +411,7 @@ def typed(records: DataFrame, fields: list[FieldSpec]) -> DataFrame:
 
 
 def sample_values(
-    pages: DataFrame, nodes: DataFrame, field: FieldSpec, container: str | None, max_rows: int = 25
+    pages: DataFrame, nodes: DataFrame, field: FieldSpec, container: str | None, max_rows: int | None = None
 ) -> DataFrame:
     """page_id, row_idx, value: what a selector reads per container (or per match)."""
     variants = _variants([field], container)
@@ -419,12 +420,13 @@ def sample_values(
         page = Window.partitionBy("page_id")
         rows = rows.withColumn("__r", F.min("variant").over(page)).filter(F.col("variant") == F.col("__r"))
         rows = rows.withColumn("row_idx", F.row_number().over(page.orderBy("open_pos")) - 1)
-        return rows.filter(F.col("row_idx") < max_rows).select("page_id", "row_idx", "value")
+        rows = rows if max_rows is None else rows.filter(F.col("row_idx") < max_rows)
+        return rows.select("page_id", "row_idx", "value")
     hits = select_many(nodes, {"c|0": container, **variants})
     is_container = F.col("key") == "c|0"
     order = Window.partitionBy("page_id", "key").orderBy("open_pos")
     hits = hits.withColumn("row_idx", F.row_number().over(order) - 1)
-    hits = hits.filter(~is_container | (F.col("row_idx") < max_rows))
+    hits = hits if max_rows is None else hits.filter(~is_container | (F.col("row_idx") < max_rows))
     rows = with_values(assign_containers(hits, is_container, ~is_container), pages, {0: field.type})
     best = rows.groupBy("page_id", "container_pos").agg(
         F.min("variant").alias("r"),
@@ -435,21 +437,21 @@ def sample_values(
     return frames.join(best, ["page_id", "container_pos"], "left").select("page_id", "row_idx", value.alias("value"))
 
 
-VALIDATION_CONTAINERS = 5
-
-
-def check_selectors(nodes: DataFrame, fields: list[FieldSpec], container: str | None) -> DataFrame:
+def check_selectors(
+    nodes: DataFrame, fields: list[FieldSpec], container: str | None, max_containers: int | None = None
+) -> DataFrame:
     """Match check per (page, field): matched, working variant and container presence.
 
-    Fields are probed in the first containers of a page, or in the whole page
-    when the container selector finds nothing.
+    Fields are probed in the containers of a page (the first ``max_containers``
+    if given), or in the whole page when the container selector finds nothing.
     """
     variants = _variants(fields, None)
     keys = {"c|0": container, **variants} if container else variants
     hits = select_many(nodes, keys)
     is_container = F.col("key") == "c|0"
     nth = F.row_number().over(Window.partitionBy("page_id", "key").orderBy("open_pos"))
-    hits = hits.withColumn("__n", nth).filter(~is_container | (F.col("__n") <= VALIDATION_CONTAINERS))
+    if max_containers is not None:
+        hits = hits.withColumn("__n", nth).filter(~is_container | (F.col("__n") <= max_containers)).drop("__n")
     has_container = F.max(F.when(is_container, 1).otherwise(0)).over(Window.partitionBy("page_id"))
     hits = hits.withColumn("has_container", has_container == 1)
     inside = mark_inside(hits, is_container, "__in").filter(~is_container & (F.col("__in") | ~F.col("has_container")))

@@ -272,21 +272,18 @@ def classify(links: DataFrame, scope: CrawlScope | None = None, depth: Column |
     ).drop(*facts, *(SCOPE_COLUMNS if scope is None else ()))
 
 
-def included_per_page(decisions: DataFrame, limit: int = 200) -> DataFrame:
-    """Included links, first ``limit`` per page in page order."""
+def included_per_page(decisions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Included links ranked in page order; the first ``limit`` per page if given."""
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
-    return (
-        decisions.filter(F.col("decision") == "included")
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= limit)
-    )
+    ranked = decisions.filter(F.col("decision") == "included").withColumn("rank", rank)
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def normalize_scopes(scopes: DataFrame) -> DataFrame:
     """Fill defaults of saved scopes.
 
     Missing scope (NULL mode and status) reads as a legacy FULL_SITE scope;
-    page limits clamp to 1..5000; suggested patterns fill an unconfigured
+    page limits are 1 at least; suggested patterns fill an unconfigured
     COLLECTION or DATASET scope; a COLLECTION always has a depth bound.
     Expects mode, status, max_depth, page_limit, max_pages, include_patterns,
     link_rules, suggested_include_patterns.
@@ -303,7 +300,7 @@ def normalize_scopes(scopes: DataFrame) -> DataFrame:
     filled = F.when(
         F.col("mode").isin("COLLECTION", "DATASET") & no_patterns & no_rules & (F.size(suggested) > 0), suggested
     ).otherwise(F.coalesce(F.col("include_patterns"), F.array().cast("array<string>")))
-    clamp = lambda n: F.greatest(F.lit(1), F.least(n, F.lit(5000)))
+    clamp = lambda n: F.greatest(F.lit(1), n)
     return scopes.withColumns(
         {
             "mode": F.when(missing, "FULL_SITE").otherwise(F.coalesce(F.col("mode"), F.lit("CURRENT_PAGE"))),
@@ -321,7 +318,7 @@ def normalize_scopes(scopes: DataFrame) -> DataFrame:
 
 def page_cap(spec_limit: Column, job_limit: Column, scope_pages: Column) -> Column:
     """Most pages one run may hold."""
-    scoped = F.greatest(F.lit(1), F.least(F.coalesce(F.nullif(scope_pages, F.lit(0)), F.lit(500)), F.lit(5000)))
+    scoped = F.greatest(F.lit(1), F.coalesce(F.nullif(scope_pages, F.lit(0)), F.lit(500)))
     return F.least(F.coalesce(spec_limit, job_limit), job_limit, scoped)
 
 

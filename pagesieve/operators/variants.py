@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagesieve.functions.text import collapse, metadata_key, strip_ends
 from pagesieve.functions.urls import variant_url, with_normalized
 
-MAX_COMBINATIONS = 12
+NO_LIMIT = 2**62
 NO_MERGE = "Could not merge variants into one row per item safely; output is one row per variant instead."
 
 _STRINGS = "map<string,string>"
@@ -23,12 +23,13 @@ def _overlay(base: Column, over: Column) -> Column:
     return F.map_zip_with(base, over, lambda k, a, b: F.coalesce(b, a))
 
 
-def combinations(options: DataFrame) -> DataFrame:
+def combinations(options: DataFrame, limit: int | None = None) -> DataFrame:
     """Every choice of one selected option per group: spec_id, combo_idx, combo_id, label, maps.
 
     ``options`` is (spec_id, group_idx, group_label, metadata_key, execution,
     option_idx, option_id, option_label, selected, field_selectors, query,
-    has_recipe, max_combinations).  Specs beyond their cap come back as one row
+    has_recipe, max_combinations).  Specs beyond their own cap, or beyond
+    ``limit`` where they name none, come back as one row
     with ``over_limit`` and no combination; the size is checked before anything
     is expanded.
     """
@@ -56,7 +57,7 @@ def combinations(options: DataFrame) -> DataFrame:
     )
     specs = groups.groupBy("spec_id").agg(
         by_index(F.collect_list(F.struct("group_idx", "options")), "group_idx").alias("groups"),
-        F.greatest(F.lit(1), F.least(F.coalesce(F.max("cap"), F.lit(MAX_COMBINATIONS)), F.lit(MAX_COMBINATIONS))).alias("cap"),
+        F.greatest(F.lit(1), F.coalesce(F.max("cap"), F.lit(NO_LIMIT if limit is None else limit))).alias("cap"),
     )
     total = F.aggregate("groups", F.lit(1).cast("bigint"), lambda n, g: n * F.size(g["options"]))
     specs = specs.withColumn("total", total).withColumn("over_limit", F.col("total") > F.col("cap"))

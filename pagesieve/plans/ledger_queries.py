@@ -193,7 +193,7 @@ def health_orphaned_runs(spark, folder):
 @query("health_reclaimable_runs", L(f"""SELECT run_id FROM runs WHERE state IN ('COMPLETED','FAILED','CANCELED') AND run_id NOT IN (SELECT current_run_id FROM projects WHERE current_run_id IS NOT NULL)
        AND coalesce(finished_at, created_at) < {NOW} - INTERVAL 14 DAY ORDER BY run_id LIMIT 50"""))
 def health_reclaimable_runs(spark, folder):
-    return ledger.reclaimable_runs(source.projects(spark, folder), source.runs(spark, folder), source.now())
+    return ledger.reclaimable_runs(source.projects(spark, folder), source.runs(spark, folder), source.now(), 50)
 
 
 _CACHE_SQL = """cache AS (SELECT c_custkey AS entry_id, sha256((c_custkey % 40)::VARCHAR) AS content_hash, c_mktsegment AS mode, 'r' || c_custkey AS result,

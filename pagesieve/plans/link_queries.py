@@ -378,7 +378,7 @@ _INCLUDED = "(reason_code LIKE '%_MATCH' OR reason_code = 'FULL_SITE_SAME_ORIGIN
     f"""WITH {CATALOG_LINKS}, coded AS (SELECT *, {_SAVED_LADDER} AS reason_code FROM cat),
         sided AS (SELECT *, CASE WHEN {_INCLUDED} THEN 'included' ELSE 'excluded' END AS decision FROM coded)
         SELECT page_id, decision, norm AS normalized_url, reason_code, row_number() OVER (PARTITION BY page_id, decision ORDER BY pos) AS rank
-        FROM sided QUALIFY rank <= 100
+        FROM sided
         UNION ALL SELECT page_id, 'included', {_H}/suppliers/' || page_id, 'SEED_URL', 0 FROM shop""",
 )
 def frontier_preview_rows(spark, folder):
@@ -392,12 +392,12 @@ def frontier_preview_rows(spark, folder):
         agg AS (SELECT page_id, count(*) FILTER ({_INCLUDED}) AS n_in, count(*) FILTER (NOT {_INCLUDED}) AS n_out,
                   count(*) FILTER (reason_code IN ('EXCLUDED_SCOPE_MODE', 'CURRENT_PAGE_SCOPE')) AS unrelated,
                   count(*) FILTER (reason_code IN ('EXCLUDED_SCOPE_MODE', 'CURRENT_PAGE_SCOPE') AND norm LIKE '%/suppliers/%') AS sib FROM coded GROUP BY page_id)
-        SELECT page_id, least(n_in, 100) + 1 AS included_count, least(n_out, 100) AS excluded_count, unrelated AS unrelated_same_origin_count,
+        SELECT page_id, n_in + 1 AS included_count, n_out AS excluded_count, unrelated AS unrelated_same_origin_count,
                page_id + 1 AS estimated_page_count, unrelated >= 10 AS has_many_exclusions, n_in = 0 AND unrelated >= 10 AS scope_too_narrow,
                CASE WHEN n_in = 0 AND unrelated >= 10 THEN 'COLLECTION' END AS suggested_mode,
                CASE WHEN n_in = 0 AND unrelated >= 10 THEN '/suppliers/*' END AS suggested_pattern,
                CASE WHEN n_in = 0 AND unrelated >= 10 THEN sib END AS suggested_count,
-               least(n_out, 100) / (least(n_in, 100) + 1 + least(n_out, 100)) >= 0.8 AS high_exclusion_rate FROM agg""",
+               n_out / (n_in + 1 + n_out) >= 0.8 AS high_exclusion_rate FROM agg""",
 )
 def frontier_preview_summary(spark, folder):
     pages, named, decided = _preview_inputs(spark, folder)
@@ -563,7 +563,7 @@ def _raw_scopes(spark, folder):
     "scope_table_normalized",
     """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'FULL_SITE' WHEN 1 THEN 'COLLECTION' WHEN 2 THEN 'DATASET' WHEN 3 THEN 'CURRENT_PAGE' ELSE 'FULL_SITE' END AS mode,
          CASE WHEN c_custkey % 5 = 0 THEN 'SYSTEM_DEFAULTED' WHEN c_nationkey % 2 = 0 THEN 'USER_CONFIRMED' ELSE 'AI_SUGGESTED' END AS status,
-         CASE WHEN c_nationkey > 5 THEN greatest(1, least(trunc(c_acctbal * 3)::INT, 5000)) ELSE 500 END AS max_pages,
+         CASE WHEN c_nationkey > 5 THEN greatest(1, trunc(c_acctbal * 3)::INT) ELSE 500 END AS max_pages,
          CASE WHEN c_nationkey % 4 = 0 THEN '/own/*' WHEN c_custkey % 5 IN (1, 2) THEN '/food/*' ELSE '' END AS include_patterns,
          CASE WHEN c_custkey % 5 = 1 THEN greatest(1, c_nationkey % 3 - 1) ELSE c_nationkey % 3 - 1 END AS max_depth FROM customer""",
 )
@@ -575,7 +575,7 @@ def scope_table_normalized(spark, folder):
 @query(
     "scope_needs_confirmation",
     """SELECT c_custkey, c_custkey % 5 NOT IN (0, 3) AND c_nationkey % 2 <> 0 AS blocked,
-              least(500, CASE WHEN c_nationkey > 5 THEN greatest(1, least(trunc(c_acctbal * 3)::INT, 5000)) ELSE 500 END, 400) AS cap FROM customer""",
+              least(500, CASE WHEN c_nationkey > 5 THEN greatest(1, trunc(c_acctbal * 3)::INT) ELSE 500 END, 400) AS cap FROM customer""",
 )
 def scope_needs_confirmation(spark, folder):
     raw = _raw_scopes(spark, folder).withColumn("blocked", needs_confirmation(F.col("mode"), F.col("status")))

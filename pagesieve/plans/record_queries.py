@@ -103,14 +103,14 @@ def dom_selector_counts(spark, folder):
 @query(
     "dom_relaxed_selectors",
     """SELECT p_partkey, 'td:nth-child(' || p_size || ') p span|td:nth-child(' || p_size || ') p|td:nth-child(' || p_size || ')' AS options
-       FROM part WHERE p_size <= 3""",
+       FROM part""",
 )
 def dom_relaxed_selectors(spark, folder):
     size = F.col("p_size")
     options = F.lit(None).cast("string")
-    for n in (1, 2, 3):
+    for n in range(1, 51):  # every size there is
         options = F.when(size == n, F.lit("|".join(relaxed(f"td:nth-child({n}) p span")))).otherwise(options)
-    return load(spark, folder, "part").filter(size <= 3).select("p_partkey", options.alias("options"))
+    return load(spark, folder, "part").select("p_partkey", options.alias("options"))
 
 
 @query(
@@ -403,7 +403,7 @@ def content_markdown_catalog(spark, folder):
              regexp_replace(regexp_replace(body, '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<footer>.*?</footer>', '', 'g') AS b FROM clean),
         l AS (SELECT page_id, title, list_filter(list_transform(string_split(regexp_replace(regexp_replace(b, '<![^>]*>', '', 'g'), '<[^>]*>', chr(1), 'g'), chr(1)),
                  lambda x: trim({_UNESCAPE.format('x')}, E' \n\t\r')), lambda x: x <> '') AS l FROM p)
-        SELECT page_id, 'Title: ' || trim(regexp_replace({_UNESCAPE.format('title')}, '\\s+', ' ', 'g')) || chr(10) || chr(10) || left(array_to_string(l, chr(10)), 50000) AS content FROM l""",
+        SELECT page_id, 'Title: ' || trim(regexp_replace({_UNESCAPE.format('title')}, '\\s+', ' ', 'g')) || chr(10) || chr(10) || array_to_string(l, chr(10)) AS content FROM l""",
 )
 def content_legacy_text(spark, folder):
     pages = place_pages(stored(spark, folder))
@@ -415,7 +415,7 @@ def content_legacy_text(spark, folder):
     f"""WITH {LISTED} SELECT page_id, s_name || ' & parts' AS title, 'Parts of ' || s_name AS meta_description, 'Organization' AS ld_type, s_name AS ld_name FROM shop""",
 )
 def profile_head(spark, folder):
-    found = profile.head_facts(rendered(spark, folder))
+    found = profile.head_facts(rendered(spark, folder), profile.BRIEF)
     return found.select(
         "page_id", "title", "meta_description", F.get("json_ld", F.lit(0))["type"].alias("ld_type"), F.get("json_ld", F.lit(0))["name"].alias("ld_name")
     )
@@ -427,7 +427,7 @@ def profile_head(spark, folder):
 )
 def profile_headings(spark, folder):
     pages = place_pages(stored(spark, folder))
-    return profile.headings(pages, elements(pages))
+    return profile.headings(pages, elements(pages), profile.BRIEF)
 
 
 _FIVE = "('name', 1), ('brand', 2), ('price', 3), ('size', 4), ('stock', 5)"
@@ -443,8 +443,8 @@ _FIVE = "('name', 1), ('brand', 2), ('price', 3), ('size', 4), ('stock', 5)"
 def profile_repeated_classes(spark, folder):
     pages = place_pages(rendered(spark, folder))
     nodes = elements(pages)
-    hints = profile.class_samples(pages, nodes).select("page_id", "class", "selector_hint")
-    return profile.repeated_classes(nodes).join(hints, ["page_id", "class"], "left").select("page_id", "rank", "class", "n", "selector_hint")
+    hints = profile.class_samples(pages, nodes, profile.BRIEF).select("page_id", "class", "selector_hint")
+    return profile.repeated_classes(nodes, profile.BRIEF).join(hints, ["page_id", "class"], "left").select("page_id", "rank", "class", "n", "selector_hint")
 
 
 @query(
@@ -456,7 +456,7 @@ def profile_repeated_classes(spark, folder):
 )
 def profile_table_samples(spark, folder):
     pages = place_pages(rendered(spark, folder))
-    return profile.table_samples(pages, elements(pages))
+    return profile.table_samples(pages, elements(pages), profile.BRIEF)
 
 
 @query(
@@ -464,7 +464,7 @@ def profile_table_samples(spark, folder):
     f"WITH {LISTED} SELECT page_id, 1 AS rank, 'data-key' AS name, min(p_partkey)::VARCHAR AS value FROM listed GROUP BY page_id",
 )
 def profile_data_attributes(spark, folder):
-    return profile.data_attributes(elements(place_pages(rendered(spark, folder))))
+    return profile.data_attributes(elements(place_pages(rendered(spark, folder))), profile.BRIEF)
 
 
 @query(
@@ -473,7 +473,7 @@ def profile_data_attributes(spark, folder):
 )
 def profile_paging_candidates(spark, folder):
     pages = place_pages(rendered(spark, folder))
-    return profile.paging_candidates(pages, elements(pages))
+    return profile.paging_candidates(pages, elements(pages), profile.BRIEF)
 
 
 @query(
@@ -484,7 +484,7 @@ def profile_paging_candidates(spark, folder):
 )
 def profile_sample_links(spark, folder):
     pages = place_pages(stored(spark, folder))
-    return profile.sample_links(pages, elements(pages))
+    return profile.sample_links(pages, elements(pages), profile.BRIEF)
 
 
 @query(
@@ -493,14 +493,14 @@ def profile_sample_links(spark, folder):
 )
 def profile_snippet(spark, folder):
     pages = place_pages(stored(spark, folder))
-    return profile.body_snippet(pages, elements(pages))
+    return profile.body_snippet(pages, elements(pages), profile.BRIEF)
 
 
 @query("profile_summary")
 def profile_summary(spark, folder):
     """Whole summary text per catalog page; its parts are checked one by one above."""
     pages = place_pages(rendered(spark, folder))
-    return profile.summary(pages, elements(pages))
+    return profile.summary(pages, elements(pages), profile.BRIEF)
 
 
 @query(

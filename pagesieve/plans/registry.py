@@ -14,11 +14,11 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(spark, folder)`` under ``name`` with its oracle SQL."""
 
     def keep(fn):
-        from pagesieve.session import tune
+        from pagesieve.session import tune, with_folder
 
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, folder: fn(tune(spark), folder)
+        QUERIES[name] = lambda spark, folder: fn(with_folder(tune(spark)), folder)
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -25,10 +25,10 @@ def page_scan(spark, folder):
     return scan_pages(pages(spark, folder)).select("page_id", "content_hash", "original_bytes", "analyzed_bytes", "truncated")
 
 
-@query("page_scan_truncated", """SELECT page_id, octet_length(encode(html)) AS original_bytes, octet_length(encode(html)) > 500 AS truncated, left(html, 200) AS head FROM pages""")
+@query("page_scan_truncated", """SELECT page_id, octet_length(encode(html)) AS original_bytes, octet_length(encode(html)) > 500 AS truncated, CASE WHEN octet_length(encode(html)) <= 500 THEN html ELSE list_aggregate(list_filter(list_transform(range(120, 501), lambda n: left(html, n)), lambda h: octet_length(encode(h)) <= 500), 'max') END AS head FROM pages""")
 def page_scan_truncated(spark, folder):
     done = scan_pages(pages(spark, folder), 500)
-    return done.select("page_id", "original_bytes", "truncated", F.substring("html", 1, 200).alias("head"))
+    return done.select("page_id", "original_bytes", "truncated", F.col("html").alias("head"))
 
 
 @query("page_content_type_filter", "SELECT page_id FROM pages WHERE page_id % 3 <> 1")
@@ -38,7 +38,7 @@ def page_content_type_filter(spark, folder):
 
 
 @query("page_quality", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'structureless' WHEN 1 THEN 'structureless' WHEN 2 THEN 'binary' ELSE 'ok' END AS label,
-       CASE WHEN page_id % 5 >= 3 THEN len(regexp_extract_all(left(html, 20000), '<[a-zA-Z!/][^>]*>')) WHEN page_id % 5 = 1 THEN 0 ELSE 0 END AS tag_count,
+       CASE WHEN page_id % 5 >= 3 THEN len(regexp_extract_all(html, '<[a-zA-Z!/][^>]*>')) WHEN page_id % 5 = 1 THEN 0 ELSE 0 END AS tag_count,
        CASE WHEN page_id % 5 >= 3 THEN len(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) WHEN page_id % 5 = 1 THEN 4 ELSE 0 END AS text_length FROM pages""")
 def page_quality(spark, folder):
     k = F.col("page_id") % 5
@@ -56,15 +56,15 @@ def page_challenge(spark, folder):
     return pages(spark, folder).select("page_id", classify.challenge_reason(F.concat(mark, F.col("html")), F.col("url")).alias("reason"))
 
 
-@query("page_sparse", "SELECT page_id, len(replace(replace(left(html, 620), ' ', ''), chr(10), '')) < 500 AS sparse FROM pages")
+@query("page_sparse", "SELECT page_id, len(replace(replace(html, ' ', ''), chr(10), '')) < 500 AS sparse FROM pages")
 def page_sparse(spark, folder):
-    return pages(spark, folder).select("page_id", classify.is_sparse(F.substring("html", 1, 620)).alias("sparse"))
+    return pages(spark, folder).select("page_id", classify.is_sparse(F.col("html")).alias("sparse"))
 
 
-@query("page_rerender", """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'sparse' WHEN page_id % 4 = 1 THEN 'garbled' WHEN page_id % 3 = 0 THEN 'blocked_status' WHEN page_id % 4 = 2 THEN 'auto_solvable_challenge' END AS why FROM pages""")
+@query("page_rerender", """SELECT page_id, CASE WHEN page_id % 4 = 0 AND len(replace(replace(regexp_replace(html, '<p>.*?</p>', '', 'gs'), ' ', ''), chr(10), '')) < 500 THEN 'sparse' WHEN page_id % 4 = 1 THEN 'garbled' WHEN page_id % 3 = 0 THEN 'blocked_status' WHEN page_id % 4 = 2 THEN 'auto_solvable_challenge' END AS why FROM pages""")
 def page_rerender(spark, folder):
     k = F.col("page_id") % 4
-    html = F.when(k == 0, F.substring("html", 1, 300)).when(k == 1, F.regexp_replace("html", "[aeiourst]", "�")).when(k == 2, F.concat("html", F.lit("/cdn-cgi/challenge-platform/"))).otherwise(F.col("html"))
+    html = F.when(k == 0, F.regexp_replace("html", "(?s)<p>.*?</p>", "")).when(k == 1, F.regexp_replace("html", "[aeiourst]", "�")).when(k == 2, F.concat("html", F.lit("/cdn-cgi/challenge-platform/"))).otherwise(F.col("html"))
     status = F.when(F.col("page_id") % 3 == 0, 429).otherwise(200)
     return pages(spark, folder).select("page_id", classify.rerender_reason(html, status, F.col("url")).alias("why"))
 

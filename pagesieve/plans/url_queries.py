@@ -81,7 +81,7 @@ def url_glob_include_exclude(spark, folder):
     from pagesieve.operators.links import discover_same_site
 
     found = discover_same_site(
-        page_links(load(spark, folder, "pages")), include=("*://*/t*", "*a?"), exclude=("*e",), limit=100_000
+        page_links(load(spark, folder, "pages")), include=("*://*/t*", "*a?"), exclude=("*e",)
     )
     return found.select("page_id", "pos", "normalized_url")
 

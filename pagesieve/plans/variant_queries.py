@@ -61,7 +61,7 @@ combos AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY i0, i1, i2
 @query("variant_combinations", f"""WITH {_COMBOS} SELECT spec_id, combo_idx, id AS combo_id, label, l0 AS unit_system, l1 AS serving_basis, sel AS calories, r AS region, false AS over_limit FROM combos
        UNION ALL SELECT s_suppkey, 0, NULL, NULL, NULL, NULL, NULL, NULL, true FROM supplier WHERE s_suppkey % 15 = 0""")
 def variant_combinations(spark, folder):
-    done = variants.combinations(_options(spark, folder))
+    done = variants.combinations(_options(spark, folder), 12)
     get = lambda m, k: F.try_element_at(m, F.lit(k))
     return done.select(
         "spec_id", "combo_idx", "combo_id", "label", get("metadata", "unit_system").alias("unit_system"), get("metadata", "serving_basis").alias("serving_basis"),
@@ -72,7 +72,7 @@ def variant_combinations(spark, folder):
 @query("variant_field_overrides", f"""WITH {_COMBOS} SELECT spec_id, combo_idx, name, CASE WHEN name = 'f1' THEN coalesce(sel, 'td.c') ELSE 'td.' || name END AS selector
        FROM combos, (VALUES ('f1'), ('f2')) v(name)""")
 def variant_field_overrides(spark, folder):
-    combos = variants.combinations(_options(spark, folder)).filter(~F.col("over_limit"))
+    combos = variants.combinations(_options(spark, folder), 12).filter(~F.col("over_limit"))
     listed = F.array(
         F.struct(F.lit("f1").alias("name"), F.lit("Calories").alias("label"), F.lit(None).cast("string").alias("user_label"), F.lit("td.c").alias("selector")),
         F.struct(F.lit("f2").alias("name"), F.lit("Fat").alias("label"), F.lit("Fat").alias("user_label"), F.lit("td.f2").alias("selector")),
@@ -83,7 +83,7 @@ def variant_field_overrides(spark, folder):
 
 @query("variant_row_tags", f"""WITH {_COMBOS} SELECT o_orderkey, spec_id, combo_idx, l0 AS unit_system, l1 AS serving_basis FROM combos JOIN orders ON o_orderkey % (SELECT count(*) FROM supplier) = spec_id WHERE combo_idx < 2""")
 def variant_row_tags(spark, folder):
-    combos = variants.combinations(_options(spark, folder)).filter(~F.col("over_limit"))
+    combos = variants.combinations(_options(spark, folder), 12).filter(~F.col("over_limit"))
     n = load(spark, folder, "supplier").agg(F.count("*")).scalar()
     rows = load(spark, folder, "orders").select("o_orderkey", (F.col("o_orderkey") % n).alias("spec_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("combo_idx"))
     return variants.tag_rows(rows, combos, ["unit_system", "serving_basis"])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,40 +40,34 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return with_folder(spark)
+
+
+def with_folder(spark: SparkSession) -> SparkSession:
+    """For sessions on one machine that name no shared folder: give them one."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return spark
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the cluster's shared checkpoint area; local only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return f"{shared}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"run-{name}-")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; fall back to a scratch folder only if unset."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-ckpt-"))
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder inside the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Reliable checkpoint in the shared folder: survives executor loss, unlike a local one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-PARTITION_BYTES = 32 * 1024 * 1024
-
-
-def partitions_for(df: DataFrame) -> int:
-    """Shuffle partitions for a CPU-heavy exchange: the configured count, more for big inputs."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no JVM handle (Spark Connect): the configured count stands
-        return configured
-    estimated = size // PARTITION_BYTES if size < 2**60 else 0  # unknown sizes report a huge number
-    return max(configured, min(estimated, 1_000_000))

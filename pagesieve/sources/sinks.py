@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.functions.text import strip_ends
+
 LARGE_EXPORT = 10_000
 
 
@@ -47,7 +49,7 @@ def write_json(records: DataFrame, columns: list[str], order: list[str], path: s
 
 def content_block(content: Column, source_url: Column) -> Column:
     """Markdown block of a content row; NULL when it has no text."""
-    body, url = F.trim(content), F.trim(F.coalesce(source_url, F.lit("")))
+    body, url = strip_ends(content), strip_ends(F.coalesce(source_url, F.lit("")))
     header = F.when(url != "", F.concat(F.lit("["), url, F.lit("]("), url, F.lit(")\n\n"))).otherwise(F.lit(""))
     return F.when(body != "", F.concat(header, body))
 

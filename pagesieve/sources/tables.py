@@ -10,17 +10,19 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-MAX_PAGE_BYTES = 2 * 1024 * 1024
 CONTENT_TYPES = ("text/html", "text/plain", "application/xhtml+xml")
 
 
-def scan_pages(pages: DataFrame, max_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
-    """Bodies cut at the byte limit, with hash and byte counts.
+def scan_pages(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Bodies with hash and byte counts, whole unless a byte limit is given.
 
-    The limit is a property of the page scan itself; ``truncated`` reports the
-    pages it touched.  A cut that would split a character drops that character.
+    ``truncated`` reports the pages a limit touched.  A cut that would split a
+    character drops that character.
     """
     size = F.octet_length("html")
+    if max_bytes is None:
+        whole = pages.withColumns({"original_bytes": size.cast("bigint"), "truncated": F.lit(False)})
+        return whole.withColumns({"content_hash": F.sha2("html", 256), "analyzed_bytes": size.cast("bigint")})
     cut = F.substring(F.col("html").cast("binary"), 1, max_bytes).cast("string")
     head = F.regexp_replace(F.make_valid_utf8(cut), "\ufffd$", "")
     body = F.when(size > max_bytes, head).otherwise(F.col("html"))
