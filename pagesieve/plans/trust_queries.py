@@ -334,7 +334,8 @@ def stream_links_once(spark, folder):
     load(spark, folder, "pages").select("page_id", "url", "html").write.mode("append").parquet(source_path)
     stream = spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", 2).parquet(source_path)
     rows = lambda batch: extract_anchors(batch).select("page_id", "pos", "href")
-    _drain(stream.writeStream.option("checkpointLocation", state).foreachBatch(flows.append_new(out, ["page_id", "pos"], ["href"], rows)))
+    body = flows.append_new(spark, out, "page_id long, pos int, href string", ["page_id", "pos"], ["href"], rows, 16)
+    _drain(stream.writeStream.option("checkpointLocation", state).foreachBatch(body))
     return spark.read.parquet(out).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
@@ -342,13 +343,15 @@ def stream_links_once(spark, folder):
 def stream_unique_urls(spark, folder):
     out, state = _scratch(spark) + "/out", _scratch(spark)
     path = _staged(spark, folder, "events", ["event_id", "ts", "user_id"])
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # every event comes again, long after its time
+    load(spark, folder, "events").select("event_id", "ts", "user_id").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
     keyed = stream.select(
         (F.col("user_id") % 20).alias("run_id"), F.concat(F.lit("u"), (F.col("event_id") % 300).cast("string")).alias("normalized_url"), F.col("ts").cast("timestamp").alias("ts")
     )
-    unique = flows.unique_urls(keyed, ["run_id", "normalized_url"], "ts", "3650 days")
-    _drain(unique.select("run_id", "normalized_url").writeStream.format("parquet").option("path", out).option("checkpointLocation", state))
-    return spark.read.parquet(out)
+    body = flows.unique_urls(spark, out, "run_id long, normalized_url string, ts timestamp", ["run_id", "normalized_url"], ["ts"], 16)
+    _drain(keyed.writeStream.option("checkpointLocation", state).foreachBatch(body))
+    return spark.read.parquet(out).select("run_id", "normalized_url")
 
 
 @query("stream_event_log", f"WITH {EVENTS} SELECT event_id, level FROM ev WHERE level = 'error'")
@@ -365,16 +368,11 @@ def stream_event_log(spark, folder):
        s AS (SELECT run_id, ts, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts) AS sid FROM e)
        SELECT run_id, min(ts) AS started, max(ts) + INTERVAL 2 MINUTE AS quiet_since, count(*) AS pages FROM s GROUP BY run_id, sid""")
 def stream_run_liveness(spark, folder):
-    """Activity sessions of ten runs; a late sentinel row per run closes the last ones."""
+    """Bursts of ten runs, from a stream whose rows come in any order."""
     out, state = _scratch(spark) + "/out", _scratch(spark)
     rows = load(spark, folder, "events").select((F.col("user_id") % 10).alias("run_id"), F.col("ts").cast("timestamp").alias("ts"))
     path = _scratch(spark) + "/in"
     rows.repartition(2).write.parquet(path)
     stream = spark.readStream.schema("run_id long, ts timestamp").parquet(path)
-    live = flows.run_liveness(stream, "ts", "2 minutes", "3650 days")
-
-    def keep(batch, _):
-        batch.write.mode("overwrite").parquet(out)
-
-    _drain(live.writeStream.outputMode("complete").option("checkpointLocation", state).foreachBatch(keep))
-    return spark.read.parquet(out)
+    _drain(flows.sweep(stream.writeStream.option("checkpointLocation", state).foreachBatch(flows.activity(out, "ts", 60)), None))
+    return flows.run_liveness(spark.read.parquet(out), 120)

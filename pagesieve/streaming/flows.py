@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagesieve.operators.ledger import clamp_level
+from pagesieve.session import cut_lineage
 from pagesieve.sources.sinks import new_rows
 
 
@@ -16,30 +17,39 @@ def page_stream(spark, folder: str, schema: str = "page_id long, url string, htm
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def append_new(path: str, keys: list[str], tie: list[str], extract: Callable[[DataFrame], DataFrame]):
+BUCKETS = 256
+
+
+def append_new(
+    spark: SparkSession, path: str, schema: str, keys: list[str], tie: list[str],
+    extract: Callable[[DataFrame], DataFrame] = lambda batch: batch, buckets: int = BUCKETS,
+):
     """foreachBatch body: extract rows of a micro-batch and append the unseen keys.
 
-    A replayed batch finds its own keys stored and appends nothing, which makes
+    The target (columns ``schema``) is created here and partitioned by a hash
+    bucket of the key; a batch reads the keys of its own buckets only.  A
+    replayed batch finds its own keys stored and appends nothing, which makes
     the sink idempotent without a transactional table.
     """
+    full = f"{schema}, bucket int"
+    spark.createDataFrame([], full).write.mode("append").partitionBy("bucket").parquet(path)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = extract(batch)
-        try:
-            existing = spark.read.parquet(path).select(*keys)
-        except Exception as error:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            existing = rows.select(*keys).limit(0)
-        new_rows(rows, existing, keys, tie).write.mode("append").parquet(path)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        rows = cut_lineage(extract(batch).withColumn("bucket", bucket))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        stored = batch.sparkSession.read.schema(full).parquet(path).filter(F.col("bucket").isin(touched))
+        new_rows(rows, stored, [*keys, "bucket"], tie).write.mode("append").partitionBy("bucket").parquet(path)
 
     return run
 
 
-def unique_urls(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 hour") -> DataFrame:
-    """Drop URLs already seen in the run within the watermark."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+def unique_urls(spark: SparkSession, path: str, schema: str, keys: list[str], tie: list[str], buckets: int = BUCKETS):
+    """foreachBatch body that stores each URL of a run once, for the whole run.
+
+    Nothing is kept in stream state, so nothing expires and no late row is lost.
+    """
+    return append_new(spark, path, schema, keys, tie, buckets=buckets)
 
 
 def event_log(stream: DataFrame, level: str | None = None) -> DataFrame:
@@ -48,12 +58,36 @@ def event_log(stream: DataFrame, level: str | None = None) -> DataFrame:
     return out if level is None else out.filter(F.col("level") == level)
 
 
-def run_liveness(stream: DataFrame, event_time: str, gap: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Bursts of page activity per run; a closed session is a run that went quiet."""
-    sessions = stream.withWatermark(event_time, delay).groupBy(F.session_window(event_time, gap), "run_id")
-    return sessions.agg(F.count("*").alias("pages")).select(
-        "run_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("quiet_since"), "pages"
-    )
+def activity(path: str, event_time: str, every_seconds: int):
+    """foreachBatch body that stores a micro-batch as counts per run and time slot.
+
+    Rows of one run combine inside each task first, so a busy run sends one row
+    a slot and task.  A replayed batch overwrites its own folder; late rows add
+    to their slot whenever they come.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        at = F.col(event_time)
+        slot = F.floor(F.unix_seconds(at) / every_seconds)
+        slots = batch.groupBy("run_id", slot.alias("slot")).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("pages"))
+        slots.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return run
+
+
+def run_liveness(slots: DataFrame, gap_seconds: int) -> DataFrame:
+    """Bursts of page activity per run from stored slots no longer than the gap; a closed burst is a run that went quiet.
+
+    Only slots are ordered per run, at most one for each slot length of time.
+    """
+    merged = slots.groupBy("run_id", "slot").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("pages").alias("pages"))
+    order = Window.partitionBy("run_id").orderBy("slot")
+    gap = F.make_interval(secs=F.lit(gap_seconds))
+    fresh = F.coalesce(F.col("first") >= F.lag("last").over(order) + gap, F.lit(True))
+    burst = F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return merged.withColumn("burst", burst).groupBy("run_id", "burst").agg(
+        F.min("first").alias("started"), (F.max("last") + gap).alias("quiet_since"), F.sum("pages").alias("pages")
+    ).drop("burst")
 
 
 def sweep(query, every: str | None = "60 seconds"):
