@@ -192,7 +192,7 @@ def elements(pages: DataFrame) -> DataFrame:
     page_id, open_pos, close_pos, depth, tag, token (the open tag, read with
     :func:`attr`), class_attr, id_attr, parent_pos, parent_tag, parent_token,
     text_from/text_to (slice of :func:`page_texts`), sibling_idx and type_idx
-    (1-based).  Columns a query does not use are pruned.  ``pages`` should come from
+    (1-based), siblings and type_siblings (how many there are).  Columns a query does not use are pruned.  ``pages`` should come from
     :func:`place_pages`.
     """
     spans = _ending(tokens(pages))
@@ -237,7 +237,12 @@ def elements(pages: DataFrame) -> DataFrame:
     siblings = Window.partitionBy("page_id", "parent_pos").orderBy("open_pos")
     typed = Window.partitionBy("page_id", "parent_pos", "tag").orderBy("open_pos")
     return nodes.withColumns(
-        {"sibling_idx": F.row_number().over(siblings), "type_idx": F.row_number().over(typed)}
+        {
+            "sibling_idx": F.row_number().over(siblings),
+            "type_idx": F.row_number().over(typed),
+            "siblings": F.count("*").over(Window.partitionBy("page_id", "parent_pos")),
+            "type_siblings": F.count("*").over(Window.partitionBy("page_id", "parent_pos", "tag")),
+        }
     )
 
 

@@ -19,6 +19,7 @@ from pagesieve.operators.select import (
     SelectorError,
     assign_containers,
     compile_selector,
+    is_valid,
     mark_inside,
     mark_selected,
     relative,
@@ -29,6 +30,7 @@ from pagesieve.session import cut_lineage
 
 # Attributes read before text, and image sources, in order.
 VALUE_ATTRS = ("content", "value", "title", "alt", "aria-label")
+BAD_CONTAINER = "Repeated item selector is invalid: {}"
 IMAGE_ATTRS = ("src", "data-src", "data-original", "srcset")
 
 
@@ -137,6 +139,8 @@ def from_containers(
     Per container and field the first selector variant with a hit decides; its
     first non-empty value is taken.
     """
+    if not is_valid(container):  # no containers, so no records of this kind
+        return by_field_index(pages, nodes, fields).filter(F.lit(False))
     fields = chosen(fields)
     hits = select_many(nodes, {"c|0": container, **_variants(fields, container)})
     is_container = F.col("key") == "c|0"
@@ -372,13 +376,15 @@ def extract_structured(
 ) -> DataFrame:
     """Strategy ladder per page: containers, else aligned fields, else a data table.
 
-    Later strategies parse only the pages earlier ones left empty.  The records
+    A container selector that cannot be read counts as none, with a warning on
+    every record.  Later strategies parse only the pages earlier ones left empty.  The records
     of a strategy are checkpointed before the next one starts: they are far
     smaller than the pages, and knowing which pages are done must not parse
     those pages again.
     """
     steps = [by_field_index, from_tables]
-    if container:
+    bad = bool(container) and not is_valid(container)
+    if container and not bad:
         steps.insert(0, lambda p, n, f, m: from_containers(p, n, f, container, m))
     out, left = None, pages
     for i, step in enumerate(steps):
@@ -388,6 +394,8 @@ def extract_structured(
             left = left.join(found.select("page_id").distinct(), "page_id", "left_anti")
             nodes = elements(place_pages(left))
         out = found if out is None else out.unionByName(found)
+    if bad:
+        out = out.withColumn("warnings", F.array_append("warnings", F.lit(BAD_CONTAINER.format(container))))
     return out
 
 
@@ -414,6 +422,7 @@ def sample_values(
     pages: DataFrame, nodes: DataFrame, field: FieldSpec, container: str | None, max_rows: int | None = None
 ) -> DataFrame:
     """page_id, row_idx, value: what a selector reads per container (or per match)."""
+    container = container if is_valid(container) else None
     variants = _variants([field], container)
     if container is None:
         rows = with_values(select_many(nodes, variants), pages, {0: field.type})
@@ -445,6 +454,7 @@ def check_selectors(
     Fields are probed in the containers of a page (the first ``max_containers``
     if given), or in the whole page when the container selector finds nothing.
     """
+    container = container if is_valid(container) else None
     variants = _variants(fields, None)
     keys = {"c|0": container, **variants} if container else variants
     hits = select_many(nodes, keys)

@@ -8,7 +8,9 @@ far lies beyond me": one running maximum, never an ancestor-descendant join.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +23,12 @@ RELAXABLE = ("p", "span", "div", "b", "strong", "em", "i", "small", "label", "fo
 _SIMPLE = re.compile(
     r"(?P<tag>^[A-Za-z*][\w-]*|^\*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)"
     r"|\[(?P<attr>[\w-]+)(?:(?P<op>[\^*$~|]?=)(?:\"(?P<dq>[^\"]*)\"|'(?P<sq>[^']*)'|(?P<bare>[^\]\"']*)))?\]"
-    r"|:(?P<nth>nth-child|nth-of-type)\((?P<n>\d+)\)|:(?P<first>first-child)"
+    r"|:(?P<nth>nth-child|nth-of-type|nth-last-child|nth-last-of-type)\((?P<n>[^()]*)\)"
+    r"|:(?P<end>first-child|last-child|only-child|first-of-type|last-of-type|only-of-type|empty)(?![\w-])"
+    r"|:not\((?P<no>(?:[^()\"']|\"[^\"]*\"|'[^']*'|\([^()]*\))*)\)"
 )
+_STEP = re.compile(r"(?P<a>[+-]?\d*)n\s*(?:(?P<sign>[+-])\s*(?P<b>\d+))?$|(?P<only>[+-]?\d+)$")
+_LINKS = (">", "+", "~")
 
 
 class SelectorError(ValueError):
@@ -51,7 +57,7 @@ def parent_view() -> View:
 @dataclass
 class Compound:
     conditions: list = field(default_factory=list)
-    child: bool = False  # '>' in front of it
+    link: str = " "  # the combinator in front of it
     positional: bool = False  # reads sibling indexes, which only the own row has
 
     def matches(self, view: View | None = None) -> Column:
@@ -61,6 +67,35 @@ class Compound:
         return F.coalesce(out, F.lit(False))
 
 
+def _place(of_type: bool, from_end: bool) -> Callable[[], Column]:
+    """Position of an element among its siblings, 1-based."""
+    index, count = ("type_idx", "type_siblings") if of_type else ("sibling_idx", "siblings")
+    return lambda: F.col(count) - F.col(index) + 1 if from_end else F.col(index)
+
+
+def _nth(place: Callable[[], Column], formula: str):
+    """``an+b``: the place is b plus a multiple of a that is not negative."""
+    text = {"odd": "2n+1", "even": "2n"}.get(formula.strip().lower(), formula.strip().lower())
+    m = _STEP.match(text)
+    if m is None:
+        raise SelectorError(formula)
+    if m["only"]:
+        return lambda v: place() == int(m["only"])
+    a = int(m["a"] + "1") if m["a"] in ("", "+", "-") else int(m["a"])
+    b = int((m["sign"] or "+") + (m["b"] or "0"))
+    if a == 0:
+        return lambda v: place() == b
+    return lambda v: ((place() - b) % F.lit(abs(a)) == 0) & ((place() - b) * (1 if a > 0 else -1) >= 0)
+
+
+def _at_end(name: str):
+    if name == "empty":
+        return lambda v: (F.col("text_from") == F.col("text_to")) & (F.col("close_pos") - F.col("open_pos") <= 2)
+    of_type = name.endswith("of-type")
+    ends = {"first": (False,), "last": (True,), "only": (False, True)}[name.split("-")[0]]
+    return lambda v: reduce(lambda x, y: x & y, [_place(of_type, from_end)() == 1 for from_end in ends])
+
+
 def _condition(m: re.Match):
     if m["tag"]:
         tag = m["tag"].lower()
@@ -70,10 +105,14 @@ def _condition(m: re.Match):
     if m["id"]:
         return lambda v: v.id_attr == m["id"]
     if m["nth"]:
-        column = "sibling_idx" if m["nth"] == "nth-child" else "type_idx"
-        return lambda v: F.col(column) == int(m["n"])
-    if m["first"]:
-        return lambda v: F.col("sibling_idx") == 1
+        return _nth(_place(m["nth"].endswith("of-type"), "last" in m["nth"]), m["n"])
+    if m["end"]:
+        return _at_end(m["end"])
+    if m["no"] is not None:
+        chains = compile_selector(m["no"])
+        if any(len(chain) > 1 for chain in chains):
+            raise SelectorError(m["no"])
+        return lambda v: ~reduce(lambda x, y: x | y, [chain[0].matches(v) for chain in chains])
     name, op = m["attr"], m["op"]
     if op is None:
         return lambda v: has_attr(name, v.token)
@@ -113,15 +152,16 @@ def compile_selector(selector: str) -> list[list[Compound]]:
     """Alternatives of compound chains; raises SelectorError when not understood."""
     chains = []
     for alternative in _split_outside(selector, ","):
-        chain, child = [], False
-        spaced = " > ".join(_split_outside(alternative, ">"))
+        chain, link, spaced = [], " ", alternative
+        for sign in _LINKS:
+            spaced = f" {sign} ".join(_split_outside(spaced, sign))
         for piece in _split_outside(spaced.strip(), " \t\n"):
             if piece == "":
                 continue
-            if piece == ">":
-                if child or not chain:
+            if piece in _LINKS:
+                if link != " " or not chain:
                     raise SelectorError(selector)
-                child = True
+                link = piece
                 continue
             conditions, at, positional = [], 0, False
             while at < len(piece):
@@ -129,11 +169,11 @@ def compile_selector(selector: str) -> list[list[Compound]]:
                 if m is None or (m["tag"] and at):
                     raise SelectorError(selector)
                 conditions.append(_condition(m))
-                positional = positional or bool(m["nth"] or m["first"])
+                positional = positional or bool(m["nth"] or m["end"] or m["no"])
                 at = m.end()
-            chain.append(Compound(conditions, child, positional))
-            child = False
-        if not chain or child:
+            chain.append(Compound(conditions, link, positional))
+            link = " "
+        if not chain or link != " ":
             raise SelectorError(selector)
         chains.append(chain)
     return chains
@@ -163,7 +203,7 @@ def mark_selected(nodes: DataFrame, selector: str, out: str) -> DataFrame:
     scratch, flags = [], []
     for a, chain in enumerate(compile_selector(selector)):
         rest, flag = chain[1:], None
-        if rest and rest[0].child and not chain[0].positional:
+        if rest and rest[0].link == ">" and not chain[0].positional:
             flag = rest[0].matches() & chain[0].matches(parent_view())
             rest = rest[1:]
         else:
@@ -172,7 +212,14 @@ def mark_selected(nodes: DataFrame, selector: str, out: str) -> DataFrame:
             held, reach = f"__{out}_{a}_{s}", f"__{out}_{a}_{s}_in"
             nodes = nodes.withColumn(held, flag)
             scratch += [held, reach]
-            if compound.child:
+            if compound.link in ("+", "~"):
+                before = Window.partitionBy("page_id", "parent_pos").orderBy("open_pos")
+                if compound.link == "+":
+                    reached = F.lag(held).over(before)
+                else:
+                    reached = F.bool_or(held).over(before.rowsBetween(Window.unboundedPreceding, -1))
+                nodes = nodes.withColumn(reach, F.coalesce(reached, F.lit(False)))
+            elif compound.link == ">":
                 nodes = with_parent_value(nodes, F.col(held), reach).withColumn(
                     reach, F.coalesce(F.col(reach), F.lit(False))
                 )
@@ -211,7 +258,7 @@ def relaxed(selector: str) -> list[str]:
     out = [" ".join(words)] if words else []
     while len(words) > 1 and words[-1] in RELAXABLE:
         words = words[:-1]
-        if words[-1] == ">":  # a dangling combinator selects nothing; stop before it
+        if words[-1] in _LINKS:  # a dangling combinator selects nothing; stop before it
             break
         out.append(" ".join(words))
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import coerced, to_boolean
@@ -64,7 +65,7 @@ def dom_text(spark, folder):
     """Text of every paragraph that holds nothing but text."""
     pages = place_pages(stored(spark, folder))
     nodes = elements(pages)
-    inner = F.lead("open_pos").over(__import__("pyspark").sql.Window.partitionBy("page_id").orderBy("open_pos"))
+    inner = F.lead("open_pos").over(Window.partitionBy("page_id").orderBy("open_pos"))
     leaves = nodes.withColumn("next", inner).filter(
         (F.col("tag") == "p") & (F.coalesce(F.col("next"), F.lit(2_000_000_000)) > F.col("close_pos")) & (F.col("close_pos") % 2 == 0)
     )
@@ -124,6 +125,29 @@ def dom_attribute_values(spark, folder):
 
 # --- records --------------------------------------------------------------------------
 
+_SIBLINGS = {
+    "li.part-card:last-child": "1", "li.part-card:first-child": "1", "li.part-card:not(:last-child)": "n - 1", "a:not([href^='/']):not(.name)": "4",
+    "ul.parts > li:nth-child(odd)": "(n + 1) // 2", "li:nth-child(2n)": "n // 2", "li:nth-child(3n+2)": "(n + 1) // 3", "li:nth-last-child(-n+2)": "least(n, 2)",
+    "h1 + ul.parts": "1", "h1 + ul.parts > li": "n", "h1 ~ table": "1", "a.name + span": "n", "a.name ~ em.stock": "n", "a.name + em": "0",
+    "td:last-of-type": "n", "main > :not(h1, ul)": "1", "b.price ~ :not(i)": "2 * n",
+}
+
+
+@query(
+    "dom_select_siblings",
+    f"WITH {LISTED}, c AS (SELECT page_id, count(*) AS n FROM listed GROUP BY 1), s AS ("
+    + " UNION ALL ".join(
+        "SELECT page_id, '{}' AS selector, {} AS n FROM c".format(s.replace("'", "''"), n) for s, n in _SIBLINGS.items()
+    )
+    + ") SELECT * FROM s WHERE n > 0",
+)
+def dom_select_siblings(spark, folder):
+    from pagesieve.operators.select import select_many
+
+    nodes = elements(place_pages(rendered(spark, folder)))
+    return select_many(nodes, {s: s for s in _SIBLINGS}).groupBy("page_id", F.col("key").alias("selector")).agg(F.count("*").alias("n"))
+
+
 CARD_FIELDS = [
     FieldSpec("name", "li.part-card .name", required=True),
     FieldSpec("brand", ".brand span"),
@@ -150,6 +174,19 @@ def record_containers(spark, folder):
     return records.typed(found, CARD_FIELDS).drop("strategy", "warnings", "price__text", "size__text", "in_stock__text")
 
 
+@query(
+    "record_bad_container",
+    f"""WITH {LISTED} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) - 1 AS record_ordinal, 'field_index' AS strategy, p_name AS name,
+          'gone has no selector.|' || 'odd selector is invalid: b::price|Repeated item selector is invalid: li::card' AS warnings FROM listed""",
+)
+def record_bad_container(spark, folder):
+    """An unreadable container falls through to aligned fields; every record carries the warnings."""
+    pages = place_pages(rendered(spark, folder))
+    fields = [FieldSpec("name", "a.name"), FieldSpec("gone"), FieldSpec("odd", "b::price"), FieldSpec("brand", ".brand")]
+    found = records.extract_structured(pages, elements(pages), fields, "li::card")
+    return found.select("page_id", "record_ordinal", "strategy", "name", F.array_join("warnings", "|").alias("warnings"))
+
+
 @query(
     "record_containers_capped",
     f"""WITH {LISTED} SELECT page_id, p_name AS name FROM listed QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) <= 4""",
@@ -169,7 +206,6 @@ def record_required_filter(spark, folder):
     """Cards without a price element are dropped when price is required."""
     part = load(spark, folder, "part")
     pages = rendered(spark, folder)
-    bare = F.regexp_replace("html", r'<b class="price">[^<]*</b>(<i class="size">(?:[0-9]*[0369]|[0-9]*)</i>)', "$1")
     thirds = "|".join(str(n) for n in range(0, 200, 3))
     bare = F.regexp_replace("html", rf'<b class="price">[^<]*</b>(<i class="size">(?:{thirds})</i>)', "$1")
     pages = place_pages(pages.withColumn("html", bare))
