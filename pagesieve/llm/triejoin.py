@@ -11,10 +11,11 @@ the shared paths and leaves a subtree as soon as the n-grams left on either side
 cannot reach the required overlap.
 
 Only components are asked for, so links inside a component need not all be
-found: every class is first tested against one pivot, the class that shares
-most; then only classes that still lie in different components are paired, and
-each pair is tested unless its n-gram histograms already exclude a link.  No
-candidate is capped, so no link between components is lost.
+found.  Classes that share an n-gram with few others are paired at once; the
+others are tested against one pivot, the class that shares most, and inside
+chunks of fixed size.  What then still lies in different components is compared
+in blocks, unless n-gram histograms exclude a link.  No candidate is capped, so
+no link between components is lost.
 
 How common an n-gram is only steers the order, never the result: fixed-size bit
 sets mark those above some counts, counted over all documents.
@@ -48,6 +49,7 @@ FULL = 65535
 FEW = 8
 BLOCK_TOKENS = 1 << 20
 BLOCK_MEMBERS = 64
+CHUNK = 512
 _WALK = 64
 
 
@@ -272,6 +274,65 @@ def _trie_test(percent: int):
     return run
 
 
+def _seek(percent: int):
+    """A block of sets: links that join components, between the rows that seek and all rows.
+
+    Rows of one component are one label from the start; a link merges two
+    labels, and pairs of one label are left alone.  Histograms thin out what a
+    trie is built of.
+    """
+
+    def run(block: pa.Table) -> pa.Table:
+        cls, n = block.column("cls").to_pylist(), block.column("n").to_numpy().astype(np.int64)
+        lists = block.column("keys").combine_chunks()
+        keys = [lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for i in range(len(cls))]
+        shapes = np.stack([np.minimum(np.bincount((k & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), FULL).astype(np.uint16) for k in keys])
+        full = (shapes == FULL).any(1)
+        label = np.unique(block.column("root").to_numpy(), return_inverse=True)[1]
+        a, b = [], []
+        for i in np.flatnonzero(block.column("seeks").to_numpy(zero_copy_only=False)):
+            others = np.flatnonzero(label != label[i])
+            need = needed(n[i], n[others], percent)
+            fits = np.minimum(n[i], n[others]) >= need
+            others, need = others[fits], need[fits]
+            bound = np.minimum(shapes[i], shapes[others]).sum(1, dtype=np.int64)
+            others = others[(bound >= need) | (full[i] & full[others])]
+            for j in others[walk(keys[i], [keys[o] for o in others], percent)]:
+                if label[j] != label[i]:
+                    a.append(cls[i])
+                    b.append(cls[j])
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _by_chunks(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside chunks of the classes that share a common n-gram.
+
+    Each class takes part once, under its commonest n-gram, in a chunk drawn by
+    hash; the work grows with the classes, not with the squares of groups.
+    """
+    rows = index.groupBy("cls").agg(F.max(F.struct("among", "key", "n", "root")).alias("p")).select("cls", "p.*")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("among") / CHUNK)))
+    rows = rows.join(sets, "cls").withColumn("seeks", F.lit(True))
+    return rows.groupBy("key", "chunk").applyInArrow(_seek(percent), "a long, b long")
+
+
+def _by_blocks(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links left between components: of each n-gram, every class outside its largest component against all its classes."""
+    largest = index.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("p"), F.sum("m").alias("all"))
+    largest = durable(largest.select("key", F.col("p.root").alias("main"), F.ceil((F.col("all") - F.col("p.m")) / CHUNK).alias("blocks"), F.ceil(F.col("all") / CHUNK).alias("chunks")))
+    rows = index.join(largest, "key")
+    own = rows.where(F.col("root") != F.col("main")).select(
+        "key", "cls", "n", "root", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("seeks")
+    )
+    every = rows.select(
+        "key", "cls", "n", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk"), F.lit(False).alias("seeks")
+    )
+    return own.union(every).join(sets, "cls").groupBy("key", "block", "chunk").applyInArrow(_seek(percent), "a long, b long")
+
+
 def _possible(percent: int):
     """Pairs whose histograms leave room for the required overlap: it is the sum of the minima at most."""
 
@@ -378,28 +439,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows equal in id and text have one mark: those (and a few false hits of the bit set) need a pass to keep one
     again = BitSet.of(rows.where("mark IS NOT NULL").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), bits)
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar; full sets are read again for those alone that histograms leave over."""
-        shape = lambda side: classes.select(F.col("cls").alias(side), F.col("n").alias(f"{side}n"), F.col("shape").alias({"a": "x", "b": "y"}[side]))
-        pairs = durable(pairs.join(shape("a"), "a").join(shape("b"), "b").mapInArrow(_possible(percent), "a long, b long"))
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        involved = durable(involved.join(classes.select("cls", "mark", "digest"), "cls"))
-        wanted = BitSet.of(involved.select("mark"), bits)
-        if not wanted.words.any():
-            return pairs
-        sets = texts.select("row_hash", "text").mapInArrow(_full_sets(width, levels, wanted, again), "digest binary, again boolean, keys array<long>")
-        sets = durable(sets.join(involved.select("digest", "cls"), "digest").drop("digest"))
-        sets = sets.where("NOT again").union(sets.where("again").dropDuplicates(["cls"])).drop("again")
-        return durable(_test(pairs, sets, percent))
-
     index = classes.select("cls", "n", F.size("prefix").alias("shared"), F.inline("prefix"), F.col("cls").alias("root"))
     index = durable(_open_keys(index, percent))
     few, many = index.where(F.col("among") <= FEW), index.where(F.col("among") > FEW)
-    links = tested(_cross_pairs(few, percent).union(_pivot_pairs(many, percent)).distinct())
-    roots = durable(components(links))
-    left = durable(_open_keys(_rooted(many, roots), percent, 2))
-    links = links.union(tested(_cross_pairs(left, percent)))
-    roots = durable(components(links))
+    shape = lambda side: classes.select(F.col("cls").alias(side), F.col("n").alias(f"{side}n"), F.col("shape").alias({"a": "x", "b": "y"}[side]))
+    pairs = _cross_pairs(few, percent).union(_pivot_pairs(many, percent)).distinct().join(shape("a"), "a").join(shape("b"), "b")
+    pairs = durable(pairs.mapInArrow(_possible(percent), "a long, b long"))
+    # full sets are read again, for those classes alone that may have links
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(many.select("cls")).distinct()
+    involved = durable(involved.join(classes.select("cls", "mark", "digest"), "cls"))
+    wanted = BitSet.of(involved.select("mark"), bits)
+    sets = texts.select("row_hash", "text").mapInArrow(_full_sets(width, levels, wanted, again), "digest binary, again boolean, keys array<long>")
+    sets = durable(sets.join(involved.select("digest", "cls"), "digest").drop("digest"))
+    sets = sets.where("NOT again").union(sets.where("again").dropDuplicates(["cls"])).drop("again")
+
+    links = durable(_test(pairs, sets, percent).union(_by_chunks(many, sets, percent)))
+    left = durable(_open_keys(_rooted(many, components(links)), percent, 2))
+    links = links.union(_by_blocks(left, sets, percent))
+    roots = components(links)
 
     rooted = _rooted(classes.select("digest", "cls", "id", "class_size"), roots)
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("first")
