@@ -319,18 +319,41 @@ def _by_chunks(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key", "chunk").applyInArrow(_seek(percent), "a long, b long")
 
 
-def _by_blocks(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links left between components: of each n-gram, every class outside its largest component against all its classes."""
+def _by_blocks(index: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """All pairs between components that may still link: of each n-gram, every class outside its largest component against all its classes."""
     largest = index.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("p"), F.sum("m").alias("all"))
     largest = durable(largest.select("key", F.col("p.root").alias("main"), F.ceil((F.col("all") - F.col("p.m")) / CHUNK).alias("blocks"), F.ceil(F.col("all") / CHUNK).alias("chunks")))
-    rows = index.join(largest, "key")
+    rows, left = index.join(largest, "key"), (F.col("n") - F.col("pos")).alias("left")
     own = rows.where(F.col("root") != F.col("main")).select(
-        "key", "cls", "n", "root", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("seeks")
+        "key", "cls", "n", "root", left, F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("seeks")
     )
     every = rows.select(
-        "key", "cls", "n", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk"), F.lit(False).alias("seeks")
+        "key", "cls", "n", "root", left, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk"), F.lit(False).alias("seeks")
     )
-    return own.union(every).join(sets, "cls").groupBy("key", "block", "chunk").applyInArrow(_seek(percent), "a long, b long")
+    return own.union(every).join(shapes, "cls").groupBy("key", "block", "chunk").applyInArrow(_candidates(percent), "a long, b long").distinct()
+
+
+def _candidates(percent: int):
+    """A block of histograms: pairs of a row that seeks and a row of another component whose bound allows a link."""
+
+    def run(block: pa.Table) -> pa.Table:
+        read = lambda name: block.column(name).to_numpy().astype(np.int64)
+        cls, n, root, left = map(read, ("cls", "n", "root", "left"))
+        shapes = np.frombuffer(b"".join(block.column("shape").to_pylist()), "<u2").reshape(-1, HISTOGRAM)
+        full = (shapes == FULL).any(1)
+        a, b = [cls[:0]], [cls[:0]]
+        for i in np.flatnonzero(block.column("seeks").to_numpy(zero_copy_only=False)):
+            others = np.flatnonzero(root != root[i])
+            need = needed(n[i], n[others], percent)
+            fits = np.minimum(left[i], left[others]) >= need
+            others, need = others[fits], need[fits]
+            bound = np.minimum(shapes[i], shapes[others]).sum(1, dtype=np.int64)
+            others = others[(bound >= need) | (full[i] & full[others])]
+            a.append(np.minimum(cls[i], cls[others]))
+            b.append(np.maximum(cls[i], cls[others]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
 
 
 def _possible(percent: int):
@@ -455,7 +478,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = durable(_test(pairs, sets, percent).union(_by_chunks(many, sets, percent)))
     left = durable(_open_keys(_rooted(many, components(links)), percent, 2))
-    links = links.union(_by_blocks(left, sets, percent))
+    pairs = durable(_by_blocks(left, classes.select("cls", "shape"), percent))
+    links = links.union(_test(pairs, sets, percent))
     roots = components(links)
 
     rooted = _rooted(classes.select("digest", "cls", "id", "class_size"), roots)
