@@ -47,7 +47,7 @@ def _stream(pages: DataFrame, nodes: DataFrame, selectors: list[str], primary: s
     rank = F.coalesce(*[F.when(F.col(f"__s{i}"), F.lit(i)) for i in range(len(selectors))])
     nodes = nodes.withColumns({"rank": rank, "gone": is_furniture()})
     nodes = mark_selected(nodes, primary, "preferred") if primary else nodes.withColumn("preferred", F.lit(False))
-    keep = [F.col(c) for c in ("open_pos", "close_pos", "tag", "token", "rank", "preferred", "gone", "parent_tag", "type_idx")]
+    keep = [F.col(c) for c in ("open_pos", "close_pos", "tag", "token", "rank", "preferred", "gone", "parent_tag", "parent_token", "type_idx", "sibling_idx", "siblings")]
     marks = nodes.select(
         "page_id",
         F.inline(
@@ -117,44 +117,70 @@ def readable_text(pages: DataFrame, nodes: DataFrame, primary: str | None = None
     return joined.select("page_id", F.array_join(lines, "\n").alias("text"))
 
 
-def _code_language() -> Column:
+def _code_language(token: Column) -> Column:
+    """Language named by the classes of an open tag; NULL without one."""
     found = F.filter(
-        F.transform(classes(), lambda c: F.regexp_extract(c, "^(?:language|lang|highlight)-(.+)$", 1)), lambda c: c != ""
+        F.transform(classes(token), lambda c: F.regexp_extract(c, "^(?:language|lang|highlight)-(.+)$", 1)), lambda c: c != ""
     )
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+    return F.get(found, F.lit(0))
 
 
 # Block elements that stand on their own lines.
 _PARAGRAPHS = (
-    "p", "div", "section", "article", "main", "table", "tr", "ul", "ol", "dl", "dt", "dd", "blockquote",
+    "p", "div", "section", "article", "main", "table", "ul", "ol", "dl", "dt", "dd", "blockquote",
     "figure", "figcaption", "address", "details", "summary", "fieldset",
 )
 
 
+INDENT = "\x00"  # stands for a list level until blanks are trimmed; a page cannot hold it
+
+
 def markdown(pages: DataFrame, nodes: DataFrame, primary: str | None = None) -> DataFrame:
-    """page_id, text: headings, lists, links, emphasis and fenced code, blank runs trimmed."""
+    """page_id, text: headings, nested lists, links, emphasis, tables and fenced code, blank runs trimmed.
+
+    A fence names the language of the ``pre`` element, else of its parent, else
+    of a ``code`` element that opens it.  The first row of a table is its head.
+    """
     pieces = content_pieces(pages, nodes, primary)
     tag, start, text = F.col("tag"), F.col("step") == 1, F.col("step") == 0
     order = Window.partitionBy("page_id").orderBy("at", F.desc("step"), F.desc("open_pos"))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     pre_end = F.max(F.when(start & (tag == "pre"), F.col("close_pos"))).over(so_far)
     in_pre = F.coalesce(F.col("at") < pre_end, F.lit(False))
+    code = F.when((F.lead("tag").over(order) == "code") & (F.lead("step").over(order) == 1), F.lead("token").over(order))
+    is_list = tag.isin("ul", "ol")
+    depth = F.sum(F.when(is_list, F.col("step")).otherwise(0)).over(so_far) + F.when(is_list & ~start & ~text, 1).otherwise(0)
+    rows = F.sum(F.when(start & (tag == "tr"), 1).otherwise(0)).over(so_far)
+    pieces = pieces.withColumns({"__code": code, "__depth": depth, "__rows": rows})
+    row = F.col("__rows") - F.last(F.when(start & (tag == "table"), F.col("__rows")), ignorenulls=True).over(so_far)
+    pieces = pieces.withColumn("__row", row)
+    language = F.coalesce(_code_language(F.col("token")), _code_language(F.col("parent_token")), _code_language(F.col("__code")), F.lit(""))
+    cell_end = F.when(
+        (F.col("__row") == 1) & (F.col("sibling_idx") == F.col("siblings")),
+        F.concat(F.lit(" |\n|"), F.repeat(F.lit(" --- |"), F.col("siblings").cast("int"))),
+    ).otherwise(F.lit(" |"))
     level = F.regexp_extract(tag, "^h([1-6])$", 1)
     href = F.coalesce(attr("href"), F.lit(""))
     both = lambda opening, closing: F.when(start, opening).otherwise(closing)
     mark = (
         F.when(text, F.when(F.col("__pre"), F.col("token")).otherwise(F.regexp_replace("token", r"\s+", " ")))
         .when(level != "", both(F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), level.cast("int")), F.lit(" ")), F.lit("\n\n")))
-        .when(tag == "pre", both(F.concat(F.lit("\n\n```"), _code_language(), F.lit("\n")), F.lit("\n```\n\n")))
+        .when(tag == "pre", both(F.concat(F.lit("\n\n```"), language, F.lit("\n")), F.lit("\n```\n\n")))
         .when(F.col("__pre"), F.lit(""))
         .when(
             tag == "li",
             both(
-                F.when(F.col("parent_tag") == "ol", F.concat(F.lit("\n"), F.col("type_idx").cast("string"), F.lit(". ")))
-                .otherwise(F.lit("\n- ")),
+                F.concat(
+                    F.lit("\n"), F.repeat(F.lit(INDENT), F.col("__depth").cast("int") - 1),
+                    F.when(F.col("parent_tag") == "ol", F.concat(F.col("type_idx").cast("string"), F.lit(". "))).otherwise(F.lit("- ")),
+                ),
                 F.lit(""),
             ),
         )
+        .when(is_list & (F.col("__depth") > 1), F.lit(""))
+        .when(tag == "tr", both(F.lit("\n|"), F.lit("")))
+        .when(tag.isin("td", "th"), both(F.lit(" "), cell_end))
+        .when(tag.isin(*_PARAGRAPHS) & F.col("parent_tag").isin("td", "th"), F.lit(""))
         .when(tag.isin(*_PARAGRAPHS), F.lit("\n\n"))
         .when(tag == "br", both(F.lit("\n"), F.lit("")))
         .when(tag == "hr", both(F.lit("\n\n---\n\n"), F.lit("")))
@@ -169,6 +195,7 @@ def markdown(pages: DataFrame, nodes: DataFrame, primary: str | None = None) ->
     body = F.array_join(F.transform("m", lambda p: p["mark"]), "")
     body = F.regexp_replace(body, r"\s+\*\*(?=\n|$)", "**")
     body = F.regexp_replace(F.regexp_replace(body, r"[ \t]+\n", "\n"), r"\n[ \t]+(?=\S)", "\n")
+    body = F.replace(body, F.lit(INDENT), F.lit("  "))
     return joined.select("page_id", strip_ends(F.regexp_replace(body, r"\n{3,}", "\n\n")).alias("text"))
 
 

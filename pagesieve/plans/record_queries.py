@@ -423,14 +423,15 @@ def content_records(spark, folder):
     "content_markdown_catalog",
     f"""WITH {LISTED} SELECT page_id, '# ' || s_name || chr(10) || chr(10) || (SELECT string_agg('- [' || p_name || '](../parts/' || p_partkey || ')' || p_brand
             || '**' || printf('$%.2f', p_retailprice) || '***' || p_size || '**' || CASE WHEN p_size > 25 THEN 'In stock' ELSE 'Out of stock' END || '*', chr(10) ORDER BY p_partkey)
-            FROM listed l WHERE l.page_id = shop.page_id) AS head FROM shop""",
+            FROM listed l WHERE l.page_id = shop.page_id) || chr(10) || chr(10) || '| Part ID | Name | Brand | Size (cm) | Price |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10)
+            || (SELECT string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_brand || ' | ' || p_size || ' | ' || printf('$%.2f', p_retailprice) || ' |', chr(10) ORDER BY p_partkey)
+            FROM listed l WHERE l.page_id = shop.page_id) AS text FROM shop""",
 )
 def content_markdown_catalog(spark, folder):
-    """List part of the catalog main block, up to its table."""
+    """The whole catalog main block: list and table."""
     pages = place_pages(rendered(spark, folder))
     nodes = elements(pages)
-    text = content.markdown(pages, nodes, primary="main")
-    return text.select("page_id", F.regexp_extract("text", r"^([\s\S]*?)\n\nPart ID", 1).alias("head"))
+    return content.markdown(pages, nodes, primary="main")
 
 
 @query(

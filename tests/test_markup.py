@@ -84,3 +84,40 @@ def test_images_and_links_resolve(spark):
     fields = [FieldSpec("link", "a", "url"), FieldSpec("image", "img", "image")]
     found = records.from_containers(pages, elements(pages), fields, ".i").first()
     assert (found.link, found.image) == ("https://h.example/x?y=1#z", "https://h.example/a.png")
+
+
+def test_markdown_keeps_language_nesting_and_cells(spark):
+    from pagesieve.operators.content import markdown
+
+    html = (
+        "<main><pre><code class='language-python'>x = 1</code></pre><div class='highlight-sql'><pre>select 1</pre></div>"
+        "<ul><li>a<ul><li>b<ol><li>c</li></ol></li></ul></li><li>d</li></ul>"
+        "<table><tr><th>H</th><th>K</th></tr><tr><td>1</td><td>2</td></tr></table></main>"
+    )
+    pages = place_pages(spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string"))
+    text = markdown(pages, elements(pages), primary="main").first().text
+    assert "```python\n" in text and "```sql\nselect 1\n```" in text
+    assert "- a\n  - b\n    1. c\n- d" in text
+    assert "| H | K |\n| --- | --- |\n| 1 | 2 |" in text
+
+
+def test_nothing_is_cut(spark):
+    """More containers than any former cap, and a page over two megabytes."""
+    from pagesieve.operators.records import FieldSpec, from_containers
+    from pagesieve.sources.tables import scan_pages
+
+    html = "<ul>" + "".join(f"<li class='card'><b>{i}</b></li>" for i in range(1500)) + "</ul>"
+    pages = place_pages(spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string"))
+    assert from_containers(pages, elements(pages), [FieldSpec("n", "b")], "li.card").count() == 1500
+    big = spark.createDataFrame([(2, "u", "x" * (3 << 20))], "page_id long, url string, html string")
+    row = scan_pages(big).first()
+    assert row.analyzed_bytes == 3 << 20 and not row.truncated and len(row.html) == 3 << 20
+
+
+def test_frontier_goes_beyond_five_thousand_pages(spark):
+    from pagesieve.operators.frontier import expand
+
+    seeds = spark.createDataFrame([(1, "s", None), (2, "s", 50)], "run_id long, url string, page_cap long")
+    edges = spark.range(6000).selectExpr("'s' AS src", "concat('p', id) AS dst", "id AS pos")
+    n = {r.run_id: r["count"] for r in expand(seeds, edges, 2).groupBy("run_id").count().collect()}
+    assert n == {1: 6001, 2: 50}
