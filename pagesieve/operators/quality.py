@@ -120,3 +120,19 @@ def duplicate_columns(records: DataFrame, keys: list[str], fields: list[str]) ->
 def hit_rate(selected: Column, missing: Column) -> Column:
     """Share of selected fields that were found, in percent with one decimal."""
     return F.when(selected > 0, F.round((selected - missing) / selected * 100, 1)).otherwise(F.lit(0.0))
+
+
+def preview_quality(cells: DataFrame, groups: DataFrame, keys: list[str], selected: list[str]) -> DataFrame:
+    """Quality of a preview: keys, overall, code, field, success_rate; one row per warning, or one without code.
+
+    ``cells`` holds the named fields of the sample rows; ``groups`` lists the
+    previews.  A selected field no sample row names is missing in the preview.
+    """
+    rates = field_rates(cells, keys)
+    label = overall(groups.select(*keys, F.lit(False).alias("full_site"), F.lit(None).cast("double").alias("failure_ratio")), rates, keys)
+    low = rates.filter(F.col("success_rate") < LOW_SUCCESS).select(*keys, F.lit("FIELD_LOW_SUCCESS_RATE").alias("code"), "field", "success_rate")
+    wanted = groups.select(*keys, F.explode(F.array(*[F.lit(s) for s in selected]).cast("array<string>")).alias("field"))
+    gone = wanted.join(rates.select(*keys, "field"), [*keys, "field"], "left_anti").select(
+        *keys, F.lit("FIELD_MISSING_IN_PREVIEW").alias("code"), "field", F.lit(None).cast("double").alias("success_rate")
+    )
+    return label.join(low.unionByName(gone), keys, "left")

@@ -164,6 +164,23 @@ def preview_selector_sample(spark, folder):
     return out.select("page_id", "sample_count", F.array_join("missing_fields", ",").alias("missing"), F.size("warnings").alias("n_warnings"))
 
 
+@query("preview_quality", """WITH r AS (SELECT o_custkey % 40 AS run_id, o_orderkey FROM orders), g AS (SELECT run_id, count(*) FILTER (o_orderkey % 3 <> 0) / count(*) AS note FROM r GROUP BY 1),
+         w AS (SELECT run_id, 'FIELD_LOW_SUCCESS_RATE' AS code, 'note' AS field, round(note, 6) AS success_rate FROM g WHERE note < 0.7
+               UNION ALL SELECT run_id, 'FIELD_MISSING_IN_PREVIEW', 'price', NULL FROM g WHERE run_id < 5 UNION ALL SELECT run_id, 'FIELD_MISSING_IN_PREVIEW', 'ghost', NULL FROM g)
+       SELECT run_id, CASE WHEN note < 0.7 THEN 'needs_review' ELSE 'good' END AS overall, code, field, success_rate FROM g JOIN w USING (run_id)""")
+def preview_quality(spark, folder):
+    """Notes that hold only line breaks and tabs count as absent; the first runs name no price."""
+    from pagesieve.functions.text import is_present
+
+    run, key = (F.col("o_custkey") % 40).alias("run_id"), F.col("o_orderkey")
+    orders = load(spark, folder, "orders")
+    named = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("note"), F.when(key % 3 == 0, "\n\t ").otherwise(F.col("o_orderpriority")))
+    priced = F.when(F.col("o_custkey") % 40 >= 5, F.create_map(F.lit("price"), F.col("o_totalprice").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    cells = orders.select(run, F.explode(F.map_concat(named, priced)).alias("field", "value")).withColumn("present", F.coalesce(is_present(F.col("value")), F.lit(False)))
+    found = quality.preview_quality(cells, orders.select(run).distinct(), ["run_id"], ["status", "note", "price", "ghost"])
+    return found.withColumn("success_rate", F.round("success_rate", 6))
+
+
 @query("preview_analysis_samples", """WITH f AS (SELECT c_custkey // 6 AS spec_id, c_custkey::VARCHAR AS field, c_custkey % 8 AS n FROM customer), m AS (SELECT spec_id, greatest(1, least(5, max(n))) AS rows FROM f GROUP BY 1)
        SELECT spec_id, i::INT AS row_idx, field, CASE WHEN i < n THEN field || ':' || i END AS value FROM f JOIN m USING (spec_id), range(5) t(i) WHERE i < rows""")
 def preview_analysis_samples(spark, folder):
