@@ -11,7 +11,7 @@ user that owns a third of the rows does not land in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.operators.ranked import top_per_group
@@ -172,10 +172,28 @@ def with_status(projects: DataFrame) -> DataFrame:
     return projects.withColumn("status", F.coalesce(F.try_element_at(rows, F.col("state")), other))
 
 
-def illegal_transitions(changes: DataFrame) -> DataFrame:
+# The states a task may go to.
+TASK_TRANSITIONS = {
+    "PERMISSION_GRANTED": ("SCRAPING",),
+    "SCRAPING": ("SCRAPED", "FAILED"),
+    "SCRAPED": ("LLM_PROCESSING", "FAILED"),
+    "LLM_PROCESSING": ("COMPLETED", "FAILED"),
+    "COMPLETED": (),
+    "FAILED": (),
+}
+
+
+def state_changes(history: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Successive states of each project or task: key, order, old_state, new_state; the first state has no change."""
+    before = F.lag("state").over(Window.partitionBy(key).orderBy(*order))
+    changes = history.select(key, *order, before.alias("old_state"), F.col("state").alias("new_state"))
+    return changes.filter(F.col("old_state").isNotNull() & (F.col("old_state") != F.col("new_state")))
+
+
+def illegal_transitions(changes: DataFrame, transitions: dict = TRANSITIONS) -> DataFrame:
     """Rows of (old_state, new_state, ...) that the state machine does not allow."""
     legal = F.lit(False)
-    for old, nexts in TRANSITIONS.items():
+    for old, nexts in transitions.items():
         if nexts:
             legal = legal | ((F.col("old_state") == old) & F.col("new_state").isin(*nexts))
     return changes.filter(~F.coalesce(legal, F.lit(False)))

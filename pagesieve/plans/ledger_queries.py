@@ -137,7 +137,11 @@ def ledger_duration_histogram(spark, folder):
     return ledger.duration_histogram(done, seconds)
 
 
-_STATUS_SQL = "CASE state " + " ".join(f"WHEN '{s}' THEN '{c}|{label}|{t}'" for s, (c, label, t) in ledger.STATUS.items()) + " END"
+# Fixed values, written out apart from the operator's own tables.
+_STATUS_SQL = """CASE WHEN state IN ('QUEUED', 'ANALYZING') THEN 'analyzing|Analyzing site|warning' WHEN state IN ('AWAITING_SETUP', 'ANALYSIS_READY') THEN 'ready_to_review|Ready to choose fields|success'
+       WHEN state = 'PREVIEWING' THEN 'previewing|Preparing preview|warning' WHEN state = 'PREVIEW_READY' THEN 'preview_ready|Preview ready|success' WHEN state = 'DISCOVERING' THEN 'extracting|Finding pages|warning'
+       WHEN state = 'EXTRACTING' THEN 'extracting|Extracting data|warning' WHEN state = 'EXPORTING' THEN 'exporting|Preparing results|warning' WHEN state = 'COMPLETED' THEN 'completed|Results ready|success'
+       WHEN state = 'PAUSED' THEN 'paused|Paused|neutral' WHEN state = 'FAILED' THEN 'failed|Failed|danger' WHEN state = 'CANCELED' THEN 'canceled|Canceled|neutral' END"""
 
 
 @query("ledger_product_status", L(f"""SELECT project_id, {_STATUS_SQL} AS status, CASE WHEN confidence >= 0.85 AND warning_count = 0 THEN 'High' WHEN confidence >= 0.65 THEN 'Needs review' ELSE 'Low' END AS confidence_label,
@@ -153,7 +157,11 @@ def ledger_product_status(spark, folder):
 
 @query("ledger_illegal_transitions", """SELECT o_orderkey, a AS old_state, b AS new_state FROM (
        SELECT o_orderkey, """ + _PS + """[o_custkey % 13 + 1] AS a, """ + _PS + """[o_orderkey % 13 + 1] AS b FROM orders) WHERE NOT (
-         """ + " OR ".join(f"(a = '{o}' AND b IN ({', '.join(repr(n) for n in ns)}))" for o, ns in ledger.TRANSITIONS.items() if ns) + ")")
+         (b IN ('FAILED', 'CANCELED') AND a NOT IN ('COMPLETED', 'FAILED', 'CANCELED')) OR (a, b) IN (
+           ('QUEUED', 'ANALYZING'), ('ANALYZING', 'AWAITING_SETUP'), ('ANALYZING', 'ANALYSIS_READY'), ('AWAITING_SETUP', 'PREVIEWING'), ('AWAITING_SETUP', 'DISCOVERING'),
+           ('ANALYSIS_READY', 'PREVIEWING'), ('ANALYSIS_READY', 'DISCOVERING'), ('PREVIEWING', 'PREVIEW_READY'), ('PREVIEWING', 'AWAITING_SETUP'), ('PREVIEWING', 'ANALYSIS_READY'),
+           ('PREVIEW_READY', 'PREVIEWING'), ('PREVIEW_READY', 'DISCOVERING'), ('DISCOVERING', 'EXTRACTING'), ('DISCOVERING', 'PAUSED'), ('EXTRACTING', 'EXPORTING'), ('EXTRACTING', 'PAUSED'),
+           ('EXPORTING', 'COMPLETED'), ('PAUSED', 'DISCOVERING'), ('PAUSED', 'EXTRACTING'), ('COMPLETED', 'DISCOVERING'), ('FAILED', 'QUEUED'), ('FAILED', 'ANALYSIS_READY'), ('FAILED', 'PREVIEW_READY')))""")
 def ledger_illegal_transitions(spark, folder):
     states = F.array(*[F.lit(s) for s in source.PROJECT_STATES])
     pick = lambda c: F.get(states, (F.col(c) % 13).cast("int"))
@@ -161,6 +169,18 @@ def ledger_illegal_transitions(spark, folder):
     return ledger.illegal_transitions(changes)
 
 
+@query("ledger_illegal_task_steps", """SELECT user_id, event_id, a AS old_state, b AS new_state FROM (
+       SELECT user_id, event_id, b, lag(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a
+       FROM (SELECT user_id, event_id, ts, ['PERMISSION_GRANTED', 'SCRAPING', 'SCRAPED', 'LLM_PROCESSING', 'COMPLETED', 'FAILED'][event_id % 6 + 1] AS b FROM events))
+     WHERE a <> b AND NOT (a || '>' || b IN ('PERMISSION_GRANTED>SCRAPING', 'SCRAPING>SCRAPED', 'SCRAPING>FAILED', 'SCRAPED>LLM_PROCESSING', 'SCRAPED>FAILED', 'LLM_PROCESSING>COMPLETED', 'LLM_PROCESSING>FAILED'))""")
+def ledger_illegal_task_steps(spark, folder):
+    """Old and new states come from the event table itself."""
+    states = F.array(*[F.lit(s) for s in ("PERMISSION_GRANTED", "SCRAPING", "SCRAPED", "LLM_PROCESSING", "COMPLETED", "FAILED")])
+    history = load(spark, folder, "events").select("user_id", "event_id", "ts", F.get(states, (F.col("event_id") % 6).cast("int")).alias("state"))
+    changes = ledger.state_changes(history, "user_id", ["ts", "event_id"])
+    return ledger.illegal_transitions(changes, ledger.TASK_TRANSITIONS).drop("ts")
+
+
 @query("health_stuck_rows", f"""SELECT event_id FROM events WHERE (event_type = 'view' AND ts < TIMESTAMP '2024-01-01 01:00:00' - INTERVAL 3 MINUTE)
        OR (event_type = 'click' AND ts < TIMESTAMP '2024-01-01 01:00:00' - INTERVAL 5 MINUTE) OR (event_type = 'error' AND ts < TIMESTAMP '2024-01-01 01:00:00' - INTERVAL 10 MINUTE)""")
 def health_stuck_rows(spark, folder):
