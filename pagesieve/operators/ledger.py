@@ -73,13 +73,21 @@ def display_runs(projects: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def progress(run_pages: DataFrame) -> DataFrame:
-    """Page counts by state per run, with finished pages and their share."""
+def progress(run_pages: DataFrame, records: DataFrame | None = None, exports: DataFrame | None = None) -> DataFrame:
+    """Page counts by state per run, with finished pages and their share.
+
+    ``records`` and ``exports`` (with run_id) add how many of them a run has.
+    """
     counts = {s: F.count_if(F.col("state") == s).alias(f"pages_{s.lower()}") for s in PAGE_STATES}
     out = run_pages.groupBy("run_id").agg(F.count("*").alias("pages_total"), *counts.values())
     done = F.col("pages_extracted") + F.col("pages_blocked") + F.col("pages_failed")
     share = F.least(F.greatest(F.round(done / F.col("pages_total") * 100, 0), F.lit(0)), F.lit(100))
-    return out.withColumns({"pages_done": done, "percent": share.cast("int")})
+    out = out.withColumns({"pages_done": done, "percent": share.cast("int")})
+    for name, rows in (("records", records), ("exports", exports)):
+        if rows is not None:
+            counted = rows.groupBy("run_id").agg(F.count("*").alias(f"n_{name}"))
+            out = out.join(counted, "run_id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    return out
 
 
 def page_details(run_pages: DataFrame, state: str, limit: int, default: str) -> DataFrame:
@@ -334,6 +342,31 @@ def newest_events(events: DataFrame, key: str, limit: int = 100) -> DataFrame:
     )
 
 
+def records_after(records: DataFrame, order: list[str], after: tuple | None, limit: int) -> DataFrame:
+    """The next ``limit`` rows past the key ``after`` (None: from the start): no task sees the rows skipped."""
+    if after is not None:
+        kinds = dict(records.dtypes)
+        key = F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, after, strict=True)])
+        records = records.filter(F.struct(*order) > key)
+    return records.orderBy(*order).limit(limit)
+
+
+def page_columns(page: DataFrame, data: str, skip: tuple[str, ...] = ("source_url",)) -> DataFrame:
+    """Names of the values on one page of records, one row each, in order."""
+    return page.select(F.explode(F.map_keys(data)).alias("column")).distinct().filter(~F.col("column").isin(*skip)).orderBy("column")
+
+
+# Groups of the activity list.
+EVENT_GROUPS = {"problems": ("error", "warning"), "errors": ("error",)}
+
+
+def event_group(events: DataFrame, group: str) -> DataFrame:
+    """Events of one group of the activity list: problems, errors, or completed (steps that ended well)."""
+    if group == "completed":
+        return events.filter(F.endswith("event_type", F.lit("_completed")) | F.col("event_type").isin("purchase", "signup"))
+    return events.filter(F.col("level").isin(*EVENT_GROUPS[group]))
+
+
 def records_page(records: DataFrame, order: list[str], skip: int, limit: int) -> DataFrame:
     """One page of rows with total, next_skip and has_more on every row."""
     limit = max(1, limit)

@@ -129,6 +129,39 @@ def ledger_state_counters(spark, folder):
     return runs.withColumn("kind", F.lit("run")).unionByName(pages.withColumn("kind", F.lit("page")))
 
 
+@query("ledger_progress_results", L("""SELECT run_id, count(*) AS pages_total, count(*) FILTER (state = 'EXTRACTED' AND page_key % 3 = 0) AS n_records,
+       max(CASE WHEN run_id % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_exports FROM run_pages GROUP BY run_id"""))
+def ledger_progress_results(spark, folder):
+    pages = source.run_pages(spark, folder)
+    records = pages.filter((F.col("state") == "EXTRACTED") & (F.col("page_key") % 3 == 0)).select("run_id")
+    exports = source.runs(spark, folder).filter(F.col("run_id") % 4 == 0).select("run_id")
+    return ledger.progress(pages, records, exports).select("run_id", "pages_total", "n_records", "n_exports")
+
+
+@query("ledger_records_after", "SELECT o_orderkey, o_orderdate FROM orders WHERE (o_orderdate, o_orderkey) > (DATE '1995-01-01', 0) ORDER BY o_orderdate, o_orderkey LIMIT 50")
+def ledger_records_after(spark, folder):
+    """A page of fifty past a key."""
+    import datetime
+
+    rows = load(spark, folder, "orders").select("o_orderkey", "o_orderdate")
+    return ledger.records_after(rows, ["o_orderdate", "o_orderkey"], (datetime.date(1995, 1, 1), 0), 50)
+
+
+@query("ledger_page_columns", """WITH p AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 50)
+       SELECT DISTINCT unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['status', 'even'] ELSE ['status', lower(o_orderstatus)] END) AS "column" FROM p""")
+def ledger_page_columns(spark, folder):
+    key = F.col("o_orderkey")
+    data = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.when(key % 2 == 0, "even").otherwise(F.lower("o_orderstatus")), F.lit("x"), F.lit("source_url"), F.lit("u"))
+    rows = load(spark, folder, "orders").select("o_orderkey", data.alias("data"))
+    return ledger.page_columns(ledger.records_after(rows, ["o_orderkey"], None, 50), "data")
+
+
+@query("event_completed_by_project", """SELECT user_id AS project_id, count(*) AS n FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1""")
+def event_completed_by_project(spark, folder):
+    rows = load(spark, folder, "events").select(F.col("user_id").alias("project_id"), "event_type")
+    return ledger.event_group(rows, "completed").groupBy("project_id").agg(F.count("*").alias("n"))
+
+
 @query("ledger_duration_histogram", L("""SELECT state, b::VARCHAR AS le, count(*) FILTER (s <= b) AS n FROM (SELECT state, seconds AS s FROM runs WHERE finished_at IS NOT NULL),
        (SELECT unnest([1,5,15,30,60,120,300,600,1800]) AS b) GROUP BY state, b UNION ALL SELECT state, '+Inf', count(*) FROM runs WHERE finished_at IS NOT NULL GROUP BY state"""))
 def ledger_duration_histogram(spark, folder):

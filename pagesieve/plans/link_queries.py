@@ -243,11 +243,12 @@ def scope_saved_per_project(spark, folder):
 def link_decision_counts(spark, folder):
     """Stored corpus under two scopes, links counted by reason."""
     links = page_links(stored(spark, folder))
-    sides = [
-        classify(links, CrawlScope(mode)).groupBy("reason_code").agg(F.count("*").alias("links")).withColumn("mode", F.lit(mode))
-        for mode in ("FULL_SITE", "CURRENT_PAGE")
-    ]
-    return sides[0].unionByName(sides[1])
+    columns, modes = links.columns, ("FULL_SITE", "CURRENT_PAGE")
+    for i, mode in enumerate(modes):  # both reasons on one row: the pages are read once
+        links = classify(links, CrawlScope(mode)).withColumn(f"reason_{i}", F.col("reason_code"))
+        links = links.select(*columns, *[f"reason_{n}" for n in range(i + 1)])
+    both = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"reason_{i}").alias("reason_code")) for i, m in enumerate(modes)])
+    return links.select(F.inline(both)).groupBy("mode", "reason_code").agg(F.count("*").alias("links"))
 
 
 @query(

@@ -311,6 +311,32 @@ def sink_markdown_content(spark, folder):
     return rows.filter(F.col("block").isNotNull())
 
 
+@query("sink_markdown_choice", """SELECT 'content' AS kind, count(*) FILTER (page_id % 4 <> 0) AS n FROM pages UNION ALL SELECT 'table', count(*) + 2 FROM pages""")
+def sink_markdown_choice(spark, folder):
+    """Blocks for rows with content, else a table; counted in the files written."""
+    content = F.when(F.col("page_id") % 4 == 0, "\n ").otherwise(F.concat(F.lit("Page "), F.col("page_id").cast("string")))
+    rows = pages(spark, folder).select("page_id", "url", F.col("url").alias("source_url"), content.alias("content"))
+    out = None
+    for records in (rows, rows.drop("content")):
+        path = _scratch(spark) + "/markdown"
+        kind = sinks.write_markdown(records, ["page_id", "url"], ["page_id"], path)
+        line = F.col("value")
+        counted = spark.read.text(path).agg(F.count_if((line == "---") if kind == "content" else F.startswith(line, F.lit("|"))).alias("n"))
+        counted = counted.select(F.lit(kind).alias("kind"), "n")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+@query("sink_ordered_columns", """SELECT unnest(['brand', 'unit', 'a', 'b', 'source_url']) AS name, unnest([0, 1, 2, 3, 4]) AS position, (SELECT count(*) FROM part) AS n""")
+def sink_ordered_columns(spark, folder):
+    """Columns of real records, put in export order by the sink's rule."""
+    part = load(spark, folder, "part")
+    rows = part.select(F.col("p_size").alias("b"), F.lit("u").alias("source_url"), F.col("p_brand").alias("brand"), F.col("p_name").alias("a"), F.col("p_retailprice").alias("unit"))
+    ordered = sinks.ordered_columns(["brand", "absent"], ["unit"], rows.columns)
+    named = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.col(c).isNotNull().alias("there")) for i, c in enumerate(ordered)])
+    return rows.select(*ordered).select(F.inline(named)).groupBy("name", "position").agg(F.count_if("there").alias("n"))
+
+
 @query("sink_export_ledger", L("""SELECT run_id, 'csv' AS format, (SELECT count(*) FROM run_pages p WHERE p.run_id = r.run_id AND p.state = 'EXTRACTED') AS record_count, sha256(spec_id::VARCHAR) AS spec_hash, false AS large FROM runs r WHERE state = 'COMPLETED'"""))
 def sink_export_ledger(spark, folder):
     runs = source.runs(spark, folder).withColumn("spec_hash", F.sha2(F.col("spec_id").cast("string"), 256))

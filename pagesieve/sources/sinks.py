@@ -83,6 +83,15 @@ def write_markdown_content(records: DataFrame, order: list[str], path: str) -> N
     out.write.mode("overwrite").text(path)
 
 
+def write_markdown(records: DataFrame, columns: list[str], order: list[str], path: str) -> str:
+    """One Markdown export: content blocks where rows carry content, else a table; says which."""
+    if "content" in records.columns and not records.filter(strip_ends(F.col("content")) != "").isEmpty():
+        write_markdown_content(records, order, path)
+        return "content"
+    write_markdown_table(records, columns, order, path)
+    return "table"
+
+
 def export_ledger(runs: DataFrame, records: DataFrame, export_format: str) -> DataFrame:
     """One row per completed run: run_id, format, record_count, spec_hash, large."""
     counts = records.groupBy("run_id").agg(F.count("*").alias("record_count"))
