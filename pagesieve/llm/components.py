@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     back to one row a node.
     """
     both = durable(edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root"))
+    labels = durable(labels)
     while True:
         theirs = labels.select(F.col("node").alias("b"), F.col("root").alias("their_root"))
         least = both.join(theirs, "b").groupBy(F.col("a").alias("node")).agg(F.min("their_root").alias("least"))

@@ -417,19 +417,17 @@ def _pivot_pairs(index: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("cls").alias("a"), F.col("p.pivot").alias("b"))
 
 
-def _open_keys(index: DataFrame, percent: int, passes: int = 1) -> DataFrame:
+def _open_keys(index: DataFrame, percent: int) -> DataFrame:
     """The index without classes that can link with none of their n-gram's, and without n-grams of one component.
 
     What is joined back by a possibly hot key is written first: then both sides
     of the join are shuffled plainly and adaptive execution may split the key.
     """
-    for _ in range(passes):
-        stats = index.groupBy("key").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("most_left"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("among"))
-        stats = durable(stats.where("r0 <> r1"))
-        n, left = F.col("n"), F.col("n") - F.col("pos")
-        m = F.greatest(F.col("least"), F.ceil(n * percent / 100))
-        index = index.drop("among").join(stats, "key").where(_fits(n, m, F.least(left, F.col("most_left")), percent)).drop("least", "most_left", "r0", "r1")
-    return index
+    stats = index.groupBy("key").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("most_left"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("among"))
+    stats = durable(stats.where("r0 <> r1"))
+    n, left = F.col("n"), F.col("n") - F.col("pos")
+    m = F.greatest(F.col("least"), F.ceil(n * percent / 100))
+    return index.drop("among").join(stats, "key").where(_fits(n, m, F.least(left, F.col("most_left")), percent)).drop("least", "most_left", "r0", "r1")
 
 
 def _cross_pairs(index: DataFrame, percent: int) -> DataFrame:
@@ -440,13 +438,13 @@ def _cross_pairs(index: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, bits: int = 1 << 23) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, bits: int = 1 << 22) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id``, ``class_size`` (rows with the same set; 1 for empty sets).
 
     ``keeper`` marks the document a component is named after (all its copies, if
     the row is repeated); ``row_hash`` is ``xxhash64(id, text)``, to find the row again.
 
-    ``bits`` sizes each bit set (1 MB by default, the largest twice that, whatever the data); a fuller
+    ``bits`` sizes each bit set (half a megabyte by default, the largest twice that, whatever the data); a fuller
     one lets more candidates through to the joins, which decide.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("row_hash"), F.col(text_col).cast("string").alias("text"))
@@ -477,7 +475,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets.where("NOT again").union(sets.where("again").dropDuplicates(["cls"])).drop("again")
 
     links = durable(_test(pairs, sets, percent).union(_by_chunks(many, sets, percent)))
-    left = durable(_open_keys(_rooted(many, components(links)), percent, 2))
+    left = durable(_open_keys(_rooted(many, components(links)), percent))
     pairs = durable(_by_blocks(left, classes.select("cls", "shape"), percent))
     links = links.union(_test(pairs, sets, percent))
     roots = components(links)
