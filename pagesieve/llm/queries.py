@@ -29,9 +29,30 @@ def op1_snapshot_collapse(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(table(spark, folder, "conversations"))
 
 
-@query()
+# All pairs with a common shingle; fit for small tables only.
+_OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * m >= 85 * (p.n + q.n - m)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS s, doc_id AS t FROM documents
+  UNION SELECT s, y FROM reach JOIN edges ON t = x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT s AS doc_id, min(t) AS c FROM reach GROUP BY s) USING (doc_id)
+"""
+
+
+@query(_OP2_SQL)
 def op2_trie_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return triejoin.near_duplicates(table(spark, folder, "documents")).drop("row_hash")
+    return triejoin.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query(urlrules.ORACLE)
