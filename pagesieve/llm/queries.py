@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.llm import chat, decontaminate, hostquality, langid, mixing, pii, secrets, shard, triejoin, urlrules
-from pagesieve.llm.common import durable, table
+from pagesieve.llm.common import durable, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,11 +77,14 @@ def op5_winnowing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op6_two_pass_shuffle(spark: SparkSession, folder: str) -> DataFrame:
-    slim = table(spark, folder, "documents").select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32")
+    docs = table(spark, folder, "documents")
+    written = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    shard.write_shards(shard.shard(docs, 24), written)
+    rows = spark.read.parquet(written)
+    return rows.select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
-    dealt = shard.shard(slim, 24, text_col="text_crc32")
-    return dealt.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query()

@@ -69,6 +69,10 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
 
 
 def write_shards(dealt: DataFrame, folder: str) -> None:
-    """One Parquet folder a shard, rows in slot order inside each file."""
+    """One Parquet folder a shard, rows in slot order inside each file.
+
+    A task writes the rows of its own buckets to all shards, so the texts are not
+    shuffled a third time; ``slot`` gives the order across the files of a shard.
+    """
     out = dealt.select("shard", "slot", "row.*") if not {"shard", "slot"} & set(dealt.schema["row"].dataType.names) else dealt
-    out.repartition(F.col("shard")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)

@@ -23,6 +23,23 @@ def test_query(spark, folder, texts):
     assert set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_query_deals_whole_documents(spark, folder):
+    """The query's shards and slots are those of the operator over all columns, text included."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = {r.row.doc_id: (r.shard, r.slot) for r in shard(docs, 24).collect()}
+    assert {r.doc_id: (r.shard, r.slot) for r in QUERIES["op6_two_pass_shuffle"](spark, folder).collect()} == want
+
+
+def test_written_shards_are_whole(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    write_shards(shard(docs, 5), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    for file in {r[0] for r in back.select(F.input_file_name()).distinct().collect()}:
+        slots = [r.slot for r in spark.read.parquet(file).collect()]
+        assert slots == sorted(slots)
+
+
 def test_same_order_for_any_partitioning(spark, folder, texts):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     one = {r.row.doc_id: (r.shard, r.slot) for r in shard(docs.repartition(1), 5).collect()}
