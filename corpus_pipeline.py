@@ -1,10 +1,11 @@
 """From raw documents to shuffled training shards: stages over the operators of ``pagesieve.llm``.
 
-Each stage reads what its predecessor wrote and returns all its columns.  Rows
-leave by one decision a stage: no language, a near copy that is not its group's
-first, benchmark passages, not drawn for the mix.  Null or empty texts have no
-language and leave first.  Repeated rows (equal in all but extra columns) are
-near copies of one another: one stays.
+Each stage reads what its predecessor wrote and returns all its columns; the told
+language is added by the first and used up by mixing.  Rows leave by one decision
+a stage: no language, a near copy that is not its group's first, benchmark
+passages, not drawn for the mix.  Null or empty texts have no language and leave
+first.  Repeated rows (equal in all but extra columns) are near copies of one
+another: one stays.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pagesieve.llm import decontaminate, langid, mixing, shard, triejoin
 from pagesieve.llm.common import durable, shared_folder, table, without
 
 MIN_LANGUAGE_SCORE = 0.3
+#: Column from the language stage to the mixing stage; the ``lang`` of the input stays as it is.
+TOLD = "told_lang"
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 SHARDS = 24
 
@@ -26,12 +29,17 @@ def _row_hash():
     return F.xxhash64("doc_id", F.col("text").cast("string"))
 
 
+def _told(docs: DataFrame) -> DataFrame:
+    """Documents with their language as told from the text (``TOLD``) and how surely it is told."""
+    own = [c for c in docs.columns if c != TOLD]
+    found = langid.predict(docs, langid.learn(docs), passed=tuple(c for c in own if c != "doc_id"))
+    return found.select(F.struct(*(F.col("id")[c].alias(c) for c in own), F.col("lang_pred").alias(TOLD)).alias("row"), "score")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with some certainty."""
-    model = langid.learn(docs)
-    found = langid.predict(docs, model, passed=tuple(c for c in docs.columns if c != "doc_id"))
-    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.select(*(F.col("id")[c].alias(c) for c in docs.columns))
+    """Documents whose language is told with some certainty, and that language in one more column, ``TOLD``."""
+    kept = _told(docs).where((F.col("row")[TOLD] != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return kept.select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +62,10 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the targets by source, language and topic."""
-    measured = mixing.measured(docs, mixing.PRODUCTION)
+    """A sample whose tokens meet the targets by source, told language and topic; ``TOLD`` ends here."""
+    if TOLD not in docs.columns:  # the stage by itself
+        docs = durable(_told(docs).select("row.*"))
+    measured = mixing.measured(docs, mixing.PRODUCTION, lang_col=TOLD, keep=[c for c in docs.columns if c != TOLD])
     mixed = mixing.mix(measured, mixing.calibrate(measured, mixing.PRODUCTION, mixing.BUDGET))
     return mixed.where("sampled").select("row.*")
 

@@ -8,7 +8,8 @@ to a token budget it is the probability by which its documents are sampled.
 The cells are the product of the listed values, so what reaches the driver is
 bounded by the parameters (``MAX_CELLS``), not by the data.
 
-Defined results: null or unlisted values belong to the rest (``*``); a listed value
+Defined results: null or unlisted values belong to the rest (``*``), which keeps its
+present share where the targets leave nothing for it; a listed value
 without tokens is left out and the other targets of its marginal are scaled up;
 marginals that contradict each other are met as far as the last round got; a
 text without words has no tokens and the probability of its cell (0 in a cell
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 REST = "*"
 MAX_CELLS = 100_000
 SEED = 20240607
+#: A smaller share is what rounding leaves of targets that sum to 1.
+LEAST_REST = 1e-9
 #: Topics by the marks of a text; the first that fits counts, others are prose.
 TOPICS = {
     "legal": r"(?i)\blicen[cs]ed?\b|\bcopyright\b|\bwarranty\b",
@@ -41,7 +44,7 @@ PROSE = "prose"
 
 @dataclass(frozen=True)
 class Targets:
-    """Shares of the tokens by value; the rest gets what is missing to 1 (or nothing)."""
+    """Shares of the tokens by value; the rest gets what is missing to 1, or keeps its present share if nothing is missing."""
 
     source: dict
     lang: dict
@@ -119,6 +122,12 @@ def calibrate(docs: DataFrame, targets: Targets, budget: float) -> DataFrame:
         for i, axis in enumerate(axes):
             own = present.sum(tuple(j for j in range(3) if j != i))
             share = np.where(own > 0, np.array(list(axis.values()), float), 0.0)
+            rest = place[i][REST]
+            if share[rest] < LEAST_REST and own[rest] > 0:  # all is listed: the rest stays as large as it is
+                share[rest] = 0.0
+                kept = own[rest] / own.sum()
+                share = share / max(share.sum(), 1e-300) * (1 - kept)
+                share[rest] = kept
             shares.append(share / share.sum() if share.sum() > 0 else own / own.sum())
         weight, chance = probabilities(present, rake(present, shares), budget)
     rows = [(*names, float(weight[at]), float(chance[at])) for names, at in zip(itertools.product(*axes), np.ndindex(*present.shape), strict=True)]

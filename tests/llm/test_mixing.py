@@ -49,3 +49,15 @@ def test_odd_rows(spark):
     for few in (docs.limit(0), docs.where("doc_id = 1")):
         none = measured(few, PRODUCTION)
         assert mix(none, calibrate(none, PRODUCTION, 0.5)).where("sampled").count() == 0
+
+
+def test_unlisted_languages_are_mixed_too(spark):
+    """Targets that sum to 1 leave null and unlisted languages their present share."""
+    lang = ("en", "de", "fr", "es", None, "it")
+    rows = [(i, f"w{i} " * 10, f"src{i % 20}", lang[i % 6]) for i in range(6000)]
+    docs = measured(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), PRODUCTION)
+    out = mix(docs, calibrate(docs, PRODUCTION, 0.5))
+    want = {r.lang: r.n for r in out.groupBy("lang").agg(F.sum(F.col("tokens") * F.col("weight")).alias("n")).collect()}
+    assert np.isclose(want[REST] / sum(want.values()), 1 / 3) and np.isclose(want["en"] / sum(want.values()), 0.5 * 2 / 3)
+    kept = out.where("sampled").groupBy("row.lang").count().collect()
+    assert {r.lang for r in kept} == set(lang) and all(r["count"] > 100 for r in kept)

@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipe
+from pagesieve.llm import mixing
 from pagesieve.llm.common import table
 from tests.llm import brute
 
@@ -39,3 +42,21 @@ def test_odd_rows(spark, folder):
     assert pipe.drop_benchmark_passages(spark, near, folder).count() == 2
     for _, stage in pipe.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_mixing_goes_by_the_told_language(spark, tmp_path):
+    """A clean document without a language column value is mixed like others of the language it is told to have."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    nameless = F.when(F.col("doc_id") % 3 == 0, F.col("lang"))
+    language = pipe.identify_language(spark, docs.withColumn("lang", nameless), "")
+    language.write.parquet(str(tmp_path / "language"))
+    language = spark.read.parquet(str(tmp_path / "language"))
+    assert language.count() > 900 and language.where("lang IS NULL").count() > 500
+    mixed = pipe.mix_sources(spark, language, "")
+    assert mixed.columns == docs.columns
+    told = {r.doc_id: r[pipe.TOLD] for r in language.collect()}
+    plain = mixing.measured(language.withColumn("lang", F.col(pipe.TOLD)), mixing.PRODUCTION)
+    want = {r.row.doc_id for r in mixing.mix(plain, mixing.calibrate(plain, mixing.PRODUCTION, mixing.BUDGET)).where("sampled").collect()}
+    got = mixed.collect()
+    assert {r.doc_id for r in got} == want and sum(r.lang is None for r in got) > 200
+    assert len({told[r.doc_id] for r in got if r.lang is None}) == 4
