@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pagesieve.llm import decontaminate, langid, mixing, shard, triejoin
 from pagesieve.llm.common import durable, shared_folder, table, without
 
-MIN_LANGUAGE_SCORE = 0.3
+MIN_CERTAINTY = 0.3
 #: Column from the language stage to the mixing stage; the ``lang`` of the input stays as it is.
 TOLD = "told_lang"
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -30,15 +30,15 @@ def _row_hash():
 
 
 def _told(docs: DataFrame) -> DataFrame:
-    """Documents with their language as told from the text (``TOLD``) and how surely it is told."""
+    """Documents with their language as told from the text (``TOLD``) and how surely its spans are labelled."""
     own = [c for c in docs.columns if c != TOLD]
     found = langid.predict(docs, langid.learn(docs), passed=tuple(c for c in own if c != "doc_id"))
-    return found.select(F.struct(*(F.col("id")[c].alias(c) for c in own), F.col("lang_pred").alias(TOLD)).alias("row"), "score")
+    return found.select(F.struct(*(F.col("id")[c].alias(c) for c in own), F.col("lang_pred").alias(TOLD)).alias("row"), "certainty")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with some certainty, and that language in one more column, ``TOLD``."""
-    kept = _told(docs).where((F.col("row")[TOLD] != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    """Documents whose spans are labelled with some certainty, and the language with most letters in one more column, ``TOLD``."""
+    kept = _told(docs).where((F.col("row")[TOLD] != langid.UNDETERMINED) & (F.col("certainty") >= MIN_CERTAINTY))
     return kept.select("row.*")
 
 

@@ -158,11 +158,26 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     return label
 
 
+def _runs(row: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """First word of each run of one label in a row."""
+    return np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (row[1:] != row[:-1])))) if len(label) else np.zeros(0, np.int64)
+
+
+def _certainty(scores: np.ndarray, row: np.ndarray, label: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """By row the mean posterior of the labels of its spans, each within its span, weighted by letters."""
+    first = _runs(row, label)
+    total = np.add.reduceat(scores, first, axis=0, dtype=np.float64)
+    odds = np.exp(total - total.max(1, keepdims=True))
+    sure = odds[np.arange(len(first)), label[first]] / odds.sum(1)
+    weight = np.add.reduceat(size, first)
+    return np.bincount(row[first], sure * weight, n) / np.maximum(np.bincount(row[first], weight, n), 1)
+
+
 def _spans(found: Words, label: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of one label: row, label, start and end in code points of the text."""
     n = len(label)
     row = np.repeat(np.arange(len(found.counts)), found.counts)
-    first = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (row[1:] != row[:-1])))) if n else np.zeros(0, np.int64)
+    first = _runs(row, label)
     last = np.concatenate((first[1:], [n])) - 1 if n else first
     points = np.concatenate(([0], np.cumsum((found.data & 0xC0) != 0x80)))
     base = points[found.row_starts[:-1]][row[first]]
@@ -177,7 +192,7 @@ def _predict(model: Model):
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            pred, score = np.full(n, n_langs), np.zeros(n)
+            pred, score, certainty = np.full(n, n_langs), np.zeros(n), np.zeros(n)
             parts = [[np.zeros(0, np.int64)] for _ in range(4)]
             for found in words(batch.column(1), LETTERS) if n_langs else ():
                 rows = slice(found.first, found.first + len(found.counts))
@@ -196,6 +211,7 @@ def _predict(model: Model):
                 sure = odds[np.arange(len(own)), own] / odds.sum(1)
                 # a text of two languages in equal parts is sure of its spans, not of one language: the share says so
                 pred[rows], score[rows] = own, np.where(known, share * np.maximum(sure, 1 / n_langs), 0)
+                certainty[rows] = _certainty(scores, row, label, size, len(own))
                 for out, part in zip(parts, _spans(found, label), strict=True):
                     out.append(part)
                 parts[0][-1] = parts[0][-1] + found.first
@@ -204,6 +220,7 @@ def _predict(model: Model):
                 for r in np.flatnonzero(has_words & ~ascii_letter):  # few: look whether a mark is a letter
                     if not any(map(str.isalpha, batch.column(1)[found.first + int(r)].as_py())):
                         pred[found.first + r], score[found.first + r] = n_langs, 0
+                        certainty[found.first + r] = 0
                 empty = ~has_words
                 pred[rows] = np.where(empty, n_langs, pred[rows])
                 score[rows] = np.where(empty, 0, score[rows])
@@ -212,16 +229,20 @@ def _predict(model: Model):
             row, label, start, end = row[keep], label[keep], start[keep], end[keep]
             structs = pa.StructArray.from_arrays([names.take(pa.array(label)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], fields=list(kind))
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), structs)
-            yield pa.record_batch([batch.column(0), names.take(pa.array(pred)), pa.array(np.clip(score, 0, 1)), lists], ["id", "lang_pred", "score", "spans"])
+            yield pa.record_batch([batch.column(0), names.take(pa.array(pred)), pa.array(np.clip(score, 0, 1)), lists, pa.array(np.clip(certainty, 0, 1))], ["id", "lang_pred", "score", "spans", "certainty"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id (a struct of id and ``passed`` columns if there are any), ``lang_pred``, ``score`` and ``spans``."""
+    """Per row: id (a struct of id and ``passed`` columns if there are any), ``lang_pred``, ``score``, ``spans`` and ``certainty``.
+
+    ``score`` is of the one language ``lang_pred``; ``certainty`` says how surely the
+    spans are labelled, in however many languages.
+    """
     key = F.struct(F.col(id_col), *map(F.col, passed)) if passed else F.col(id_col)
     slim = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = slim.select("id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.array(F.struct(F.lit("").alias("lang"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).alias("spans")).schema
+    schema = slim.select("id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.array(F.struct(F.lit("").alias("lang"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).alias("spans"), F.lit(0.0).alias("certainty")).schema
     out = slim.mapInArrow(_predict(model), schema)
     return out if passed else out.withColumnRenamed("id", id_col)
 

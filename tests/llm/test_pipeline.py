@@ -60,3 +60,21 @@ def test_mixing_goes_by_the_told_language(spark, tmp_path):
     got = mixed.collect()
     assert {r.doc_id for r in got} == want and sum(r.lang is None for r in got) > 200
     assert len({told[r.doc_id] for r in got if r.lang is None}) == 4
+
+
+def test_clean_texts_of_several_languages_stay(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    by = {}
+    for r in docs.where("length(text) > 600").orderBy("doc_id").collect():
+        by.setdefault(r.lang, []).append(r.text)
+    part = lambda lang, i, n: by[lang][i % len(by[lang])][:n]
+    mixed = []
+    for i in range(40):
+        mixed.append(part("en", i, 520) + "\n" + part("de", i, 480))
+        mixed.append(part("fr", i, 300) + "\n" + part("en", i, 520) + "\n" + part("fr", i + 1, 180))
+        mixed.append("\n".join(part(lang, i, 300) for lang in ("en", "de", "fr", "es")))
+    extra = spark.createDataFrame([(10**6 + i, t, None, "src1", len(t)) for i, t in enumerate(mixed)], docs.schema)
+    kept = pipe.identify_language(spark, docs.union(extra), "")
+    assert kept.where(f"doc_id >= {10**6}").count() == len(mixed)
+    rejected = spark.createDataFrame([(1, "12 34 -", None, "a", 7), (2, "\u6f22\u5b57 \u6f22\u5b57", None, "a", 5)], docs.schema)
+    assert pipe.identify_language(spark, docs.where("doc_id > 2").union(rejected), "").where("doc_id <= 2").count() == 0
