@@ -8,7 +8,7 @@ are one random order of all rows; row ``g`` of it goes to shard ``g % shards``,
 slot ``g // shards``: shard sizes differ by one row at most.
 
 Defined results: every row lands exactly once, repeated rows too; rows equal in
-key and text share a bucket; null keys are scattered by their text; an empty
+key and text share a bucket, or as many buckets as they fill; null keys are scattered by their text; an empty
 table gives no rows.  Other columns travel along, whatever their names.
 """
 
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import sums
+from pagesieve.llm.common import durable, sums
 
 SEED = 20240607
 
@@ -38,18 +38,47 @@ def _fisher_yates(seed: int):
     return run
 
 
-def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = 32 << 20) -> DataFrame:
-    """All rows with ``place``, their position in one random order: columns ``row`` (struct) and ``place``.
+def _dealt_repeats(rows: DataFrame, large: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` with ``bucket``; rows of a key in ``large`` (hash, tie, parts) go to that many buckets in turn.
 
-    ``bucket_bytes`` is the memory a bucket may take in a task.
+    The turn is a counter within the key: the rows before it in its partition and
+    in the partitions before.  How many rows a bucket gets follows from their
+    number alone, so the order of all others does not depend on the partitioning.
     """
+    both = rows.join(large, ["hash", "tie"], "left")
+    rest = both.where("parts IS NULL").drop("parts").withColumn("bucket", F.pmod(F.col("hash"), F.lit(buckets)))
+    # a checkpoint, so that a partition holds the same rows at each read
+    repeats = durable(both.where("parts IS NOT NULL")).withColumn("part_no", F.spark_partition_id())
+    own = Window.partitionBy("hash", "tie", "part_no")
+    before = Window.partitionBy("hash", "tie").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = repeats.groupBy("hash", "tie", "part_no").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    turned = repeats.withColumn("turn", F.row_number().over(own.orderBy(F.lit(0))) - 1).join(starts, ["hash", "tie", "part_no"])
+    bucket = F.pmod(F.pmod(F.col("hash"), F.lit(buckets)) + (F.col("start") + F.col("turn")) % F.col("parts"), F.lit(buckets))
+    return rest.unionByName(turned.withColumn("bucket", bucket).select(*rest.columns))
+
+
+def scattered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = 32 << 20) -> DataFrame:
+    """Pass one: ``row`` (struct), ``hash``, ``tie``, ``size`` and the ``bucket`` of each row."""
     key = [F.col(id_col), F.col(text_col)]
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), *key).alias("hash"), F.xxhash64(F.lit(seed + 1), *key).alias("tie"), (F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 64).alias("size"))
     total = sums(rows, F.sum("size"))[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     # never fewer buckets than tasks that could run
     buckets = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("bucket", F.pmod(F.col("hash"), F.lit(buckets)))
+    if total > bucket_bytes:
+        large = rows.groupBy("hash", "tie").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > bucket_bytes)
+        large = durable(large.select("hash", "tie", F.ceil(F.col("bytes") / bucket_bytes).alias("parts")))
+        if not large.isEmpty():
+            return _dealt_repeats(rows, F.broadcast(large), buckets)  # fewer keys than buckets
+    return rows.withColumn("bucket", F.pmod(F.col("hash"), F.lit(buckets)))
+
+
+def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = 32 << 20) -> DataFrame:
+    """All rows with ``place``, their position in one random order: columns ``row`` (struct) and ``place``.
+
+    ``bucket_bytes`` is the memory a bucket may take in a task.
+    """
+    rows = scattered(docs, id_col, text_col, seed, bucket_bytes)
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("bucket") / 1024))
     # prefix sums in two levels: no task sees more than a thousand buckets or block totals
     blocks = counts.groupBy("block").agg(F.sum("n").alias("n"))

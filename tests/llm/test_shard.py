@@ -4,7 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from pagesieve.llm.queries import QUERIES
-from pagesieve.llm.shard import shard, write_shards
+from pagesieve.llm.shard import scattered, shard, write_shards
 
 
 def gapless(pairs):
@@ -59,3 +59,18 @@ def test_odd_rows(spark, tmp_path):
     assert shard(docs.limit(0), 3).count() == 0
     write_shards(shard(docs.drop("shard"), 3), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def test_repeated_rows_fill_several_buckets(spark):
+    """A third of the rows equal in id and text: no bucket takes them all, none is lost, the others keep their order."""
+    rows = [(None, None)] * 3000 + [(7, "same")] * 20 + [(i, f"text {i}") for i in range(100, 6100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small = 20_000  # bytes: about 270 rows
+    sizes = [r["count"] for r in scattered(docs, bucket_bytes=small).groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 1000
+    dealt = lambda d: shard(d, 5, bucket_bytes=small).collect()
+    one, many = dealt(docs.repartition(1)), dealt(docs.repartition(7))
+    assert sorted(((r.row.doc_id, r.shard, r.slot) for r in one), key=repr) == sorted(((r.row.doc_id, r.shard, r.slot) for r in many), key=repr)
+    assert sorted((tuple(r.row) for r in one), key=repr) == sorted(rows, key=repr)
+    counts = gapless((r.shard, r.slot) for r in one)
+    assert max(counts.values()) - min(counts.values()) <= 1
