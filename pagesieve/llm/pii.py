@@ -187,14 +187,13 @@ def fit(cells: list[tuple[dict, int, int]], apart: list[tuple[dict, int, int]],
         one = Trees(0.0, model.trees[-1:])
         odds = [o + one.score(c[0].get, when) for c, o in zip(cells, odds, strict=True)]
     scored = sorted(((model.score(x.get, when), p, n) for x, p, n in apart), key=lambda s: -s[0])
+    model.threshold = math.inf  # nothing is added where the precision is not reached
     good = bad = 0
     for i, (s, p, n) in enumerate(scored):
         good, bad = good + p, bad + n
         last = i + 1 == len(scored) or scored[i + 1][0] < s
         if last and good and good >= precision * (good + bad):
             model.threshold = s
-    if not good:
-        model.threshold = math.inf
     return model
 
 

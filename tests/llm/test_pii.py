@@ -46,3 +46,13 @@ def test_added_spans_look_like_the_base_ones(spark):
     assert [s.kind for s in by[900].more] == ["number_like"] and not any(by[500 + i].more for i in range(80))
     text = spark.createDataFrame([("a b@c.de f", [("email", 2, 8)], [("at_like", 1, 8), ("x", 9, 10)])], "t string, b array<struct<kind:string,start:int,end:int>>, m array<struct<kind:string,start:int,end:int>>")
     assert text.select(redact(F.col("t"), F.col("b"), F.col("m"))).first()[0] == "a[at_like] [x]"
+
+
+def test_nothing_is_added_below_the_precision():
+    plain = dict.fromkeys(FEATURES, 0)
+    cells = [(plain, 5, 995), (plain | {"kind": 1}, 930, 70)]
+    model = fit(cells, cells)
+    when = lambda test, yes, no: yes if test else no
+    assert model.trees and model.score(cells[1][0].get, when) > 2.0  # the default threshold
+    assert not any(model.score(x.get, when) >= model.threshold for x, _, _ in cells)
+    assert any(model.score(x.get, when) >= fit(cells, cells, precision=0.9).threshold for x, _, _ in cells)
