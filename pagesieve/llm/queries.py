@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import chat, decontaminate, hostquality, langid, mixing, pii, secrets, shard, triejoin, urlrules
+from pagesieve.llm import chat, decontaminate, hardneg, hostquality, langid, mixing, pii, secrets, shard, triejoin, urlrules
 from pagesieve.llm.common import durable, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ def op10_raked_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = durable(mixing.measured(table(spark, folder, "documents"), mixing.PRODUCTION, keep=["doc_id"]))
     mixed = mixing.mix(docs, mixing.calibrate(docs, mixing.PRODUCTION, mixing.BUDGET))
     return mixed.select("row.doc_id", F.col("tokens").alias("n_tokens"), "source", "lang", "topic", "weight", "probability", "sampled")
+
+
+@query(hardneg.ORACLE)
+def op11_residue_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, folder, "embeddings"), label=label)
