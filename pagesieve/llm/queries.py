@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import chat, decontaminate, hardneg, hostquality, langid, mixing, pii, secrets, shard, triejoin, urlrules
+from pagesieve.llm import chat, decontaminate, hardneg, hostquality, langid, linededup, mixing, pii, ranking, secrets, shard, triejoin, urlrules
 from pagesieve.llm.common import durable, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,15 @@ def op10_raked_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op11_residue_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardneg.mine(table(spark, folder, "embeddings"), label=label)
+
+
+@query(linededup.ORACLE)
+def op12_line_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    kept = linededup.kept_texts(docs, linededup.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(ranking.ORACLE)
+def op13_hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
