@@ -5,6 +5,13 @@ host, each host's failure rate is shrunk towards all hosts by a beta prior that
 is fitted to the hosts themselves (method of moments), and the host verdict is
 joined back to the documents.  All steps are DataFrame functions.
 
+The verdict follows from the host's posterior.  A host is ``bad``, and loses all
+its documents, if its rate is surely (by ``SURE`` standard deviations) more than
+``BAD_TIMES`` the mean of all hosts, or more than half way from that mean to 1
+where this is less.  A host is ``suspect`` if its shrunk rate is above the mean:
+its documents must pass the soft rules too, while hosts that do no worse than the
+mean (``trusted``) may break them.  So no limit is fixed beforehand.
+
 Defined results: null text has no words and fails; a null host is a host of its
 own; repeated rows count as often as they occur; with one host, or equal rates,
 the prior weighs one document; an empty table gives no rows; other columns are
@@ -20,7 +27,10 @@ from pagesieve.llm.common import durable, sums
 
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
-MIN_WORDS, MAX_REPEAT_PERCENT, MAX_SYMBOL_PERCENT, MAX_HOST_RATE = 50, 50, 10, 0.6
+MIN_WORDS, MAX_REPEAT_PERCENT, MAX_SYMBOL_PERCENT = 50, 50, 10
+SURE, BAD_TIMES = 3.0, 2.0
+#: What rounding may add to a rate that equals the mean.
+MARGIN = 1e-9
 
 
 def _words(text: Column) -> Column:
@@ -69,8 +79,8 @@ def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return counted.select("id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", _union_of_threes(F.col("windows")).cast("long").alias("n_repeat_words"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Measures, ``base_failed``, the host's ``host_docs``, ``host_failed`` and shrunk ``host_rate``, and ``kept``."""
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", sure: float = SURE, bad_times: float = BAD_TIMES) -> DataFrame:
+    """Measures, ``base_failed``, ``failed`` (any rule), the host's ``host_docs``, ``host_failed``, shrunk ``host_rate`` and ``host_verdict``, and ``kept``."""
     n, repeats = F.col("n_words"), F.col("n_repeat_words")
     base = measures(docs, id_col, text_col, host_col).withColumn("base_failed", (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n))
     failed = F.col("base_failed") | (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"))
@@ -82,10 +92,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     strength = mean * (1 - mean) / spread - 1 if spread else 1.0
     strength = max(strength, 1.0)
     hosts = hosts.withColumn("host_rate", (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength)))
+    rate = F.col("host_rate")
+    spread = F.sqrt(rate * (1 - rate) / (F.col("host_docs") + F.lit(strength + 1)))
+    verdict = F.when(rate - sure * spread > min(bad_times * mean, (1 + mean) / 2), "bad").when(rate > mean + MARGIN, "suspect").otherwise("trusted")
+    hosts = hosts.withColumn("host_verdict", verdict)
     theirs = hosts.withColumnRenamed("host", "their_host")
     both = base.join(theirs, F.col("host").eqNullSafe(F.col("their_host")), "left")
-    kept = ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)
-    return both.select(F.col("id").alias(id_col), "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_docs", "host_failed", "host_rate", kept.alias("kept"))
+    kept = ~F.col("base_failed") & F.when(F.col("host_verdict") == "suspect", ~F.col("failed")).otherwise(F.col("host_verdict") == "trusted")
+    return both.select(F.col("id").alias(id_col), "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed", "host_docs", "host_failed", "host_rate", "host_verdict", kept.alias("kept"))
 
 
 ORACLE = r"""
@@ -107,14 +121,16 @@ measured AS (
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM base LEFT JOIN repeats USING (r)),
 judged AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * n_symbols > 10 * word_chars AS soft_failed FROM measured),
 hosts AS (
-  SELECT source, count(*) AS n, count(*) FILTER (base_failed OR 100 * n_symbols > 10 * word_chars) AS f FROM judged GROUP BY source),
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS f FROM judged GROUP BY source),
 moments AS (
   SELECT avg(f / n) AS m, coalesce(var_samp(f / n), 0) AS v FROM hosts),
 prior AS (
-  SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 1.0 END AS s FROM moments)
+  SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 1.0 END AS s FROM moments),
+rates AS (
+  SELECT source, m, n + s AS seen, (f + m * s) / (n + s) AS rate FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (f + m * s) / (n + s) <= 0.6 AS kept
-FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source, prior
+       NOT base_failed AND rate - 3 * sqrt(rate * (1 - rate) / (seen + 1)) <= least(2 * m, (1 + m) / 2) AND (rate <= m + 1e-9 OR NOT soft_failed) AS kept
+FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
 """

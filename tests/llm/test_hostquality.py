@@ -29,3 +29,22 @@ def test_bad_host_takes_its_documents_along(spark):
     out = judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     kept = {r.host: r.n for r in out.groupBy("host").agg(F.sum(F.col("kept").cast("int")).alias("n")).collect()}
     assert kept["bad"] == 0 and all(kept[f"host{i}"] == 100 for i in range(9))
+
+
+def test_suspect_hosts_must_pass_the_soft_rules(spark):
+    """A document that breaks only the symbol rule goes where its host does worse than the mean, and stays elsewhere."""
+    good = " ".join(f"w{i}" for i in range(60))
+    marks = " ".join(f"w{i}#" for i in range(60))
+    rows = [(f"host{h}", "short" if i < 10 + 3 * (h == 0) else marks if i == 99 else good) for h in range(9) for i in range(100)]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    out = judge(docs).collect()
+    assert {r.host for r in out if r.host_verdict == "suspect"} == {"host0"} and not any(r.host_verdict == "bad" for r in out)
+    assert [r.host for r in out if not r.kept and not r.base_failed] == ["host0"]
+    one = judge(docs.where("source = 'host1'"))
+    assert {r.host_verdict for r in one.collect()} == {"trusted"}
+
+
+def test_the_verdicts_fire_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = judge(docs).where("NOT base_failed AND NOT kept").collect()
+    assert 0 < len(out) < 100 and all(r.failed for r in out)
