@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagesieve.llm.common import table
-from pagesieve.llm.pii import CELLS, FEATURES, Trees, digest, find, fit, redact
+from pagesieve.llm.pii import CELLS, FEATURES, Trees, digest, find, fit, redact, remainder_97
 from pagesieve.llm.queries import QUERIES
 from tests.llm import brute
 
@@ -56,3 +56,26 @@ def test_nothing_is_added_below_the_precision():
     assert model.trees and model.score(cells[1][0].get, when) > 2.0  # the default threshold
     assert not any(model.score(x.get, when) >= model.threshold for x, _, _ in cells)
     assert any(model.score(x.get, when) >= fit(cells, cells, precision=0.9).threshold for x, _, _ in cells)
+
+
+def test_spans_are_confirmed_and_added(spark):
+    """Account numbers, spelled-out addresses and national numbers among the documents of the table; look-alikes stay."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    good = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606", "me (at) example", "jane.doe[at]mail.example.org", "jane (at) mail (dot) example (dot) org"]
+    bad = ["DE88 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 33", "AB12 CDEF 3456 7890 1234", "we met (at a time) there", "look [at] this!x"]
+    places = "the thing was then {} and so on, whenever it came to that"
+    extra = [(10**6 + i, places.format(x)) for i, x in enumerate(good)] + [(2 * 10**6 + i, places.format(x)) for i, x in enumerate(bad)] + [(3 * 10**6, "phone: 030 1234567 or fax 030-1234568, order 030 1234569")]
+    found = {r.doc_id: r for r in find(docs.union(spark.createDataFrame(extra, "doc_id long, text string"))).where("size(more) > 0").collect()}
+    cut = lambda d, text: [text[s.start : s.end] for s in found[d].more] if d in found else []
+    for i, x in enumerate(good):
+        assert any(x in y for y in cut(10**6 + i, places.format(x))), x
+    assert not any(2 * 10**6 <= d < 3 * 10**6 for d in found)
+    assert cut(*extra[-1]) == ["030 1234567", "030-1234568"]
+    assert not [d for d in found if d < 10**6]  # the table's own documents hold none
+
+
+def test_remainders(spark):
+    codes = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE88370400440532013000", "X"]
+    by_hand = lambda c: int("".join(str(int(x, 36)) for x in (c[4:] + c[:4]))) % 97
+    rows = spark.createDataFrame([(c,) for c in codes], "c string").select("c", remainder_97(F.col("c")).alias("r")).collect()
+    assert {r.c: r.r for r in rows} == {c: by_hand(c.replace(" ", "")) for c in codes}
