@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -16,13 +17,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of its own only where none is set (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of its own only for a session on one machine that names none (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{os.getpid()}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"/tmp/checkpoints/{os.getpid()}")
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results, wherever Spark's file systems keep it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Rows with texts reach Python in batches bounded by bytes, not by a number of rows of any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def quoted(name: str) -> str:
+    """A column name as it is, dots included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with a number behind it if a column has that name in whatever case."""
+    low = {t.lower() for t in taken}
+    return next(n for n in itertools.chain([name], (f"{name}_{i}" for i in itertools.count(2))) if n.lower() not in low)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder; survives lost executors."""
     shared_folder(df.sparkSession)

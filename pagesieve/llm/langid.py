@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.tokens import Words, words
+from pagesieve.llm.common import small_batches
+from pagesieve.llm.tokens import Words, byte_slices, words
 
 _BYTE = np.arange(256)
 LETTERS = (_BYTE >= 0x80) | ((_BYTE >= 0x61) & (_BYTE <= 0x7A))
@@ -184,13 +185,15 @@ def _spans(found: Words, label: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], label[first], points[found.starts[first]] - base, points[found.ends[last]] - base
 
 
-def _predict(model: Model):
+def _predict(sent):
+    """``sent``: the model as a broadcast variable."""
+    model = sent.value
     names = pa.array([*model.langs, UNDETERMINED])
     kind = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     n_langs = len(model.langs)
 
     def run(batches):
-        for batch in batches:
+        for batch in byte_slices(batches, 1):
             n = batch.num_rows
             pred, score, certainty = np.full(n, n_langs), np.zeros(n), np.zeros(n)
             parts = [[np.zeros(0, np.int64)] for _ in range(4)]
@@ -234,17 +237,31 @@ def _predict(model: Model):
     return run
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id (a struct of id and ``passed`` columns if there are any), ``lang_pred``, ``score``, ``spans`` and ``certainty``.
+def told(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """Struct of the language (``lang``) and ``certainty`` of the rows of ``docs``; only texts travel to Python, and only once."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<lang: string, certainty: double>")
+    def tell(text: pa.Array) -> pa.Array:
+        parts = list(_predict(sent)([pa.record_batch([text, text], ["id", "text"])]))
+        columns = [pa.concat_arrays([p.column(c) for p in parts]) if parts else pa.array([], kind) for c, kind in (("lang_pred", pa.string()), ("certainty", pa.float64()))]
+        return pa.StructArray.from_arrays(columns, ["lang", "certainty"])
+
+    return tell.asNondeterministic()(F.col(text_col).cast("string"))  # else a filter would tell a second time
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ``lang_pred``, ``score``, ``spans`` and ``certainty``.
 
     ``score`` is of the one language ``lang_pred``; ``certainty`` says how surely the
     spans are labelled, in however many languages.
     """
-    key = F.struct(F.col(id_col), *map(F.col, passed)) if passed else F.col(id_col)
-    slim = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = slim.select("id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.array(F.struct(F.lit("").alias("lang"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).alias("spans"), F.lit(0.0).alias("certainty")).schema
-    out = slim.mapInArrow(_predict(model), schema)
-    return out if passed else out.withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lambda batches: _predict(sent)(batches), schema).withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

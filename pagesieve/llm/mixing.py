@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.llm.common import quoted
+
 REST = "*"
 MAX_CELLS = 100_000
 SEED = 20240607
@@ -71,7 +73,7 @@ def measured(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return docs.select(
-        F.struct(*(keep or docs.columns)).alias("row"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
+        F.struct(*(quoted(c) for c in keep or docs.columns)).alias("row"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
         _listed(F.col(source_col), targets.source).alias("source"), _listed(F.col(lang_col), targets.lang).alias("lang"),
         _listed(topic_of(text) if topic is None else topic, targets.topic).alias("topic"), draw.alias("u"),
     )

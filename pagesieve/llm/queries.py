@@ -79,11 +79,11 @@ def op5_winnowing(spark: SparkSession, folder: str) -> DataFrame:
 def op6_two_pass_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     written = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    shard.write_shards(shard.shard(docs, 24), written)
+    own, slot = shard.write_shards(shard.shard(docs, 24), written)
     rows = spark.read.parquet(written)
     return rows.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
-        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        F.lit("rows").alias("law"), F.col(own).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

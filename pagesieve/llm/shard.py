@@ -2,14 +2,19 @@
 
 Pass one scatters the rows by a seeded hash of their key into buckets that fit
 in memory (their number follows from the total size).  Pass two orders a bucket
-by hash and key, so that the outcome does not depend on arrival, and runs a
+by hash, so that the outcome does not depend on arrival, and runs a
 Fisher-Yates shuffle seeded by the bucket.  Shuffled buckets laid end to end
 are one random order of all rows; row ``g`` of it goes to shard ``g % shards``,
 slot ``g // shards``: shard sizes differ by one row at most.
 
+The order follows from the rows (all columns), the seed and ``bucket_bytes``
+alone: neither the partitioning nor a setting of the session changes it.
+
 Defined results: every row lands exactly once, repeated rows too; rows equal in
-key and text share a bucket, or as many buckets as they fill; null keys are scattered by their text; an empty
-table gives no rows.  Other columns travel along, whatever their names.
+all columns share a bucket, or as many buckets as they fill; null keys are
+scattered by the other columns; an empty table gives no rows.  Other columns
+travel along, whatever their names; in written shards a column of the operator
+gets a number behind its name where theirs has the name (``shard_2``).
 """
 
 from __future__ import annotations
@@ -17,10 +22,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructField
 
-from pagesieve.llm.common import durable, sums
+from pagesieve.llm.common import durable, free_name, quoted, sums
 
 SEED = 20240607
 
@@ -57,19 +63,26 @@ def _dealt_repeats(rows: DataFrame, large: DataFrame, buckets: int) -> DataFrame
     return rest.unionByName(turned.withColumn("bucket", bucket).select(*rest.columns))
 
 
+def _hashable(field: StructField) -> Column:
+    """A column as something to hash: maps have no order, so they go as sorted entries; what cannot be compared goes as text."""
+    column = F.col(quoted(field.name))
+    if isinstance(field.dataType, MapType):
+        return F.to_json(F.array_sort(F.transform(F.map_entries(column), lambda e: F.to_json(e))))
+    return F.to_json(column) if "map<" in field.dataType.simpleString() else column.cast("string") if field.dataType.typeName() in ("variant", "interval") else column
+
+
 def scattered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = 32 << 20) -> DataFrame:
     """Pass one: ``row`` (struct), ``hash``, ``tie``, ``size`` and the ``bucket`` of each row."""
-    key = [F.col(id_col), F.col(text_col)]
+    # whole rows: those equal in id and text alone have an order of their own
+    key = [F.col(id_col), F.col(text_col), *(_hashable(f) for f in docs.schema if f.name not in (id_col, text_col))]
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), *key).alias("hash"), F.xxhash64(F.lit(seed + 1), *key).alias("tie"), (F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 64).alias("size"))
     total = sums(rows, F.sum("size"))[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    # never fewer buckets than tasks that could run
-    buckets = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if total > bucket_bytes:
         large = rows.groupBy("hash", "tie").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > bucket_bytes)
         large = durable(large.select("hash", "tie", F.ceil(F.col("bytes") / bucket_bytes).alias("parts")))
         if not large.isEmpty():
-            return _dealt_repeats(rows, F.broadcast(large), buckets)  # fewer keys than buckets
+            return _dealt_repeats(rows, large, buckets)
     return rows.withColumn("bucket", F.pmod(F.col("hash"), F.lit(buckets)))
 
 
@@ -97,11 +110,22 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     return dealt.select("row", (F.col("place") % shards).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"))
 
 
-def write_shards(dealt: DataFrame, folder: str) -> None:
+def named_apart(dealt: DataFrame, shard_name: str = "shard", slot_name: str = "slot") -> DataFrame:
+    """The shard and slot of every row beside its own columns, numbered names where theirs are taken."""
+    theirs = dealt.schema["row"].dataType.names
+    shard_name = free_name(theirs, shard_name)
+    slot_name = free_name([*theirs, shard_name], slot_name)
+    return dealt.select(F.col("shard").alias(shard_name), F.col("slot").alias(slot_name), "row.*")
+
+
+def write_shards(dealt: DataFrame, folder: str) -> tuple[str, str]:
     """One Parquet folder a shard, rows in slot order inside each file.
 
     A task writes the rows of its own buckets to all shards, so the texts are not
     shuffled a third time; ``slot`` gives the order across the files of a shard.
+    Returns the names of both columns (see ``named_apart``).
     """
-    out = dealt.select("shard", "slot", "row.*") if not {"shard", "slot"} & set(dealt.schema["row"].dataType.names) else dealt
-    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    out = named_apart(dealt)
+    shard_name, slot_name = out.columns[:2]
+    out.sortWithinPartitions(shard_name, slot_name).write.partitionBy(shard_name).parquet(folder)
+    return shard_name, slot_name

@@ -8,7 +8,7 @@ by position, then mixed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ _RANDOM = np.random.default_rng(20240607)
 _BYTE_VALUE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _GRAM_WEIGHT = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,6 +80,20 @@ def _text_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets.astype(np.int64), np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
+def byte_slices(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in smaller ones of some bytes of text in column ``at`` (one row at least)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        offsets, _ = _text_parts(batch.column(at))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
+            last = min(last, batch.num_rows)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def words(column: pa.Array, is_word: np.ndarray, lower: bool = True) -> Iterator[Words]:
     """Words of every row (null: none), in slices of whole rows that bound the scratch memory."""
     if not len(column):

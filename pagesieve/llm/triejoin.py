@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import BitSet, durable
+from pagesieve.llm.common import BitSet, durable, small_batches
 from pagesieve.llm.components import components
-from pagesieve.llm.tokens import NOT_BLANK, mix, signed, words
+from pagesieve.llm.tokens import NOT_BLANK, byte_slices, mix, signed, words
 
 TOKEN_BITS = 60
 TOKEN_MASK = np.uint64((1 << TOKEN_BITS) - 1)
@@ -176,7 +176,7 @@ def _class_rows(width: int, percent: int, levels: list[BitSet], shared: list[Bit
     kind = [pa.field("key", pa.int64()), pa.field("pos", pa.int32())]
 
     def run(batches):
-        for batch in batches:
+        for batch in byte_slices(batches, 2):
             n = np.zeros(batch.num_rows, np.int32)
             hashes = batch.column(1).to_numpy(zero_copy_only=False)
             rows, digests, marks, keys, places, of, shapes = ([] for _ in range(7))
@@ -447,6 +447,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``bits`` sizes each bit set (half a megabyte by default, the largest twice that, whatever the data); a fuller
     one lets more candidates through to the joins, which decide.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("row_hash"), F.col(text_col).cast("string").alias("text"))
     levels, shared = _orders(texts, width, percent, bits)
     prefix = "prefix array<struct<key:long,pos:int>>"

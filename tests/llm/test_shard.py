@@ -1,10 +1,11 @@
 import zlib
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagesieve.llm.queries import QUERIES
-from pagesieve.llm.shard import scattered, shard, write_shards
+from pagesieve.llm.shard import SEED, scattered, shard, write_shards
 
 
 def gapless(pairs):
@@ -57,8 +58,11 @@ def test_odd_rows(spark, tmp_path):
     assert all(r.row["shard"] == "theirs" for r in got)
     assert sorted(gapless((r.shard, r.slot) for r in got).values()) == [2, 2, 3]
     assert shard(docs.limit(0), 3).count() == 0
-    write_shards(shard(docs.drop("shard"), 3), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+    clashing = docs.withColumnRenamed("shard", "Shard").withColumn("slot", F.lit("own")).withColumn("a.b", F.lit(2))
+    names = write_shards(shard(clashing, 3), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert names == ("shard_2", "slot_2") and {(r["Shard"], r["slot"], r["a.b"]) for r in back.collect()} == {("theirs", "own", 2)}
+    assert sorted(gapless((r.shard_2, r.slot_2) for r in back.collect()).values()) == [2, 2, 3]
 
 
 def test_repeated_rows_fill_several_buckets(spark):
@@ -74,3 +78,32 @@ def test_repeated_rows_fill_several_buckets(spark):
     assert sorted((tuple(r.row) for r in one), key=repr) == sorted(rows, key=repr)
     counts = gapless((r.shard, r.slot) for r in one)
     assert max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_order_does_not_follow_the_session(spark, folder):
+    """One order under any number of shuffle partitions and any partitioning, rows equal in id and text included."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
+    docs = docs.union(spark.range(3000).selectExpr("CAST(NULL AS BIGINT)", "'same'", "concat('s', id)")).withColumn("tags", F.create_map(F.lit("k"), F.col("source")))
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in (4, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            rows = shard(docs.repartition(partitions), 5, bucket_bytes=20_000).collect()
+            seen.append(sorted(((r.row.doc_id, r.row.text, r.row.source, r.shard, r.slot) for r in rows), key=repr))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+
+
+def test_the_shuffle_equals_a_plain_one(spark):
+    """Fisher-Yates over the bucket's rows in the order of their hashes, by a second implementation in plain Python."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string")
+    rows = scattered(docs, bucket_bytes=8000).select("bucket", "hash", "tie", "row.doc_id").collect()
+    at, want = 0, {}
+    for bucket in sorted({r.bucket for r in rows}):
+        own = [r.doc_id for r in sorted((r for r in rows if r.bucket == bucket), key=lambda r: (r["hash"], r.tie))]
+        order = np.random.default_rng([SEED, bucket]).permutation(len(own))
+        want.update({own[j]: at + i for i, j in enumerate(order)})
+        at += len(own)
+    assert len({r.bucket for r in rows}) > 3
+    assert {r.row.doc_id: r.slot * 7 + r.shard for r in shard(docs, 7, bucket_bytes=8000).collect()} == want
