@@ -78,3 +78,33 @@ def test_clean_texts_of_several_languages_stay(spark):
     assert kept.where(f"doc_id >= {10**6}").count() == len(mixed)
     rejected = spark.createDataFrame([(1, "12 34 -", None, "a", 7), (2, "\u6f22\u5b57 \u6f22\u5b57", None, "a", 5)], docs.schema)
     assert pipe.identify_language(spark, docs.where("doc_id > 2").union(rejected), "").where("doc_id <= 2").count() == 0
+
+
+def test_clashing_and_odd_names_and_long_texts(spark, tmp_path):
+    """Every stage, with names that its helpers have, repeated rows that differ in them, and a very long text."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").limit(300)
+    names = ["slot", "shard_no", "Shard", "row_hash", "r_id", "r_hash", "told_lang", pipe.TOLD, "a.b", "row", "own_id", "Their_Hash", "u", "tokens", "told", "bucket", "maybe"]
+    docs = docs.select("*", *(F.concat(F.lit(f"{n}="), F.col("doc_id")).alias(n) for n in names))
+    long = docs.where("doc_id = 2").withColumn("doc_id", F.lit(7_000_000).cast("long")).withColumn("text", F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda i: F.concat(F.lit("Another line of the long text is number "), i.cast("string")))))
+    docs = docs.union(docs.where("doc_id < 40").withColumn("slot", F.lit("again"))).union(long)
+    columns = docs.columns
+    for i, (name, stage) in enumerate(pipe.STAGES):
+        out = stage(spark, docs, "/root/testdata/sf0.01")
+        assert out.columns[: len(columns)] == columns, name
+        out.write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        rows = docs.collect()
+        assert rows and all(r[n] in (f"{n}={r.doc_id}", "again", f"{n}=2") for r in rows for n in names)
+        if name == "near_duplicates":
+            assert len({r.doc_id for r in rows}) == len(rows)
+            assert any(r.doc_id == 7_000_000 and len(r.text) > 100_000 for r in rows)
+    assert docs.columns[-2:] == ["shard_no_2", "slot_2"]
+    dealt = sorted((r.shard_no_2, r.slot_2) for r in rows)
+    assert len(set(dealt)) == len(rows)
+
+
+def test_a_corpus_without_languages_stays_whole(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").withColumn("lang", F.lit(None).cast("string"))
+    kept = pipe.identify_language(spark, docs, "")
+    assert kept.count() == docs.count() and kept.where(f"{pipe.TOLD} IS NOT NULL").count() == 0
+    assert 0 < pipe.mix_sources(spark, kept, "").count() < docs.count()
