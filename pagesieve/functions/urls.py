@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.functions.addresses import ipv4_number, ipv4_reason, ipv6_halves, ipv6_reason
+
 # Query keys that never change what a page shows.
 TRACKING_PARAMS = (
     "fbclid",
@@ -327,52 +329,26 @@ def infer_mode(url: Column, explicit: Column | None = None) -> Column:
     return guess if explicit is None else F.coalesce(F.nullif(explicit, F.lit("")), guess)
 
 
-def ipv4_number(host: Column) -> Column:
-    """Dotted quad as an integer, NULL for anything else."""
-    octets = F.transform(F.split(host, r"\."), lambda o: o.try_cast("long"))
-    value = F.aggregate(octets, F.lit(0).cast("long"), lambda total, o: total * 256 + o)
-    return F.when(F.rlike(host, F.lit(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?!$)|$)){4}$")), value)
-
-
-def _in_blocks(number: Column, blocks) -> Column:
-    def bounds(block: str) -> tuple[int, int]:
-        address, bits = block.split("/")
-        a, b, c, d = (int(x) for x in address.split("."))
-        start = a * 16777216 + b * 65536 + c * 256 + d
-        return start, start + 2 ** (32 - int(bits)) - 1
-
-    return any_of(number.between(*bounds(block)) for block in blocks)
-
+def with_block_reason(df: DataFrame, url: str, out: str, allow_private: bool = False) -> DataFrame:
+    """Add why a URL must not be fetched (no name lookup); NULL when it may be.
 
-# Address ranges a crawler must not reach.
-METADATA_BLOCKS = ("169.254.169.254/32", "100.100.100.200/32", "192.0.0.192/32")
-LOOPBACK_BLOCKS = ("127.0.0.0/8",)
-LINK_LOCAL_BLOCKS = ("169.254.0.0/16",)
-MULTICAST_BLOCKS = ("224.0.0.0/4",)
-PRIVATE_BLOCKS = (
-    "0.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24",
-    "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
-)
-
-
-def with_block_reason(df: DataFrame, url: str, out: str) -> DataFrame:
-    """Add why a URL must not be fetched (no name lookup); NULL when it may be."""
+    Hosts in brackets must be IPv6 literals.  ``allow_private`` blocks metadata
+    addresses alone.
+    """
     cleaned = clean_reference(F.col(url))
     df = df.withColumns(
         {"__scheme": F.lower(F.regexp_extract(cleaned, _URL, 1)), "__host": host_of(F.col(url))}
-    ).withColumn("__number", ipv4_number(F.col("__host")))
-    scheme, host, number = F.col("__scheme"), F.col("__host"), F.col("__number")
+    ).withColumns({"__number": ipv4_number(F.col("__host")), "__halves": ipv6_halves(F.col("__host"))})
+    scheme, host, number, halves = F.col("__scheme"), F.col("__host"), F.col("__number"), F.col("__halves")
     reason = (
         F.when(scheme == "", "INVALID_URL")
         .when(~scheme.isin("http", "https"), "SCHEME_NOT_ALLOWED")
         .when(host == "", "INVALID_URL")
-        .when(_in_blocks(number, METADATA_BLOCKS), "METADATA_IP")
-        .when(_in_blocks(number, LOOPBACK_BLOCKS) | (host == "[::1]"), "LOOPBACK")
-        .when(_in_blocks(number, LINK_LOCAL_BLOCKS) | F.rlike(host, F.lit(r"^\[fe[89ab]")), "LINK_LOCAL")
-        .when(_in_blocks(number, MULTICAST_BLOCKS) | F.startswith(host, F.lit("[ff")), "MULTICAST")
-        .when(_in_blocks(number, PRIVATE_BLOCKS) | F.rlike(host, F.lit(r"^\[f[cd]")), "PRIVATE_ADDRESS")
+        .when(number.isNotNull(), ipv4_reason(number, allow_private))
+        .when(halves.isNotNull(), ipv6_reason(halves, allow_private))
+        .when(F.contains(host, F.lit("[")) | F.contains(host, F.lit("]")), "INVALID_URL")
     )
-    return df.withColumn(out, reason).drop("__scheme", "__host", "__number")
+    return df.withColumn(out, reason).drop("__scheme", "__host", "__number", "__halves")
 
 
 def variant_url(url: Column, params: Column) -> Column:

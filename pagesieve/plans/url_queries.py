@@ -168,6 +168,36 @@ def url_safety_screen(spark, folder):
     return urls.with_block_reason(rows, "url", "reason").select("c_custkey", "reason")
 
 
+# Literals whose last part is filled with a hexadecimal number of the row, with their reasons.
+_LITERALS = [
+    ("http://[0:0:0:0:0:0:0:1]/{}", "LOOPBACK"), ("https://[::1]:8443/{}", "LOOPBACK"), ("http://[::ffff:127.0.0.1]/{}", "LOOPBACK"), ("http://[::FFFF:7f00:{}]/", "LOOPBACK"),
+    ("http://[::ffff:a9fe:a9fe]/{}", "METADATA_IP"), ("http://[::ffff:a9fe:{}]/", "LINK_LOCAL"), ("http://[fe80::{}%25eth0]/", "LINK_LOCAL"), ("http://[febf:ffff::{}]/", "LINK_LOCAL"),
+    ("http://[::]/{}", "PRIVATE_ADDRESS"), ("http://[2001:db8::{}]/", "PRIVATE_ADDRESS"), ("http://[100::{}]/", "PRIVATE_ADDRESS"), ("http://[fd12:3456::{}]/", "PRIVATE_ADDRESS"),
+    ("http://[2002:7f00:{}::]/", "PRIVATE_ADDRESS"), ("http://[::ffff:10.1.2.3]/{}", "PRIVATE_ADDRESS"), ("http://[2001:0:{}::1]/", "PRIVATE_ADDRESS"), ("http://[ff02::{}]/", "MULTICAST"),
+    ("http://[64:ff9b::7f00:{}]/", "RESERVED"), ("http://[::{}:2]/", "RESERVED"), ("http://[4000::{}]/", "RESERVED"), ("http://[fe00::{}]/", "RESERVED"), ("http://[1234:{}::9]/", "RESERVED"),
+    ("http://user@[2606:4700::{}]:80/a?b", None), ("http://[2001:4:112::{}]/", None), ("http://[::ffff:8.8.8.8]/{}", None), ("http://[2a00:1450:4001:80b::{}]/", None),
+    ("http://[1:2:3:4:5:6:7:8:{}]/", "INVALID_URL"), ("http://[::1::{}]/", "INVALID_URL"), ("http://[12345::{}]/", "INVALID_URL"), ("http://[host{}]/", "INVALID_URL"),
+    ("http://2130706433/{}", "LOOPBACK"), ("http://0x7f.{}", "LOOPBACK"), ("http://0177.0.0.1/{}", "LOOPBACK"), ("http://192.0.0.9/{}", None), ("http://256.1.1.1/{}", None),
+]
+
+
+@query(
+    "url_safety_literals",
+    "SELECT c_custkey, CASE c_custkey % " + str(len(_LITERALS)) + " ".join(f" WHEN {i} THEN '{r}'" for i, (_, r) in enumerate(_LITERALS) if r)
+    + " END AS reason, CASE WHEN c_custkey % " + str(len(_LITERALS)) + " IN (" + ", ".join(str(i) for i, (_, r) in enumerate(_LITERALS) if r == "INVALID_URL")
+    + ") THEN 'INVALID_URL' WHEN c_custkey % " + str(len(_LITERALS)) + " = 4 THEN 'METADATA_IP' END AS private_allowed FROM customer",
+)
+def url_safety_literals(spark, folder):
+    """IPv6 literals in all spellings, mapped and translated IPv4 addresses, and old IPv4 forms."""
+    number = F.lower(F.hex(F.col("c_custkey") % 50 + 16))
+    shapes = F.array(*[F.lit(s) for s, _ in _LITERALS])
+    shape = F.get(shapes, (F.col("c_custkey") % len(_LITERALS)).cast("int"))
+    shown = F.when(F.contains(shape, F.lit("0x7f.")), (F.col("c_custkey") % 50).cast("string")).otherwise(number)
+    rows = load(spark, folder, "customer").select("c_custkey", F.replace(shape, F.lit("{}"), shown).alias("url"))
+    judged = urls.with_block_reason(rows, "url", "reason")
+    return urls.with_block_reason(judged, "url", "private_allowed", allow_private=True).drop("url")
+
+
 @query(
     "url_infer_mode",
     r"""SELECT page_id, CASE WHEN regexp_matches(url, '://blog\.') AND false THEN 'CONTENT' ELSE 'STRUCTURED' END AS plain,
