@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 
@@ -55,6 +56,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    It does so when the driver's JVM collects what referred to them, which a large
+    driver heap may put off until long after the disks are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sums(df: DataFrame, *columns) -> tuple:
     """One row of totals; what reaches the driver does not grow with the data."""
     return tuple(df.agg(*columns).first())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import durable
+from pagesieve.llm.common import durable, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,5 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = labels.join(least, "node").join(jump, "root").select("node", F.least("root", "least", "jump").alias("root"), (F.least("least", "jump") < F.col("root")).alias("moved"))
         after = durable(after)
         labels = after.drop("moved")
-        if after.where("moved").isEmpty():
+        settled = after.where("moved").isEmpty()
+        release(edges.sparkSession)
+        if settled:
             return labels

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import BitSet, durable, small_batches
+from pagesieve.llm.common import BitSet, durable, release, small_batches
 from pagesieve.llm.components import components
 from pagesieve.llm.tokens import NOT_BLANK, byte_slices, mix, signed, words
 
@@ -452,6 +452,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     levels, shared = _orders(texts, width, percent, bits)
     prefix = "prefix array<struct<key:long,pos:int>>"
     schema = f"id {dict(texts.dtypes)['id']}, row_hash long, n int, digest binary, mark long, prefix array<struct<key:long,pos:int>>, shape binary"
+    release(docs.sparkSession)
     rows = durable(texts.mapInArrow(_class_rows(width, percent, levels, shared), schema))
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("id").alias("id"), F.count("*").alias("class_size"), F.min("mark").alias("mark"),
@@ -463,21 +464,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     index = classes.select("cls", "n", F.size("prefix").alias("shared"), F.inline("prefix"), F.col("cls").alias("root"))
     index = durable(_open_keys(index, percent))
+    release(docs.sparkSession)
     few, many = index.where(F.col("among") <= FEW), index.where(F.col("among") > FEW)
     shape = lambda side: classes.select(F.col("cls").alias(side), F.col("n").alias(f"{side}n"), F.col("shape").alias({"a": "x", "b": "y"}[side]))
     pairs = _cross_pairs(few, percent).union(_pivot_pairs(many, percent)).distinct().join(shape("a"), "a").join(shape("b"), "b")
     pairs = durable(pairs.mapInArrow(_possible(percent), "a long, b long"))
+    release(docs.sparkSession)
     # full sets are read again, for those classes alone that may have links
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(many.select("cls")).distinct()
     involved = durable(involved.join(classes.select("cls", "mark", "digest"), "cls"))
     wanted = BitSet.of(involved.select("mark"), bits)
     sets = texts.select("row_hash", "text").mapInArrow(_full_sets(width, levels, wanted, again), "digest binary, again boolean, keys array<long>")
     sets = durable(sets.join(involved.select("digest", "cls"), "digest").drop("digest"))
+    release(docs.sparkSession)
     sets = sets.where("NOT again").union(sets.where("again").dropDuplicates(["cls"])).drop("again")
 
     links = durable(_test(pairs, sets, percent).union(_by_chunks(many, sets, percent)))
+    release(docs.sparkSession)
     left = durable(_open_keys(_rooted(many, components(links)), percent))
     pairs = durable(_by_blocks(left, classes.select("cls", "shape"), percent))
+    release(docs.sparkSession)
     links = links.union(_test(pairs, sets, percent))
     roots = components(links)
 
