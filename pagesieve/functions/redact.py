@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagesieve.functions.urls import SANITIZED_QUERY, sanitize_url
+from pagesieve.functions.urls import SANITIZED_QUERY, any_of, sanitize_url
 
 REDACTED = "[REDACTED]"
 REDACTED_SECRET = "[REDACTED_SECRET]"
@@ -26,6 +26,8 @@ KEY_VALUE = (
     r"(?i)((?:api[_-]?key|x-api-key|authorization|password|token|access_token|refresh_token|secret"
     r"|hashed_password|api_key_encrypted)\s*[:=]\s*)[^\s,;]+"
 )
+#: Every name of a key in ``KEY_VALUE`` holds one of these.
+KEY_WORDS = ("api", "authorization", "password", "token", "secret")
 SK_KEY = r"\bsk-[A-Za-z0-9_-]{6,}\b"
 
 
@@ -35,9 +37,12 @@ def hide_secrets(text: Column, known: tuple[str, ...] = ()) -> Column:
     for secret in known:
         if len(secret) >= 4:
             out = F.replace(out, F.lit(secret), F.lit(REDACTED_SECRET))
-    for shape in (BEARER, KEY_VALUE):
-        out = F.regexp_replace(out, shape, "$1" + REDACTED_SECRET.replace("[", r"\[").replace("]", r"\]"))
-    return F.regexp_replace(out, SK_KEY, REDACTED_SECRET)
+    # most texts hold none of the words: a plain search spares them the patterns
+    for shape, words in ((BEARER, ("bearer",)), (KEY_VALUE, KEY_WORDS)):
+        worth = any_of(F.contains(F.lower(text), F.lit(w)) for w in words)
+        hidden = F.regexp_replace(out, shape, "$1" + REDACTED_SECRET.replace("[", r"\[").replace("]", r"\]"))
+        out = F.when(worth, hidden).otherwise(out)
+    return F.when(F.contains(text, F.lit("sk-")), F.regexp_replace(out, SK_KEY, REDACTED_SECRET)).otherwise(out)
 
 
 def hide_url_queries(text: Column) -> Column:

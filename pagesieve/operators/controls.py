@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.text import collapse, metadata_key
 from pagesieve.functions.words import SECTION_WORDS, UNSAFE_LABEL
-from pagesieve.operators.nodes import attr, classes, has_attr, with_texts
+from pagesieve.operators.nodes import attr, classes, has_attr, read_once, with_texts
 from pagesieve.operators.select import assign_containers, mark_inside
 
 MIN_OPTIONS, MAX_OPTIONS, MAX_LABEL, MAX_SEGMENT_LABEL = 2, 6, 40, 24
@@ -61,12 +61,18 @@ def _grouped(rows: DataFrame, kind: int, label: Column) -> DataFrame:
     ).withColumn("kind", F.lit(kind))
 
 
-def control_groups(pages: DataFrame, nodes: DataFrame, max_groups: int | None = None) -> DataFrame:
+#: Elements whose text names a control.
+CONTROL_TAGS = ("option", "label", "button", "a")
+
+
+def control_groups(pages: DataFrame, max_groups: int | None = None) -> DataFrame:
     """Groups of a page, the first ``max_groups`` if given: page_id, group_idx, label, metadata_key, labels, default_idx.
 
     Selects come first, then radio groups, then segmented toggles; groups in
     site navigation or sign-in forms are skipped and metadata keys are unique.
+    Pages are read once.
     """
+    pages, nodes = read_once(pages, CONTROL_TAGS)
     nodes = nodes.withColumn("__nav", _is_navigation())
     nodes = mark_inside(nodes, F.col("__nav"), "__in_nav")
     forms = assign_containers(

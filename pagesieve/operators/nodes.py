@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import decode_entities, strip_ends, without_code
+from pagesieve.session import cut_lineage
 
 _TOKEN = r"</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[^>]*+>|[^<]++|<"
 _TAG_LIKE = r"^<[a-zA-Z/!?]"
@@ -64,8 +65,14 @@ def place_pages(pages: DataFrame) -> DataFrame:
     return pages.repartition("page_id")
 
 
-def _raw_tokens(html: Column) -> Column:
-    return F.regexp_extract_all(without_code(html), F.lit(_TOKEN), F.lit(0))
+def _raw_tokens(pages: DataFrame) -> Column:
+    """Tokens of the pages, read from html unless :func:`tokenised` has done so."""
+    return F.col("__tokens") if "__tokens" in pages.columns else F.regexp_extract_all(without_code(F.col("html")), F.lit(_TOKEN), F.lit(0))
+
+
+def tokenised(pages: DataFrame) -> DataFrame:
+    """Placed pages with their ``tokens``, written once for all that is read from them."""
+    return cut_lineage(place_pages(pages).withColumn("__tokens", _raw_tokens(pages)))
 
 
 def _is_text(token: Column) -> Column:
@@ -80,7 +87,7 @@ def tokens(pages: DataFrame, blanks: bool = False) -> DataFrame:
     token = F.col("token")
     name = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
     return (
-        pages.select("page_id", F.posexplode(_raw_tokens(F.col("html"))).alias("pos", "token"))
+        pages.select("page_id", F.posexplode(_raw_tokens(pages)).alias("pos", "token"))
         .withColumn("tag", name)
         .withColumn(
             "kind",
@@ -99,7 +106,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
     Built inside the row; an element's text is the slice its node points at.
     """
-    pieces = F.filter(_raw_tokens(F.col("html")), _is_text)
+    pieces = F.filter(_raw_tokens(pages), _is_text)
     return pages.select(
         "page_id", "url", F.transform(pieces, lambda t: strip_ends(decode_entities(t))).alias("texts")
     )
@@ -246,18 +253,33 @@ def elements(pages: DataFrame) -> DataFrame:
     )
 
 
-def with_texts(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+def with_texts(nodes: DataFrame, pages: DataFrame, tags: tuple[str, ...] | None = None) -> DataFrame:
     """Attach url, text_pieces and text to (selected) nodes: one page-keyed join.
 
-    Only the slice of pieces inside the element is touched.
+    Only the slice of pieces inside the element is touched; ``tags`` names the
+    elements whose text is asked for (others get NULL).  Nodes that have their
+    texts are left as they are.
     """
+    if "text_pieces" in nodes.columns:
+        return nodes
     count = F.least(F.col("text_to"), F.size("texts").cast("bigint")) - F.col("text_from")
     inner = F.slice("texts", (F.col("text_from") + 1).cast("int"), count.cast("int"))
+    inner = inner if tags is None else F.when(F.col("tag").isin(*tags), inner)
     joined = nodes.join(page_texts(pages), "page_id").withColumn("text_pieces", inner).drop("texts")
     whole = F.regexp_replace(F.array_join(F.col("text_pieces"), " "), r"(?U)\s+", " ")
     return joined.withColumn("text", F.nullif(F.trim(whole), F.lit("")))
 
 
+def read_once(pages: DataFrame, tags: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Placed pages, and all their elements with the texts of those named in ``tags``.
+
+    For operators that look at a page from several sides: it is tokenised once,
+    its tree is built once, and both are written to the shared folder.
+    """
+    held = tokenised(pages)
+    return held, cut_lineage(with_texts(elements(held), held, tags))
+
+
 def _attr_regex(name: str, tail: str) -> str:
     """Open-tag regex that walks attributes in order up to ``name``."""
     value = r"(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++))?+"

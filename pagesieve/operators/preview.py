@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.text import is_present
 
+# The extent of a sample.
 SAMPLE_ROWS = 5
 VARIANT_SAMPLE_ROWS = 10
 SELECT_CONFIDENCE = 0.7
 
 
-def selector_preview(records: DataFrame, keys: list[str], with_variants: bool = False) -> DataFrame:
+def selector_preview(records: DataFrame, keys: list[str], max_rows: int | None = None) -> DataFrame:
     """Per page: sample_count, missing_fields (selected, no value in the sample), warnings.
 
+    The sample is all records, or the first ``max_rows`` of a page.
+
     ``records`` carries page_id, record_ordinal, one string column per key and
-    warnings; page groups are bounded by the per-page record cap.
+    warnings.
     """
-    shown = F.col("record_ordinal") < (VARIANT_SAMPLE_ROWS if with_variants else SAMPLE_ROWS)
+    shown = F.lit(True) if max_rows is None else F.col("record_ordinal") < max_rows
     found = [
         F.bool_or(shown & F.coalesce(is_present(F.col(f"`{k}`")), F.lit(False))).alias(f"k{i}")
         for i, k in enumerate(keys)
@@ -32,15 +35,17 @@ def selector_preview(records: DataFrame, keys: list[str], with_variants: bool =
     return folded.select("page_id", "sample_count", missing.alias("missing_fields"), "warnings")
 
 
-def analysis_samples(spec_fields: DataFrame, max_rows: int = SAMPLE_ROWS) -> DataFrame:
+def analysis_samples(spec_fields: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Transpose analysed sample values: spec_id, row_idx, field, value.
 
     ``spec_fields`` is (spec_id, field, sample_values) for selected fields.
-    Every field appears on each row of its spec; at least one row is made.
+    Every field appears on each row of its spec; at least one row is made, and no
+    more than ``max_rows`` if given.
     """
     size = F.coalesce(F.size("sample_values"), F.lit(0))
     per_spec = Window.partitionBy("spec_id")
-    rows = F.greatest(F.lit(1), F.least(F.lit(max_rows), F.max(F.greatest(size, F.lit(0))).over(per_spec)))
+    rows = F.greatest(F.lit(1), F.max(F.greatest(size, F.lit(0))).over(per_spec))
+    rows = rows if max_rows is None else F.least(F.lit(max(1, max_rows)), rows)
     laid = spec_fields.withColumn("__n", rows).withColumn("row_idx", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     return laid.select("spec_id", "row_idx", "field", F.get("sample_values", F.col("row_idx")).alias("value"))
 

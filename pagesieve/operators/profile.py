@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import collapse, decode_entities
-from pagesieve.operators.nodes import attr, classes, with_texts
+from pagesieve.operators.nodes import attr, classes, read_once, with_texts
 from pagesieve.operators.select import assign_containers, mark_inside
 
 
@@ -191,8 +191,13 @@ def _lines(rows: DataFrame, line: Column, title: str, out: str, separator: str =
     return rows.groupBy("page_id").agg(F.concat(F.lit(title), text).alias(out))
 
 
-def summary(pages: DataFrame, nodes: DataFrame, limits: Limits = ALL) -> DataFrame:
-    """page_id, summary: the profile as one text."""
+#: Elements whose text a summary shows.
+SUMMARY_TAGS = ("h1", "h2", "h3", "td", "th", "a", "button", "body")
+
+
+def summary(pages: DataFrame, limits: Limits = ALL) -> DataFrame:
+    """page_id, summary: the profile as one text, all sections from one reading of the pages."""
+    pages, nodes = read_once(pages, SUMMARY_TAGS)
     q = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
     sections = [
         _lines(headings(pages, nodes, limits), F.concat(F.lit("  ["), F.col("tag"), F.lit("] "), F.col("text")), "Headings:\n", "p_headings"),

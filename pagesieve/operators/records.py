@@ -256,13 +256,15 @@ def header_score(field: Column, header: Column) -> Column:
     )
 
 
-def with_assigned_columns(df: DataFrame, keys: list[str], headers: str, n_cols: str, out: str) -> DataFrame:
+def with_assigned_columns(df: DataFrame, keys: list[str] | Column, headers: str, n_cols: str, out: str) -> DataFrame:
     """Add array<int>: table column of each field, best header first, leftovers by position.
 
+    ``keys`` are the names of the fields, or a column that holds them.
+
     One row is one table; candidates number fields x headers of that table, a
     handful.  Every stage is its own column so nothing is evaluated twice.
     """
-    names = F.array(*[F.lit(k) for k in keys])
+    names = keys if isinstance(keys, Column) else F.array(*[F.lit(k) for k in keys])
     scored = F.flatten(
         F.transform(
             names,
@@ -284,7 +286,7 @@ def with_assigned_columns(df: DataFrame, keys: list[str], headers: str, n_cols:
         ).otherwise(F.concat(taken, F.array(F.struct(c["f"].alias("f"), c["h"].alias("h"))))),
     )
     df = df.withColumn("__matched", matched)
-    indices = F.sequence(F.lit(0), F.lit(len(keys) - 1))
+    indices = F.sequence(F.lit(0), F.size(names) - 1)
     df = df.withColumns(
         {
             "__free": F.array_except(

@@ -280,12 +280,6 @@ def analysis_cache_lookup(spark, folder):
     return found.select("o_orderkey", "cached_result", F.col("cached_result").isNull().alias("miss"))
 
 
-@query("analysis_prompt", """SELECT page_id, 'Analyse this page for ' || CASE WHEN page_id % 2 = 0 THEN 'STRUCTURED' ELSE 'CONTENT' END || ' extraction:' || chr(10) || url AS prompt FROM pages""")
-def analysis_prompt(spark, folder):
-    mode = F.when(F.col("page_id") % 2 == 0, "STRUCTURED").otherwise("CONTENT")
-    return load(spark, folder, "pages").select("page_id", F.format_string("Analyse this page for %s extraction:\n%s", mode, F.col("url")).alias("prompt"))
-
-
 @query("ledger_extraction_gate", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'NO_PREVIEW' WHEN o_orderkey % 3 <> 0 AND o_orderkey % 4 = 0 AND o_orderkey % 5 <> 0 THEN 'STALE_PREVIEW'
        WHEN o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 AND o_orderstatus = 'F' AND o_orderkey % 6 = 1 THEN 'ZERO_PREVIEW_RECORDS' WHEN o_custkey % 13 NOT IN (2, 3, 5, 9) THEN 'NOT_READY'
        WHEN o_custkey % 2 = 0 THEN 'SCOPE_NOT_CONFIRMED' WHEN o_custkey % 3 = 0 THEN 'EXTRACTION_ALREADY_RUNNING' END AS gate FROM orders""")

@@ -510,6 +510,22 @@ def pattern_recommend_scope(spark, folder):
     return found.select("page_id", "recommended_mode", "confidence")
 
 
+@query(
+    "pattern_recommend_selector",
+    f"""WITH {LISTED} SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'PAGINATION' ELSE 'COLLECTION' END AS recommended_mode FROM shop JOIN (SELECT DISTINCT page_id FROM listed) USING (page_id)""",
+)
+def pattern_recommend_selector(spark, folder):
+    """Pages whose spec names a paging selector that finds links; the others hold none that look like paging."""
+    pages = rendered(spark, folder)
+    placed = place_pages(pages)
+    found = selector_links(placed, elements(placed), "nav > a[href^='?']").groupBy("page_id").agg(F.count("*").alias("n"))
+    hits = pages.select("page_id").join(found, "page_id", "left").select(
+        "page_id", F.when(F.col("page_id") % 3 == 0, F.coalesce("n", F.lit(0))).otherwise(0).alias("selector_hits"), F.lit(0).alias("detail_hits")
+    )
+    links = same_origin_links(page_links(pages)).filter(~F.contains("normalized_url", F.lit("?page=")))
+    return patterns.recommend_scope(pages, links, hits).select("page_id", "recommended_mode")
+
+
 @query(
     "pattern_recommend_catalog",
     f"""WITH {LISTED} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'PAGINATION' ELSE 'COLLECTION' END AS recommended_mode,

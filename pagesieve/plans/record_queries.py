@@ -6,15 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagesieve.functions.text import coerced, to_boolean
-from pagesieve.operators import content, profile, records
+from pagesieve.operators import content, profile, prompts, records
 from pagesieve.operators.nodes import attr, elements, place_pages, with_texts
 from pagesieve.operators.records import FieldSpec
-from pagesieve.operators.select import relaxed, select_elements
+from pagesieve.operators.select import select_elements
+from pagesieve.operators.specs import relaxed_column
 from pagesieve.plans.link_queries import rendered, stored
-from pagesieve.plans.oracle_parts import CLEAN, LISTED
+from pagesieve.plans.oracle_parts import CLEAN, LISTED, SUMMARIES
 from pagesieve.plans.registry import query
 from pagesieve.sources.tables import load
 
+_AROUND = {mode: text.replace("'", "''").split(prompts.SUMMARY) for mode, text in prompts.TEMPLATES.items()}
 _TAGS = ("nav", "ul", "li", "a", "article", "h1", "p", "b", "br", "div", "footer", "title", "body")
 
 
@@ -103,15 +105,15 @@ def dom_selector_counts(spark, folder):
 
 @query(
     "dom_relaxed_selectors",
-    """SELECT p_partkey, 'td:nth-child(' || p_size || ') p span|td:nth-child(' || p_size || ') p|td:nth-child(' || p_size || ')' AS options
-       FROM part""",
+    """WITH s AS (SELECT p_partkey, 'td:nth-child(' || p_size || ')' AS cell FROM part)
+       SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN cell || ' p span|' || cell || ' p|' || cell WHEN 1 THEN cell || ' > span' WHEN 2 THEN cell || ' em p.x'
+         WHEN 3 THEN cell ELSE cell || ' + b i|' || cell || ' + b' END AS options FROM s""",
 )
 def dom_relaxed_selectors(spark, folder):
-    size = F.col("p_size")
-    options = F.lit(None).cast("string")
-    for n in range(1, 51):  # every size there is
-        options = F.when(size == n, F.lit("|".join(relaxed(f"td:nth-child({n}) p span")))).otherwise(options)
-    return load(spark, folder, "part").select("p_partkey", options.alias("options"))
+    """Selectors held in a column: trailing wrappers go, a dangling combinator stays out."""
+    tails = F.array(*map(F.lit, (" p span", " > span", " em p.x", "", " + b i")))
+    selector = F.concat(F.lit("td:nth-child("), F.col("p_size").cast("string"), F.lit(")"), F.get(tails, (F.col("p_partkey") % 5).cast("int")))
+    return load(spark, folder, "part").select("p_partkey", F.array_join(relaxed_column(selector), "|").alias("options"))
 
 
 @query(
@@ -533,11 +535,21 @@ def profile_snippet(spark, folder):
     return profile.body_snippet(pages, elements(pages), profile.BRIEF)
 
 
-@query("profile_summary")
+@query("profile_summary", f"WITH {SUMMARIES} SELECT page_id, summary FROM summaries")
 def profile_summary(spark, folder):
-    """Whole summary text per catalog page; its parts are checked one by one above."""
-    pages = place_pages(rendered(spark, folder))
-    return profile.summary(pages, elements(pages), profile.BRIEF)
+    """Whole summary text per catalog page."""
+    return profile.summary(rendered(spark, folder), profile.BRIEF)
+
+
+@query(
+    "analysis_prompt",
+    f"WITH {SUMMARIES} SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{_AROUND['STRUCTURED'][0]}' ELSE '{_AROUND['CONTENT'][0]}' END || summary"
+    f" || CASE page_id % 3 WHEN 0 THEN '{_AROUND['STRUCTURED'][1]}' ELSE '{_AROUND['CONTENT'][1]}' END AS prompt FROM summaries",
+)
+def analysis_prompt(spark, folder):
+    """The instruction of the page's mode around its summary."""
+    mode = F.when(F.col("page_id") % 3 == 0, "structured").when(F.col("page_id") % 3 == 1, "CONTENT").otherwise("other")
+    return prompts.analysis_prompts(rendered(spark, folder), mode)
 
 
 @query(

@@ -160,10 +160,21 @@ def preview_selector_sample(spark, folder):
         F.floor(key / 8).cast("bigint").alias("page_id"), (key % 8).alias("record_ordinal"), F.col("o_orderstatus").alias("status"),
         F.when(key % 5 == 0, "x").alias("rare"), F.array(F.concat(F.lit("w"), (key % 2).cast("string"))).alias("warnings"),
     )
-    out = preview.selector_preview(rows, ["status", "rare"])
+    out = preview.selector_preview(rows, ["status", "rare"], preview.SAMPLE_ROWS)
     return out.select("page_id", "sample_count", F.array_join("missing_fields", ",").alias("missing"), F.size("warnings").alias("n_warnings"))
 
 
+@query("preview_selector_all", """SELECT o_orderkey // 8 AS page_id, count(*) AS sample_count, CASE WHEN bool_or(o_orderkey % 5 = 0) THEN '' ELSE 'rare' END AS missing FROM orders GROUP BY 1""")
+def preview_selector_all(spark, folder):
+    """The same preview over all records of a page."""
+    key = F.col("o_orderkey")
+    rows = load(spark, folder, "orders").select(
+        F.floor(key / 8).cast("bigint").alias("page_id"), (key % 8).alias("record_ordinal"), F.col("o_orderstatus").alias("status"), F.when(key % 5 == 0, "x").alias("rare"), F.array().cast("array<string>").alias("warnings"),
+    )
+    out = preview.selector_preview(rows, ["status", "rare"])
+    return out.select("page_id", "sample_count", F.array_join("missing_fields", ",").alias("missing"))
+
+
 @query("preview_quality", """WITH r AS (SELECT o_custkey % 40 AS run_id, o_orderkey FROM orders), g AS (SELECT run_id, count(*) FILTER (o_orderkey % 3 <> 0) / count(*) AS note FROM r GROUP BY 1),
          w AS (SELECT run_id, 'FIELD_LOW_SUCCESS_RATE' AS code, 'note' AS field, round(note, 6) AS success_rate FROM g WHERE note < 0.7
                UNION ALL SELECT run_id, 'FIELD_MISSING_IN_PREVIEW', 'price', NULL FROM g WHERE run_id < 5 UNION ALL SELECT run_id, 'FIELD_MISSING_IN_PREVIEW', 'ghost', NULL FROM g)
@@ -187,7 +198,7 @@ def preview_analysis_samples(spark, folder):
     key = F.col("c_custkey")
     values = F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: i < key % 8), lambda i: F.concat(key.cast("string"), F.lit(":"), i.cast("string")))
     fields = load(spark, folder, "customer").select(F.floor(key / 6).cast("bigint").alias("spec_id"), key.cast("string").alias("field"), values.alias("sample_values"))
-    return preview.analysis_samples(fields)
+    return preview.analysis_samples(fields, preview.SAMPLE_ROWS)
 
 
 @query("preview_freshness", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN false WHEN o_orderkey % 2 = 0 THEN o_orderkey % 3 = 0 ELSE o_orderdate <= TIMESTAMP '1998-01-01' AND o_orderkey % 5 <> 0 END AS fresh FROM orders""")
@@ -376,9 +387,8 @@ def stream_links_once(spark, folder):
     source_path = _staged(spark, folder, "pages", ["page_id", "url", "html"])
     load(spark, folder, "pages").select("page_id", "url", "html").write.mode("append").parquet(source_path)
     stream = spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", 2).parquet(source_path)
-    rows = lambda batch: extract_anchors(batch).select("page_id", "pos", "href")
-    body = flows.append_new(spark, out, "page_id long, pos int, href string", ["page_id", "pos"], ["href"], rows, 16)
-    _drain(stream.writeStream.option("checkpointLocation", state).foreachBatch(body))
+    links = extract_anchors(stream).select("page_id", "pos", "href")
+    _drain(flows.store(flows.first_only(links, ["page_id", "pos"]), out, state))
     return spark.read.parquet(out).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
@@ -389,14 +399,29 @@ def stream_unique_urls(spark, folder):
     # every event comes again, long after its time
     load(spark, folder, "events").select("event_id", "ts", "user_id").write.mode("append").parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
-    keyed = stream.select(
-        (F.col("user_id") % 20).alias("run_id"), F.concat(F.lit("u"), (F.col("event_id") % 300).cast("string")).alias("normalized_url"), F.col("ts").cast("timestamp").alias("ts")
-    )
-    body = flows.unique_urls(spark, out, "run_id long, normalized_url string, ts timestamp", ["run_id", "normalized_url"], ["ts"], 16)
-    _drain(keyed.writeStream.option("checkpointLocation", state).foreachBatch(body))
+    keyed = stream.select((F.col("user_id") % 20).alias("run_id"), F.concat(F.lit("u"), (F.col("event_id") % 300).cast("string")).alias("normalized_url"))
+    _drain(flows.store(flows.first_only(keyed, ["run_id", "normalized_url"]), out, state))
     return spark.read.parquet(out).select("run_id", "normalized_url")
 
 
+@query("stream_run_timeouts", """WITH e AS (SELECT user_id % 10 AS run_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts) < INTERVAL 2 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+       s AS (SELECT run_id, ts, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts) AS sid FROM e),
+       b AS (SELECT run_id, min(ts) AS started, max(ts) + INTERVAL 2 MINUTE AS quiet_since, count(*) AS pages FROM s GROUP BY run_id, sid)
+       SELECT * FROM b WHERE quiet_since <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""")
+def stream_run_timeouts(spark, folder):
+    """Runs that fell quiet, raised by the stream's own clock while it reads on; what is still open at its end is not."""
+    out, state, path = _scratch(spark) + "/out", _scratch(spark), _scratch(spark) + "/in"
+    rows = load(spark, folder, "events").select((F.col("user_id") % 10).alias("run_id"), F.col("ts").cast("timestamp").alias("ts"))
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / 4
+    for i in range(4):  # files land in the order of time
+        upper = F.lit(True) if i == 3 else F.col("ts") < first + step * (i + 1)
+        rows.filter((F.col("ts") >= first + step * i) & upper).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("run_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    _drain(flows.store(flows.run_timeouts(stream, "ts", "2 minutes", "1 minute"), out, state))
+    return spark.read.parquet(out)
+
+
 @query("stream_event_log", f"WITH {EVENTS} SELECT event_id, level FROM ev WHERE level = 'error'")
 def stream_event_log(spark, folder):
     out, state = _scratch(spark) + "/out", _scratch(spark)

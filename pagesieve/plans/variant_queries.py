@@ -295,6 +295,5 @@ def _control_pages(spark, folder):
        UNION ALL SELECT s_suppkey, 1, 'Basis Choice', 'basis_choice', 'Per 100 g|Per serving', 0 FROM supplier
        UNION ALL SELECT s_suppkey, 2, 'Sort ' || s_suppkey, 'sort_' || s_suppkey, 'Small|Large ' || s_suppkey, 1 FROM supplier""")
 def control_groups(spark, folder):
-    pages = place_pages(_control_pages(spark, folder))
-    found = controls.control_groups(pages, elements(pages))
+    found = controls.control_groups(_control_pages(spark, folder))
     return found.withColumn("labels", F.array_join("labels", "|"))

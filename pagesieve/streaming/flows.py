@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagesieve.operators.ledger import clamp_level
-from pagesieve.session import cut_lineage
-from pagesieve.sources.sinks import new_rows
 
 
 def page_stream(spark, folder: str, schema: str = "page_id long, url string, html string") -> DataFrame:
@@ -17,39 +13,41 @@ def page_stream(spark, folder: str, schema: str = "page_id long, url string, htm
     return spark.readStream.schema(schema).parquet(folder)
 
 
-BUCKETS = 256
+def keyed_state(spark: SparkSession) -> None:
+    """Keep stream state in RocksDB: on the executors' disks, changes written to the checkpoint folder."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def append_new(
-    spark: SparkSession, path: str, schema: str, keys: list[str], tie: list[str],
-    extract: Callable[[DataFrame], DataFrame] = lambda batch: batch, buckets: int = BUCKETS,
-):
-    """foreachBatch body: extract rows of a micro-batch and append the unseen keys.
+def first_only(stream: DataFrame, keys: list[str], event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """The first row of every key, each key once.
 
-    The target (columns ``schema``) is created here and partitioned by a hash
-    bucket of the key; a batch reads the keys of its own buckets only.  A
-    replayed batch finds its own keys stored and appends nothing, which makes
-    the sink idempotent without a transactional table.
+    The keys seen are stream state, looked up key by key: a batch reads its own
+    rows and nothing that is stored.  Without ``event_time`` a key is held for
+    good, so rows may come as late as they like; with it a key is forgotten, and
+    its late rows are dropped, ``delay`` after its time.
     """
-    full = f"{schema}, bucket int"
-    spark.createDataFrame([], full).write.mode("append").partitionBy("bucket").parquet(path)
+    keyed_state(stream.sparkSession)
+    if event_time is None:
+        return stream.dropDuplicates(keys)
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        rows = cut_lineage(extract(batch).withColumn("bucket", bucket))
-        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        stored = batch.sparkSession.read.schema(full).parquet(path).filter(F.col("bucket").isin(touched))
-        new_rows(rows, stored, [*keys, "bucket"], tie).write.mode("append").partitionBy("bucket").parquet(path)
 
-    return run
+def store(stream: DataFrame, path: str, checkpoint: str):
+    """Append to Parquet; the sink's log of batches makes a replayed batch write nothing twice."""
+    return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
 
 
-def unique_urls(spark: SparkSession, path: str, schema: str, keys: list[str], tie: list[str], buckets: int = BUCKETS):
-    """foreachBatch body that stores each URL of a run once, for the whole run.
+def run_timeouts(stream: DataFrame, event_time: str, gap: str, delay: str) -> DataFrame:
+    """Bursts of page activity (run_id, started, quiet_since, pages), each as soon as its run has been quiet for ``gap``.
 
-    Nothing is kept in stream state, so nothing expires and no late row is lost.
+    The stream's own clock decides: a run times out when activity of any run,
+    less ``delay``, passes the end of the gap, while the stream goes on.  Rows
+    that come later than ``delay`` are dropped.
     """
-    return append_new(spark, path, schema, keys, tie, buckets=buckets)
+    keyed_state(stream.sparkSession)
+    burst = stream.withWatermark(event_time, delay).groupBy("run_id", F.session_window(event_time, gap).alias("burst"))
+    return burst.agg(F.count("*").alias("pages")).select("run_id", F.col("burst.start").alias("started"), F.col("burst.end").alias("quiet_since"), "pages")
 
 
 def event_log(stream: DataFrame, level: str | None = None) -> DataFrame:
