@@ -27,3 +27,9 @@ def test_odd_rows(spark):
     assert got[2].rendered == "<|user|>\na\n<|end|>\n<|assistant|>\nb\n<|end|>\n<|user|>\nc\n<|end|>"
     assert got[2].n_replies == 1 and "< |end|>yyy" in got[8].rendered
     assert format_chats(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_are_no_conversation(spark):
+    log = [(None, i, "user", "z") for i in range(50)] + [(1, 0, "user", "z"), (2, 0, "user", "z"), (2, 1, "bot", "y")]
+    got = format_chats(spark.createDataFrame(log, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.conv_id, r.n_turns, r.n_replies) for r in got] == [(2, 2, 1)]

@@ -1,12 +1,18 @@
 import itertools
+import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagesieve.llm.common import table
+from pagesieve.llm import langid
 from pagesieve.llm.langid import learn, predict, viterbi
 from pagesieve.llm.queries import QUERIES
+from pagesieve.llm.tokens import words
+from tests.llm.brute import low
 
 
 def test_viterbi_equals_all_paths():
@@ -48,3 +54,46 @@ def test_mixed_and_odd_rows(spark):
     assert predict(docs.limit(0), model).count() == 0
     empty = learn(spark.createDataFrame([], "lang string, text string"))
     assert {r.lang_pred for r in predict(docs, empty).collect()} == {"und"}
+
+
+def plain_prediction(text, model):
+    """Label and score of a text, word by word in plain Python."""
+    found = [w for w in re.split(rb"[^\x80-\xffa-z]+", low(text).encode()) if w]
+    if not found or not any(map(str.isalpha, text)):
+        return langid.UNDETERMINED, 0.0
+    rows, sizes = [], []
+    for w in found:
+        padded = b" " + w + b" "
+        grams = [((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 17 for a, b, c in zip(padded, padded[1:], padded[2:])]
+        word = int(next(words(pa.array([w.decode(errors="ignore")]), langid.LETTERS)).hashes[0] >> np.uint64(40)) & (langid.WORDS - 1)
+        script = max(next((langid._NAMES.index(n) + 1 for n, a, z in langid.SCRIPTS if a <= b <= z), 0) for b in w)
+        usable = [bool(x) for x in model.written[script]]
+        telling = any(usable) and script > 0
+        own = [sum(float(lang[g]) for g in grams) + float(lang[langid.TRIGRAMS + word]) for lang in model.weights]
+        rows.append([0.0] * len(own) if not telling else [s if u else -1e6 for s, u in zip(own, usable)])
+        sizes.append(len(w) if telling else 0)
+    best, back = list(rows[0]), []
+    for row in rows[1:]:
+        top = max(range(len(best)), key=lambda i: best[i])
+        back.append([i if best[i] >= best[top] - model.penalty else top for i in range(len(best))])
+        best = [max(best[i], best[top] - model.penalty) + row[i] for i in range(len(best))]
+    label = [max(range(len(best)), key=lambda i: best[i])]
+    for step in reversed(back):
+        label.append(step[label[-1]])
+    letters = [sum(n for l, n in zip(reversed(label), sizes) if l == i) for i in range(len(best))]
+    own = max(range(len(best)), key=lambda i: letters[i]) if sum(letters) else model.prior
+    total = [sum(r[i] for r in rows) for i in range(len(best))]
+    odds = [math.exp(max(t - max(total), -700)) for t in total]
+    score = letters[own] / max(sum(letters), 1) * max(odds[own] / sum(odds), 1 / len(odds)) if sum(letters) else 0.0
+    return model.langs[own], score
+
+
+def test_predictions_equal_plain_ones(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = learn(docs.where("doc_id % 2 = 0"))
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id % 2 = 1 AND length(text) < 3000").limit(60).collect()]
+    rows += [(10**6 + i, rows[i][1][:200] + "\n" + rows[i + 20][1][:300]) for i in range(15)] + [(-1, "12 ..."), (-2, "\u0432\u043e\u0434\u0430"), (-3, "THE the Wasser"), (-4, "")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for d, text in rows:
+        want = plain_prediction(text, model)
+        assert got[d][0] == want[0] and abs(got[d][1] - want[1]) < 1e-4, (d, got[d], want)

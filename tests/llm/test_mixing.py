@@ -1,7 +1,12 @@
+import re
+import struct
+from collections import Counter
+
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
-from pagesieve.llm.mixing import BUDGET, PRODUCTION, REST, Targets, calibrate, measured, mix, probabilities, rake
+from pagesieve.llm.mixing import BUDGET, PRODUCTION, PROSE, REST, SEED, TOPICS, Targets, calibrate, measured, mix, probabilities, rake
 from pagesieve.llm.queries import QUERIES
 
 
@@ -61,3 +66,54 @@ def test_unlisted_languages_are_mixed_too(spark):
     assert np.isclose(want[REST] / sum(want.values()), 1 / 3) and np.isclose(want["en"] / sum(want.values()), 0.5 * 2 / 3)
     kept = out.where("sampled").groupBy("row.lang").count().collect()
     assert {r.lang for r in kept} == set(lang) and all(r["count"] > 100 for r in kept)
+
+
+def test_query_equals_a_plain_version(spark):
+    """Cells, weights, probabilities and draws of the whole table, by loops over cells and a checksum library."""
+    folder = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text or "", r.source, r.lang) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    axes = [dict(a) for a in (PRODUCTION.source, PRODUCTION.lang, PRODUCTION.topic)]
+    listed = lambda v, axis: v if v in axis else REST
+    cell, tokens = {}, {}
+    for d, text, source, lang in docs:
+        topic = next((t for t, p in TOPICS.items() if re.search(p, text)), PROSE)
+        cell[d] = (listed(source, axes[0]), listed(lang, axes[1]), listed(topic, axes[2]))
+        tokens[d] = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    total = sum(tokens.values())
+    present = Counter()
+    for d in cell:
+        present[cell[d]] += tokens[d] / total
+    wanted = []
+    for i, axis in enumerate(axes):
+        own = Counter()
+        for c, p in present.items():
+            own[c[i]] += p
+        share = {v: s for v, s in axis.items() if own[v] > 0}
+        left = max(0.0, 1 - sum(axis.values()))
+        left = own[REST] if left < 1e-9 else left
+        scale = (1 - left) / sum(share.values()) if own[REST] > 0 and 1 - sum(axis.values()) < 1e-9 else 1
+        share = {v: s * scale for v, s in share.items()} | ({REST: left} if own[REST] > 0 else {})
+        wanted.append({v: s / sum(share.values()) for v, s in share.items()})
+    raked = dict(present)
+    for _ in range(3000):
+        for i, share in enumerate(wanted):
+            own = Counter()
+            for c, p in raked.items():
+                own[c[i]] += p
+            raked = {c: p * share[c[i]] / own[c[i]] if own[c[i]] else 0.0 for c, p in raked.items()}
+    weight = {c: raked[c] / p for c, p in present.items() if p}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(min(1, middle * weight[c]) * p for c, p in present.items() if p) < BUDGET else (low, middle)
+    got = QUERIES["op10_raked_mix"](spark, folder).collect()
+    assert len(got) == len(docs)
+    text = {d: t for d, t, _, _ in docs}
+    for r in got:
+        c = (r.source, r.lang, r.topic)
+        assert c == cell[r.doc_id] and r.n_tokens == tokens[r.doc_id]
+        chance = min(1.0, high * weight.get(c, 0.0))
+        assert abs(r.probability - chance) < 1e-6
+        draw = xxhash.xxh64_intdigest(text[r.doc_id].encode(), xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), xxhash.xxh64_intdigest(struct.pack("<i", SEED), 42)))
+        draw = (draw - 2**64 if draw >> 63 else draw) % (1 << 53) / (1 << 53)
+        assert r.sampled == (draw < r.probability)
