@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.text import collapse, metadata_key, strip_ends
 from pagesieve.functions.urls import variant_url, with_normalized
+from pagesieve.session import cut_lineage
 
 NO_LIMIT = 2**62
 NO_MERGE = "Could not merge variants into one row per item safely; output is one row per variant instead."
@@ -281,8 +282,9 @@ def column_options(fields: DataFrame) -> DataFrame:
 
     Families that agree on their keys align by key; otherwise they align by
     table-cell position when counts match and the blocks of columns separate.
+    Members and options are written: they are slim, and read by all that follows.
     """
-    members = family_members(fields)
+    members = cut_lineage(family_members(fields))
     family = members.groupBy("spec_id", "base").agg(
         F.array_join(F.array_sort(F.collect_set("variant_key")), "\u0001").alias("keys"),
         F.count("*").alias("n"),
@@ -316,7 +318,7 @@ def column_options(fields: DataFrame) -> DataFrame:
         "spec_id", "option_idx", F.concat(F.lit("Column "), (F.col("option_idx") + 1).cast("string")).alias("label"),
         "base", "selector", F.lit("position").alias("aligned_by"),
     )
-    return aligned.unionByName(by_position)
+    return cut_lineage(aligned.unionByName(by_position))
 
 
 def collapsed_fields(fields: DataFrame, options: DataFrame) -> DataFrame:
