@@ -407,6 +407,37 @@ def frontier_preview_summary(spark, folder):
     return frontier.preview_summary(decided, named, hits)
 
 
+@query(
+    "scope_invalid_links",
+    """SELECT s_suppkey AS page_id, href, CASE i WHEN 0 THEN 'EXCLUDED_INVALID_URL' WHEN 1 THEN 'FULL_SITE_SAME_ORIGIN' ELSE 'EXCLUDED_NAVIGATION' END AS reason_code,
+              CASE i WHEN 1 THEN 'https://h.example/ok' || s_suppkey ELSE href END AS normalized_url, CASE i WHEN 1 THEN 1 ELSE 0 END AS depth
+       FROM supplier, (VALUES (0, 'https://[x'), (1, '/ok'), (2, '#top')) v(i, shape), LATERAL (SELECT CASE i WHEN 1 THEN shape || s_suppkey WHEN 0 THEN shape || s_suppkey ELSE shape END AS href) h""",
+)
+def scope_invalid_links(spark, folder):
+    """Links that are no address at all, beside good ones."""
+    key = F.col("s_suppkey").cast("string")
+    html = F.concat(F.lit('<a href="https://[x'), key, F.lit('">a</a><a href="/ok'), key, F.lit('">b</a><a href="#top">c</a>'))
+    pages = load(spark, folder, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit("https://h.example/start").alias("url"), html.alias("html"))
+    decided = classify(page_links(pages), CrawlScope(mode="FULL_SITE"))
+    return decided.select("page_id", "href", "reason_code", "normalized_url", "depth")
+
+
+@query(
+    "frontier_preview_dataset",
+    """SELECT s_suppkey AS page_id, 'DATASET' AS suggested_mode, '/item/*' AS suggested_pattern, 12 AS suggested_count, true AS scope_too_narrow FROM supplier""",
+)
+def frontier_preview_dataset(spark, folder):
+    """Twelve links of one prefix elsewhere on the site, all left out, that a detail selector finds as well."""
+    key = F.col("s_suppkey").cast("string")
+    links = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat(F.lit('<a class="d" href="/item/'), key, F.lit("-"), i.cast("string"), F.lit('">x</a>'))), "")
+    pages = load(spark, folder, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit("https://h.example/lists/all/").alias("url"), links.alias("html"))
+    named = with_normalized(pages, "url", "page_norm").select("page_id", "page_norm", F.lit(50).alias("max_pages"))
+    decided = classify(page_links(pages), CrawlScope(mode="COLLECTION", include_patterns=("/nothing/*",)))
+    hits = select_elements(elements(place_pages(pages)), "a.d").groupBy("page_id").agg(F.count("*").alias("detail_hits"))
+    out = frontier.preview_summary(decided, named, hits)
+    return out.select("page_id", "suggested_mode", "suggested_pattern", "suggested_count", "scope_too_narrow")
+
+
 # --- pattern mining -----------------------------------------------------------------------
 
 
