@@ -39,6 +39,8 @@ HEADLINE = (
     "control_groups",
     "profile_summary",
     "variant_merged_options",
+    "record_stored_specs",
+    "json_fingerprint",
 )
 
 
