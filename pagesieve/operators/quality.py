@@ -100,21 +100,21 @@ def warnings(groups: DataFrame, rates: DataFrame, keys: list[str], selected: lis
 def duplicate_columns(records: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Field pairs equal on every record of a group and not always empty: keys, a, b.
 
-    All pairs of a spec's few fields are folded in one aggregation; records are
-    never paired with each other.
+    A column's signature is the XOR of hashes of (record, trimmed value), 128 bits
+    that merge in any order; columns of equal signature are pairs.  The work is
+    linear in records and fields, and neither records nor fields are paired.
     """
-    pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i + 1 :] if a != b]
-    aggs = []
-    for n, (a, b) in enumerate(pairs):
-        va, vb = F.col(f"`{a}`").cast("string"), F.col(f"`{b}`").cast("string")
-        same = strip_ends(va).eqNullSafe(strip_ends(vb))
-        some = F.coalesce(is_present(va), F.lit(False)) | F.coalesce(is_present(vb), F.lit(False))
-        aggs.append((F.bool_and(same) & F.bool_or(some)).alias(f"p{n}"))
-    flags = records.groupBy(*keys).agg(*aggs)
-    listed = F.array(
-        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{n}").alias("dup")) for n, (a, b) in enumerate(pairs)]
+    tag = F.monotonically_increasing_id()
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("field"), strip_ends(F.col(f"`{f}`").cast("string")).alias("v")) for i, f in enumerate(fields)])
+    rows = records.withColumn("__tag", tag).select(*keys, "__tag", F.inline(cells))
+    signed = rows.groupBy(*keys, "i", "field").agg(
+        F.bit_xor(F.xxhash64("__tag", "v")).alias("__x"), F.bit_xor(F.xxhash64(F.lit(1), "v", "__tag")).alias("__y"), F.bool_or(F.coalesce("v", F.lit("")) != "").alias("__some")
     )
-    return flags.select(*keys, F.inline(listed)).filter("dup").drop("dup")
+    alike = signed.filter("__some").groupBy(*keys, "__x", "__y").agg(F.array_sort(F.collect_list(F.struct("i", "field"))).alias("__alike"))
+    first = alike.filter(F.size("__alike") > 1).select(*keys, "__alike", F.posexplode("__alike").alias("__at", "__a"))
+    after = F.slice("__alike", F.col("__at") + 2, F.size("__alike"))
+    pairs = first.select(*keys, F.col("__a.field").alias("a"), F.explode(F.transform(after, lambda f: f["field"])).alias("b"))
+    return pairs.filter("a <> b")
 
 
 def hit_rate(selected: Column, missing: Column) -> Column:
