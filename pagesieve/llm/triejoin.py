@@ -461,9 +461,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = durable(classes.withColumn("cls", F.monotonically_increasing_id()))  # written, so the numbers stay
     # rows equal in id and text have one mark: those (and a few false hits of the bit set) need a pass to keep one
     again = BitSet.of(rows.where("mark IS NOT NULL").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), bits)
+    rows = durable(rows.select("id", "row_hash", "n", "digest"))  # prefixes and histograms are with the classes
+    release(docs.sparkSession)
 
     index = classes.select("cls", "n", F.size("prefix").alias("shared"), F.inline("prefix"), F.col("cls").alias("root"))
     index = durable(_open_keys(index, percent))
+    classes = durable(classes.drop("prefix"))
     release(docs.sparkSession)
     few, many = index.where(F.col("among") <= FEW), index.where(F.col("among") > FEW)
     shape = lambda side: classes.select(F.col("cls").alias(side), F.col("n").alias(f"{side}n"), F.col("shape").alias({"a": "x", "b": "y"}[side]))
