@@ -26,6 +26,9 @@ CHALLENGE_MARKS = (
 )
 CAPTCHA_MARKS = ("g-recaptcha", "www.google.com/recaptcha/")
 
+# The status 429 of a provider error, lower-cased: first, in brackets or after a word that names it, and no part of another number.
+RATE_STATUS = r"(?:^\s*|[(\[]\s*|(?:http(?:/[0-9.]+)?|status|code|error|response|returned|received|got)[^a-z0-9]*)429(?![0-9])"
+
 
 def _has(text: Column, *marks: str) -> Column:
     return any_of(F.contains(text, F.lit(mark)) for mark in marks)
@@ -121,7 +124,7 @@ def error_bucket(message: Column) -> Column:
                  "permission denied", "forbidden"),
             F.lit("Authentication failed"),
         )
-        .when(_has(low, "rate limit", "429", "too many requests"), F.lit("Rate limited"))
+        .when(_has(low, "rate limit", "too many requests") | F.rlike(low, F.lit(RATE_STATUS)), F.lit("Rate limited"))
         .when(_has(low, "timeout", "timed out"), F.lit("Provider timeout"))
         .when(_has(low, "json", "schema", "validation"), F.lit("Invalid JSON response"))
         .otherwise(message)

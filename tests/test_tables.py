@@ -1,7 +1,10 @@
 """Queries beside their SQL on small tables with odd rows."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from pagesieve.functions.classify import error_bucket
 from pagesieve.plans.catalogue import ORACLES, QUERIES
 from tests.compare import check
 
@@ -18,3 +21,14 @@ def test_page_outcome_of_pages_without_small_letters(spark, tmp_path):
     html = ["<!DOCTYPE html><html><body><p>" + "NDING!! ERTH!! FROM!! " * 40 + "</p></body></html>", "<html><body><p>" + "日本語 " * 99 + "</p></body></html>"]
     pages = spark.createDataFrame([(i, f"https://h.com/{i}", html[i % 2]) for i in range(60)], "page_id long, url string, html string")
     assert problem(spark, tmp_path, "ledger_page_outcome", pages=pages) is None
+
+
+def test_error_bucket_of_numbers_that_are_no_status(spark, tmp_path):
+    users = [429, 1429, 4290, 42, 94290]
+    events = spark.createDataFrame([(i, u, k) for i, (u, k) in enumerate((u, k) for u in users for k in ("purchase", "view", "click", "signup", "error"))], "event_id long, user_id long, event_type string")
+    assert problem(spark, tmp_path, "model_error_bucket", events=events) is None
+
+
+@pytest.mark.parametrize("text", ["429", "HTTP 429", "HTTP/1.1 429 x", "Error code: 429 - {}", "status=429", "Client error '429'", "RateLimitError: 429", "refused (429)", "got 429", "Too Many Requests", "rate limit hit"])
+def test_error_bucket_of_status_429(spark, text):
+    assert spark.range(1).select(error_bucket(F.lit(text))).first()[0] == "Rate limited"
