@@ -160,13 +160,20 @@ def stamp_degraded(rows: DataFrame, label: Column, degraded: Column) -> DataFram
 
 
 def url_variants(pages: DataFrame, combos: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Pages of URL-parameter combinations: page_id, combo_idx, variant_url, variant_page_id (NULL if not fetched)."""
+    """Pages of URL-parameter combinations: page_id, combo_idx, variant_url, variant_page_id (NULL if not fetched).
+
+    Of several pages with the variant's address the page itself comes first, then the smallest id.
+    """
     wanted = pages.join(combos.filter(F.size("query") > 0), "spec_id").withColumn(
         "variant_url", variant_url(F.col("url"), F.col("query"))
     )
     wanted = with_normalized(wanted, "variant_url", "__norm")
-    known = with_normalized(corpus, "url", "__norm").groupBy("__norm").agg(F.min("page_id").alias("variant_page_id"))
-    return wanted.join(known, "__norm", "left").select("page_id", "combo_idx", "variant_url", "variant_page_id")
+    fetched = with_normalized(corpus, "url", "__norm")
+    known = fetched.groupBy("__norm").agg(F.min("page_id").alias("__first"))
+    own = fetched.select("__norm", "page_id", F.lit(True).alias("__own")).distinct()
+    wanted = wanted.join(known, "__norm", "left").join(own, ["__norm", "page_id"], "left")
+    found = F.when(F.col("__own"), F.col("page_id")).otherwise(F.col("__first"))
+    return wanted.select("page_id", "combo_idx", "variant_url", found.alias("variant_page_id"))
 
 
 # --- column families --------------------------------------------------------------------

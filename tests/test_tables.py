@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagesieve.functions.classify import error_bucket
+from pagesieve.operators.variants import url_variants
 from pagesieve.plans.catalogue import ORACLES, QUERIES
 from tests.compare import check
 
@@ -32,3 +33,12 @@ def test_error_bucket_of_numbers_that_are_no_status(spark, tmp_path):
 @pytest.mark.parametrize("text", ["429", "HTTP 429", "HTTP/1.1 429 x", "Error code: 429 - {}", "status=429", "Client error '429'", "RateLimitError: 429", "refused (429)", "got 429", "Too Many Requests", "rate limit hit"])
 def test_error_bucket_of_status_429(spark, text):
     assert spark.range(1).select(error_bucket(F.lit(text))).first()[0] == "Rate limited"
+
+
+def test_url_variants_of_pages_with_one_address(spark, tmp_path):
+    rows = [(5, "https://h.com/a?page=2&ref=x"), (3, "https://H.com/a?page=2&ref=x"), (9, "https://h.com/a?page=2&ref=x#f"), (4, "https://h.com/a"), (7, "https://h.com/b?page=2&ref=x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    assert problem(spark, tmp_path, "variant_url_pages", pages=pages.filter("url NOT LIKE '%#f'")) is None
+    combos = pages.select(F.col("page_id").alias("spec_id"), F.lit(0).alias("combo_idx"), F.create_map(F.lit("ref"), F.lit("x"), F.lit("page"), F.lit("2")).alias("query"))
+    asked = spark.createDataFrame([(1, 4, "https://h.com/a?page=2"), (9, 9, "https://h.com/a?page=2&ref=x#f")], "page_id long, spec_id long, url string")
+    assert {(r.page_id, r.variant_page_id) for r in url_variants(asked, combos, pages).collect()} == {(1, 3), (9, 9)}
