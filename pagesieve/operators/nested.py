@@ -161,23 +161,31 @@ def violations(rows: DataFrame, id_col: str, text_col: str, schema: DataFrame) -
     and so is a text that is no JSON.
     """
     found = values(rows, id_col, text_col).select("id", "path", "kind", _named(F.col("path")).alias("name"))
-    known = schema.select(F.col("path").alias("name"), "types", "required")
-    judged = found.join(known, "name", "left")
+    parent = F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))
+    found = found.withColumns({"inside": parent, "outer": _named(parent), "key": F.try_element_at("path", F.lit(-1))["key"]})
+    # the schema describes one text and goes to every task; the values are read once and stay placed by id
+    known = schema.select(F.col("path").alias("name"), "types")
+    needed = schema.filter("required AND path <> ''").groupBy(F.regexp_replace("path", r"\.?[^.\[\]]+$", "").alias("name")).agg(
+        F.collect_set(F.regexp_extract("path", r"([^.\[\]]+)$", 1)).alias("needs")
+    )
+    above = schema.select(F.col("path").alias("outer")).distinct().withColumn("__told", F.lit(True))
+    judged = found.join(F.broadcast(known), "name", "left").join(F.broadcast(needed), "name", "left").join(F.broadcast(above), "outer", "left")
+    judged = judged.join(F.broadcast(needed.select(F.col("name").alias("outer"), F.col("needs").alias("__asked"))), "outer", "left")
     fits = F.array_contains("types", F.col("kind")) | ((F.col("kind") == "integer") & F.array_contains("types", "number"))
-    wrong = judged.filter(F.col("types").isNotNull() & ~fits).select(
-        "id", F.concat(F.lit("type: "), _shown(F.col("path")), F.lit(" is "), "kind", F.lit(", not "), F.array_join("types", "|")).alias("error")
+    wrong = F.when(
+        F.col("types").isNotNull() & ~fits, F.concat(F.lit("type: "), _shown(F.col("path")), F.lit(" is "), "kind", F.lit(", not "), F.array_join("types", "|"))
     )
     # members of unknown members are not told again
-    member = F.try_element_at("path", F.lit(-1))["key"].isNotNull()
-    extra = judged.filter((F.size("path") > 0) & F.col("types").isNull() & member).select("id", F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("inside"), "path")
-    extra = extra.join(known.select(F.col("name").alias("__outer")), _named(F.col("inside")) == F.col("__outer"), "left_semi")
-    extra = extra.select("id", F.concat(F.lit("extra: "), _shown(F.col("path"))).alias("error"))
-    needed = known.filter("required AND name <> ''").select(F.regexp_replace("name", r"\.?[^.\[\]]+$", "").alias("name"), F.regexp_extract("name", r"([^.\[\]]+)$", 1).alias("key"))
-    wanted = found.filter(F.col("kind") == "object").join(needed, "name").select("id", F.col("path").alias("inside"), "key")
-    present = found.filter(F.size("path") > 0).select("id", F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("inside"), F.try_element_at("path", F.lit(-1))["key"].alias("key"))
-    missing = wanted.join(present, ["id", "inside", "key"], "left_anti")
-    named = F.concat(_shown(F.col("inside")), F.when(F.size("inside") > 0, ".").otherwise(""), F.col("key"))
-    missing = missing.select("id", F.concat(F.lit("missing: "), named).alias("error"))
-    unread = rows.filter(F.try_parse_json(F.col(text_col).cast("string")).isNull()).select(F.col(id_col).alias("id"), F.lit("not JSON").alias("error"))
-    errors = wrong.unionByName(extra).unionByName(missing).unionByName(unread).groupBy("id").agg(F.array_sort(F.collect_list("error")).alias("errors"))
-    return rows.select(F.col(id_col).alias("id")).join(errors, "id", "left").select("id", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+    extra = F.when((F.size("path") > 0) & F.col("types").isNull() & F.col("key").isNotNull() & F.col("__told"), F.concat(F.lit("extra: "), _shown(F.col("path"))))
+    none = F.lit(None).cast("string")
+    facts = F.array(
+        F.struct(F.col("path").alias("at"), F.coalesce(wrong, extra).alias("error"), F.when(F.col("kind") == "object", F.col("needs")).alias("needs"), none.alias("has")),
+        F.struct(F.col("inside").alias("at"), none.alias("error"), F.lit(None).cast("array<string>").alias("needs"), F.when(F.array_contains("__asked", F.col("key")), F.col("key")).alias("has")),
+    )
+    facts = judged.select("id", F.inline(facts)).filter("error IS NOT NULL OR needs IS NOT NULL OR has IS NOT NULL")
+    placed = facts.groupBy("id", "at").agg(F.collect_list("error").alias("errors"), F.first("needs", ignorenulls=True).alias("needs"), F.collect_set("has").alias("has"))
+    missing = lambda k: F.concat(F.lit("missing: "), _shown(F.col("at")), F.when(F.size("at") > 0, ".").otherwise(""), k)
+    gone = F.transform(F.coalesce(F.array_except("needs", "has"), F.array().cast("array<string>")), missing)
+    told = placed.select("id", F.concat("errors", gone).alias("errors"))
+    every = rows.select(F.col(id_col).alias("id"), F.when(F.try_parse_json(F.col(text_col).cast("string")).isNull(), F.array(F.lit("not JSON"))).otherwise(F.array().cast("array<string>")).alias("errors"))
+    return every.unionByName(told).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("errors"))).alias("errors"))

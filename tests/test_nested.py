@@ -96,3 +96,14 @@ def test_schema_checks(spark):
     got = {r.id: r.errors for r in nested.violations(frame(spark, list(replies)), "id", "text", schema).collect()}
     assert got == dict(enumerate(replies.values()))
     assert nested.violations(frame(spark, ["{}"]).limit(0), "id", "text", schema).count() == 0
+
+
+def test_violations_send_no_rows_to_the_driver(spark):
+    """No join of values with values, whose smaller side would be broadcast when its compressed size is small."""
+    texts = [json.dumps({"a": {"b": i}, "c": [{"d": "x"}, {}], "e": 1}) for i in range(400)] + ["no", None]
+    schema = spark.createDataFrame([("", ["object"], True), ("a", ["object"], True), ("a.b", ["string"], True), ("c", ["array"], True), ("c[]", ["object"], False), ("c[].d", ["string"], True)], "path string, types array<string>, required boolean")
+    done = nested.violations(frame(spark, texts), "id", "text", schema)
+    got = {r.id: list(r.errors) for r in done.collect()}
+    assert got == {i: ["extra: e", "missing: c[1].d", "type: a.b is integer, not string"] for i in range(400)} | {400: ["not JSON"], 401: ["not JSON"]}
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
