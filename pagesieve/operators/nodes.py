@@ -56,13 +56,27 @@ ENDERS = {
 _OPEN_ENDED = ("html", "body", "div", "ul", "ol", "dl", "table", "section", "article", "main", "nav", "form")
 
 
+# Html of one task, in bytes: its tokens, elements and sort buffers take some hundred times as much memory.
+TASK_BYTES = 2 << 20
+
+
 def place_pages(pages: DataFrame) -> DataFrame:
     """Hash pages by id; the windows that follow are already in place.
 
-    No count is given: adaptive execution merges the partitions by their real
-    sizes, starting from ``spark.sql.adaptive.coalescePartitions.initialPartitionNum``.
+    Small inputs are left to adaptive execution, which merges the partitions by
+    their real sizes.  It goes by compressed bytes, though, and by the cores at
+    hand, so a task would grow with the input: beyond ``TASK_BYTES`` of html for
+    every core the bytes are counted first (one number) and give the partitions.
     """
-    return pages.repartition("page_id")
+    spark = pages.sparkSession
+    if "html" not in pages.columns or pages.isStreaming:
+        return pages.repartition("page_id")
+    size = pages.agg(F.sum(F.octet_length("html").cast("bigint"))).first()[0] or 0
+    if size <= TASK_BYTES * spark.sparkContext.defaultParallelism:
+        return pages.repartition("page_id")
+    # more than other shuffles have: joins by page keep these partitions, and Spark does not drop
+    # the shuffle in favour of an equal one below it, which it would merge again
+    return pages.repartition(max(-(-size // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")) + 1), "page_id")
 
 
 def _raw_tokens(pages: DataFrame) -> Column:

@@ -121,3 +121,18 @@ def test_frontier_goes_beyond_five_thousand_pages(spark):
     edges = spark.range(6000).selectExpr("'s' AS src", "concat('p', id) AS dst", "id AS pos")
     n = {r.run_id: r["count"] for r in expand(seeds, edges, 2).groupBy("run_id").count().collect()}
     assert n == {1: 6001, 2: 50}
+
+
+def test_partitions_grow_with_the_pages(spark, monkeypatch):
+    """Tasks hold a bounded number of bytes, and elements stay where the pages were placed."""
+    from pagesieve.operators import nodes
+
+    monkeypatch.setattr(nodes, "TASK_BYTES", 4_000)
+    html = "<ul>" + "<li class='c'><b>x</b></li>" * 20 + "</ul>"
+    frame = lambda n: spark.createDataFrame([(i, "http://a/", html) for i in range(n)], "page_id long, url string, html string")
+    sizes = {n: place_pages(frame(n)).rdd.getNumPartitions() for n in (300, 900)}
+    assert sizes == {n: -(-n * len(html) // 4_000) for n in sizes}
+    pages = place_pages(frame(300))
+    found = records.from_containers(pages, elements(pages), [FieldSpec("n", "b")], "li.c")
+    assert found.count() == 6_000
+    assert nodes.place_pages(frame(300).limit(0)).count() == 0
