@@ -231,32 +231,33 @@ def summary(pages: DataFrame, limits: Limits = ALL) -> DataFrame:
 def alternate_mode(pages: DataFrame, nodes: DataFrame, current: Column) -> DataFrame:
     """page_id, suggestion: the other mode when the page clearly holds that kind of data.
 
-    ``current`` reads a column of ``pages``.
+    ``current`` reads a column of ``pages``.  All facts come from one pass over the elements.
     """
-    repeats = (
-        nodes.filter(F.col("tag").isin("div", "li", "article", "section"))
-        .select("page_id", F.explode(classes()).alias("class"))
-        .groupBy("page_id", "class")
-        .agg(F.count("*").alias("n"))
-        .groupBy("page_id")
-        .agg(F.max("n").alias("max_repeat"))
-    )
-    parts = nodes.filter(F.col("tag").isin("table", "tr"))
-    rows = assign_containers(parts, F.col("tag") == "table", F.col("tag") == "tr")
-    big = (
-        rows.groupBy("page_id", "container_pos").agg(F.count("*").alias("n"))
-        .groupBy("page_id").agg(F.count_if(F.col("n") >= 3).alias("big_tables"))
+    tag = F.col("tag")
+    listed = tag.isin("div", "li", "article", "section")
+    parts = with_texts(nodes.filter(listed | tag.isin("table", "tr", "p")), pages, ("p",))
+    ends = F.when(tag == "table", F.array("open_pos", "close_pos")).otherwise(F.array("open_pos"))
+    marks = parts.withColumn("at", F.explode(ends))
+    so_far = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumn("rows", F.count_if(tag == "tr").over(so_far))
+    fact = lambda kind, key, n: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), n.cast("bigint").alias("n"))
+    prose = F.length(F.array_join(F.filter("text_pieces", lambda t: t != ""), " "))
+    # rows of a table: those begun at its end without those begun at its start
+    told = F.array(
+        F.when(listed, F.transform(classes(), lambda c: fact("class", c, F.lit(1)))),
+        F.when(tag == "article", F.array(fact("article", F.lit(""), F.lit(1)))),
+        F.when(tag == "p", F.array(fact("prose", F.lit(""), prose))),
+        F.when(tag == "table", F.array(fact("table", F.col("open_pos"), F.col("rows")))),
     )
-    prose = with_texts(nodes.filter(F.col("tag").isin("p", "article")), pages).groupBy("page_id").agg(
-        F.sum(
-            F.when(F.col("tag") == "p", F.length(F.array_join(F.filter("text_pieces", lambda t: t != ""), " "))).otherwise(0)
-        ).alias("prose"),
-        F.count_if(F.col("tag") == "article").alias("articles"),
+    facts = marks.select("page_id", F.inline(F.flatten(F.array_compact(told)))).groupBy("page_id", "kind", "key").agg(
+        F.sum("n").alias("n"), (F.max("n") - F.min("n")).alias("rows")
     )
-    facts = (
-        pages.select("page_id", F.upper(current).alias("mode"))
-        .join(repeats, "page_id", "left").join(big, "page_id", "left").join(prose, "page_id", "left")
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("n"))
+    found = facts.groupBy("page_id").agg(
+        F.max(of("class")).alias("max_repeat"), F.count_if((F.col("kind") == "table") & (F.col("rows") >= 3)).alias("big_tables"),
+        F.max(of("prose")).alias("prose"), F.max(of("article")).alias("articles"),
     )
+    facts = pages.select("page_id", F.upper(current).alias("mode")).join(found, "page_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     structured = (zero("big_tables") >= 1) | (zero("max_repeat") >= 12)
     content = (zero("prose") >= 1200) | (zero("articles") >= 1)

@@ -136,3 +136,20 @@ def test_partitions_grow_with_the_pages(spark, monkeypatch):
     found = records.from_containers(pages, elements(pages), [FieldSpec("n", "b")], "li.c")
     assert found.count() == 6_000
     assert nodes.place_pages(frame(300).limit(0)).count() == 0
+
+
+def test_alternate_mode_reads_the_tree_once(spark):
+    """Rows of nested tables count for each table around them; one tokenisation gives all facts."""
+    from pagesieve.operators.profile import alternate_mode
+
+    nested = "<table><tr><td><table><tr><td>a</td></tr><tr><td>b</td></tr></table></td></tr></table><table><tr></tr></table>"
+    bodies = (
+        nested, "<table><tr></tr><tr></tr></table><tr></tr>", "<ul>" + "<li class='x y'>1" * 12 + "</ul>", "<p>" + "w" * 700 + "<p><b>" + "w" * 500 + "</b>",
+        "<article>a</article>", "<p>" + "w" * 1199 + "<ul>" + "<li class=x>1" * 11 + "</ul>", "",
+    )
+    pages = site(spark, *bodies)
+    for mode, hit, out in (("content", {0, 2}, "STRUCTURED"), ("STRUCTURED", {3, 4}, "CONTENT")):
+        found = alternate_mode(pages, elements(pages), F.lit(mode))
+        assert {r.page_id: r.suggestion for r in found.collect()} == {i: out if i in hit else None for i in range(len(bodies))}
+    plan = alternate_mode(pages, elements(pages), F.col("url"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
