@@ -60,33 +60,37 @@ _OPEN_ENDED = ("html", "body", "div", "ul", "ol", "dl", "table", "section", "art
 TASK_BYTES = 2 << 20
 
 
-def place_pages(pages: DataFrame) -> DataFrame:
-    """Hash pages by id; the windows that follow are already in place.
+def partitions_for(pages: DataFrame) -> int | None:
+    """How many partitions the pages are placed in; None leaves it to adaptive execution.
 
-    Small inputs are left to adaptive execution, which merges the partitions by
-    their real sizes.  It goes by compressed bytes, though, and by the cores at
+    Small inputs are left to it: it merges the partitions by their real sizes.
+    It goes by compressed bytes, though, and by the cores at
     hand, so a task would grow with the input: beyond ``TASK_BYTES`` of html for
     every core the bytes are counted first (one number) and give the partitions.
     """
     spark = pages.sparkSession
     if "html" not in pages.columns or pages.isStreaming:
-        return pages.repartition("page_id")
+        return None
     size = pages.agg(F.sum(F.octet_length("html").cast("bigint"))).first()[0] or 0
     if size <= TASK_BYTES * spark.sparkContext.defaultParallelism:
-        return pages.repartition("page_id")
+        return None
     # more than other shuffles have: joins by page keep these partitions, and Spark does not drop
     # the shuffle in favour of an equal one below it, which it would merge again
-    return pages.repartition(max(-(-size // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")) + 1), "page_id")
+    return max(-(-size // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")) + 1)
 
 
-def _raw_tokens(pages: DataFrame) -> Column:
-    """Tokens of the pages, read from html unless :func:`tokenised` has done so."""
-    return F.col("__tokens") if "__tokens" in pages.columns else F.regexp_extract_all(without_code(F.col("html")), F.lit(_TOKEN), F.lit(0))
+def _placed(rows: DataFrame, count: int | None) -> DataFrame:
+    return rows.repartition("page_id") if count is None else rows.repartition(count, "page_id")
+
+
+def place_pages(pages: DataFrame) -> DataFrame:
+    """Hash pages by id into as many partitions as their bytes ask for; the windows that follow are already in place."""
+    return _placed(pages, partitions_for(pages))
 
 
-def tokenised(pages: DataFrame) -> DataFrame:
-    """Placed pages with their ``tokens``, written once for all that is read from them."""
-    return cut_lineage(place_pages(pages).withColumn("__tokens", _raw_tokens(pages)))
+def _raw_tokens(pages: DataFrame) -> Column:
+    """Tokens of the pages, read from html unless :func:`read_once` has done so."""
+    return F.col("__tokens") if "__tokens" in pages.columns else F.regexp_extract_all(without_code(F.col("html")), F.lit(_TOKEN), F.lit(0))
 
 
 def _is_text(token: Column) -> Column:
@@ -288,10 +292,13 @@ def read_once(pages: DataFrame, tags: tuple[str, ...]) -> tuple[DataFrame, DataF
     """Placed pages, and all their elements with the texts of those named in ``tags``.
 
     For operators that look at a page from several sides: it is tokenised once,
-    its tree is built once, and both are written to the shared folder.
+    its tree is built once, and both are written to the shared folder.  Written
+    rows no longer tell where they lie, so both are placed again, in as many
+    partitions: the windows that follow would shuffle them to the session's count.
     """
-    held = tokenised(pages)
-    return held, cut_lineage(with_texts(elements(held), held, tags))
+    count = partitions_for(pages)
+    held = _placed(cut_lineage(_placed(pages, count).withColumn("__tokens", _raw_tokens(pages))), count)
+    return held, _placed(cut_lineage(with_texts(elements(held), held, tags)), count)
 
 
 def _attr_regex(name: str, tail: str) -> str:

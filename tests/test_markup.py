@@ -153,3 +153,17 @@ def test_alternate_mode_reads_the_tree_once(spark):
         assert {r.page_id: r.suggestion for r in found.collect()} == {i: out if i in hit else None for i in range(len(bodies))}
     plan = alternate_mode(pages, elements(pages), F.col("url"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate posexplode") == 1
+
+
+def test_pages_read_once_stay_in_place(spark, monkeypatch):
+    """What is read from written pages and elements keeps the partitions their bytes gave."""
+    from pagesieve.operators import nodes
+    from pagesieve.operators.profile import repeated_classes
+
+    monkeypatch.setattr(nodes, "TASK_BYTES", 4_000)
+    html = "<ul>" + "<li class='c'><b>x</b></li>" * 20 + "</ul>"
+    pages = spark.createDataFrame([(i, "http://a/", html) for i in range(100)], "page_id long, url string, html string")
+    held, found = nodes.read_once(pages, ("li",))
+    count = -(-100 * len(html) // 4_000)
+    assert [df.rdd.getNumPartitions() for df in (held, found, elements(held), repeated_classes(found))] == [count] * 4
+    assert found.filter("text = 'x' AND tag = 'li'").count() == 2_000
