@@ -118,20 +118,17 @@ def class_samples(pages: DataFrame, nodes: DataFrame, limits: Limits = ALL) -> D
 
 
 def table_samples(pages: DataFrame, nodes: DataFrame, limits: Limits = ALL) -> DataFrame:
-    """Rows of the tables: page_id, table_idx, row_idx, line."""
-    parts = nodes.filter(F.col("tag").isin("table", "tr", "td", "th"))
-    tables = _first(parts.filter(F.col("tag") == "table"), limits.tables).select(
-        "page_id", F.col("open_pos").alias("table_pos"), F.col("rank").alias("table_idx")
-    )
-    rows = assign_containers(parts, F.col("tag") == "table", F.col("tag") == "tr").withColumnRenamed("container_pos", "table_pos")
-    order = Window.partitionBy("page_id", "table_pos").orderBy("open_pos")
-    rows = _top(rows.withColumn("row_idx", F.row_number().over(order)), limits.table_rows, "row_idx")
-    cells = assign_containers(parts, F.col("tag") == "tr", F.col("tag").isin("td", "th"))
-    kept = (
-        cells.withColumnRenamed("container_pos", "row_pos")
-        .join(rows.select("page_id", "table_pos", F.col("open_pos").alias("row_pos"), "row_idx"), ["page_id", "row_pos"])
-        .join(tables, ["page_id", "table_pos"])
-    )
+    """Rows of the tables: page_id, table_idx, row_idx, line.
+
+    One pass over the elements: tables and rows are numbered as they open, and what lies inside carries their numbers.
+    """
+    tag, rows = F.col("tag"), (Window.unboundedPreceding, 0)
+    opened = lambda kind, *keys: F.count_if(tag == kind).over(Window.partitionBy(*keys).orderBy("open_pos").rowsBetween(*rows)).cast("int")
+    parts = nodes.filter(tag.isin("table", "tr", "td", "th")).withColumn("table_idx", opened("table", "page_id"))
+    inside = assign_containers(parts, tag == "table", tag != "table", carried=("table_idx",)).withColumnRenamed("container_pos", "table_pos")
+    inside = _top(inside, limits.tables, "table_idx").withColumn("row_idx", opened("tr", "page_id", "table_pos"))
+    cells = assign_containers(inside, tag == "tr", tag != "tr", ("page_id", "table_pos"), ("row_idx",))
+    kept = _top(cells, limits.table_rows, "row_idx")
     text = with_texts(kept, pages).withColumn("cell", _joined(limits)).filter(F.col("cell") != "")
     return text.groupBy("page_id", "table_idx", "row_idx").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("open_pos", "cell"))), lambda c: c["cell"]), " | ").alias("line")

@@ -167,3 +167,19 @@ def test_pages_read_once_stay_in_place(spark, monkeypatch):
     count = -(-100 * len(html) // 4_000)
     assert [df.rdd.getNumPartitions() for df in (held, found, elements(held), repeated_classes(found))] == [count] * 4
     assert found.filter("text = 'x' AND tag = 'li'").count() == 2_000
+
+
+def test_table_samples_read_the_tree_once(spark):
+    """Cells of nested rows and tables count for each of them; tables without rows have a number."""
+    from pagesieve.operators.profile import Limits, table_samples
+
+    inner = "<table><tr><td>c</td></tr><tr><td>d</td></tr></table>"
+    pages = site(spark, f"<table></table><table><tr><td>a</td><th>b</th></tr><tr><td>x{inner}</td></tr></table>", "<p>none</p>")
+    found = lambda *limits: {
+        (r.table_idx, r.row_idx): r.line for r in table_samples(pages, elements(pages), *limits).collect()
+    }
+    every = {(2, 1): "a | b", (2, 2): "x c d | c | d", (2, 3): "c", (2, 4): "d", (3, 1): "c", (3, 2): "d"}
+    assert found() == every
+    assert found(Limits(tables=2, table_rows=2)) == {k: v for k, v in every.items() if k[0] <= 2 and k[1] <= 2}
+    plan = table_samples(pages, elements(pages))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
