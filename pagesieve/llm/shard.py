@@ -19,6 +19,8 @@ gets a number behind its name where theirs has the name (``shard_2``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,20 +28,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructField
 
-from pagesieve.llm.common import durable, free_name, quoted, sums
+from pagesieve.llm.common import durable, free_name, quoted, small_batches, sums
 
 SEED = 20240607
 
 
-def _fisher_yates(seed: int):
-    """Shuffle one bucket; numpy's ``permutation`` is a Fisher-Yates shuffle."""
+def _fisher_yates(seed: int, slice_bytes: int = 4 << 20):
+    """Shuffle one bucket; numpy's ``permutation`` is a Fisher-Yates shuffle.
+
+    A task holds its bucket once: the order is found from the hashes alone, and
+    the rows leave in slices, so no second copy of the bucket is made here or
+    taken as one batch by the JVM.
+    """
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.take(pc.sort_indices(group, [("hash", "ascending"), ("tie", "ascending")]))
-        bucket = group.column("bucket")[0].as_py()
-        order = np.random.default_rng([seed, bucket]).permutation(group.num_rows)
-        place = group.column("base")[0].as_py() + np.arange(group.num_rows)
-        return pa.table({"row": group.column("row").take(pa.array(order)), "place": place})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        first = pc.sort_indices(group.select(["hash", "tie"]), [("hash", "ascending"), ("tie", "ascending")])
+        bucket, base = group.column("bucket")[0].as_py(), group.column("base")[0].as_py()
+        order = first.take(pa.array(np.random.default_rng([seed, bucket]).permutation(group.num_rows)))
+        rows = group.column("row").combine_chunks()
+        del group, first
+        step = max(1, len(rows) * slice_bytes // max(1, rows.nbytes))
+        for at in range(0, len(rows), step):
+            part = order.slice(at, step)
+            yield pa.record_batch({"row": rows.take(part), "place": pa.array(base + at + np.arange(len(part)))})
 
     return run
 
@@ -91,6 +103,7 @@ def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
 
     ``bucket_bytes`` is the memory a bucket may take in a task.
     """
+    small_batches(docs.sparkSession)
     rows = scattered(docs, id_col, text_col, seed, bucket_bytes)
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("bucket") / 1024))
     # prefix sums in two levels: no task sees more than a thousand buckets or block totals

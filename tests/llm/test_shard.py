@@ -2,10 +2,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagesieve.llm.queries import QUERIES
-from pagesieve.llm.shard import SEED, scattered, shard, write_shards
+from pagesieve.llm.shard import SEED, _fisher_yates, scattered, shard, write_shards
 
 
 def gapless(pairs):
@@ -107,3 +108,23 @@ def test_the_shuffle_equals_a_plain_one(spark):
         at += len(own)
     assert len({r.bucket for r in rows}) > 3
     assert {r.row.doc_id: r.slot * 7 + r.shard for r in shard(docs, 7, bucket_bytes=8000).collect()} == want
+
+
+def test_a_bucket_is_held_once():
+    """Rows come in batches and leave in slices; what Arrow holds beside the bucket and one joined copy is a slice."""
+    n, slice_bytes, pool = 400, 1 << 20, pa.default_memory_pool()
+    start = pool.bytes_allocated()
+
+    def batches():
+        for at in range(0, n, 50):
+            rows = pa.StructArray.from_arrays([pa.array(range(at, at + 50)), pa.array(["x" * 50_000] * 50)], ["doc_id", "text"])
+            yield pa.record_batch({"row": rows, "hash": pa.array([-i for i in range(at, at + 50)]), "tie": pa.array([0] * 50), "bucket": pa.array([3] * 50), "base": pa.array([1000] * 50)})
+
+    got, places, held = [], [], 0
+    for batch in _fisher_yates(SEED, slice_bytes)(batches()):
+        assert batch.nbytes < 2 * slice_bytes
+        got += batch.column("row").field("doc_id").to_pylist()
+        places += batch.column("place").to_pylist()
+        held = max(held, pool.bytes_allocated() - start)
+    assert got == [n - 1 - j for j in np.random.default_rng([SEED, 3]).permutation(n)] and places == list(range(1000, 1000 + n))
+    assert held < n * 50_000 + 3 * slice_bytes
