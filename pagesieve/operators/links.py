@@ -15,6 +15,7 @@ from pagesieve.functions.urls import (
     with_normalized_reference,
     with_parts,
 )
+from pagesieve.operators.nodes import partitions_for
 
 _ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _ANCHOR = r"(?i)<a\s" + _ATTRS + r">[\s\S]*?(?=</a\s*>|<a\s|$)"
@@ -55,11 +56,12 @@ def resolve_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def first_seen(links: DataFrame) -> DataFrame:
+def first_seen(links: DataFrame, partitions: int | None = None) -> DataFrame:
     """Keep the first link per (page, URL); navigation and invalid rows all stay.
 
     Rows are placed by page once; the per-page operators downstream group on
-    the same key and need no further exchange.
+    the same key and need no further exchange.  Without ``partitions`` adaptive
+    execution merges them by the cores at hand.
     """
     key = F.when(F.col("kind") == "link", F.col("normalized_url")).otherwise(
         F.concat(F.lit("\u0000"), F.col("pos").cast("string"))
@@ -67,7 +69,7 @@ def first_seen(links: DataFrame) -> DataFrame:
     order = Window.partitionBy("page_id", "__key").orderBy("pos")
     return (
         links.withColumn("__key", key)
-        .repartition("page_id")
+        .transform(lambda rows: rows.repartition("page_id") if partitions is None else rows.repartition(partitions, "page_id"))
         .withColumn("__seen", F.row_number().over(order))
         .filter(F.col("__seen") == 1)
         .drop("__key", "__seen")
@@ -75,8 +77,8 @@ def first_seen(links: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Deduplicated resolved links of every page."""
-    return first_seen(resolve_links(pages))
+    """Deduplicated resolved links of every page, in as many partitions as the bytes of html ask for."""
+    return first_seen(resolve_links(pages), partitions_for(pages))
 
 
 def same_origin_links(links: DataFrame) -> DataFrame:
