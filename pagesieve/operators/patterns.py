@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.functions.urls import looks_like_pagination, path_of, segments_of
@@ -78,19 +78,20 @@ def derived_patterns(
     """page_id, include_pattern for unconfigured COLLECTION and DATASET scopes.
 
     ``scopes`` has page_id, mode, configured; ``detail_links`` holds the
-    same-origin links matched by each page's detail selector.
+    same-origin links matched by each page's detail selector.  They are read
+    once: their number is counted beside them, so no second tree is built for it.
     """
     siblings = sibling_glob(same_origin).select("page_id", F.col("glob").alias("sib"), F.col("n").alias("sib_n"))
-    detail = path_template(detail_links).select("page_id", F.col("glob").alias("det"))
-    detail_n = detail_links.groupBy("page_id").agg(F.count("*").alias("det_n"))
+    counted = detail_links.withColumn("det_n", F.count("*").over(Window.partitionBy("page_id")))
+    enough = counted.filter(F.col("det_n") >= MIN_DETAIL_LINKS)
+    detail = path_template(enough).select("page_id", F.col("glob").alias("det"))
     pattern = F.when(
         (F.col("mode") == "COLLECTION") & (F.col("sib_n") >= MIN_SIBLINGS), F.col("sib")
-    ).when((F.col("mode") == "DATASET") & (F.col("det_n") >= MIN_DETAIL_LINKS), F.col("det"))
+    ).when(F.col("mode") == "DATASET", F.col("det"))
     return (
         scopes.filter(~F.col("configured"))
         .join(siblings, "page_id", "left")
         .join(detail, "page_id", "left")
-        .join(detail_n, "page_id", "left")
         .select("page_id", "mode", pattern.alias("include_pattern"))
         .filter(F.col("include_pattern").isNotNull())
     )

@@ -511,8 +511,9 @@ def pattern_selector_links(spark, folder):
         FROM shop JOIN n USING (page_id) WHERE page_id % 5 <> 0 AND (page_id % 2 = 0 OR n >= 3)""",
 )
 def pattern_derived_includes(spark, folder):
-    pages = place_pages(rendered(spark, folder))
-    links = page_links(pages)
+    unplaced = rendered(spark, folder)
+    pages = place_pages(unplaced)
+    links = page_links(unplaced)  # slim rows: they are placed by themselves, the html is not
     details = selector_links(pages, elements(pages), "li.part-card a.name")
     scopes = pages.select(
         "page_id",

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from pagesieve.operators import frontier
+from pagesieve.operators import frontier, nodes
 from pagesieve.operators.links import page_links
 from pagesieve.operators.patterns import derived_patterns
+from pagesieve.operators.records import selector_links
 from pagesieve.operators.scope import CrawlScope, classify
 
 H = "https://site.example"
@@ -64,3 +65,26 @@ def test_frontier_levels_cap_and_uniqueness(spark):
     full = {r.url: (r.depth, r.ordinal) for r in rows if r.run_id == 1}
     assert full == {"/": (0, 1), "/a": (1, 2), "/b": (1, 3), "/c": (2, 4), "/d": (2, 5), "/e": (3, 6)}
     assert sorted(r.url for r in rows if r.run_id == 2) == ["/", "/a", "/b", "/c"]
+
+
+def test_links_are_placed_by_bytes(spark, monkeypatch):
+    """Beyond the bytes a task may get, more html gives more tasks, not larger ones; the links stay the same."""
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('https://h.example/', id) AS url", "concat('<a href=\"/x\">X</a>', repeat('<p>text</p>', 20)) AS html")
+    few = page_links(pages)
+    size = pages.selectExpr("sum(octet_length(html))").first()[0]
+    monkeypatch.setattr(nodes, "TASK_BYTES", size // 40)
+    many = page_links(pages)
+    assert many.rdd.getNumPartitions() >= 40 > few.rdd.getNumPartitions()
+    assert sorted(map(tuple, many.select("page_id", "normalized_url").collect())) == sorted(map(tuple, few.select("page_id", "normalized_url").collect()))
+
+
+def test_derived_patterns_read_details_once(spark):
+    """Too few detail links give no pattern, and the details' tree stands once in the plan."""
+    body = lambda n: "<ul>" + "".join(f"<li><a href='/p/{i}'>x</a></li>" for i in range(n)) + "</ul>"
+    pages = nodes.place_pages(spark.createDataFrame([(i, H + "/", body(n)) for i, n in enumerate((2, 3, 4))], "page_id long, url string, html string"))
+    details = selector_links(pages, nodes.elements(pages), "li a")
+    scopes = pages.select("page_id", F.lit("DATASET").alias("mode"), F.lit(False).alias("configured"))
+    derived = derived_patterns(pages, page_links(pages), details, scopes)
+    assert {r.page_id: r.include_pattern for r in derived.collect()} == {1: "/p/*", 2: "/p/*"}
+    trees = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("AS covered")
+    assert trees(derived) == trees(details) > 0
