@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import itertools
 import os
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as files in a fresh folder of the shared one, and that folder, for the caller to remove.
+
+    Spark estimates it by the size of the files, not by the plan that made it.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/held-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,8 +174,6 @@ def _late_tokens(width: int, percent: int, levels: list[BitSet]):
 
 def _class_rows(width: int, percent: int, levels: list[BitSet], shared: list[BitSet]):
     """One row a document: set size, digest, mark, and of the n-grams of the prefix those that others may share."""
-    kind = [pa.field("key", pa.int64()), pa.field("pos", pa.int32())]
-
     def run(batches):
         for batch in byte_slices(batches, 2):
             n = np.zeros(batch.num_rows, np.int32)
@@ -201,12 +200,15 @@ def _class_rows(width: int, percent: int, levels: list[BitSet], shared: list[Bit
             of = join(of, np.int64)
             alone = np.bincount(of, minlength=batch.num_rows) == 0
             shape_index = pa.array(np.maximum(place, 0), mask=(place < 0) | alone)
-            prefix = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(signed(join(keys, np.uint64))), pa.array(join(places, np.int64).astype(np.int32))], fields=kind))
+            # two plain lists: written as they are, a list of pairs takes more than three times as much
+            offsets = pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32))
+            keys = pa.ListArray.from_arrays(offsets, pa.array(signed(join(keys, np.uint64))))
+            places = pa.ListArray.from_arrays(offsets, pa.array(join(places, np.int64).astype(np.int32)))
             if not rows:
                 digests, shapes = [np.zeros((0, 2), np.uint64)], [np.zeros((0, HISTOGRAM), "<u2")]
             yield pa.record_batch([
-                batch.column(0), batch.column(1), pa.array(n), _binary(np.concatenate(digests)).take(index), pa.array(signed(join(marks, np.uint64))).take(index), prefix, _binary(np.concatenate(shapes)).take(shape_index),
-            ], ["id", "row_hash", "n", "digest", "mark", "prefix", "shape"])
+                batch.column(0), batch.column(1), pa.array(n), _binary(np.concatenate(digests)).take(index), pa.array(signed(join(marks, np.uint64))).take(index), keys, places, _binary(np.concatenate(shapes)).take(shape_index),
+            ], ["id", "row_hash", "n", "digest", "mark", "keys", "places", "shape"])
 
     return run
 
@@ -417,19 +419,34 @@ def _pivot_pairs(index: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("cls").alias("a"), F.col("p.pivot").alias("b"))
 
 
-def _open_keys(index: DataFrame, percent: int) -> DataFrame:
+def _open_keys(index: DataFrame, percent: int, bits: int | None = None) -> DataFrame:
     """The index without classes that can link with none of their n-gram's, and without n-grams of one component.
 
     What is joined back by a possibly hot key is written first: then both sides
     of the join are shuffled plainly and adaptive execution may split the key.
+    With ``bits`` a bit set of the n-grams that are left thins out the index
+    before it is shuffled again; the join decides.
     """
     stats = index.groupBy("key").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("most_left"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("among"))
     stats = durable(stats.where("r0 <> r1"))
+    release(index.sparkSession)
+    if bits:
+        index = index.where(_maybe(BitSet.of(stats.select("key"), bits))("key"))
     n, left = F.col("n"), F.col("n") - F.col("pos")
     m = F.greatest(F.col("least"), F.ceil(n * percent / 100))
     return index.drop("among").join(stats, "key").where(_fits(n, m, F.least(left, F.col("most_left")), percent)).drop("least", "most_left", "r0", "r1")
 
 
+def _maybe(marked: BitSet):
+    """Column function: whether a key may be in the bit set."""
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(marked.has(keys.to_numpy().view(np.uint64)))
+
+    return maybe
+
+
 def _cross_pairs(index: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that share an n-gram of their prefixes, lie in different components and pass the length and position bounds."""
     x = index.select("key", F.col("cls").alias("a"), F.col("n").alias("an"), (F.col("n") - F.col("pos")).alias("al"), F.col("root").alias("ar"))
@@ -450,13 +467,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("row_hash"), F.col(text_col).cast("string").alias("text"))
     levels, shared = _orders(texts, width, percent, bits)
-    prefix = "prefix array<struct<key:long,pos:int>>"
-    schema = f"id {dict(texts.dtypes)['id']}, row_hash long, n int, digest binary, mark long, prefix array<struct<key:long,pos:int>>, shape binary"
+    schema = f"id {dict(texts.dtypes)['id']}, row_hash long, n int, digest binary, mark long, keys array<long>, places array<int>, shape binary"
     release(docs.sparkSession)
     rows = durable(texts.mapInArrow(_class_rows(width, percent, levels, shared), schema))
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("id").alias("id"), F.count("*").alias("class_size"), F.min("mark").alias("mark"),
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shape").alias("shape"),
+        F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("places").alias("places"), F.first("shape").alias("shape"),
     )
     classes = durable(classes.withColumn("cls", F.monotonically_increasing_id()))  # written, so the numbers stay
     # rows equal in id and text have one mark: those (and a few false hits of the bit set) need a pass to keep one
@@ -464,9 +480,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = durable(rows.select("id", "row_hash", "n", "digest"))  # prefixes and histograms are with the classes
     release(docs.sparkSession)
 
-    index = classes.select("cls", "n", F.size("prefix").alias("shared"), F.inline("prefix"), F.col("cls").alias("root"))
-    index = durable(_open_keys(index, percent))
-    classes = durable(classes.drop("prefix"))
+    index = classes.select("cls", "n", F.size("keys").alias("shared"), F.inline(F.arrays_zip("keys", "places")).alias("key", "pos"), F.col("cls").alias("root"))
+    index = durable(_open_keys(index, percent, bits * 2))
+    classes = durable(classes.drop("keys", "places"))
     release(docs.sparkSession)
     few, many = index.where(F.col("among") <= FEW), index.where(F.col("among") > FEW)
     shape = lambda side: classes.select(F.col("cls").alias(side), F.col("n").alias(f"{side}n"), F.col("shape").alias({"a": "x", "b": "y"}[side]))
@@ -479,8 +495,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = BitSet.of(involved.select("mark"), bits)
     sets = texts.select("row_hash", "text").mapInArrow(_full_sets(width, levels, wanted, again), "digest binary, again boolean, keys array<long>")
     sets = durable(sets.join(involved.select("digest", "cls"), "digest").drop("digest"))
+    # once, not in every use: then the uses that deal the sets by class share one shuffle
+    once = durable(sets.where("again").dropDuplicates(["cls"]).drop("again"))
+    sets = sets.where("NOT again").drop("again").union(once)
     release(docs.sparkSession)
-    sets = sets.where("NOT again").union(sets.where("again").dropDuplicates(["cls"])).drop("again")
 
     links = durable(_test(pairs, sets, percent).union(_by_chunks(many, sets, percent)))
     release(docs.sparkSession)

@@ -34,6 +34,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_the_size_estimate_of_components_does_not_multiply(spark):
+    """Twelve rounds over a path; the estimate had twice as many digits after every round."""
+    found = components(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long"))
+    assert found.count() == 301 and found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**9
+
+
 def rows(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=repr)
 
