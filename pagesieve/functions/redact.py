@@ -69,7 +69,8 @@ def clean_map(values: Column) -> Column:
 
 
 def clean_list(values: Column) -> Column:
-    return F.transform(values, clean_text)
+    # in two steps: within one, every mention of the text would hide the queries again
+    return F.transform(F.transform(values, hide_url_queries), lambda v: hide_secrets(v))
 
 
 def json_payload(response: Column) -> Column:

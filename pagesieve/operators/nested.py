@@ -1,7 +1,7 @@
 """Arbitrary JSON held as text: its values with their paths, canonical form, redaction, schema checks.
 
-A text is cut into tokens once; everything else is windows over the tokens of a
-row.  The depth is a running sum, and the key or index on every level of a path is
+A text is cut into tokens once; everything else but redaction, which stays inside
+its row, is windows over the tokens of a row.  The depth is a running sum, and the key or index on every level of a path is
 the last one seen on that level, so paths of any depth take one window pass (a
 column for each level; the deepest text is measured first, one number).
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesieve.functions.redact import HIDDEN_KEYS, REDACTED, URL_KEYS, clean_text
+from pagesieve.functions.redact import HIDDEN_KEYS, REDACTED, URL_KEYS, hide_secrets, hide_url_queries
 from pagesieve.functions.urls import sanitize_url
 
 _TOKEN = r"\"(?:[^\"\\]|\\.)*+\"|[{}\[\]:,]|[^\s{}\[\]:,\"]++"
@@ -120,28 +120,98 @@ def fingerprints(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return canonical(rows, id_col, text_col).select("id", F.sha2("canonical", 256).alias("fingerprint"))
 
 
-def redacted(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``redacted``: the text without secrets, at any depth.
+#: Blanks outside strings, and pieces of a text without them: a string, with the colon and bracket behind it if it is a key, or what stands between strings from one bracket to the next.
+_BLANK = r"(\"(?:[^\"\\]|\\.)*+\")|\s++"
+_PIECE = r"\"(?:[^\"\\]|\\.)*+\"(?::[{\[]?+)?+|[}\]][^{}\[\]\"]*+[{\[]?+|[^{}\[\]\"]++[{\[]?+|[{\[]"
+_HIDDEN = f'"{REDACTED}"'
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _plain(token: Column) -> Column:
+    """Text of a JSON string token; most hold no escapes."""
+    return F.when(F.contains(token, F.lit("\\")), _decoded(token)).otherwise(F.substring(token, F.lit(2), F.length(token) - 2))
+
+
+def _quoted(text: Column) -> Column:
+    return F.when(F.rlike(text, F.lit(r"[\x00-\x1f\"\\]")), _encoded(text)).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
+def _has_key(piece: Column, keys: tuple[str, ...]) -> Column:
+    """Whether the piece is one of the keys, with its colon."""
+    return F.coalesce(F.startswith(piece, F.lit('"')) & ~F.endswith(piece, F.lit('"')) & _plain(F.rtrim(piece, F.lit(":{["))).isin(*keys), F.lit(False))
+
+
+def _turn(piece: Column) -> Column:
+    """What a piece does to the depth: -1 closes, 1 opens, 2 opens under a hidden key, 3 closes and opens again, 0 neither."""
+    opens = F.endswith(piece, F.lit("{")) | F.endswith(piece, F.lit("["))
+    closes = F.startswith(piece, F.lit("}")) | F.startswith(piece, F.lit("]"))
+    return F.when(opens, F.when(closes, 3).when(_has_key(piece, HIDDEN_KEYS), 2).otherwise(1)).when(closes, -1).otherwise(0)
+
+
+def _hidden_spans(pieces: Column) -> Column:
+    """Of every container under a hidden key, and inside no other such: the pieces (from 1) that open and close it."""
+    spans = F.array().cast("array<struct<opens:int,closes:int>>")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("opens"), F.lit(0).alias("inner"), spans.alias("spans"))
+
+    def step(acc, x):
+        turn, opens = x["turn"], acc["opens"]
+        depth = acc["depth"] + F.when(turn == 3, 0).when(turn == 2, 1).otherwise(turn)
+        ends = (opens > 0) & turn.isin(-1, 3) & (acc["depth"] == acc["inner"])
+        state = lambda opens, inner, spans: F.struct(depth.alias("depth"), opens.alias("opens"), inner.alias("inner"), spans.alias("spans"))
+        return (
+            F.when((opens == 0) & (turn == 2), state(x["at"], acc["depth"] + 1, acc["spans"]))
+            .when(ends, state(F.lit(0), acc["inner"], F.array_append(acc["spans"], F.struct(opens.alias("opens"), x["at"].alias("closes")))))
+            .otherwise(state(opens, acc["inner"], acc["spans"]))
+        )
+
+    turns = F.transform(pieces, lambda piece, i: F.struct((i + 1).alias("at"), _turn(piece).alias("turn")))
+    return F.aggregate(F.filter(turns, lambda x: x["turn"] != 0), start, step, lambda acc: acc["spans"])
+
+
+def _cleaned(piece: Column, before: Column) -> Column:
+    """A piece without secrets, after the piece before it (null: none)."""
+    text = F.startswith(piece, F.lit('"')) & F.endswith(piece, F.lit('"'))
+    valued = F.coalesce(F.endswith(before, F.lit(":")), F.lit(False))
+    cleaned = _let(_plain(piece), lambda t: F.when(valued & _has_key(before, URL_KEYS), sanitize_url(t)).otherwise(_let(hide_url_queries(t), lambda u: hide_secrets(u))))
+    rest = F.when(F.endswith(piece, F.lit(",")), F.concat(F.lit(_HIDDEN), F.lit(","))).otherwise(F.lit(_HIDDEN))
+    return F.when(valued & _has_key(before, HIDDEN_KEYS), F.when(text, F.lit(_HIDDEN)).otherwise(rest)).when(text, _quoted(cleaned)).otherwise(piece)
+
+
+def _redacted(text: Column) -> Column:
+    """A JSON text without secrets, at any depth, and without blanks.
+
+    It is cut into pieces once.  Those of containers under hidden keys are found by
+    counting brackets, so nothing leaves the row and no depth is bounded; what
+    stands between these containers is cleaned piece by piece.
+    """
+
+    def shown(pieces):
+        bounds = _let(_hidden_spans(pieces), lambda spans: F.arrays_zip(
+            F.concat(F.array(F.lit(1)), F.transform(spans, lambda x: x["closes"])).alias("first"), F.concat(F.transform(spans, lambda x: x["opens"]), F.array(F.size(pieces))).alias("last")
+        ))
+        part = lambda own: F.array_join(F.transform(own, lambda x, i: _cleaned(x, F.get(own, i - 1))), "")
+        # a part begins with the bracket that closes the container before it, and ends with the one that opens the next
+        kept = lambda t, first, last: F.substring(t, F.when(first, 1).otherwise(2), F.length(t) - F.when(first, 0).otherwise(1) - F.when(last, 0).otherwise(1))
+        between = lambda x, i, n: _let(F.slice(pieces, x["first"], x["last"] - x["first"] + 1), lambda own: _let(part(own), lambda t: kept(t, i == 0, i == n - 1)))
+        return _let(bounds, lambda found: F.array_join(F.transform(found, lambda x, i: between(x, i, F.size(found))), _HIDDEN))
+
+    pieces = F.regexp_extract_all(F.regexp_replace(text, _BLANK, "$1"), F.lit(_PIECE), F.lit(0))
+    return _let(pieces, shown)
+
+
+def redacted(rows: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id`` and ``redacted``, and the columns to ``keep``: the text without secrets, at any depth.
 
     Whole values of hidden keys go, containers too; strings of address keys lose
     their query; all other strings, those in lists too, are cleaned as free text.
+    Ids may repeat here: rows are not brought together.
     """
-    marked = tokens(rows, id_col, text_col)
-    order = Window.partitionBy("id").orderBy("pos")
-    token = F.col("token")
-    marked = marked.withColumn("__key", F.when(F.col("starts") & (F.lag("token", 1).over(order) == ":"), _decoded(F.lag("token", 2).over(order))))
-    # at one depth opens and closes alternate: the next bracket is the end
-    outer = F.when(token.isin("}", "]"), F.col("depth") - 1).when(token.isin("{", "["), F.col("depth"))
-    level = Window.partitionBy("id", outer).orderBy("pos")
-    marked = marked.withColumn("__end", F.when(token.isin("{", "["), F.lead("pos").over(level)).otherwise(F.col("pos")))
-    hidden = F.coalesce(F.col("__key").isin(*HIDDEN_KEYS), F.lit(False))
-    inside = F.max(F.when(hidden, F.col("__end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    kept = marked.withColumn("__inside", F.coalesce(inside >= F.col("pos"), F.lit(False))).filter(~F.col("__inside"))
-    text = F.startswith(token, F.lit('"')) & F.col("starts")
-    cleaned = F.when(F.coalesce(F.col("__key").isin(*URL_KEYS), F.lit(False)), sanitize_url(_decoded(token))).otherwise(clean_text(_decoded(token)))
-    shown = F.when(hidden, F.lit(f'"{REDACTED}"')).when(text, _encoded(cleaned)).otherwise(token)
-    pieces = kept.select("id", "pos", shown.alias("shown")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "shown"))).alias("pieces"))
-    return pieces.select("id", F.array_join(F.transform("pieces", lambda x: x["shown"]), "").alias("redacted"))
+    text = F.col(text_col).cast("string")
+    return rows.filter(F.try_parse_json(text).isNotNull()).select(F.col(id_col).alias("id"), *keep, _redacted(text).alias("redacted"))
 
 
 def _named(path: Column) -> Column:

@@ -80,6 +80,21 @@ def test_redaction_reaches_all_depths(spark, texts):
     assert got == {i: walk(json.loads(t)) for i, t in enumerate(every)}
 
 
+def test_redaction_stays_in_the_row(spark):
+    deep = '{"a": ' * 60 + '{"token": ' + "[" * 50 + '"x", {"secret": 1}' + "]" * 50 + ', "b": "token=abc123"}' + "}" * 60
+    cases = {
+        deep: '{"a":' * 60 + '{"token":"[REDACTED]","b":"token=[REDACTED_SECRET]"}' + "}" * 60,
+        '{"pass\\u0077ord" : {"a": 1}, "x":"\\"password\\": {1}", "y" : [ ] , "secret": 5, "token": null }': '{"pass\\u0077ord":"[REDACTED]","x":"\\"password\\": {1}","y":[],"secret":"[REDACTED]","token":"[REDACTED]"}',
+        '[{"token": {}}, {"token": [[], {}]}, "password", {"token":"a"}, -1.5e3]': '[{"token":"[REDACTED]"},{"token":"[REDACTED]"},"password",{"token":"[REDACTED]"},-1.5e3]',
+        '"token=abc"': '"token=[REDACTED_SECRET]"', " [ ] ": "[]", "7": "7", '{"url": "https://h.com/a?b=1", "bearer": "x"}': '{"url":"https://h.com/a?[URL_SANITIZED]","bearer":"[REDACTED]"}',
+    }
+    rows = spark.createDataFrame([(i % 2, t, i) for i, t in enumerate([*cases, "no", None])], "id long, text string, other int")
+    done = nested.redacted(rows, "id", "text", keep=("other",))
+    assert [(r.id, r.redacted) for r in sorted(done.collect(), key=lambda r: r.other)] == [(i % 2, t) for i, t in enumerate(cases.values())]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Generate" not in plan
+
+
 def test_schema_checks(spark):
     schema = spark.createDataFrame([
         ("", ["object"], True), ("kind", ["string"], True), ("score", ["number"], True), ("pages", ["integer", "null"], False), ("fields", ["array"], True), ("fields[]", ["object"], False),
