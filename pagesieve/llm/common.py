@@ -83,7 +83,7 @@ def sums(df: DataFrame, *columns) -> tuple:
 
 
 class BitSet:
-    """A Bloom filter of fixed size.  A false hit only costs time, never changes a result.
+    """A Bloom filter of given size.  A false hit only costs time and disk, never changes a result.
 
     Every task marks its keys in one bitmap and hands over the non-zero words;
     the words are merged with ``bit_or``.  The driver receives ``bits / 64``
@@ -98,6 +98,11 @@ class BitSet:
         self.bits = bits
         self.words = np.zeros(bits // 64, np.uint64) if words is None else words
 
+    @staticmethod
+    def room(keys: int, each: int, least: int, most: int) -> int:
+        """Bits for so many keys at ``each`` bits a key, between ``least`` and ``most``."""
+        return min(max(1 << max(keys * each - 1, 0).bit_length(), least), max(least, most))
+
     def _places(self, keys: np.ndarray):
         low, step = keys & np.uint64(0xFFFFFFFF), (keys >> np.uint64(32)) | np.uint64(1)
         with np.errstate(over="ignore"):

@@ -17,8 +17,11 @@ chunks of fixed size.  What then still lies in different components is compared
 in blocks, unless n-gram histograms exclude a link.  No candidate is capped, so
 no link between components is lost.
 
-How common an n-gram is only steers the order, never the result: fixed-size bit
-sets mark those above some counts, counted over all documents.
+How common an n-gram is only steers the order, never the result: bit sets mark
+those above some counts, counted over all documents.
+
+Bit sets follow the number of their keys up to a bound: full ones would let all
+n-grams and all full sets through to the shuffles.
 
 Defined results: a text without words (or null) has an empty set and is its own
 component; repeated rows give one row each; components are named by their
@@ -32,12 +35,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import BitSet, durable, release, small_batches
+from pagesieve.llm.common import BitSet, durable, release, small_batches, sums
 from pagesieve.llm.components import components
 from pagesieve.llm.tokens import NOT_BLANK, byte_slices, mix, signed, words
 
@@ -52,6 +54,12 @@ BLOCK_TOKENS = 1 << 20
 BLOCK_MEMBERS = 64
 CHUNK = 512
 _WALK = 64
+#: Bits a key: of what only thins out, and of the sets that define the order.
+THIN, ORDER = 8, 16
+#: Most bits of a bit set (16 MB).
+MOST_BITS = 1 << 27
+#: Bytes of full sets that one step deals for comparison, or all sets once if they take more.
+STEP_BYTES = 1 << 30
 
 
 def needed(n, m, percent: int):
@@ -378,32 +386,59 @@ def _orders(texts: DataFrame, width: int, percent: int, bits: int) -> tuple[list
     All documents are counted, each by a region of its n-grams that is wider
     than its prefix, so that the prefix stays inside when common n-grams move
     back; what still enters from outside is marked by one more pass.  A
-    threshold is doubled until the n-grams above it fit the bit set (one in
+    threshold is doubled until the n-grams above it fit the largest bit set (one in
     sixteen bits): a histogram by powers of two is all the driver sees.
     """
     counted = texts.select("text").mapInArrow(_region_tokens(width, percent), "token long").groupBy("token").agg(F.count("*").alias("n"))
     counted = durable(counted.where("n > 1"))
     sizes = {r[0]: r[1] for r in counted.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*")).collect()}  # 64 rows at most
+    release(texts.sparkSession)
+    above = lambda least: sum(v for k, v in sizes.items() if 2**k >= least)
     levels = []
     for least in LEVELS:
-        while sum(v for k, v in sizes.items() if 2**k >= least) > bits // 16:
+        while above(least) * ORDER > max(bits, MOST_BITS):
             least *= 2
-        levels.append(BitSet.of(counted.where(F.col("n") > least).select("token"), bits))
-    late = texts.select("text").mapInArrow(_late_tokens(width, percent, levels), "token long").distinct()
-    return levels, [BitSet.of(counted.select("token"), bits * 2), BitSet.of(late, bits)]
+        levels.append(BitSet.of(counted.where(F.col("n") > least).select("token"), BitSet.room(above(least), ORDER, bits, MOST_BITS)))
+    late = durable(texts.select("text").mapInArrow(_late_tokens(width, percent, levels), "token long").distinct())
+    return levels, [BitSet.of(counted.select("token"), BitSet.room(above(1), THIN, bits * 2, MOST_BITS)), _thin(late, bits)]
+
+
+def _thin(keys: DataFrame, least: int) -> BitSet:
+    """Bit set of a written column of keys, by their number."""
+    return BitSet.of(keys, BitSet.room(keys.count(), THIN, least, MOST_BITS))
 
 
 def _test(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the pairs (a, b): tries of the a's of each b, in blocks that fit in memory."""
+    """Links among the pairs (a, b): tries of the a's of each b, in blocks that fit in memory.
+
+    The sets that all blocks take can be many times the sets there are, so the
+    blocks are dealt and tested some at a time, and what was dealt is freed.
+    """
     size = sets.select(F.col("cls").alias("a"), F.size("keys").alias("n"))
     blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_MEMBERS))
-    salts = durable(pairs.join(size, "a").groupBy("b").agg(blocks.cast("int").alias("salts")))
-    salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.hash("a"), F.col("salts")))
+    salts = durable(pairs.join(size, "a").groupBy("b").agg(blocks.cast("int").alias("salts"), F.sum("n").alias("dealt")))
+    salted = pairs.join(salts.drop("dealt"), "b").withColumn("salt", F.pmod(F.hash("a"), F.col("salts")))
+    (dealt,), (there,) = sums(salts, F.sum("dealt")), sums(size, F.sum("n"))
+    steps = -(-(dealt or 0) * 8 // max(STEP_BYTES, (there or 0) * 8)) or 1
+    return _in_steps(salted, F.xxhash64("b", "salt"), steps, lambda some: _test_some(some, sets, percent))
+
+
+def _test_some(salted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = salted.join(sets.select(F.col("cls").alias("a"), "keys"), "a").select("b", "salt", F.col("a").alias("cls"), "keys", F.lit(False).alias("probe"))
     probes = salted.select("b", "salt").distinct().join(sets.select(F.col("cls").alias("b"), "keys"), "b").select("b", "salt", F.col("b").alias("cls"), "keys", F.lit(True).alias("probe"))
     return members.union(probes).groupBy("b", "salt").applyInArrow(_trie_test(percent), "a long, b long")
 
 
+def _in_steps(rows: DataFrame, drawn, steps: int, links) -> DataFrame:
+    """The links of all rows, which go through ``links`` in so many steps, drawn by a hash; each is written and what it shuffled freed."""
+    out = None
+    for step in range(steps):
+        found = durable(links(rows.where(F.pmod(drawn, F.lit(steps)) == step) if steps > 1 else rows))
+        release(rows.sparkSession)
+        out = found if out is None else out.union(found)
+    return out
+
+
 def _fits(n, m, left, percent: int):
     """Column: a set of size n with ``left`` n-grams from the shared one on may link with a set of size m."""
     return left * (100 + percent) >= percent * (n + m)
@@ -431,20 +466,20 @@ def _open_keys(index: DataFrame, percent: int, bits: int | None = None) -> DataF
     stats = durable(stats.where("r0 <> r1"))
     release(index.sparkSession)
     if bits:
-        index = index.where(_maybe(BitSet.of(stats.select("key"), bits))("key"))
+        index = index.mapInArrow(_marked(_thin(stats.select("key"), bits), index.columns.index("key")), index.schema)
     n, left = F.col("n"), F.col("n") - F.col("pos")
     m = F.greatest(F.col("least"), F.ceil(n * percent / 100))
     return index.drop("among").join(stats, "key").where(_fits(n, m, F.least(left, F.col("most_left")), percent)).drop("least", "most_left", "r0", "r1")
 
 
-def _maybe(marked: BitSet):
-    """Column function: whether a key may be in the bit set."""
+def _marked(marked: BitSet, at: int):
+    """Rows whose key in column ``at`` may be in the bit set; as a filter on a Python column, Spark would queue them on disk."""
 
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        return pd.Series(marked.has(keys.to_numpy().view(np.uint64)))
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marked.has(batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    return maybe
+    return run
 
 
 def _cross_pairs(index: DataFrame, percent: int) -> DataFrame:
@@ -461,8 +496,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``keeper`` marks the document a component is named after (all its copies, if
     the row is repeated); ``row_hash`` is ``xxhash64(id, text)``, to find the row again.
 
-    ``bits`` sizes each bit set (half a megabyte by default, the largest twice that, whatever the data); a fuller
-    one lets more candidates through to the joins, which decide.
+    ``bits`` is the least size of a bit set (half a megabyte by default, the largest twice that); it grows with its
+    keys up to ``MOST_BITS``, beyond which more candidates get through to the joins, which decide.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("row_hash"), F.col(text_col).cast("string").alias("text"))
@@ -476,7 +511,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     classes = durable(classes.withColumn("cls", F.monotonically_increasing_id()))  # written, so the numbers stay
     # rows equal in id and text have one mark: those (and a few false hits of the bit set) need a pass to keep one
-    again = BitSet.of(rows.where("mark IS NOT NULL").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), bits)
+    again = _thin(durable(rows.where("mark IS NOT NULL").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")), bits)
     rows = durable(rows.select("id", "row_hash", "n", "digest"))  # prefixes and histograms are with the classes
     release(docs.sparkSession)
 
@@ -492,7 +527,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # full sets are read again, for those classes alone that may have links
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(many.select("cls")).distinct()
     involved = durable(involved.join(classes.select("cls", "mark", "digest"), "cls"))
-    wanted = BitSet.of(involved.select("mark"), bits)
+    wanted = _thin(involved.select("mark"), bits)
     sets = texts.select("row_hash", "text").mapInArrow(_full_sets(width, levels, wanted, again), "digest binary, again boolean, keys array<long>")
     sets = durable(sets.join(involved.select("digest", "cls"), "digest").drop("digest"))
     # once, not in every use: then the uses that deal the sets by class share one shuffle
@@ -500,7 +535,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets.where("NOT again").drop("again").union(once)
     release(docs.sparkSession)
 
-    links = durable(_test(pairs, sets, percent).union(_by_chunks(many, sets, percent)))
+    links = _test(pairs, sets, percent).union(durable(_by_chunks(many, sets, percent)))
     release(docs.sparkSession)
     left = durable(_open_keys(_rooted(many, components(links)), percent))
     pairs = durable(_by_blocks(left, classes.select("cls", "shape"), percent))

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pagesieve.llm import triejoin
 from pagesieve.llm.components import components
 from pagesieve.llm.queries import QUERIES
 from pagesieve.llm.triejoin import near_duplicates, needed, walk
@@ -67,3 +68,33 @@ def test_odd_rows(spark):
         assert rows(near_duplicates(df, width=width, percent=percent)) == sorted(brute.similar_components(docs, width, percent), key=repr)
     assert rows(near_duplicates(df, bits=64)) == sorted(brute.similar_components(docs), key=repr)  # bit sets that say yes to all
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_bit_sets_grow_with_their_keys(spark):
+    """A fixed size would let all keys through once there are many, and all full sets to the shuffles."""
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("token"))
+    marked = triejoin._thin(keys, 64)
+    others = np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64)
+    assert marked.bits >= 8 * 20_000 and marked.has(others).mean() < 0.1
+    assert marked.has(np.array([r.token for r in keys.collect()], np.int64).view(np.uint64)).all()
+    assert triejoin._thin(keys.limit(0), 128).bits == 128
+
+
+def test_the_tests_are_dealt_in_steps(spark, monkeypatch):
+    """What all blocks take is dealt some at a time once it is more than a step holds; no pair is lost."""
+    sets = spark.createDataFrame([(c, [k * 8 for k in range(20)] + [1000 + c]) for c in range(9)], "cls long, keys array<long>")
+    pairs = spark.createDataFrame([(a, b) for a in range(9) for b in range(a + 1, 9)], "a long, b long")
+    steps, test_some = [], triejoin._test_some
+    monkeypatch.setattr(triejoin, "_test_some", lambda *a: steps.append(1) or test_some(*a))
+    monkeypatch.setattr(triejoin, "STEP_BYTES", 1)
+    found = triejoin._test(pairs, sets, 85)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(a, b) for a in range(9) for b in range(a + 1, 9)] and len(steps) == 4
+    assert triejoin._test(pairs.limit(0), sets, 85).count() == 0
+
+
+def test_keys_are_thinned_out_without_a_queue(spark):
+    """A filter on a Python column keeps the rows in a queue that goes to disk."""
+    index = spark.createDataFrame([(c, 10, 4, k, 0, c) for c in range(6) for k in (1, 2 + c)], "cls long, n int, shared int, key long, pos int, root long")
+    left = triejoin._open_keys(index, 80, 64)
+    assert sorted((r.cls, r.key, r.among) for r in left.collect()) == [(c, 1, 6) for c in range(6)]
+    assert "ArrowEvalPython" not in left._jdf.queryExecution().executedPlan().toString()
